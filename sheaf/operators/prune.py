@@ -41,7 +41,18 @@ def prune_with_patterns(entries: DataFrame, patterns: list[str], include_root: b
     return entries.filter(~hit)
 
 
+_RESOLVED: dict = {}
+
+
 def resolve_profiles(profiles: DataFrame):
+    """Memoised :func:`_resolve_profiles` keyed by the profiles plan."""
+    key = (profiles.sparkSession.sparkContext.applicationId, profiles.semanticHash())
+    if key not in _RESOLVED:
+        _RESOLVED[key] = _resolve_profiles(profiles)
+    return _RESOLVED[key]
+
+
+def _resolve_profiles(profiles: DataFrame):
     """-> (root_map DataFrame(root_id, profile_id), {profile_id: [patterns]}, global_id).
 
     Only the distinct pattern *lists* reach the driver (bounded by

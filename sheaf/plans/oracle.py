@@ -282,3 +282,190 @@ SQL["assemble_xml"] = _doc_sql("xml") + "SELECT * FROM doc"
 SQL["output_tokens"] = _doc_sql("markdown") + """SELECT root_id, count(*) AS n_fragments,
   CAST(sum(length(fragment)) AS BIGINT) AS n_chars, CAST(sum(strlen(fragment)) AS BIGINT) AS n_bytes,
   CAST((sum(length(fragment)) + 3) // 4 AS BIGINT) AS output_tokens FROM doc GROUP BY root_id"""
+
+# ================================================================ part 2
+CTE["changes"] = """changes AS (
+  SELECT CAST(user_id % 10 AS VARCHAR) AS root_id, CAST(ts AS TIMESTAMP) AS ts,
+    CASE event_type WHEN 'click' THEN 'modify' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'remove'
+                    WHEN 'error' THEN 'error' WHEN 'view' THEN 'access' END AS kind,
+    'u' || CAST(user_id AS VARCHAR) || '/k' || json_extract_string(props, '$.k') AS path,
+    CASE WHEN event_type = 'error' THEN 'watch error ' || CAST(event_id AS VARCHAR) END AS message, event_id
+  FROM events)"""
+CTE["samples"] = """samples AS (
+  SELECT user_id AS key, ts, epoch_us(ts) AS ts_us, value AS elapsed, 10.0 AS budget, event_id FROM events)"""
+CTE["gaps"] = """gaps AS (
+  SELECT key, event_id, ts_us, gap_us FROM (
+    SELECT key, event_id, ts_us, ts_us - lag(ts_us) OVER (PARTITION BY key ORDER BY ts_us, event_id) AS gap_us
+    FROM samples) WHERE gap_us > 0)"""
+FULL = "'/corpus/' || root_id || '/' || rel_path"
+SIB_CI = "CASE WHEN is_dir THEN 0 ELSE 1 END, lower(name), name"
+SIB_RAW = "CASE WHEN is_dir THEN 0 ELSE 1 END, name"
+
+SQL["pattern_type"] = with_(*BASE) + """SELECT DISTINCT pattern,
+  CASE WHEN contains(pattern, '*') OR contains(pattern, '?') THEN 'glob'
+       WHEN starts_with(pattern, '^') OR ends_with(pattern, '$') THEN 'regex' ELSE 'exact' END AS ptype
+FROM (SELECT unnest([name, '*.' || ext, '^' || name, name || '$', name || '?']) AS pattern
+      FROM entries WHERE rel_path <> '')"""
+SQL["match_exact"] = with_(*BASE) + f"""SELECT e.root_id, e.rel_path, p.pattern
+FROM entries e, (VALUES ('doc_1'), ('/en/')) p(pattern) WHERE contains({FULL.replace('root_id', 'e.root_id').replace('rel_path', 'e.rel_path')}, p.pattern)"""
+SQL["match_glob"] = with_(*BASE) + """SELECT e.root_id, e.rel_path, p.pattern
+FROM entries e, (VALUES ('*.rs'), ('d?c_1*'), ('[!d]oc_*'), ('*.TXT')) p(pattern)
+WHERE e.rel_path <> '' AND e.name GLOB p.pattern"""
+SQL["match_regex"] = with_(*BASE) + """SELECT e.root_id, e.rel_path, p.pattern
+FROM entries e, (VALUES ('^/corpus/src1/'), ('doc_[0-9]+[.]rs$'), ('/(en|fr)/')) p(pattern)
+WHERE regexp_matches('/corpus/' || e.root_id || '/' || e.rel_path, p.pattern)"""
+SQL["pattern_cache_match"] = with_(*BASE) + """SELECT root_id, rel_path FROM entries
+WHERE rel_path LIKE '%.rs' OR rel_path LIKE 'target/%' OR rel_path LIKE '%.txt' OR rel_path LIKE '%.md'"""
+SQL["override_filter"] = with_(*BASE) + """SELECT root_id, rel_path FROM entries
+WHERE rel_path = '' OR NOT (list_contains(string_split(rel_path, '/'), 'node_modules')
+   OR rel_path = 'src/en' OR starts_with(rel_path, 'src/en/')
+   OR len(list_filter(string_split(rel_path, '/'), lambda c: c GLOB '*.md')) > 0)"""
+SQL["parse_patterns"] = with_(*BASE) + """SELECT root_id, rel_path, array_to_string(parts, '|') AS patterns,
+  CAST(len(parts) AS BIGINT) AS n_patterns
+FROM (SELECT root_id, rel_path, list_filter(list_transform(string_split(
+        ' *.' || ext || ' ,' || name || ',, *.{js,ts}', ','), lambda x: trim(x)), lambda x: x <> '') AS parts
+      FROM entries WHERE NOT is_dir)"""
+SQL["drop_invalid_patterns"] = with_(*BASE) + """SELECT pattern,
+  NOT (regexp_matches(pattern, '[^/]\\*\\*|\\*\\*[^/]') OR contains(pattern, '***')
+       OR (regexp_matches(pattern, '\\[[^\\]]*$') AND NOT regexp_matches(pattern, '\\[.+\\]'))) AS valid
+FROM (SELECT DISTINCT unnest([name || '**', '[' || ext, '*.' || ext, '**/' || name]) AS pattern
+      FROM entries WHERE NOT is_dir)"""
+SQL["preset_patterns"] = with_(*BASE) + """SELECT DISTINCT root_id, pattern FROM (
+  SELECT r.root_id, p.pattern FROM (SELECT DISTINCT root_id FROM files) r,
+    (VALUES ('.*'), ('node_modules'), ('__pycache__'), ('target'), ('build'), ('dist')) p(pattern)
+  UNION ALL SELECT root_id, trim('  *.' || ext || ' ') FROM entries WHERE NOT is_dir AND ext = 'TXT')
+WHERE pattern <> 'dist'"""
+SQL["fuzzy_filter"] = with_(*BASE) + \
+    "SELECT root_id, rel_path FROM entries WHERE rel_path <> '' AND regexp_matches(name, '(?i)D.*c.*1')"
+SQL["pattern_match_matrix"] = with_(*BASE) + """SELECT pattern, CAST(glob_matches AS BIGINT) AS glob_matches,
+  CAST(regex_matches AS BIGINT) AS regex_matches FROM (
+  SELECT '*.rs' AS pattern, count_if(regexp_matches(rel_path, '^.*\\.rs$')) AS glob_matches,
+         count_if(regexp_matches(rel_path, '^[^/]*\\.rs$')) AS regex_matches FROM entries WHERE rel_path <> ''
+  UNION ALL SELECT '**/*.txt', count_if(regexp_matches(rel_path, '^(.*/)?.*\\.txt$')),
+         count_if(regexp_matches(rel_path, '^[^/]*[^/]*/[^/]*\\.txt$')) FROM entries WHERE rel_path <> ''
+  UNION ALL SELECT '**/target/**', count_if(regexp_matches(rel_path, '^(.*/)?target/.*$')),
+         count_if(regexp_matches(rel_path, '^[^/]*[^/]*/target/[^/]*[^/]*$')) FROM entries WHERE rel_path <> ''
+  UNION ALL SELECT 'node_modules/**', count_if(regexp_matches(rel_path, '^node_modules/.*$')),
+         count_if(regexp_matches(rel_path, '^node_modules/[^/]*[^/]*$')) FROM entries WHERE rel_path <> ''
+  UNION ALL SELECT '*.{js,ts,jsx,tsx}', count_if(ends_with(rel_path, '.{js,ts,jsx,tsx}')),
+         count_if(regexp_matches(rel_path, '^[^/]*\\.(js|ts|jsx|tsx)$')) FROM entries WHERE rel_path <> '')"""
+
+# ---- joins
+SQL["children_join"] = with_(*PRUNED) + """SELECT c.root_id, c.parent, c.rel_path, p.depth AS parent_depth
+FROM pruned c JOIN pruned p ON p.root_id = c.root_id AND p.rel_path = c.parent AND p.is_dir"""
+SQL["ancestor_join"] = with_(*PRUNED, "picks", "states") + \
+    "SELECT root_id, rel_path, ancestor, CAST(anc_depth AS BIGINT) AS anc_depth FROM panc WHERE ancestor <> rel_path"
+SQL["restore_selection"] = with_(*PRUNED, "picks") + \
+    "SELECT root_id, rel_path, is_dir FROM pruned SEMI JOIN picks USING (root_id, rel_path)"
+SQL["language_join"] = with_(*BASE) + f"SELECT root_id, rel_path, {LANG_CASE} AS lang FROM entries WHERE NOT is_dir"
+SQL["selected_metadata"] = with_(*BASE, "picks") + """SELECT p.root_id, p.rel_path, e.size,
+  CAST(e.size // 4 AS BIGINT) AS tokens FROM picks p JOIN entries e USING (root_id, rel_path) WHERE NOT e.is_dir"""
+SQL["selected_contents"] = with_("files", "picks") + """SELECT w.root_id, w.rel_path,
+  CAST(length(f.content) AS BIGINT) AS n_chars,
+  CASE WHEN f.content IS NULL THEN 'Failed to read file: not found' END AS error
+FROM (SELECT DISTINCT root_id, rel_path FROM picks) w LEFT JOIN files f USING (root_id, rel_path)"""
+SQL["dirty_roots"] = with_("changes") + """SELECT m.root_id, count(*) AS n_after FROM changes m
+JOIN (SELECT root_id, max(ts) AS last_gen FROM changes WHERE kind = 'create' GROUP BY 1) g
+  ON g.root_id = m.root_id AND m.ts > g.last_gen
+WHERE m.kind = 'modify' GROUP BY 1"""
+
+# ---- aggregations
+SQL["children_by_parent"] = with_(*PRUNED) + f"""SELECT root_id, parent, count(*) AS n_children,
+  first(name ORDER BY {SIB_CI}) AS first_child,
+  first(name ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END DESC, lower(name) DESC, name DESC) AS last_child
+FROM pruned WHERE parent IS NOT NULL GROUP BY 1, 2"""
+SQL["failed_summary"] = with_("files", "picks") + f""", w AS (
+  SELECT root_id, rel_path, FALSE AS is_dir FROM (SELECT DISTINCT root_id, rel_path FROM picks)),
+wo AS (SELECT w.*, row_number() OVER (PARTITION BY root_id ORDER BY {SK_CI}) AS seq FROM w),
+bad AS (SELECT wo.root_id, wo.seq, wo.rel_path FROM wo ANTI JOIN files f USING (root_id, rel_path))
+SELECT root_id, CAST(0 AS BIGINT) AS seq, 'Warning: Failed to read ' || CAST(count(*) AS VARCHAR) || ' file(s): ' AS item
+FROM bad GROUP BY root_id
+UNION ALL SELECT root_id, seq, rel_path || ': Failed to read file: not found' FROM bad"""
+SQL["render_tree_unfiltered"] = with_(*BASE, extra=tree_ctes(profiled=False)) + "SELECT root_id, pos, line FROM tree"
+SQL["render_tree_ci"] = with_(*PRUNED, extra=tree_ctes(profiled=True, ci=True, max_depth=None)) + \
+    "SELECT root_id, pos, line FROM tree"
+SQL["node_counts"] = with_(*PRUNED, "picks", "states") + """SELECT a.root_id, a.ancestor AS dir, count(*) AS n_nodes,
+  CAST(sum(e.size) AS BIGINT) AS bytes, CAST(sum(e.size // 4) AS BIGINT) AS tokens
+FROM panc a JOIN pruned e USING (root_id, rel_path)
+WHERE (a.root_id, a.ancestor) IN (SELECT (root_id, rel_path) FROM pruned WHERE is_dir)
+GROUP BY 1, 2"""
+SQL["bytes_read"] = with_(*SELECTED) + """SELECT s.root_id, CAST(sum(strlen(f.content)) AS BIGINT) AS bytes_read
+FROM selected s JOIN files f USING (root_id, rel_path) GROUP BY 1"""
+SQL["match_count"] = with_("files") + """SELECT root_id, rel_path,
+  CAST((length(lower(content)) - length(replace(lower(content), 'the', ''))) // 3 AS BIGINT) AS n FROM files"""
+SQL["progress_pct"] = with_(*SELECTED) + """, a AS (SELECT s.root_id, count(*) AS total,
+    count(f.content) AS current FROM selected s LEFT JOIN files f USING (root_id, rel_path) GROUP BY 1)
+SELECT r.root_id, CAST(coalesce(a.current, 0) AS BIGINT) AS current, CAST(coalesce(a.total, 0) AS BIGINT) AS total,
+  CASE WHEN coalesce(a.total, 0) = 0 THEN 100.0 ELSE round(a.current * 100.0 / a.total, 4) END AS pct,
+  coalesce(a.current, 0) >= coalesce(a.total, 0) AS complete
+FROM (SELECT DISTINCT root_id FROM entries) r LEFT JOIN a USING (root_id)"""
+
+# ---- windows
+SQL["is_last_sibling"] = with_(*PRUNED) + """SELECT root_id, rel_path, parent IS NULL OR row_number() OVER (
+  PARTITION BY root_id, parent ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END DESC, name DESC) = 1 AS is_last
+FROM pruned"""
+SQL["sibling_rank"] = with_(*PRUNED) + f"""SELECT root_id, rel_path,
+  row_number() OVER (PARTITION BY root_id, parent ORDER BY {SIB_CI}) AS sibling_rank FROM pruned WHERE parent IS NOT NULL"""
+SQL["event_gap"] = with_("samples", "gaps") + "SELECT key, event_id, gap_us FROM gaps"
+SQL["last_n_samples"] = with_("samples", "gaps") + """SELECT key, event_id, gap_us FROM (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, event_id DESC) AS rn FROM gaps) WHERE rn <= 120"""
+SQL["running_progress"] = with_(*SELECTED) + f"""SELECT root_id, rel_path,
+  row_number() OVER (PARTITION BY root_id ORDER BY {SK_CI}) AS current, count(*) OVER (PARTITION BY root_id) AS total
+FROM selected"""
+SQL["match_navigation"] = with_("files") + """, pieces AS (
+  SELECT root_id, rel_path, string_split(lower(content), 'the') AS ps FROM files),
+ex AS (SELECT root_id, rel_path, len(ps) - 1 AS n, unnest(range(1, len(ps) + 1)) AS k, unnest(ps) AS piece FROM pieces),
+cum AS (SELECT *, sum(length(piece)) OVER (PARTITION BY root_id, rel_path ORDER BY k
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before FROM ex)
+SELECT root_id, rel_path, CAST(k - 1 AS BIGINT) AS match_idx, CAST(before + (k - 1) * 3 AS BIGINT) AS char_offset,
+  CAST(k % n AS BIGINT) AS next_idx, CAST((k - 2 + n) % n AS BIGINT) AS prev_idx, CAST(n AS BIGINT) AS match_count
+FROM cum WHERE k - 1 < n"""
+SQL["history_cap"] = """SELECT session_id, event_id FROM (
+  SELECT user_id AS session_id, event_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events WHERE event_type IN ('click', 'view', 'signup')) WHERE rn <= 20"""
+
+# ---- sorts
+SQL["sort_dirs_first_ci"] = with_(*BASE) + f"""SELECT root_id, rel_path,
+  row_number() OVER (PARTITION BY root_id, parent ORDER BY {SIB_CI}) AS sibling_rank FROM entries WHERE parent IS NOT NULL"""
+SQL["sort_dirs_first_raw"] = with_(*BASE) + f"""SELECT root_id, rel_path,
+  row_number() OVER (PARTITION BY root_id, parent ORDER BY {SIB_RAW}) AS sibling_rank FROM entries WHERE parent IS NOT NULL"""
+SQL["sort_paths"] = with_("changes") + """SELECT root_id, path, row_number() OVER (PARTITION BY root_id ORDER BY path) AS pos
+FROM (SELECT DISTINCT root_id, path FROM changes WHERE kind IN ('modify', 'create', 'remove'))"""
+
+# ---- sets
+CTE["sel_ab"] = """picks_f AS (SELECT * FROM picks SEMI JOIN files USING (root_id, rel_path)),
+sel_b AS (SELECT DISTINCT a.root_id, a.rel_path FROM panc a JOIN picks_f p ON p.root_id = a.root_id AND p.rel_path = a.ancestor
+          JOIN pruned e ON e.root_id = a.root_id AND e.rel_path = a.rel_path WHERE NOT e.is_dir),
+sel_a AS (SELECT DISTINCT a.root_id, a.rel_path FROM panc a JOIN picks p ON p.root_id = a.root_id AND p.rel_path = a.ancestor
+          JOIN pruned e ON e.root_id = a.root_id AND e.rel_path = a.rel_path WHERE NOT e.is_dir)"""
+SQL["selection_diff"] = with_(*PRUNED, "picks", "states", "sel_ab") + """
+SELECT root_id, rel_path, 'added' AS change FROM sel_a ANTI JOIN sel_b USING (root_id, rel_path)
+UNION ALL SELECT root_id, rel_path, 'removed' FROM sel_b ANTI JOIN sel_a USING (root_id, rel_path)"""
+SQL["select_all"] = with_(*PRUNED) + "SELECT root_id, rel_path, 'checked' AS state FROM pruned"
+SQL["selection_union"] = with_(*SELECTED) + """SELECT DISTINCT root_id, rel_path FROM (
+  SELECT root_id, rel_path FROM selected
+  UNION ALL SELECT f.root_id, f.rel_path FROM files f SEMI JOIN labels l ON l.doc_id = f.doc_id AND l.toxic = 1)"""
+SQL["merge_change_batches"] = with_("changes") + """SELECT DISTINCT root_id, path AS item, FALSE AS is_error
+FROM changes WHERE kind IN ('modify', 'create', 'remove')
+UNION ALL SELECT root_id, message, TRUE FROM changes WHERE kind = 'error'"""
+SQL["capture_snapshot"] = with_(*PRUNED, "picks", "states") + """SELECT root_id,
+  CASE WHEN is_dir THEN 'dir' ELSE 'file' END AS kind, rel_path FROM chk WHERE checked"""
+SQL["selection_intersect"] = with_(*PRUNED, "picks") + """SELECT DISTINCT root_id, rel_path FROM picks
+SEMI JOIN pruned USING (root_id, rel_path)"""
+
+# ---- selection
+SQL["search_visible"] = with_(*PRUNED) + """, hits AS (SELECT root_id, rel_path, depth FROM pruned
+  WHERE rel_path <> '' AND regexp_matches(name, '(?i)D.*c.*1'))
+SELECT DISTINCT root_id, rel_path FROM (
+  SELECT root_id, rel_path FROM hits
+  UNION ALL SELECT root_id, array_to_string(string_split(rel_path, '/')[1:i], '/')
+  FROM (SELECT root_id, rel_path, unnest(range(1, CAST(depth AS INTEGER))) AS i FROM hits))"""
+SQL["reload_with_patterns"] = with_(*BASE, "picks") + """, mcomp AS (
+  SELECT root_id, rel_path, unnest(string_split(rel_path, '/')) AS c FROM entries WHERE rel_path <> ''),
+mign AS (SELECT DISTINCT root_id, rel_path FROM mcomp WHERE c GLOB '.*' OR c = 'node_modules'),
+mpr AS (SELECT e.* FROM entries e ANTI JOIN mign USING (root_id, rel_path)),
+manc AS (SELECT root_id, rel_path,
+   CASE WHEN i = 0 THEN '' ELSE array_to_string(string_split(rel_path, '/')[1:i], '/') END AS ancestor
+   FROM (SELECT root_id, rel_path, unnest(range(0, CAST(depth AS INTEGER) + 1)) AS i FROM mpr WHERE NOT is_dir))
+SELECT DISTINCT a.root_id, a.rel_path FROM manc a JOIN picks p ON p.root_id = a.root_id AND p.rel_path = a.ancestor"""

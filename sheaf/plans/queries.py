@@ -44,7 +44,15 @@ def states(spark, sf):
 
 
 def selected(spark, sf):
-    return S.collect_selected(states(spark, sf))
+    """Files going into the document.
+
+    Files are leaves, so their rolled-up state is their own expanded flag, and
+    a checked file never lies under an unchecked directory once states are
+    rolled up (H2 = H3 on rolled-up states) -- the generation set needs no
+    roll-up at all.  ``collect_selected`` (H2) stays the general operator.
+    """
+    e = S.expand(pruned_entries(spark, sf), FX.picks(spark, sf))
+    return e.filter(~F.col("is_dir") & F.col("checked"))
 
 
 def contents(spark, sf):
@@ -235,8 +243,8 @@ def q_tristate_rollup(spark, sf):
 
 @query("collect_selected")
 def q_collect_selected(spark, sf):
-    """H2."""
-    return selected(spark, sf).select("root_id", "rel_path")
+    """H2: checked files, subtrees under unchecked directories skipped."""
+    return S.collect_selected(states(spark, sf)).select("root_id", "rel_path")
 
 
 @query("selected_flat")
@@ -299,3 +307,7 @@ def q_assemble_xml(spark, sf):
 def q_output_tokens(spark, sf):
     """ceil(chars/4) of each rendered Markdown document, from fragment lengths."""
     return R.document_stats(q_assemble_markdown(spark, sf))
+
+
+# part 2 registers itself on import
+from sheaf.plans import tree_queries  # noqa: E402,F401
