@@ -469,3 +469,152 @@ manc AS (SELECT root_id, rel_path,
    CASE WHEN i = 0 THEN '' ELSE array_to_string(string_split(rel_path, '/')[1:i], '/') END AS ancestor
    FROM (SELECT root_id, rel_path, unnest(range(0, CAST(depth AS INTEGER) + 1)) AS i FROM mpr WHERE NOT is_dir))
 SELECT DISTINCT a.root_id, a.rel_path FROM manc a JOIN picks p ON p.root_id = a.root_id AND p.rel_path = a.ancestor"""
+
+# ================================================================ part 3
+CTE["acc"] = """acc AS (SELECT * FROM changes WHERE kind IN ('modify', 'create', 'remove', 'error'))"""
+CTE["batches"] = """bflag AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR
+                            THEN 1 ELSE 0 END AS nb
+  FROM acc WINDOW w AS (PARTITION BY root_id ORDER BY ts, event_id)),
+bat AS (SELECT *, sum(nb) OVER (PARTITION BY root_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS batch_id
+  FROM bflag),
+bsum AS (SELECT root_id, batch_id, min(ts) AS batch_start, max(ts) AS batch_last, count(*) AS n_events,
+    count(DISTINCT CASE WHEN kind <> 'error' THEN path END) AS n_paths, count_if(kind = 'error') AS n_errors
+  FROM bat GROUP BY 1, 2)"""
+CHG = ("files", "changes", "acc", "batches")
+
+SQL["changes_source"] = with_("changes", "acc") + "SELECT root_id, ts, kind, path, event_id FROM acc"
+SQL["change_batches"] = with_("changes", "acc", "batches") + """SELECT root_id, batch_start, batch_last, n_events,
+  n_paths, n_errors, CASE WHEN n_errors > 0 THEN 'error' ELSE 'changed' END AS outcome FROM bsum"""
+SQL["change_message"] = with_("changes", "acc", "batches") + """SELECT root_id, batch_start,
+  CASE WHEN n_paths = 1 THEN '1 file changed in the watched directory'
+       ELSE CAST(n_paths AS VARCHAR) || ' files changed in the watched directory' END AS message
+FROM bsum WHERE n_errors = 0"""
+SQL["distinct_changed_paths"] = with_("changes") + \
+    "SELECT DISTINCT root_id, path FROM changes WHERE kind IN ('modify', 'create', 'remove')"
+SQL["change_throttle"] = "WITH RECURSIVE " + with_("changes", "acc")[5:] + """, nx AS (
+  SELECT a.root_id, a.event_id, a.ts, b.event_id AS next_id
+  FROM acc a ASOF LEFT JOIN acc b ON a.root_id = b.root_id AND b.ts >= a.ts + INTERVAL 1 HOUR),
+r AS (
+  SELECT root_id, event_id, ts, next_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY ts, event_id) AS rn FROM nx) WHERE rn = 1
+  UNION ALL
+  SELECT n.root_id, n.event_id, n.ts, n.next_id FROM r JOIN nx n ON n.event_id = r.next_id)
+SELECT root_id, event_id, ts FROM r"""
+SQL["error_priority"] = with_("changes", "acc", "batches") + """, errs AS (
+  SELECT root_id, batch_id, message,
+         row_number() OVER (PARTITION BY root_id, batch_id ORDER BY ts, event_id) AS seq
+  FROM bat WHERE kind = 'error')
+SELECT DISTINCT root_id, batch_id, CAST(0 AS BIGINT) AS seq, 'Watcher error: ' AS item FROM errs
+UNION ALL SELECT root_id, batch_id, seq, message FROM errs"""
+SQL["dirty_flag"] = with_("changes", "acc") + """SELECT root_id, last_change, last_gen,
+  last_change IS NOT NULL AND (last_gen IS NULL OR last_change > last_gen) AS dirty
+FROM (SELECT root_id, max(CASE WHEN kind IN ('modify', 'remove') THEN ts END) AS last_change,
+             max(CASE WHEN kind = 'create' THEN ts END) AS last_gen FROM acc GROUP BY 1)"""
+SQL["progress_stream"] = with_(*SELECTED) + """, tot AS (SELECT root_id, count(*) AS total FROM selected GROUP BY 1)
+SELECT root_id, 'scanning' AS stage, CAST(1 AS BIGINT) AS n_events, CAST(0 AS BIGINT) AS max_current,
+       CAST(total AS BIGINT) AS total FROM tot
+UNION ALL SELECT root_id, 'reading', total, total, total FROM tot
+UNION ALL SELECT root_id, 'building', 2, 1, 1 FROM tot"""
+SQL["active_alerts"] = """WITH al AS (
+  SELECT user_id % 10 AS key, event_id, epoch_us(ts) AS us,
+    CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'success' END AS severity
+  FROM events),
+al2 AS (SELECT *, CASE severity WHEN 'error' THEN 240000000 WHEN 'warning' THEN 180000000 ELSE 120000000 END AS ttl,
+           lead(us) OVER (PARTITION BY key ORDER BY us, event_id) AS nxt FROM al)
+SELECT key, event_id, severity,
+  CASE WHEN nxt IS NULL THEN ttl ELSE least(us + ttl, nxt) - us END AS shown_us,
+  nxt IS NOT NULL AND nxt < us + ttl AS replaced
+FROM al2"""
+SQL["job_state"] = """SELECT job_id,
+  arg_max(state, CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id) FILTER (WHERE state <> 'error') AS state,
+  count_if(state = 'error') AS n_errors
+FROM (SELECT user_id AS job_id, ts, event_id,
+        CASE event_type WHEN 'click' THEN 'generating' WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'error'
+                        WHEN 'signup' THEN 'cancelled' END AS state FROM events)
+WHERE state IS NOT NULL GROUP BY job_id"""
+
+# ---- workflows
+CTE["items"] = """items AS (
+  SELECT o.root_id, o.rel_path, o.ext, o.seq, CAST((length(f.content) + 3) // 4 AS BIGINT) AS tokens
+  FROM ordered o JOIN files f USING (root_id, rel_path))"""
+SQL["pack_by_budget"] = "WITH RECURSIVE " + with_(*SELECTED, "ordered", "items")[5:] + """, r AS (
+  SELECT root_id, seq, tokens, tokens AS load, CAST(0 AS BIGINT) AS session FROM items WHERE seq = 1
+  UNION ALL
+  SELECT i.root_id, i.seq, i.tokens,
+    CASE WHEN r.load > 0 AND r.load + i.tokens > 8000 THEN i.tokens ELSE r.load + i.tokens END,
+    CASE WHEN r.load > 0 AND r.load + i.tokens > 8000 THEN r.session + 1 ELSE r.session END
+  FROM r JOIN items i ON i.root_id = r.root_id AND i.seq = r.seq + 1)
+SELECT root_id, CAST(seq AS BIGINT) AS seq, tokens, session FROM r"""
+SQL["budget_shares"] = with_(*SELECTED, "ordered", "items") + """, cl AS (
+  SELECT *, CASE WHEN starts_with(rel_path, 'tests/') THEN 'tests'
+      WHEN lower(ext) IN ('rs','py','js','ts','jsx','tsx','go','cpp','c','h','java','kt','swift') THEN 'code'
+      WHEN lower(ext) IN ('md','txt','rst','adoc') THEN 'docs' ELSE 'other' END AS cls FROM items),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY root_id, cls ORDER BY seq ROWS UNBOUNDED PRECEDING) AS running,
+         CASE cls WHEN 'code' THEN 12000 WHEN 'tests' THEN 4000 WHEN 'docs' THEN 4000 ELSE 0 END AS cap FROM cl)
+SELECT root_id, cls, CAST(seq AS BIGINT) AS seq, tokens, CAST(running AS BIGINT) AS running, cap
+FROM run WHERE running <= cap"""
+SQL["model_fit"] = _doc_sql("markdown") + """, st AS (SELECT root_id, (sum(length(fragment)) + 3) // 4 AS t
+  FROM doc GROUP BY 1)
+SELECT root_id, m.model, st.t <= m.lim AS fits
+FROM st, (VALUES ('8k', 8000), ('32k', 32000), ('128k', 128000), ('200k', 200000)) m(model, lim)"""
+CTE["versions"] = """versions AS (SELECT source AS root_id, lang || '.md' AS path, doc_id, text AS content FROM documents),
+lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root_id, path ORDER BY doc_id DESC) AS rn
+                      FROM versions) WHERE rn <= 2),
+chs AS (SELECT coalesce(n.root_id, o.root_id) AS root_id, coalesce(n.path, o.path) AS path,
+    CASE WHEN o.content IS NULL THEN 'added' WHEN n.content IS NULL THEN 'removed'
+         WHEN n.content = o.content THEN 'unchanged' ELSE 'changed' END AS status
+  FROM (SELECT * FROM lt WHERE rn = 1) n FULL OUTER JOIN (SELECT * FROM lt WHERE rn = 2) o
+  ON n.root_id = o.root_id AND n.path = o.path)"""
+SQL["changed_sections"] = with_("versions") + "SELECT root_id, path, status FROM chs"
+SQL["changed_files_prompt"] = with_("versions") + """SELECT l.root_id, l.path,
+  '### ' || l.path || chr(10) || chr(10) || '```markdown' || chr(10) ||
+  CASE WHEN ends_with(l.content, chr(10)) THEN l.content ELSE l.content || chr(10) END || '```' || chr(10) || chr(10)
+  AS fragment
+FROM lt l JOIN chs c USING (root_id, path) WHERE l.rn = 1 AND c.status IN ('changed', 'added')"""
+SQL["content_search"] = with_("files") + """SELECT root_id, rel_path,
+  CAST(len(regexp_extract_all(content, '[0-9]{3}-[0-9]{4}')) AS BIGINT) AS n_matches,
+  regexp_extract(content, '[0-9]{3}-[0-9]{4}', 0) AS first_match
+FROM files WHERE regexp_matches(content, '[0-9]{3}-[0-9]{4}')"""
+SQL["multi_root_prompt"] = """WITH t AS (SELECT 'conv' || CAST(conv_id AS VARCHAR) AS root_id,
+    CAST(turn AS VARCHAR) || '_' || role || '.md' AS rel_path, CAST(length(text) AS BIGINT) AS n_chars FROM conversations)
+SELECT row_number() OVER (ORDER BY root_id, lower(rel_path), rel_path) AS doc_pos, root_id, rel_path, n_chars FROM t"""
+SQL["incremental_tokens"] = """WITH v AS (SELECT source AS root_id, lang || '.md' AS path, doc_id,
+    CAST((length(text) + 3) // 4 AS BIGINT) AS tokens FROM documents)
+SELECT root_id, path, doc_id, tokens,
+  tokens - lag(tokens) OVER (PARTITION BY root_id, path ORDER BY doc_id) AS delta,
+  tokens - first(tokens) OVER (PARTITION BY root_id, path ORDER BY doc_id
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS running_delta
+FROM v"""
+SQL["project_profiles"] = with_(*BASE) + f""", cnt AS (SELECT root_id, ext, count(*) AS n FROM entries
+  WHERE NOT is_dir GROUP BY 1, 2),
+typ AS (SELECT root_id, first(ext ORDER BY n DESC, ext DESC) AS project_type FROM cnt GROUP BY 1),
+pre AS (SELECT * FROM (VALUES ('rs', ['target']), ('py', ['__pycache__']), ('js', ['node_modules', 'dist']),
+                              ('md', ['_build'])) p(t, pats))
+SELECT root_id, project_type, CAST(i - 1 AS BIGINT) AS ord, pats[i] AS pattern FROM (
+  SELECT t.root_id, t.project_type, coalesce(p.pats, [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}]) AS pats,
+         unnest(range(1, len(coalesce(p.pats, [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}])) + 1)) AS i
+  FROM typ t LEFT JOIN pre p ON p.t = t.project_type)"""
+SQL["include_patterns"] = with_(*BASE) + """SELECT root_id, rel_path FROM entries
+WHERE NOT is_dir AND (name GLOB '*.rs' OR name GLOB '*.py' OR name GLOB 'Doc_*')"""
+SQL["max_file_size"] = with_(*SELECTED) + f"""SELECT root_id, rel_path, size, rank FROM (
+  SELECT root_id, rel_path, size, row_number() OVER (PARTITION BY root_id ORDER BY {SK_CI}) AS rank
+  FROM selected WHERE size <= 4096) WHERE rank <= 10"""
+SQL["pattern_suggestions"] = with_(*BASE) + """SELECT component, CAST(sum(size // 4) AS BIGINT) AS tokens,
+  count(*) AS n_files
+FROM (SELECT size, unnest(list_distinct(string_split(rel_path, '/')[1:-2])) AS component FROM entries WHERE NOT is_dir)
+GROUP BY component ORDER BY tokens DESC, component LIMIT 10"""
+SQL["render_audit"] = with_(*BASE) + f"""SELECT e.root_id,
+  count_if(regexp_matches(e.name, '[&"<>]')) AS special_names, count_if(contains(f.content, '```')) AS fences,
+  count_if(contains(f.content, ']]>')) AS cdata_ends, count_if(({LANG_CASE.replace('CASE ext', 'CASE e.ext')}) = '') AS unknown_ext,
+  count_if(f.content IS NULL) AS read_errors
+FROM entries e LEFT JOIN files f USING (root_id, rel_path) WHERE NOT e.is_dir GROUP BY 1"""
+SQL["utf8_errors"] = with_("files") + """SELECT root_id, rel_path,
+  CASE WHEN contains(rel_path, '/.') THEN 'Failed to read file: stream did not contain valid UTF-8' END AS error
+FROM files"""
+SQL["export_prompt"] = _doc_sql("markdown") + """SELECT root_id, 'codebase_export.md' AS file_name,
+  CAST(sum(strlen(fragment)) AS BIGINT) AS n_bytes FROM doc GROUP BY 1"""
+SQL["load_profiles"] = with_("files") + f"""SELECT root_id, CAST(i - 1 AS BIGINT) AS ord, pats[i] AS pattern FROM (
+  SELECT root_id, pats, unnest(range(1, len(pats) + 1)) AS i FROM (
+    SELECT root_id, CASE WHEN CAST(regexp_extract(root_id, '(\\d+)$', 1) AS INTEGER) % 3 = 1
+        THEN ['*.TXT', 'tests'] ELSE [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}] END AS pats
+    FROM (SELECT DISTINCT root_id FROM files)))"""

@@ -311,3 +311,4 @@ def q_output_tokens(spark, sf):
 
 # part 2 registers itself on import
 from sheaf.plans import tree_queries  # noqa: E402,F401
+from sheaf.plans import flow_queries  # noqa: E402,F401
