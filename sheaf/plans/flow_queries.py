@@ -309,3 +309,31 @@ def q_load_profiles(spark, sf):
     pats = F.coalesce(parsed["ignore_patterns"], F.array(*map(F.lit, DEFAULT_PATTERNS)))
     return roots.select("root_id", F.posexplode(pats).alias("ord", "pattern")).withColumn(
         "ord", F.col("ord").cast("bigint"))
+
+
+# ---------------------------------------------------------------- D14 / D16 / D17
+from sheaf.operators import metrics as M  # noqa: E402
+
+
+@query("latency_stats")
+def q_latency_stats(spark, sf):
+    """Per user, rate and p50/p95/p99/max over the newest 120 positive gaps."""
+    g = M.last_n(M.event_gaps(FX.samples(spark, sf)), "key", ["ts_us", "event_id"])
+    s = M.latency_stats(g)
+    return s.select("key", "n_samples", *[F.round(c, 6).alias(c) for c in
+                                          ["avg_rate", "p50_ms", "p95_ms", "p99_ms", "max_ms"]])
+
+
+@query("budget_breaches")
+def q_budget_breaches(spark, sf):
+    """Samples whose elapsed time exceeds the budget, with the overrun ratio."""
+    b = M.budget_breaches(FX.samples(spark, sf))
+    return b.select("key", "event_id", "elapsed", F.round("ratio", 6).alias("ratio"))
+
+
+@query("metric_growth")
+def q_metric_growth(spark, sf):
+    """Last minus first sampled size per user (value read as MiB), saturating at 0."""
+    s = FX.samples(spark, sf).withColumn("rss", F.round(F.col("elapsed") * 1048576).cast("bigint"))
+    g = M.metric_growth(s, "key", "rss", ["ts", "event_id"])
+    return g.select("key", F.round("growth_mb", 6).alias("growth_mb"))

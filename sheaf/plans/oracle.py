@@ -618,3 +618,18 @@ SQL["load_profiles"] = with_("files") + f"""SELECT root_id, CAST(i - 1 AS BIGINT
     SELECT root_id, CASE WHEN CAST(regexp_extract(root_id, '(\\d+)$', 1) AS INTEGER) % 3 = 1
         THEN ['*.TXT', 'tests'] ELSE [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}] END AS pats
     FROM (SELECT DISTINCT root_id FROM files)))"""
+
+SQL["latency_stats"] = with_("samples", "gaps") + """, ring AS (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, event_id DESC) AS rn FROM gaps) WHERE rn <= 120),
+st AS (SELECT key, count(*) AS n, sum(gap_us) AS s, list_sort(list(gap_us)) AS xs FROM ring GROUP BY 1)
+SELECT key, n AS n_samples, round(CASE WHEN s > 0 THEN n * 1000000.0 / s ELSE 0.0 END, 6) AS avg_rate,
+  round(xs[n * 50 // 100 + 1] / 1000.0, 6) AS p50_ms, round(xs[n * 95 // 100 + 1] / 1000.0, 6) AS p95_ms,
+  round(xs[n * 99 // 100 + 1] / 1000.0, 6) AS p99_ms, round(xs[n] / 1000.0, 6) AS max_ms
+FROM st"""
+SQL["budget_breaches"] = with_("samples") + """SELECT key, event_id, elapsed, round(elapsed / budget, 6) AS ratio
+FROM samples WHERE elapsed > budget"""
+SQL["metric_growth"] = """SELECT user_id AS key, round(greatest(
+    arg_max(CAST(round(value * 1048576) AS BIGINT), CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id) -
+    arg_min(CAST(round(value * 1048576) AS BIGINT), CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id), 0)
+    / 1048576.0, 6) AS growth_mb
+FROM events GROUP BY 1"""
