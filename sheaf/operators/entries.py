@@ -16,15 +16,15 @@ from sheaf.functions import paths as P
 ENTRY_COLUMNS = ["root_id", "rel_path", "parent", "name", "ext", "depth", "is_dir", "size"]
 
 
-def _shape(df: DataFrame) -> DataFrame:
+def _shape(df: DataFrame, keep_content: bool = False) -> DataFrame:
     name = P.file_name("rel_path", "root_id")
     return df.select(
         "root_id", "rel_path", P.parent_path("rel_path").alias("parent"), name.alias("name"),
         P.extension(name).alias("ext"), P.depth("rel_path").cast("bigint").alias("depth"), "is_dir",
-        F.col("size").cast("bigint").alias("size"))
+        F.col("size").cast("bigint").alias("size"), *(["content"] if keep_content else []))
 
 
-def derive_entries(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+def derive_entries(files: DataFrame, max_depth: int | None = None, keep_content: bool = False) -> DataFrame:
     """``entries(root_id, rel_path, parent, name, ext, depth, is_dir, size)``.
 
     Files keep their byte size (``octet_length(content)`` unless a ``size``
@@ -33,11 +33,13 @@ def derive_entries(files: DataFrame, max_depth: int | None = None) -> DataFrame:
     ``depth <= max_depth`` (B5).
     """
     size = F.col("size") if "size" in files.columns else F.octet_length("content")
-    f = files.select("root_id", "rel_path", F.lit(False).alias("is_dir"), size.cast("bigint").alias("size"))
+    extra = [F.col("content")] if keep_content else []
+    f = files.select("root_id", "rel_path", F.lit(False).alias("is_dir"), size.cast("bigint").alias("size"), *extra)
     dirs = (files.select("root_id", F.explode(P.ancestors("rel_path")).alias("rel_path"))
             .distinct()
-            .select("root_id", "rel_path", F.lit(True).alias("is_dir"), F.lit(None).cast("bigint").alias("size")))
-    out = _shape(f.unionByName(dirs))
+            .select("root_id", "rel_path", F.lit(True).alias("is_dir"), F.lit(None).cast("bigint").alias("size"),
+                    *[F.lit(None).cast("string").alias("content")] if keep_content else []))
+    out = _shape(f.unionByName(dirs), keep_content)
     if max_depth is not None:
         out = out.filter(F.col("depth") <= max_depth)
     return out

@@ -70,7 +70,9 @@ def _resolve_profiles(profiles: DataFrame):
     id_map = F.create_map(*[x for lst, i in ids.items() for x in (F.lit("\u0001".join(lst)), F.lit(i))]) \
         if ids else None
     key = F.array_join("plist", "\u0001")
-    root_map = per_root.select("root_id", F.try_element_at(id_map, key).alias("profile_id")) if ids else None
+    # The policy table is tiny and referenced by every prune; pin it once.
+    root_map = per_root.select("root_id", F.try_element_at(id_map, key).alias("profile_id")).cache() \
+        if ids else None
     global_row = [r for r in per_root.filter(F.col("root_id").isNull()).collect()]
     global_id = ids[tuple(global_row[0]["plist"])] if global_row else None
     return root_map, {i: list(lst) for lst, i in ids.items()}, global_id

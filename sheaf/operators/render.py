@@ -105,24 +105,45 @@ def tree_lines(entries: DataFrame, patterns: list[str] | None = None, profiles:
     Patterns prune by name at every level including the root's own name (an
     ignored root yields no lines).  ``ci=False`` is the printed byte order (F2);
     ``ci=True`` with ``max_depth=None`` is the loaded-tree variant (D11).
+
+    A line's prefix needs "is last sibling" for every ancestor.  Ancestors are
+    directories, so their sibling key follows from the path alone; one
+    explode of the path levels joined to each parent's maximum child key
+    (a partial aggregation) yields every flag at once -- no recursion and no
+    join back per level.  The root itself is always last.
     """
     vis = prune(entries.select("root_id", "rel_path", "parent", "name", "is_dir", "depth"),
                 profiles=profiles, patterns=patterns, include_root=True)
     if max_depth is not None:
         vis = vis.filter(F.col("depth") <= max_depth)
-    vis = is_last_sibling(vis, ci=ci)
-    flags = vis.select("root_id", F.col("rel_path").alias("ancestor"), F.col("is_last").alias("_al"))
-    pre = (ancestor_pairs_narrow(vis).join(flags, ["root_id", "ancestor"])
-           .groupBy("root_id", "rel_path")
-           .agg(F.array_sort(F.collect_list(F.struct("anc_depth", "_al"))).alias("_fl")))
-    prefix = F.coalesce(F.array_join(F.transform("_fl", lambda s: F.when(s["_al"], F.lit(TREE_PAD_LAST))
-                                                 .otherwise(F.lit(TREE_PAD_MID))), ""), F.lit(""))
-    line = F.concat(prefix, F.when(F.col("is_last"), F.lit(TREE_LAST)).otherwise(F.lit(TREE_MID)),
-                    F.when(F.col("is_dir"), F.lit(ICON_DIR)).otherwise(F.lit(ICON_FILE)), F.lit(" "),
+    vis = vis.withColumn("_k", sibling_key(ci))
+    maxchild = (vis.filter(F.col("parent").isNotNull()).groupBy("root_id", "parent")
+                .agg(F.max("_k").alias("_mk")).withColumnRenamed("parent", "_par"))
+    parts = F.split("rel_path", "/")
+    lv = vis.filter(F.col("depth") >= 1).select(
+        "root_id", "rel_path", "is_dir", "name", "depth", "_k", F.posexplode(parts).alias("_i", "_c"))
+    par = F.when(F.col("_i") == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.col("_i")), "/"))
+    dir_key = (F.struct(F.lit(0).alias("f"), F.lower("_c").alias("l"), F.col("_c").alias("n")) if ci
+               else F.struct(F.lit(0).alias("f"), F.col("_c").alias("n")))
+    key = F.when(F.col("_i") == F.col("depth") - 1, F.col("_k")).otherwise(dir_key)
+    lv = lv.withColumn("_par", par).withColumn("_key", key)
+    j = lv.join(maxchild, ["root_id", "_par"])
+    g = (j.groupBy("root_id", "rel_path", "is_dir", "name")
+         .agg(F.array_sort(F.collect_list(F.struct("_i", (F.col("_key") == F.col("_mk")).alias("_last"))))
+              .alias("_fl")))
+    n = F.size("_fl")
+    pads = F.transform(F.slice("_fl", 1, n - 1), lambda s: F.when(s["_last"], F.lit(TREE_PAD_LAST))
+                       .otherwise(F.lit(TREE_PAD_MID)))
+    own_last = F.element_at("_fl", n)["_last"]
+    icon = F.when(F.col("is_dir"), F.lit(ICON_DIR)).otherwise(F.lit(ICON_FILE))
+    line = F.concat(F.lit(TREE_PAD_LAST), F.array_join(pads, ""),
+                    F.when(own_last, F.lit(TREE_LAST)).otherwise(F.lit(TREE_MID)), icon, F.lit(" "),
                     F.col("name"), F.lit("\n"))
-    lines = vis.join(pre, ["root_id", "rel_path"], "left").select(
-        "root_id", "rel_path", "is_dir", line.alias("line"))
-    lines = lines.withColumn("_sk", sort_key("rel_path", "is_dir", ci))
+    nodes = g.select("root_id", "rel_path", "is_dir", line.alias("line"))
+    roots = vis.filter(F.col("depth") == 0).select(
+        "root_id", "rel_path", "is_dir", F.concat(F.lit(TREE_LAST), icon, F.lit(" "), F.col("name"),
+                                                  F.lit("\n")).alias("line"))
+    lines = roots.unionByName(nodes).withColumn("_sk", sort_key("rel_path", "is_dir", ci))
     return ordered_scan(lines, ["root_id"], ["_sk"], pos="pos").select("root_id", "pos", "line")
 
 
@@ -175,38 +196,37 @@ def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
     reads are left out (they go to :func:`failed_summary`).  ``tree`` is the
     output of :func:`tree_lines`; roots with no tree lines get no tree block.
     ``transform`` maps the content Column (a Column expression, not a UDF).
+
+    Each input is scanned once: the fixed header/footer rows ride on each
+    root's first file row and the tree open/close rows on its first tree line
+    (``inline`` of a small array), instead of re-deriving root lists.
     """
+    xml = fmt == "xml"
     sel = preorder(selected.select("root_id", "rel_path", "ext", "is_dir"), ci=True, pos="seq")
     ok = contents.filter(F.col("error").isNull()).select("root_id", "rel_path", "content")
+    files = sel.join(ok, ["root_id", "rel_path"], "left")
     body = F.col("content") if transform is None else transform(F.col("content"))
-    files = (sel.join(ok, ["root_id", "rel_path"])
-             .select("root_id", F.lit(SEC_FILES).alias("section"), "seq",
-                     file_fragment(fmt, F.col("rel_path"), body, F.col("ext"), safe).alias("fragment")))
-    roots = sel.select("root_id").distinct()
-    xml = fmt == "xml"
 
-    def fixed(section, text):
-        return roots.select("root_id", F.lit(section).alias("section"), F.lit(0).cast("bigint").alias("seq"),
-                            F.lit(text).alias("fragment"))
+    def row(section, seq, text):
+        return F.struct(F.lit(section).alias("section"), seq.cast("bigint").alias("seq"), text.alias("fragment"))
 
-    parts = [fixed(SEC_HEADER, XML_HEADER if xml else MD_HEADER),
-             fixed(SEC_FILES_OPEN, XML_FILES_OPEN if xml else MD_FILES_OPEN), files]
+    zero = F.lit(0)
+    file_row = row(SEC_FILES, F.col("seq"), file_fragment(fmt, F.col("rel_path"), body, F.col("ext"), safe))
+    fixed = [row(SEC_HEADER, zero, F.lit(XML_HEADER if xml else MD_HEADER)),
+             row(SEC_FILES_OPEN, zero, F.lit(XML_FILES_OPEN if xml else MD_FILES_OPEN))]
     if xml:
-        parts.append(fixed(SEC_FOOTER, XML_FOOTER))
+        fixed.append(row(SEC_FOOTER, zero, F.lit(XML_FOOTER)))
+    rows = F.filter(F.array(file_row, *[F.when(F.col("seq") == 1, r) for r in fixed]),
+                    lambda r: r.isNotNull() & r["fragment"].isNotNull())
+    out = files.select("root_id", F.inline(rows))
     if tree is not None:
+        roots = selected.select("root_id").distinct()
         t = tree.join(roots, "root_id", "left_semi")
-        troots = t.select("root_id").distinct()
-        parts += [
-            troots.select("root_id", F.lit(SEC_TREE_OPEN).alias("section"), F.lit(0).cast("bigint").alias("seq"),
-                          F.lit(XML_TREE_OPEN if xml else MD_TREE_OPEN).alias("fragment")),
-            t.select("root_id", F.lit(SEC_TREE).alias("section"), F.col("pos").alias("seq"),
-                     F.col("line").alias("fragment")),
-            troots.select("root_id", F.lit(SEC_TREE_CLOSE).alias("section"), F.lit(0).cast("bigint").alias("seq"),
-                          F.lit(XML_TREE_CLOSE if xml else MD_TREE_CLOSE).alias("fragment")),
-        ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        trows = F.array(row(SEC_TREE, F.col("pos"), F.col("line")),
+                        F.when(F.col("pos") == 1, row(SEC_TREE_OPEN, zero, F.lit(XML_TREE_OPEN if xml else MD_TREE_OPEN))),
+                        F.when(F.col("pos") == 1, row(SEC_TREE_CLOSE, zero,
+                                                      F.lit(XML_TREE_CLOSE if xml else MD_TREE_CLOSE))))
+        out = out.unionByName(t.select("root_id", F.inline(F.filter(trows, lambda r: r.isNotNull()))))
     return out
 
 

@@ -2,21 +2,25 @@
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task.
 When one root/user holds a third of all rows that task is the whole job.  This
-module computes the same three window results without that hot task:
+module computes the same three window results without that hot task, entirely
+in the JVM (no Python worker):
 
 1. ``repartitionByRange(n, *keys, *order)`` + ``sortWithinPartitions`` -- the
    range partitioner samples the data, so a hot key is spread over many
    partitions in order.  An explicit ``n`` makes the shuffle origin
-   REPARTITION_BY_NUM, which AQE never coalesces.  The scanned frame is
-   persisted so the two consumers below read one execution of it.
-2. ``mapInArrow`` walks each partition once (vectorised numpy over Arrow
-   batches) and emits, per row, its index / running sum / previous value
-   *within the partition's run of that key*.
-3. A summary per ``(key, partition)`` -- at most ``#keys + #partitions`` rows --
-   gets exclusive prefix sums with a window whose groups are tiny.
+   REPARTITION_BY_NUM, which AQE never coalesces.
+2. Each row gets ``_pid = spark_partition_id()`` and
+   ``_mid = monotonically_increasing_id()`` (consecutive within a partition, so
+   ``_mid - min(_mid)`` of its ``(key, _pid)`` run is its local index).  This
+   frame is persisted so both consumers below read ONE execution of it; a lost
+   block is recomputed through the same shuffle dependency (same bounds) and a
+   total sort, which reproduces identical rows and ids.
+3. A summary per ``(key, _pid)`` -- at most ``#keys + #partitions`` rows -- gets
+   exclusive prefix sums with a window whose groups are tiny.
 4. Joining the summary back (AQE broadcasts it when its runtime size allows,
-   otherwise a balanced sort-merge on ``(key, partition)``) turns local values
-   into global ones.
+   otherwise a balanced sort-merge on ``(key, _pid)``) turns local values into
+   global ones.  Running sums and lags use a window over ``(key, _pid)``, whose
+   distribution that join already provides.
 
 Results equal ``row_number()``, ``sum() ROWS UNBOUNDED PRECEDING`` and
 ``lag(1)`` over ``partitionBy(keys).orderBy(order)`` when the order is total.
@@ -27,8 +31,6 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
 _PINNED: list[DataFrame] = []
 
@@ -39,67 +41,14 @@ def release() -> None:
         _PINNED.pop().unpersist()
 
 
-def _make_scanner(keys, cum_cols, lag_cols):
-    def scan(batches):
-        import numpy as np
-        import pandas as pd
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        prev_key = None      # key of the last row seen in this partition
-        prev_idx = -1        # its index within its run
-        carry_sum = {c: 0.0 for c in cum_cols}
-        carry_last = {c: None for c in lag_cols}
-        for b in batches:
-            m = b.num_rows
-            if m == 0:
-                continue
-            kcols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            change = np.zeros(m, dtype=bool)   # True where a new run of the key starts
-            if m > 1:
-                for kc in kcols:
-                    change[1:] |= kc[1:] != kc[:-1]
-            change[0] = prev_key is None or tuple(kc[0] for kc in kcols) != prev_key
-            grp = np.cumsum(change)            # 0 only for a run continued from the last batch
-            starts = np.flatnonzero(change)
-            ar = np.arange(m)
-            run_start = np.concatenate([[-(prev_idx + 1)], starts])[grp]
-            lidx = ar - run_start
-            arrays, names = list(b.columns), list(b.schema.names)
-            arrays += [pa.array(np.full(m, pid, dtype=np.int32)), pa.array(lidx.astype(np.int64))]
-            names += ["_pid", "_lidx"]
-            for c in cum_cols:
-                v = b.column(c).to_numpy(zero_copy_only=False)
-                v = np.where(pd.isnull(v), 0, v).astype(np.float64)
-                cs = np.cumsum(v)
-                base = np.concatenate([[-carry_sum[c]], cs[starts] - v[starts]])[grp]
-                local = cs - base
-                arrays.append(pa.array(local))
-                names.append(f"_lcum_{c}")
-                carry_sum[c] = float(local[-1])
-            for c in lag_cols:
-                col = b.column(c)
-                ext = pa.concat_arrays([pa.array([carry_last[c]], type=col.type), col])
-                # ext[i] is the row before row i; invalid at the start of a run
-                arrays.append(ext.take(pa.array(ar, mask=change)))
-                names.append(f"_llag_{c}")
-                carry_last[c] = col[m - 1].as_py()
-            prev_key = tuple(kc[-1] for kc in kcols)
-            prev_idx = int(lidx[-1])
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return scan
-
-
 def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None = None,
                  cumsum: dict[str, str] | None = None, lag: dict[str, str] | None = None,
                  num_partitions: int | None = None) -> DataFrame:
     """Add ``pos`` (1-based row number), running sums and lags per ``keys`` in ``order``.
 
     ``order`` items are column names or Columns (``.desc()`` allowed) and must
-    give a total order within a key.  ``cumsum``/``lag`` map output column ->
-    input column.  Pass a *narrow* frame: every column rides through Arrow.
+    give a total order within a key; keys must be non-null.  ``cumsum``/``lag``
+    map output column -> input column.  Pass a narrow frame (paths, not texts).
     """
     cumsum = cumsum or {}
     lag = lag or {}
@@ -108,44 +57,39 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     key_cols = [F.col(k) for k in keys]
     ranged = df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
-
-    cum_in = list(dict.fromkeys(cumsum.values()))
-    lag_in = list(dict.fromkeys(lag.values()))
-    fields = list(df.schema.fields) + [T.StructField("_pid", T.IntegerType()), T.StructField("_lidx", T.LongType())]
-    fields += [T.StructField(f"_lcum_{c}", T.DoubleType()) for c in cum_in]
-    fields += [T.StructField(f"_llag_{c}", df.schema[c].dataType) for c in lag_in]
-    scanned = ranged.mapInArrow(_make_scanner(keys, cum_in, lag_in), T.StructType(fields))
-    # Both consumers below (summary and join-back) must see the SAME partitions:
-    # re-executing the range exchange could sample different bounds when its
-    # input order varies.  Persisting pins one execution; a lost block is
-    # recomputed through the same shuffle dependency (same bounds) and a total
-    # sort, so recovery reproduces identical rows.
+    scanned = ranged.select("*", F.spark_partition_id().alias("_pid"),
+                            F.monotonically_increasing_id().alias("_mid"))
     scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
     _PINNED.append(scanned)
 
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.max_by(F.col(f"_lcum_{c}"), F.col("_lidx")).alias(f"_s_{c}") for c in cum_in]
-    aggs += [F.max_by(F.col(c), F.col("_lidx")).alias(f"_last_{c}") for c in lag_in]
+    cum_in = list(dict.fromkeys(cumsum.values()))
+    lag_in = list(dict.fromkeys(lag.values()))
+    aggs = [F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")]
+    aggs += [F.sum(c).alias(f"_s_{c}") for c in cum_in]
+    aggs += [F.max_by(F.col(c), F.col("_mid")).alias(f"_last_{c}") for c in lag_in]
     summary = scanned.groupBy(*keys, "_pid").agg(*aggs)
     w = Window.partitionBy(*keys).orderBy("_pid")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    offs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
-    offs += [F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0.0)).alias(f"_soff_{c}") for c in cum_in]
+    offs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), "_m0"]
+    offs += [F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_soff_{c}") for c in cum_in]
     offs += [F.lag(f"_last_{c}").over(w).alias(f"_carry_{c}") for c in lag_in]
     offsets = summary.select(*keys, "_pid", *offs)
 
     out = scanned.join(offsets, on=[*keys, "_pid"], how="inner")
     cols = [F.col(c) for c in df.columns]
     if pos:
-        cols.append((F.col("_off") + F.col("_lidx") + 1).cast("bigint").alias(pos))
+        cols.append((F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("bigint").alias(pos))
+    local = Window.partitionBy(*keys, "_pid").orderBy("_mid")
     for name, c in cumsum.items():
-        cols.append((F.col(f"_soff_{c}") + F.col(f"_lcum_{c}")).alias(name))
+        run = F.sum(c).over(local.rowsBetween(Window.unboundedPreceding, 0))
+        cols.append((F.col(f"_soff_{c}") + run).alias(name))
     for name, c in lag.items():
-        cols.append(F.when(F.col("_lidx") == 0, F.col(f"_carry_{c}")).otherwise(F.col(f"_llag_{c}")).alias(name))
+        cols.append(F.when(F.col("_mid") == F.col("_m0"), F.col(f"_carry_{c}"))
+                    .otherwise(F.lag(c).over(local)).alias(name))
     return out.select(*cols)
 
 
 def exact_long(col: Column | str) -> Column:
-    """Running sums come back as DOUBLE (exact below 2**53); cast to BIGINT."""
+    """Running sums as BIGINT (they keep the input type; DOUBLE inputs are rounded)."""
     c = F.col(col) if isinstance(col, str) else col
     return F.round(c).cast("bigint")

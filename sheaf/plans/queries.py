@@ -111,11 +111,11 @@ def q_entry_metadata(spark, sf):
 @query("full_workflow")
 def q_full_workflow(spark, sf):
     """A10: scan -> files only -> read -> '## path' fenced fragment -> total length per root."""
-    f = FX.files(spark, sf)
-    e = EN.files_only(EN.derive_entries(f))
-    c = EN.read_contents(e.select("root_id", "rel_path"), f.select("root_id", "rel_path", "content"))
+    # the corpus table stores listing and bytes together: reading the listed
+    # files is a projection of the scan, not a join back to the content
+    e = EN.files_only(EN.derive_entries(FX.files(spark, sf), keep_content=True))
     frag = R.bench_fragment(full_path(), F.col("content"))
-    return (c.filter(F.col("error").isNull()).select("root_id", frag.alias("fragment"))
+    return (e.filter(F.col("content").isNotNull()).select("root_id", frag.alias("fragment"))
             .groupBy("root_id").agg(F.count(F.lit(1)).alias("n_files"),
                                     F.sum(F.octet_length("fragment")).cast("bigint").alias("out_bytes"),
                                     C.tokens_from_char_count(F.sum(F.length("fragment"))).alias("out_tokens")))
@@ -281,8 +281,21 @@ def q_document_order(spark, sf):
 
 
 # ---------------------------------------------------------------- 2D render
-def _tree(spark, sf, **kw):
-    return R.tree_lines(corpus_entries(spark, sf), profiles=FX.profiles(spark), **kw)
+def _tree(spark, sf, entries=None, **kw):
+    e = corpus_entries(spark, sf) if entries is None else entries
+    return R.tree_lines(e, profiles=FX.profiles(spark), **kw)
+
+
+def generate(spark, sf, fmt: str):
+    """The flagship chain: scan -> prune -> select -> order -> read -> render, tree included.
+
+    ``entries`` is built once and shared by the selection and the tree, so the
+    two branches reuse one exchange of the derived listing.
+    """
+    entries = corpus_entries(spark, sf)
+    pruned = prune(entries, profiles=FX.profiles(spark))
+    sel = S.expand(pruned, FX.picks(spark, sf)).filter(~F.col("is_dir") & F.col("checked"))
+    return R.fragments(sel, contents(spark, sf), fmt, tree=_tree(spark, sf, entries))
 
 
 @query("render_tree")
@@ -294,13 +307,13 @@ def q_render_tree(spark, sf):
 @query("assemble_markdown")
 def q_assemble_markdown(spark, sf):
     """Markdown document rows with the tree block."""
-    return R.fragments(selected(spark, sf), contents(spark, sf), "markdown", tree=_tree(spark, sf))
+    return generate(spark, sf, "markdown")
 
 
 @query("assemble_xml")
 def q_assemble_xml(spark, sf):
     """XML document rows with the tree block."""
-    return R.fragments(selected(spark, sf), contents(spark, sf), "xml", tree=_tree(spark, sf))
+    return generate(spark, sf, "xml")
 
 
 @query("output_tokens")
