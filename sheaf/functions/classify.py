@@ -41,10 +41,17 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _q(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Built once as SQL text: one JVM call per use instead of one per literal.
+_LANG_MAP_SQL = "map(" + ", ".join(f"{_q(k)}, {_q(v)}" for k, v in LANGUAGE_BY_EXT.items()) + ")"
+
+
 def language_of(ext) -> Column:
     """Fence language for an extension; '' when unknown (case-sensitive)."""
-    m = F.create_map(*[F.lit(x) for kv in LANGUAGE_BY_EXT.items() for x in kv])
-    return F.coalesce(F.try_element_at(m, _c(ext)), F.lit(""))
+    return F.coalesce(F.try_element_at(F.expr(_LANG_MAP_SQL), _c(ext)), F.lit(""))
 
 
 def file_category(ext) -> Column:

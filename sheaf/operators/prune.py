@@ -41,15 +41,15 @@ def prune_with_patterns(entries: DataFrame, patterns: list[str], include_root: b
     return entries.filter(~hit)
 
 
-_RESOLVED: dict = {}
+_RESOLVED: dict = {}  # (app id, id(profiles)) -> (root_map, plists, global id); holds the frame alive
 
 
 def resolve_profiles(profiles: DataFrame):
-    """Memoised :func:`_resolve_profiles` keyed by the profiles plan."""
-    key = (profiles.sparkSession.sparkContext.applicationId, profiles.semanticHash())
+    """Memoised :func:`_resolve_profiles` per profiles DataFrame (policy is resolved once)."""
+    key = (profiles.sparkSession.sparkContext.applicationId, id(profiles))
     if key not in _RESOLVED:
-        _RESOLVED[key] = _resolve_profiles(profiles)
-    return _RESOLVED[key]
+        _RESOLVED[key] = (profiles, _resolve_profiles(profiles))
+    return _RESOLVED[key][1]
 
 
 def _resolve_profiles(profiles: DataFrame):

@@ -12,9 +12,10 @@ in the JVM (no Python worker):
 2. Each row gets ``_pid = spark_partition_id()`` and
    ``_mid = monotonically_increasing_id()`` (consecutive within a partition, so
    ``_mid - min(_mid)`` of its ``(key, _pid)`` run is its local index).  This
-   frame is persisted so both consumers below read ONE execution of it; a lost
-   block is recomputed through the same shuffle dependency (same bounds) and a
-   total sort, which reproduces identical rows and ids.
+   frame is written once with a reliable ``checkpoint()`` into the session's
+   ``spark.checkpoint.dir``, so both consumers below read ONE execution of it
+   (re-running the range exchange could sample other bounds) and a lost
+   executor loses nothing.
 3. A summary per ``(key, _pid)`` -- at most ``#keys + #partitions`` rows -- gets
    exclusive prefix sums with a window whose groups are tiny.
 4. Joining the summary back (AQE broadcasts it when its runtime size allows,
@@ -28,10 +29,11 @@ Results equal ``row_number()``, ``sum() ROWS UNBOUNDED PRECEDING`` and
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheaf.session import ensure_checkpoint_dir
+
 _PINNED: list[DataFrame] = []
 
 
@@ -59,8 +61,11 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None
     ranged = df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
     scanned = ranged.select("*", F.spark_partition_id().alias("_pid"),
                             F.monotonically_increasing_id().alias("_mid"))
-    scanned = scanned.persist(StorageLevel.MEMORY_AND_DISK)
-    _PINNED.append(scanned)
+    # Reliable checkpoint in the cluster's shared checkpoint folder: one
+    # execution of the range exchange, lineage cut, executor-loss safe; both
+    # consumers below read the same files (same _pid/_mid).
+    ensure_checkpoint_dir(spark)
+    scanned = scanned.checkpoint(eager=True)
 
     cum_in = list(dict.fromkeys(cumsum.values()))
     lag_in = list(dict.fromkeys(lag.values()))

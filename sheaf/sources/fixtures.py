@@ -62,12 +62,21 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
+_PROFILES: dict = {}
+
+
 def profiles(spark: SparkSession) -> DataFrame:
-    """Ignore policy rows; ``root_id`` NULL = global; a NULL pattern marks an empty profile."""
-    rows = [(None, i, p) for i, p in enumerate(DEFAULT_PATTERNS)]
-    for root, pats in ROOT_PROFILES.items():
-        rows += [(root, i, p) for i, p in enumerate(pats)] or [(root, 0, None)]
-    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+    """Ignore policy rows; ``root_id`` NULL = global; a NULL pattern marks an empty profile.
+
+    One DataFrame per session, so policy resolution is done once.
+    """
+    key = spark.sparkContext.applicationId
+    if key not in _PROFILES:
+        rows = [(None, i, p) for i, p in enumerate(DEFAULT_PATTERNS)]
+        for root, pats in ROOT_PROFILES.items():
+            rows += [(root, i, p) for i, p in enumerate(pats)] or [(root, 0, None)]
+        _PROFILES[key] = spark.createDataFrame(rows, PROFILE_SCHEMA)
+    return _PROFILES[key]
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
