@@ -276,16 +276,21 @@ def assemble(frags: DataFrame, guard_bytes: int = DOCUMENT_GUARD_BYTES) -> DataF
                                  lambda s: s["fragment"]), "").alias("document"))
 
 
-def export(frags: DataFrame, path: str, fmt: str = "markdown", mode: str = "errorifexists") -> None:
-    """Write each root's document as text under ``path/root_id=<id>/``.
+def export(frags: DataFrame, path: str) -> None:
+    """Write each root's document to ``path/root_id=<id>/part-*.txt`` with exact bytes.
 
     Rows are range-partitioned and sorted by ``(root_id, section, seq)``, so the
-    part files of a root, read in name order, concatenate to its document.
-    Text lines are written without separators: each fragment carries its own
-    newlines (``lineSep=''``).
+    part files of a root, read in name order, concatenate to its document; no
+    root is ever gathered into one task.  Refuses to overwrite an existing path.
     """
+    import os
+
+    from sheaf.sources.export_sink import register
+    if os.path.exists(path):
+        raise FileExistsError(path)
+    register(frags.sparkSession)
     n = int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (frags.repartitionByRange(n, "root_id", "section", "seq")
      .sortWithinPartitions("root_id", "section", "seq")
      .select("root_id", "fragment")
-     .write.mode(mode).partitionBy("root_id").option("lineSep", "").text(path))
+     .write.format("sheaf_export").mode("append").save(path))

@@ -63,6 +63,8 @@ class TreeReader(DataSourceReader):
         return (root_id, rel, is_dir, size)
 
     def read(self, partition: _Part):
+        if partition is None:  # no readable root: Spark still runs one empty partition
+            return
         root, root_id, top = partition.root, partition.root_id, partition.top
         if top is None:  # the root row and top-level files
             yield self._row(root_id, "", True, root, None)
