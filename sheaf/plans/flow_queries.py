@@ -34,6 +34,11 @@ SHARES = {"code": 0.6, "tests": 0.2, "docs": 0.2}
 # ---------------------------------------------------------------------------
 
 
+def _ntz(c: str):
+    """Report timestamps as wall-clock TIMESTAMP_NTZ, as stored: independent of the session time zone."""
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
 def _accepted(spark, sf):
     return CH.accepted(FX.changes(spark, sf))
 
@@ -45,21 +50,21 @@ def _batches(spark, sf):
 @query("changes_source")
 def q_changes_source(spark, sf):
     """The change feed with only modify/create/remove (and watcher errors) kept."""
-    return _accepted(spark, sf).select("root_id", "ts", "kind", "path", "event_id")
+    return _accepted(spark, sf).select("root_id", _ntz("ts"), "kind", "path", "event_id")
 
 
 @query("change_batches")
 def q_change_batches(spark, sf):
     """Bursts per root separated by silences >= the gap, with their counts."""
     return CH.batch_summary(_batches(spark, sf)).select(
-        "root_id", "batch_start", "batch_last", "n_events", "n_paths", "n_errors", "outcome")
+        "root_id", _ntz("batch_start"), _ntz("batch_last"), "n_events", "n_paths", "n_errors", "outcome")
 
 
 @query("change_message")
 def q_change_message(spark, sf):
     """D13: '1 file changed…' / 'N files changed…' per error-free batch."""
     return CH.batch_summary(_batches(spark, sf)).filter(F.col("outcome") == "changed").select(
-        "root_id", "batch_start", "message")
+        "root_id", _ntz("batch_start"), "message")
 
 
 @query("distinct_changed_paths")
@@ -72,7 +77,7 @@ def q_distinct_changed_paths(spark, sf):
 @query("change_throttle")
 def q_change_throttle(spark, sf):
     """Events that get reported by the leading-edge throttle (others are lost)."""
-    return ST.throttle_batch(_batches(spark, sf), BATCH_GAP_US)
+    return ST.throttle_batch(_batches(spark, sf), BATCH_GAP_US).select("root_id", "event_id", _ntz("ts"))
 
 
 @query("error_priority")
@@ -84,7 +89,7 @@ def q_error_priority(spark, sf):
 @query("dirty_flag")
 def q_dirty_flag(spark, sf):
     """Per root, is the latest change newer than the latest generation?"""
-    return CH.dirty_flags(_accepted(spark, sf))
+    return CH.dirty_flags(_accepted(spark, sf)).select("root_id", _ntz("last_change"), _ntz("last_gen"), "dirty")
 
 
 @query("progress_stream")
