@@ -2,8 +2,8 @@
 
 * ``pack_next_fit`` (L1): greedy next-fit of files, in document order, into
   sessions of at most ``budget`` tokens (a file larger than the budget gets a
-  session of its own).  Next-fit is a sequential fold per root; it runs as a
-  grouped Arrow/pandas fold over narrow rows ``(root_id, seq, tokens)``.
+  session of its own).  The sequential fold runs as a distributed chain of
+  "next session start" pointers (``plans.chains``).
 * ``pack_by_offset``: the scalable approximation -- session = floor(start
   offset / budget) from a skew-safe running sum (sessions may exceed the
   budget by the straddling file).
@@ -14,10 +14,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sheaf.plans.ordered import exact_long, ordered_scan
 
@@ -28,12 +26,6 @@ SHARES = {"code": 0.6, "tests": 0.2, "config": 0.2}
 MODEL_LIMITS = [("8k", 8_000), ("32k", 32_000), ("128k", 128_000), ("200k", 200_000)]
 # ---------------------------------------------------------------------------
 
-PACK_OUT = T.StructType([
-    T.StructField("root_id", T.StringType()), T.StructField("seq", T.LongType()),
-    T.StructField("tokens", T.LongType()), T.StructField("session", T.LongType()),
-])
-
-
 def next_fit(tokens: list[int], budget: int) -> list[int]:
     """Session index per item for greedy next-fit (pure helper)."""
     out, load, sess = [], 0, 0
@@ -47,14 +39,14 @@ def next_fit(tokens: list[int], budget: int) -> list[int]:
 
 
 def pack_next_fit(items: DataFrame, budget: int = SESSION_BUDGET) -> DataFrame:
-    """L1: ``items(root_id, seq, tokens)`` -> + ``session`` (0-based per root)."""
-    def per_root(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="mergesort")
-        pdf["session"] = next_fit(pdf["tokens"].astype("int64").tolist(), budget)
-        return pdf[["root_id", "seq", "tokens", "session"]]
-
-    return (items.select("root_id", F.col("seq").cast("bigint"), F.col("tokens").cast("bigint"))
-            .groupBy("root_id").applyInPandas(per_root, PACK_OUT))
+    """L1: ``items(root_id, seq, tokens)`` -> + ``session`` (0-based per root), exact next-fit.
+
+    Runs as a distributed chain fold (``plans.chains``): no root is gathered
+    into one task.  ``next_fit`` above is the sequential definition (tests).
+    """
+    from sheaf.plans.chains import next_fit_sessions
+    return next_fit_sessions(items.select("root_id", F.col("seq").cast("bigint"), F.col("tokens").cast("bigint")),
+                             budget)
 
 
 def pack_by_offset(items: DataFrame, budget: int = SESSION_BUDGET) -> DataFrame:

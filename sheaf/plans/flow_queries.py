@@ -77,7 +77,10 @@ def q_distinct_changed_paths(spark, sf):
 @query("change_throttle")
 def q_change_throttle(spark, sf):
     """Events that get reported by the leading-edge throttle (others are lost)."""
-    return ST.throttle_batch(_batches(spark, sf), BATCH_GAP_US).select("root_id", "event_id", _ntz("ts"))
+    from sheaf.plans.chains import throttle_reports
+    acc = _accepted(spark, sf)
+    rep = throttle_reports(acc.select("root_id", "event_id", F.unix_micros("ts").alias("_us")), BATCH_GAP_US)
+    return acc.join(rep, ["root_id", "event_id"], "left_semi").select("root_id", "event_id", _ntz("ts"))
 
 
 @query("error_priority")

@@ -2,10 +2,9 @@
 
 Streaming: ``transformWithStateInPandas`` with per-key state (a timestamp, or
 three bounded snapshot stacks); micro-batches bound what a task holds.
-Batch twins: ``applyInPandas`` on groups that are as small as the semantics
-allow -- the throttle resynchronises after every silence >= its gap, so it
-runs per (root, burst) rather than per root; history runs per session.
-The per-key fold itself is a small pure-Python helper shared by both paths.
+Batch: the throttle's batch twin is the distributed chain fold in
+``plans.chains``; the history replay runs per session with ``applyInPandas``.
+The per-key folds themselves are small pure-Python helpers.
 """
 
 from __future__ import annotations
@@ -52,22 +51,6 @@ def throttle_fold(us: list[int], last: int | None, gap_us: int) -> tuple[list[bo
     return out, last
 
 
-def throttle_batch(sessionized: DataFrame, gap_us: int) -> DataFrame:
-    """J2 batch twin on ``sessionize(changes, gap)`` output: groups are bursts, not roots.
-
-    A burst starts after a silence >= gap, where every event is reported
-    whatever came before, so bursts are independent and exact.
-    """
-    def per_burst(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-        us = (pdf["ts"].astype("int64") // 1000).tolist()
-        keep, _ = throttle_fold(us, None, gap_us)
-        return pdf.loc[keep, ["root_id", "event_id", "ts"]]
-
-    return (sessionized.select("root_id", "batch_id", "event_id", "ts")
-            .groupBy("root_id", "batch_id").applyInPandas(per_burst, THROTTLE_OUT))
-
-
 def throttle_stream(changes: DataFrame, gap_us: int) -> DataFrame:
     """J2 streaming: per-root ``ValueState(last_report_us)``; rows sorted by ts inside each batch."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -177,10 +160,3 @@ def history_stream(sel_ops: DataFrame) -> DataFrame:
     return (sel_ops.select("session_id", "ts", "event_id", "op", "paths").groupBy("session_id")
             .transformWithStateInPandas(statefulProcessor=History(), outputStructType=HISTORY_OUT,
                                         outputMode="Append", timeMode="None"))
-
-
-def history_depths(sel_ops: DataFrame) -> DataFrame:
-    """Convenience: final stack depths per session from the batch replay."""
-    h = history_batch(sel_ops)
-    return h.groupBy("session_id").agg(F.max_by("past_len", "event_id").alias("past_len"),
-                                       F.max_by("future_len", "event_id").alias("future_len"))

@@ -4,6 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from sheaf.plans.chains import throttle_reports
 from sheaf.sources import fixtures as FX
 from sheaf.streaming import changes as CH
 from sheaf.streaming import stateful as ST
@@ -39,8 +40,8 @@ def test_throttle_stream_equals_batch(spark):
     s = CH.read_change_stream(spark, d)
     _run(ST.throttle_stream(s, 3_600_000_000), "j2_stream")
     got = {r["event_id"] for r in spark.table("j2_stream").collect()}
-    want = {r["event_id"] for r in ST.throttle_batch(
-        CH.sessionize(CH.accepted(FX.changes(spark, SF_SMALL)), "1 hour"), 3_600_000_000).collect()}
+    acc = CH.accepted(FX.changes(spark, SF_SMALL)).select("root_id", "event_id", F.unix_micros("ts").alias("_us"))
+    want = {r["event_id"] for r in throttle_reports(acc, 3_600_000_000).collect()}
     assert got == want
 
 
