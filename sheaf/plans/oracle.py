@@ -339,16 +339,16 @@ SQL["fuzzy_filter"] = with_(*BASE) + \
     "SELECT root_id, rel_path FROM entries WHERE rel_path <> '' AND regexp_matches(name, '(?i)D.*c.*1')"
 SQL["pattern_match_matrix"] = with_(*BASE) + """SELECT pattern, CAST(glob_matches AS BIGINT) AS glob_matches,
   CAST(regex_matches AS BIGINT) AS regex_matches FROM (
-  SELECT '*.rs' AS pattern, count_if(regexp_matches(rel_path, '^.*\\.rs$')) AS glob_matches,
-         count_if(regexp_matches(rel_path, '^[^/]*\\.rs$')) AS regex_matches FROM entries WHERE rel_path <> ''
-  UNION ALL SELECT '**/*.txt', count_if(regexp_matches(rel_path, '^(.*/)?.*\\.txt$')),
-         count_if(regexp_matches(rel_path, '^[^/]*[^/]*/[^/]*\\.txt$')) FROM entries WHERE rel_path <> ''
-  UNION ALL SELECT '**/target/**', count_if(regexp_matches(rel_path, '^(.*/)?target/.*$')),
-         count_if(regexp_matches(rel_path, '^[^/]*[^/]*/target/[^/]*[^/]*$')) FROM entries WHERE rel_path <> ''
-  UNION ALL SELECT 'node_modules/**', count_if(regexp_matches(rel_path, '^node_modules/.*$')),
-         count_if(regexp_matches(rel_path, '^node_modules/[^/]*[^/]*$')) FROM entries WHERE rel_path <> ''
-  UNION ALL SELECT '*.{js,ts,jsx,tsx}', count_if(ends_with(rel_path, '.{js,ts,jsx,tsx}')),
-         count_if(regexp_matches(rel_path, '^[^/]*\\.(js|ts|jsx|tsx)$')) FROM entries WHERE rel_path <> '')"""
+  SELECT '*.rs' AS pattern, CAST(count_if(regexp_matches(rel_path, '^.*\\.rs$')) AS BIGINT) AS glob_matches,
+         CAST(count_if(regexp_matches(rel_path, '^[^/]*\\.rs$')) AS BIGINT) AS regex_matches FROM entries WHERE rel_path <> ''
+  UNION ALL SELECT '**/*.txt', CAST(count_if(regexp_matches(rel_path, '^(.*/)?.*\\.txt$')) AS BIGINT),
+         CAST(count_if(regexp_matches(rel_path, '^[^/]*[^/]*/[^/]*\\.txt$')) AS BIGINT) FROM entries WHERE rel_path <> ''
+  UNION ALL SELECT '**/target/**', CAST(count_if(regexp_matches(rel_path, '^(.*/)?target/.*$')) AS BIGINT),
+         CAST(count_if(regexp_matches(rel_path, '^[^/]*[^/]*/target/[^/]*[^/]*$')) AS BIGINT) FROM entries WHERE rel_path <> ''
+  UNION ALL SELECT 'node_modules/**', CAST(count_if(regexp_matches(rel_path, '^node_modules/.*$')) AS BIGINT),
+         CAST(count_if(regexp_matches(rel_path, '^node_modules/[^/]*[^/]*$')) AS BIGINT) FROM entries WHERE rel_path <> ''
+  UNION ALL SELECT '*.{js,ts,jsx,tsx}', CAST(count_if(ends_with(rel_path, '.{js,ts,jsx,tsx}')) AS BIGINT),
+         CAST(count_if(regexp_matches(rel_path, '^[^/]*\\.(js|ts|jsx|tsx)$')) AS BIGINT) FROM entries WHERE rel_path <> '')"""
 
 # ---- joins
 SQL["children_join"] = with_(*PRUNED) + """SELECT c.root_id, c.parent, c.rel_path, p.depth AS parent_depth
@@ -475,10 +475,10 @@ CTE["acc"] = """acc AS (SELECT * FROM changes WHERE kind IN ('modify', 'create',
 CTE["batches"] = """bflag AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR
                             THEN 1 ELSE 0 END AS nb
   FROM acc WINDOW w AS (PARTITION BY root_id ORDER BY ts, event_id)),
-bat AS (SELECT *, sum(nb) OVER (PARTITION BY root_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS batch_id
+bat AS (SELECT *, CAST(sum(nb) OVER (PARTITION BY root_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS batch_id
   FROM bflag),
 bsum AS (SELECT root_id, batch_id, min(ts) AS batch_start, max(ts) AS batch_last, count(*) AS n_events,
-    count(DISTINCT CASE WHEN kind <> 'error' THEN path END) AS n_paths, count_if(kind = 'error') AS n_errors
+    count(DISTINCT CASE WHEN kind <> 'error' THEN path END) AS n_paths, CAST(count_if(kind = 'error') AS BIGINT) AS n_errors
   FROM bat GROUP BY 1, 2)"""
 CHG = ("files", "changes", "acc", "batches")
 
@@ -527,7 +527,7 @@ SELECT key, event_id, severity,
 FROM al2"""
 SQL["job_state"] = """SELECT job_id,
   arg_max(state, CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id) FILTER (WHERE state <> 'error') AS state,
-  count_if(state = 'error') AS n_errors
+  CAST(count_if(state = 'error') AS BIGINT) AS n_errors
 FROM (SELECT user_id AS job_id, ts, event_id,
         CASE event_type WHEN 'click' THEN 'generating' WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'error'
                         WHEN 'signup' THEN 'cancelled' END AS state FROM events)
@@ -604,9 +604,9 @@ SQL["pattern_suggestions"] = with_(*BASE) + """SELECT component, CAST(sum(size /
 FROM (SELECT size, unnest(list_distinct(string_split(rel_path, '/')[1:-2])) AS component FROM entries WHERE NOT is_dir)
 GROUP BY component ORDER BY tokens DESC, component LIMIT 10"""
 SQL["render_audit"] = with_(*BASE) + f"""SELECT e.root_id,
-  count_if(regexp_matches(e.name, '[&"<>]')) AS special_names, count_if(contains(f.content, '```')) AS fences,
-  count_if(contains(f.content, ']]>')) AS cdata_ends, count_if(({LANG_CASE.replace('CASE ext', 'CASE e.ext')}) = '') AS unknown_ext,
-  count_if(f.content IS NULL) AS read_errors
+  CAST(count_if(regexp_matches(e.name, '[&"<>]')) AS BIGINT) AS special_names, CAST(count_if(contains(f.content, '```')) AS BIGINT) AS fences,
+  CAST(count_if(contains(f.content, ']]>')) AS BIGINT) AS cdata_ends, CAST(count_if(({LANG_CASE.replace('CASE ext', 'CASE e.ext')}) = '') AS BIGINT) AS unknown_ext,
+  CAST(count_if(f.content IS NULL) AS BIGINT) AS read_errors
 FROM entries e LEFT JOIN files f USING (root_id, rel_path) WHERE NOT e.is_dir GROUP BY 1"""
 SQL["utf8_errors"] = with_("files") + """SELECT root_id, rel_path,
   CASE WHEN contains(rel_path, '/.') THEN 'Failed to read file: stream did not contain valid UTF-8' END AS error
