@@ -1,7 +1,8 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints ONE JSON line.
 
 Each query runs through the ``noop`` sink, so every output column is computed
-and nothing is collected to the driver.  A warm-up (not timed) runs the
+and nothing is collected to the driver.  Shuffle-write and spill bytes per query
+come from Spark's event log, written to a fresh scratch folder.  A warm-up (not timed) runs the
 flagship on the smallest tables first, paying JVM start-up and JIT.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -37,7 +39,10 @@ def main() -> None:
     from sheaf.plans.queries import QUERIES
     from sheaf.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=max(cpus, 8), app="sheaf-bench")
+    evdir = tempfile.mkdtemp(prefix="sheaf-bench-events-")
+    spark = local_session(cpus, shuffle_partitions=max(cpus, 8), app="sheaf-bench",
+                          extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": evdir,
+                                 "spark.eventLog.compress": "false"})
     # warm-up (not timed): the flagship path on the smallest tables, so JIT and
     # class loading are not billed to the first timed query
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
@@ -48,10 +53,12 @@ def main() -> None:
     release()
     times = {}
     for name in names:
+        spark.sparkContext.setJobGroup(f"bench:{name}", name)
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
         release()
+    spark.sparkContext.setJobGroup("bench:meta", "meta")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n_docs = docs.count()
     mb = docs.selectExpr("sum(octet_length(text)) AS b").first()["b"] / 1e6
@@ -65,8 +72,43 @@ def main() -> None:
     if fw:
         out["full_workflow_files_per_sec"] = round(n_docs / fw, 1)
         out["full_workflow_mb_per_sec"] = round(mb / fw, 2)
-    print(json.dumps(out))
     spark.stop()
+    out["shuffle_spill"] = _io_metrics(evdir)
+    print(json.dumps(out))
+
+
+def _io_metrics(evdir: str) -> dict:
+    """Per query: shuffle write bytes and memory/disk spill, from the event log in a scratch folder."""
+    import glob
+    job_group, stage_job, acc = {}, {}, {}
+    keys = {"internal.metrics.shuffle.write.bytesWritten": "shuffle_write_bytes",
+            "internal.metrics.memoryBytesSpilled": "spill_memory_bytes",
+            "internal.metrics.diskBytesSpilled": "spill_disk_bytes"}
+    for f in glob.glob(os.path.join(evdir, "**", "*"), recursive=True):
+        if os.path.isdir(f):
+            continue
+        with open(f, encoding="utf-8", errors="replace") as fh:
+            for line in fh:
+                try:
+                    e = json.loads(line)
+                except ValueError:
+                    continue
+                ev = e.get("Event")
+                if ev == "SparkListenerJobStart":
+                    g = (e.get("Properties") or {}).get("spark.jobGroup.id", "")
+                    for sid in e.get("Stage IDs", []):
+                        stage_job[sid] = g
+                elif ev == "SparkListenerStageCompleted":
+                    si = e["Stage Info"]
+                    g = stage_job.get(si["Stage ID"], "")
+                    if not g.startswith("bench:") or g == "bench:meta":
+                        continue
+                    q = acc.setdefault(g[6:], {v: 0 for v in keys.values()})
+                    for a in si.get("Accumulables", []):
+                        k = keys.get(a.get("Name"))
+                        if k:
+                            q[k] += int(a.get("Value") or 0)
+    return acc
 
 
 if __name__ == "__main__":

@@ -60,6 +60,13 @@ TRAVERSAL_ERROR = "Security error: path traversal detected"
 UTF8_ERROR = "Failed to read file: stream did not contain valid UTF-8"
 
 
+def corpus_contents(files: DataFrame) -> DataFrame:
+    """A3 when the listing IS the content table: every row reads itself, so
+    reading is a projection (no join, no shuffle of content)."""
+    return files.select("root_id", "rel_path", "content",
+                        F.when(F.col("content").isNull(), F.lit(NOT_FOUND_ERROR)).alias("error"))
+
+
 def read_contents(wanted: DataFrame, contents: DataFrame, root_path=None) -> DataFrame:
     """``wanted(root_id, rel_path, ...)`` ⟕ ``contents`` -> content/error.
 

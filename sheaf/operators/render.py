@@ -197,28 +197,31 @@ def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
     output of :func:`tree_lines`; roots with no tree lines get no tree block.
     ``transform`` maps the content Column (a Column expression, not a UDF).
 
-    Each input is scanned once: the fixed header/footer rows ride on each
-    root's first file row and the tree open/close rows on its first tree line
-    (``inline`` of a small array), instead of re-deriving root lists.
+    The fixed header/footer rows ride on each root's first selected row and the
+    tree open/close rows on its first tree line (``inline`` of a small array),
+    instead of re-deriving root lists; the ordered selection is checkpointed,
+    so reading it twice costs no recomputation.
     """
     xml = fmt == "xml"
     sel = preorder(selected.select("root_id", "rel_path", "ext", "is_dir"), ci=True, pos="seq")
     ok = contents.filter(F.col("error").isNull()).select("root_id", "rel_path", "content")
-    files = sel.join(ok, ["root_id", "rel_path"], "left")
+    # inner join: AQE may broadcast the (path-only) selection when its runtime
+    # size allows, instead of shuffling the content side
+    files = sel.join(ok, ["root_id", "rel_path"])
     body = F.col("content") if transform is None else transform(F.col("content"))
 
     def row(section, seq, text):
         return F.struct(F.lit(section).alias("section"), seq.cast("bigint").alias("seq"), text.alias("fragment"))
 
     zero = F.lit(0)
-    file_row = row(SEC_FILES, F.col("seq"), file_fragment(fmt, F.col("rel_path"), body, F.col("ext"), safe))
     fixed = [row(SEC_HEADER, zero, F.lit(XML_HEADER if xml else MD_HEADER)),
              row(SEC_FILES_OPEN, zero, F.lit(XML_FILES_OPEN if xml else MD_FILES_OPEN))]
     if xml:
         fixed.append(row(SEC_FOOTER, zero, F.lit(XML_FOOTER)))
-    rows = F.filter(F.array(file_row, *[F.when(F.col("seq") == 1, r) for r in fixed]),
-                    lambda r: r.isNotNull() & r["fragment"].isNotNull())
-    out = files.select("root_id", F.inline(rows))
+    heads = sel.filter(F.col("seq") == 1).select("root_id", F.inline(F.array(*fixed)))
+    out = heads.unionByName(files.select(
+        "root_id", F.inline(F.array(row(SEC_FILES, F.col("seq"),
+                                        file_fragment(fmt, F.col("rel_path"), body, F.col("ext"), safe))))))
     if tree is not None:
         roots = selected.select("root_id").distinct()
         t = tree.join(roots, "root_id", "left_semi")

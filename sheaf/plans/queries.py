@@ -56,8 +56,7 @@ def selected(spark, sf):
 
 
 def contents(spark, sf):
-    f = FX.files(spark, sf)
-    return EN.read_contents(f.select("root_id", "rel_path"), f.select("root_id", "rel_path", "content"))
+    return EN.corpus_contents(FX.files(spark, sf))
 
 
 def full_root():
