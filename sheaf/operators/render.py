@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import paths as P
 from sheaf.functions.classify import language_of, tokens_from_char_count
 from sheaf.operators.prune import prune
-from sheaf.plans.ordered import ordered_scan
+from sheaf.plans.ordered import ordered_scan, sized_broadcast
 
 # ---------------------------------------------------------------------------
 # Fixed values of the output formats (bytes must equal the reference's).
@@ -205,9 +205,9 @@ def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
     xml = fmt == "xml"
     sel = preorder(selected.select("root_id", "rel_path", "ext", "is_dir"), ci=True, pos="seq")
     ok = contents.filter(F.col("error").isNull()).select("root_id", "rel_path", "content")
-    # inner join: AQE may broadcast the (path-only) selection when its runtime
-    # size allows, instead of shuffling the content side
-    files = sel.join(ok, ["root_id", "rel_path"])
+    # inner join: the path-only selection is broadcast when its measured size
+    # is small, so the content side is not shuffled; otherwise a shuffle join
+    files = sized_broadcast(sel).join(ok, ["root_id", "rel_path"])
     body = F.col("content") if transform is None else transform(F.col("content"))
 
     def row(section, seq, text):
