@@ -129,8 +129,9 @@ def q_job_state(spark, sf):
 
 @query("history_replay")
 def q_history_replay(spark, sf):
-    """undo/redo replay per session with 20-deep stacks (rows-only check)."""
-    return ST.history_batch(FX.sel_ops(spark, sf))
+    """undo/redo replay with 20-deep stacks, distributed (rows-only check)."""
+    from sheaf.plans.history import replay
+    return replay(FX.sel_ops(spark, sf))
 
 
 # ---------------------------------------------------------------- 2L workflows

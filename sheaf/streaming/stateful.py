@@ -3,7 +3,9 @@
 Streaming: ``transformWithStateInPandas`` with per-key state (a timestamp, or
 three bounded snapshot stacks); micro-batches bound what a task holds.
 Batch: the throttle's batch twin is the distributed chain fold in
-``plans.chains``; the history replay runs per session with ``applyInPandas``.
+``plans.chains`` and the history replay is ``plans.history.replay``;
+``history_batch`` below (one ``applyInPandas`` group per session) is the
+sequential definition the tests compare against, not a production path.
 The per-key folds themselves are small pure-Python helpers.
 """
 
@@ -121,7 +123,7 @@ def _empty_history() -> dict:
 
 
 def history_batch(sel_ops: DataFrame) -> DataFrame:
-    """J8 batch twin: replay each session's ops in (ts, event_id) order."""
+    """J8 sequential definition (tests): replay each session's ops in (ts, event_id) order."""
     def per_session(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
         ops = [(int(e), o, list(p) if p is not None else []) for e, o, p in

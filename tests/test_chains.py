@@ -36,3 +36,18 @@ def test_throttle_matches_sequential(spark):
         keep, _ = throttle_fold([u for u, _ in evs], None, 500_000)
         want |= {(key, e) for (u, e), k in zip(evs, keep) if k}
     assert got == want
+
+
+def test_history_replay_matches_sequential_with_hot_session(spark):
+    from sheaf.plans.history import replay
+    from sheaf.streaming.stateful import history_batch
+    rnd = random.Random(9)
+    rows = []
+    for e in range(1500):
+        sess = 1 if e % 4 else 2 + e % 5          # session 1 holds three quarters of the ops
+        op = rnd.choice(["push", "push", "undo", "undo", "redo"])
+        rows.append((sess, e, e, op, [f"p{rnd.randrange(9)}", f"p{rnd.randrange(9)}"] if op == "push" else []))
+    df = spark.createDataFrame(rows, "session_id long, ts long, event_id long, op string, paths array<string>")
+    got = sorted(tuple(r) for r in replay(df).collect())
+    want = sorted(tuple(r) for r in history_batch(df).collect())
+    assert got == want
