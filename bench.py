@@ -35,7 +35,6 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
-    from sheaf.plans.ordered import release
     from sheaf.plans.queries import QUERIES
     from sheaf.session import local_session
 
@@ -50,14 +49,12 @@ def main() -> None:
         warm = sf_dir
     for w in ("assemble_markdown", "change_batches"):
         QUERIES[w](spark, warm).write.format("noop").mode("overwrite").save()
-    release()
     times = {}
     for name in names:
         spark.sparkContext.setJobGroup(f"bench:{name}", name)
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
-        release()
     spark.sparkContext.setJobGroup("bench:meta", "meta")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n_docs = docs.count()

@@ -34,15 +34,6 @@ from pyspark.sql import functions as F
 
 from sheaf.session import ensure_checkpoint_dir
 
-_PINNED: list[DataFrame] = []
-
-
-def release() -> None:
-    """Unpersist every scan pinned by :func:`ordered_scan` (call between jobs)."""
-    while _PINNED:
-        _PINNED.pop().unpersist()
-
-
 def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None = None,
                  cumsum: dict[str, str] | None = None, lag: dict[str, str] | None = None,
                  num_partitions: int | None = None) -> DataFrame:

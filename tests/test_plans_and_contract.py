@@ -6,7 +6,6 @@ import tempfile
 import pytest
 
 import __spark_entry__ as E
-from sheaf.plans.ordered import release
 from tests.conftest import SF_SMALL
 
 NO_PYTHON = ["scan_entries", "ignore_by_profile", "expand_selection", "tristate_rollup", "render_tree",
@@ -24,7 +23,6 @@ def test_no_python_and_no_nested_loop_join(spark, name):
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
                 "MapInArrow", "FlatMapGroupsInPandas"):
         assert bad not in p, (name, bad)
-    release()
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark):
