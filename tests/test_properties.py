@@ -85,3 +85,32 @@ def test_collect_selected_subset_of_flat(spark):
     h2 = {r["rel_path"] for r in S.collect_selected(st).collect()}
     h3 = {r["rel_path"] for r in S.selected_flat(st).collect()}
     assert h2 <= h3 and h2 == {"a/x", "a/y"}
+
+
+def test_batches_partition_the_accepted_events(spark):
+    from sheaf.sources import fixtures as FX
+    from sheaf.streaming import changes as CH
+    from tests.conftest import SF_SMALL
+    acc = CH.accepted(FX.changes(spark, SF_SMALL))
+    s = CH.sessionize(acc, "1 hour")
+    b = CH.batch_summary(s)
+    assert s.count() == acc.count()
+    assert b.agg(F.sum("n_events")).first()[0] == acc.count()
+    # batches of one root never overlap in time
+    rows = sorted((r["root_id"], r["batch_start"], r["batch_last"]) for r in b.collect())
+    for (r1, s1, l1), (r2, s2, l2) in zip(rows, rows[1:]):
+        if r1 == r2:
+            assert l1 < s2
+
+
+def test_document_tokens_come_from_fragment_lengths(spark):
+    from sheaf.operators import render as R
+    f = spark.createDataFrame([("r", "a.rs", "héllo"), ("r", "b/c.py", "x\n" * 50)],
+                              "root_id string, rel_path string, content string")
+    e = EN.derive_entries(f)
+    fr = R.fragments(e.filter(~F.col("is_dir")), EN.corpus_contents(f), "markdown", tree=R.tree_lines(e, patterns=[]))
+    doc = "".join(r["fragment"] for r in fr.orderBy("section", "seq").collect())
+    st = R.document_stats(fr).first()
+    assert st["n_chars"] == len(doc) and st["output_tokens"] == (len(doc) + 3) // 4
+    assert st["n_bytes"] == len(doc.encode("utf-8"))
+    assert R.assemble(fr).first()["document"] == doc
