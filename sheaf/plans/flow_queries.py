@@ -16,7 +16,6 @@ from sheaf.plans.ordered import ordered_scan
 from sheaf.plans.queries import contents, corpus_entries, query, selected
 from sheaf.sources import fixtures as FX
 from sheaf.streaming import changes as CH
-from sheaf.streaming import stateful as ST
 
 # ---------------------------------------------------------------------------
 # Fixed query parameters of the registered runs.

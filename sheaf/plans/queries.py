@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import classify as C
 from sheaf.functions import paths as P
-from sheaf.functions.patterns import BENCH_GLOB_PATTERNS, cache_matcher, naive_cache_regex, path_glob_regex
 from sheaf.operators import entries as EN
 from sheaf.operators import render as R
 from sheaf.operators import select as S

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import classify as C
 from sheaf.functions import paths as P
-from sheaf.functions.patterns import (BENCH_GLOB_PATTERNS, PRESETS, cache_matcher, fuzzy_regex,
-                                      naive_cache_regex, name_regex, override_regex, path_glob_regex)
+from sheaf.functions.patterns import (BENCH_GLOB_PATTERNS, PRESETS, cache_matcher, naive_cache_regex,
+                                      name_regex, override_regex, path_glob_regex)
 from sheaf.operators import entries as EN
 from sheaf.operators import metrics as M
 from sheaf.operators import render as R
@@ -15,8 +15,7 @@ from sheaf.operators import search as SR
 from sheaf.operators import select as S
 from sheaf.operators.prune import prune
 from sheaf.plans.ordered import ordered_scan
-from sheaf.plans.queries import (contents, corpus_entries, full_path, pruned_entries, query, selected,
-                                 states)
+from sheaf.plans.queries import contents, corpus_entries, full_path, pruned_entries, query, selected
 from sheaf.sources import fixtures as FX
 
 # ---------------------------------------------------------------------------

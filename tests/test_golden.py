@@ -1,6 +1,5 @@
 """Literal edge rows with exact expected bytes and values (FIXTURES.md part 3)."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from sheaf.functions import classify as C
