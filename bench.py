@@ -23,6 +23,7 @@ HEADLINE = [
     "render_tree",          # D9
     "ignore_by_profile",    # C4/B11
     "tristate_rollup",      # D2
+    "hierarchy_rollup",     # D2/C2 at size: lineitem-level tree
     "preorder_position",    # E3
     "scan_entries",         # A1
     "pattern_match_matrix",  # B27

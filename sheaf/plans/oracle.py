@@ -633,3 +633,21 @@ SQL["metric_growth"] = """SELECT user_id AS key, round(greatest(
     arg_min(CAST(round(value * 1048576) AS BIGINT), CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id), 0)
     / 1048576.0, 6) AS growth_mb
 FROM events GROUP BY 1"""
+
+SQL["hierarchy_rollup"] = """WITH hfiles AS (
+  SELECT r.r_name AS root_id,
+    n.n_name || '/c' || CAST(c.c_custkey AS VARCHAR) || '/o' || CAST(o.o_orderkey AS VARCHAR)
+      || '/l' || CAST(l.l_linenumber AS VARCHAR) AS rel_path,
+    l.l_returnflag = 'R' AS picked
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
+hleaf AS (  -- a tree node is its path: repeated (order, line) rows are one leaf, picked if any row is
+  SELECT root_id, rel_path, bool_or(picked) AS picked FROM hfiles GROUP BY 1, 2),
+hanc AS (
+  SELECT root_id, picked,
+         CASE WHEN i = 0 THEN '' ELSE array_to_string(string_split(rel_path, '/')[1:i], '/') END AS ancestor
+  FROM (SELECT *, unnest(range(0, len(string_split(rel_path, '/')))) AS i FROM hleaf))
+SELECT root_id, ancestor AS rel_path,
+  CASE WHEN bool_and(picked) THEN 'checked' WHEN bool_and(NOT picked) THEN 'unchecked'
+       ELSE 'indeterminate' END AS state
+FROM hanc GROUP BY 1, 2"""

@@ -418,3 +418,16 @@ def q_reload_with_patterns(spark, sf):
     """H7: re-prune with the 'minimal' preset; surviving picks re-expanded."""
     pr = prune(corpus_entries(spark, sf), patterns=PRESETS["minimal"])
     return S.selected_flat(S.selection_states(pr, FX.picks(spark, sf))).select("root_id", "rel_path")
+
+
+@query("hierarchy_rollup")
+def q_hierarchy_rollup(spark, sf):
+    """D2/C2 at size: region/nation/customer/order/line tree, a line is checked iff returned ('R').
+
+    Nodes are paths: lines repeating an (order, line) pair are one leaf, checked
+    when any of them is picked (picks select paths).
+    """
+    h = FX.hierarchy(spark, sf)
+    e = EN.derive_entries(h.select("root_id", "rel_path", F.lit(None).cast("bigint").alias("size")))
+    picks = h.filter("picked").select("root_id", "rel_path")
+    return S.selection_states(e, picks).filter("is_dir").select("root_id", "rel_path", "state")
