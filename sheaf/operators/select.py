@@ -30,16 +30,17 @@ def ancestor_pairs(entries: DataFrame, include_self: bool = False) -> DataFrame:
 def expand(entries: DataFrame, picks: DataFrame) -> DataFrame:
     """H1: ``entries`` + ``checked``: the node or any ancestor was picked.
 
-    One explode of ancestors-or-self, a left join to the (distinct) picks and a
-    ``bool_or`` per entry; picks naming pruned or missing paths match nothing.
+    Only paths travel: ancestors-or-self are exploded from ``(root_id,
+    rel_path)``, semi-joined to the picks, de-duplicated, and the (checked)
+    paths are joined back to the entries on their unique key.  Picks that name
+    pruned or missing paths match nothing.
     """
-    p = picks.select("root_id", F.col("rel_path").alias("ancestor"), F.lit(True).alias("_hit")).distinct()
-    x = entries.select("*", F.explode(P.ancestors_or_self("rel_path")).alias("ancestor"))
-    j = x.join(p, ["root_id", "ancestor"], "left")
-    cols = [c for c in entries.columns if c not in ("root_id", "rel_path")]
-    return j.groupBy("root_id", "rel_path").agg(
-        *[F.first(c).alias(c) for c in cols],
-        F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("checked")).select(*entries.columns, "checked")
+    p = picks.select("root_id", F.col("rel_path").alias("ancestor")).distinct()
+    hits = (entries.select("root_id", "rel_path", F.explode(P.ancestors_or_self("rel_path")).alias("ancestor"))
+            .join(p, ["root_id", "ancestor"], "left_semi")
+            .select("root_id", "rel_path").distinct().withColumn("_hit", F.lit(True)))
+    return (entries.join(hits, ["root_id", "rel_path"], "left")
+            .withColumn("checked", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit"))
 
 
 def leaves(entries: DataFrame) -> DataFrame:
