@@ -651,3 +651,10 @@ SELECT root_id, ancestor AS rel_path,
   CASE WHEN bool_and(picked) THEN 'checked' WHEN bool_and(NOT picked) THEN 'unchecked'
        ELSE 'indeterminate' END AS state
 FROM hanc GROUP BY 1, 2"""
+
+CTE["page_files"] = """files AS (
+  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS root_id,
+    CASE WHEN p = '' OR ends_with(p, '/') THEN p || 'index.html' ELSE p || '.html' END AS rel_path,
+    html AS content, page_id AS doc_id
+  FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) AS p FROM pages))"""
+SQL["page_tree"] = with_("page_files", "fanc", "entries", "prof", extra=TREE) + "SELECT root_id, pos, line FROM tree"

@@ -431,3 +431,10 @@ def q_hierarchy_rollup(spark, sf):
     e = EN.derive_entries(h.select("root_id", "rel_path", F.lit(None).cast("bigint").alias("size")))
     picks = h.filter("picked").select("root_id", "rel_path")
     return S.selection_states(e, picks).filter("is_dir").select("root_id", "rel_path", "state")
+
+
+@query("page_tree")
+def q_page_tree(spark, sf):
+    """D9 over web pages: one tree per host, default ignore profile, byte order, depth <= 10."""
+    e = EN.derive_entries(FX.page_paths(spark, sf).select("root_id", "rel_path", "content"))
+    return R.tree_lines(e, profiles=FX.profiles(spark))

@@ -80,11 +80,18 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages as files: host = root, URL path (no query/fragment) = rel path."""
+    """Web pages as files: host = root, URL path (no query/fragment) = rel path.
+
+    Static-site layout: ``/a/b`` is the file ``a/b.html`` and ``/a/b/`` (or the
+    empty path) the index page ``a/b/index.html`` -- so a URL used both ways
+    never makes one path a file and a directory at once.
+    """
     p = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/?([^?#]*)", 1)
-    return p.select(host.alias("root_id"), path.alias("rel_path"), F.col("html").alias("content"),
+    rel = F.when((path == "") | path.endswith("/"), F.concat(path, F.lit("index.html"))).otherwise(
+        F.concat(path, F.lit(".html")))
+    return p.select(host.alias("root_id"), rel.alias("rel_path"), F.col("html").alias("content"),
                     F.col("page_id"))
 
 
