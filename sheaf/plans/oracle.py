@@ -653,8 +653,10 @@ SELECT root_id, ancestor AS rel_path,
 FROM hanc GROUP BY 1, 2"""
 
 CTE["page_files"] = """files AS (
-  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS root_id,
-    CASE WHEN p = '' OR ends_with(p, '/') THEN p || 'index.html' ELSE p || '.html' END AS rel_path,
-    html AS content, page_id AS doc_id
-  FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) AS p FROM pages))"""
+  SELECT root_id, rel_path, arg_min(html, page_id) AS content, min(page_id) AS doc_id FROM (
+    SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS root_id,
+      CASE WHEN p = '' OR ends_with(p, '/') THEN p || 'index.html' ELSE p || '.html' END AS rel_path,
+      html, page_id
+    FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) AS p FROM pages))
+  GROUP BY 1, 2)"""
 SQL["page_tree"] = with_("page_files", "fanc", "entries", "prof", extra=TREE) + "SELECT root_id, pos, line FROM tree"
