@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sheaf.llm import simhash_vptree
+from sheaf.llm import host_quality, packing, simhash_vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +24,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query("op3_bounded_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    pieces = packing.pack(read(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "sequence_tokens")
+
+
+@query("op4_host_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document by its own rules and its host's."""
+    return host_quality.judge(read(spark, sf_dir, "documents"))
+
+
+SQL["op4_host_quality"] = host_quality.SQL
+
+
 @query("op6_simhash_vptree")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document over fingerprints of 4-word shingles at 4 or fewer differing bits."""
