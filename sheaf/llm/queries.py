@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import host_quality, packing, simhash_vptree
+from sheaf.llm import arc, cross_parsing, host_quality, packing, simhash_vptree, url_templates
+from sheaf.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +25,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+URL_RULES = [url_templates.Rule("block", "net", "/"), url_templates.Rule("allow", "example.net", "/en/"),
+             url_templates.Rule("block", "example.com", "/de/"), url_templates.Rule("allow", "org", "/fr/")]
+
+
+@query("op1_url_templates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page url by the rules, else by its host's template tree."""
+    return url_templates.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+SQL["op1_url_templates"] = url_templates.sql(URL_RULES)
+
+
+@query("op2_cross_parsing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled ones that are not held out."""
+    return cross_parsing.predict(read(spark, sf_dir, "documents"))
+
+
 @query("op3_bounded_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
@@ -41,6 +61,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op4_host_quality"] = host_quality.SQL
 
 
+@query("op5_arc_to_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as ARC files, converted to WARC files and read back; one row for each page's record."""
+    legacy, archives = new_path(spark, "arc"), new_path(spark, "warc")
+    arc.write_arc(read(spark, sf_dir, "pages"), legacy)
+    arc.convert(spark, legacy, archives)
+    records = arc.read_warc(spark, archives).filter(F.col("record_type").isin("response", "revisit"))
+    return records.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op5_arc_to_warc"] = arc.SQL
+
+
 @query("op6_simhash_vptree")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document over fingerprints of 4-word shingles at 4 or fewer differing bits."""
