@@ -17,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sheaf.llm.shared import binary_values, slices, stored
+from sheaf.llm.shared import slices, stored
 
 WINDOW = 2048
 END_ID = 1
@@ -52,8 +53,8 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}  # word -> row of pairs
-        self.pairs = np.zeros((0, 2), np.int64)  # two atoms of each word
+        self.code: dict[bytes, int] = {b"": 0}  # word -> row of pairs
+        self.pairs = np.zeros((1, 2), np.int64)  # two atoms of each word
         self.atoms: dict[str, int] = {"": 0}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
@@ -93,22 +94,24 @@ class WordIds:
         self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
         self.pairs = np.concatenate([self.pairs, rows])
 
-    def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` in a row, and the count of each."""
         if len(self.code) > _CACHE_WORDS:
             self.clear()
-        split = [t.split() if t else [] for t in texts]
-        words = list(itertools.chain.from_iterable(split))
-        fresh = list(set(words).difference(self.code))
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        fresh = [w for w in distinct if w not in self.code]
         if fresh:
             self._learn(fresh)
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        codes = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
         atoms = self.pairs[codes].ravel()
-        size = self.starts[atoms + 1] - self.starts[atoms]
+        size = np.diff(self.starts)[atoms]
         ends = np.cumsum(size)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[atoms] - (ends - size), size)
-        per_text = np.append(0, ends)[2 * np.append(0, np.cumsum([len(s) for s in split]))]
-        return self.flat[take], np.diff(per_text)
+        take = np.repeat(self.starts[atoms] - (ends - size), size)
+        take += np.arange(len(take))
+        at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return self.flat[take], np.diff(np.append(0, ends)[2 * at])
 
 
 def word_ids(path: str) -> WordIds:
@@ -199,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
         for whole in batches:
             kinds = whole.schema.field(0).type
             for batch in slices(whole, "__text"):
-                ids, counts = words.ids(binary_values(batch.column(1)))
+                ids, counts = words.ids(batch.column(1))
                 ends = np.cumsum(counts)
                 for doc, lo, hi in zip(batch.column(0).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
                     packer.put((doc, hi - lo + 1), 0, np.concatenate([ids[lo:hi], end]))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from sheaf.llm import packing
@@ -13,11 +14,11 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_word_ids_equal_the_tokenizer(spark):
     tok = Tokenizer.from_file(PATH)
     texts = ["It's <|endoftext|> a'b <|ENDOFTEXT|>x  y \x00 z é ΣΣ \x85q", "", "   ", "ÀÉ, Öß. straße ẞ İx K a.b ..a a.., 12ab,",
-             "don't can'T 'tis ,' '   x y ́a ó. Å", "Hello hello, HELLO. hello,, (hello)", "日本語 テスト。 a日本, ab日."]
+             "don't can'T 'tis ,' '   x y ́a ó. Å", "Hello hello, HELLO. hello,, (hello)", "日本語 テスト。 a日本, ab日.", "a\x1cb\x1d c\x85d\u3000e\u2028f\xa0g \x0bh\x0ci\rj"]
     words = packing.WordIds(PATH)
     assert words.plain
     for _ in range(2):
-        ids, n = words.ids([t.encode() for t in texts] + [None])
+        ids, n = words.ids(pa.array([*texts, None]))
         want = [e.ids for e in tok.encode_batch([*texts, ""], add_special_tokens=False)]
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     other = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
