@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import arc, cross_parsing, host_quality, packing, simhash_vptree, url_templates
+from sheaf.llm import arc, cross_parsing, host_quality, packing, simhash_vptree, template_decontamination, url_templates
 from sheaf.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,13 @@ SQL["op5_arc_to_warc"] = arc.SQL
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document over fingerprints of 4-word shingles at 4 or fewer differing bits."""
     return simhash_vptree.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
+@query("op7_template_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or a re-parameterised one, with the item."""
+    found = template_decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("__key")
+
+
+SQL["op7_template_decontamination"] = template_decontamination.SQL
