@@ -10,7 +10,6 @@ end to end.
 from __future__ import annotations
 
 import itertools
-import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -27,13 +26,14 @@ from sheaf.llm.shared import slices, stored
 
 WINDOW = 2048
 END_ID = 1
-_CACHE_WORDS = 600_000
-_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+_CACHE_ATOMS = 800_000
+_CLOSING = ".,;:!?"
+_PLAIN = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{_CLOSING}]*$"
 _tokenizers: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids of white-space separated words, each distinct word encoded once while the cache lasts.
+    """Ids of white-space separated words, each distinct atom encoded once while the cache lasts.
 
     The tokenizer splits at white space before anything else and its normaliser works on single characters, so a
     text's ids are its words' ids in a row.  A word of Latin letters and closing punctuation is two atoms, which
@@ -53,8 +53,6 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {b"": 0}  # word -> row of pairs
-        self.pairs = np.zeros((1, 2), np.int64)  # two atoms of each word
         self.atoms: dict[str, int] = {"": 0}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
@@ -74,38 +72,38 @@ class WordIds:
             sizes += one[1]
         return ids, sizes
 
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        if self.plain:
-            found = [_PLAIN.fullmatch(t.lower()) for t in texts]
-            heads = [m[1] if m else t for m, t in zip(found, texts, strict=True)]
-            tails = [m[2] if m else "" for m in found]
-            letters = set(itertools.compress(heads, found)).difference(self.atoms)
-        else:
-            heads, tails, letters = texts, [""] * len(texts), set()
-        others = set(heads).union(tails).difference(self.atoms, letters)
-        for names, joined in ((list(letters), True), (list(others), False)):
-            ids, sizes = self._encode(names, joined)
+    def _rows(self, atoms: pa.Array, letters: bool) -> np.ndarray:
+        """The cache's row of each of ``atoms``, encoding those it lacks."""
+        coded = atoms.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        fresh = [x for x in names if x not in self.atoms]
+        if fresh:
+            ids, sizes = self._encode(fresh, letters)
             self.flat = np.concatenate([self.flat, *ids])
-            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes])))
-            self.atoms.update(zip(names, range(len(self.atoms), len(self.atoms) + len(names)), strict=True))
-        atom = self.atoms.__getitem__
-        rows = np.stack([np.fromiter(map(atom, x), np.int64, len(x)) for x in (heads, tails)], axis=1)
-        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
-        self.pairs = np.concatenate([self.pairs, rows])
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes)))
+            self.atoms.update(zip(fresh, range(len(self.atoms), len(self.atoms) + len(fresh)), strict=True))
+        return np.fromiter(map(self.atoms.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+
+    def _pairs(self, words: pa.Array) -> np.ndarray:
+        """The two atoms of each of ``words`` (the second may be the empty one)."""
+        out = np.zeros((len(words), 2), np.int64)
+        plain = np.zeros(len(words), bool)
+        if self.plain:
+            some = pc.match_substring_regex(words, _PLAIN)
+            plain = some.to_numpy(zero_copy_only=False)
+            low = pc.utf8_lower(words.filter(some))
+            out[plain, 0] = self._rows(pc.utf8_rtrim(low, _CLOSING), True)
+            out[plain, 1] = self._rows(pc.replace_substring_regex(low, f"^.*?([{_CLOSING}]*)$", r"\1"), False)
+        out[~plain, 0] = self._rows(words.filter(pa.array(~plain)), False)
+        return out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` in a row, and the count of each."""
-        if len(self.code) > _CACHE_WORDS:
+        if len(self.atoms) > _CACHE_ATOMS:
             self.clear()
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.cast(pa.binary()).to_pylist()
-        fresh = [w for w in distinct if w not in self.code]
-        if fresh:
-            self._learn(fresh)
-        codes = np.fromiter(map(self.code.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
-        atoms = self.pairs[codes].ravel()
+        atoms = self._pairs(words.dictionary)[words.indices.to_numpy()].ravel()
         size = np.diff(self.starts)[atoms]
         ends = np.cumsum(size)
         take = np.repeat(self.starts[atoms] - (ends - size), size)
