@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import arc, collinear_chains, cross_parsing, host_quality, packing, simhash_vptree, template_decontamination, url_templates
+from sheaf.llm import arc, collinear_chains, cross_parsing, host_quality, maxent_lm, packing, simhash_vptree, template_decontamination, url_templates
 from sheaf.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ SQL["op7_template_decontamination"] = template_decontamination.SQL
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more, at a similarity of 0.8 or more, that an earlier document holds too."""
     return collinear_chains.passages(read(spark, sf_dir, "documents")).drop("__ref")
+
+
+@query("op9_maxent_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document by a unigram base and the maximum-entropy model."""
+    return maxent_lm.score(read(spark, sf_dir, "documents"))
