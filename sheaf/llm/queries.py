@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import arc, collinear_chains, cross_parsing, host_quality, maxent_lm, packing, simhash_vptree, template_decontamination, url_templates
+from sheaf.llm import arc, collinear_chains, column_bwt, cross_parsing, host_quality, maxent_lm, packing, simhash_vptree, template_decontamination, url_templates
 from sheaf.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of every document by a unigram base and the maximum-entropy model."""
     return maxent_lm.score(read(spark, sf_dir, "documents"))
+
+
+@query("op10_column_bwt")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that start elsewhere too."""
+    left = column_bwt.remove(read(spark, sf_dir, "documents"), length=400)
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
