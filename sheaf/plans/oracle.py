@@ -8,9 +8,18 @@ glob compiler or ordered scan would show up as a mismatch.
 
 from __future__ import annotations
 
-from sheaf.functions.classify import LANGUAGE_BY_EXT
-from sheaf.functions.patterns import DEFAULT_PATTERNS, sql_str
-from sheaf.sources.fixtures import ROOT_PROFILES
+from sheaf.functions.patterns import sql_str
+
+# Fixed values, typed here once more so that a wrong table in the library shows.
+LANGUAGE_BY_EXT = {
+    "rs": "rust", "js": "javascript", "ts": "typescript", "py": "python", "java": "java", "c": "c", "h": "c",
+    "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "cs": "csharp", "go": "go", "rb": "ruby", "php": "php",
+    "swift": "swift", "kt": "kotlin", "scala": "scala", "r": "r", "m": "objective-c", "pl": "perl", "lua": "lua",
+    "sh": "bash", "bash": "bash", "sql": "sql", "html": "html", "htm": "html", "css": "css", "xml": "xml",
+    "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown",
+}
+DEFAULT_PATTERNS = [".*", "node_modules", "__pycache__", "target", "build", "dist", "_*"]
+ROOT_PROFILES = {"src0": [".*", "node_modules"], "src1": [], "src2": ["*.rs", "d?c_1*"]}
 
 # ---------------------------------------------------------------- CTE library
 CTE = {}
@@ -315,7 +324,8 @@ SQL["match_regex"] = with_(*BASE) + """SELECT e.root_id, e.rel_path, p.pattern
 FROM entries e, (VALUES ('^/corpus/src1/'), ('doc_[0-9]+[.]rs$'), ('/(en|fr)/')) p(pattern)
 WHERE regexp_matches('/corpus/' || e.root_id || '/' || e.rel_path, p.pattern)"""
 SQL["pattern_cache_match"] = with_(*BASE) + """SELECT root_id, rel_path FROM entries
-WHERE rel_path LIKE '%.rs' OR rel_path LIKE 'target/%' OR rel_path LIKE '%.txt' OR rel_path LIKE '%.md'"""
+WHERE ends_with(rel_path, '.rs') OR starts_with(rel_path, 'target/') OR ends_with(rel_path, '.{txt,md}')
+   OR regexp_matches(rel_path, '^[^/]*[.](txt|md)$')"""
 SQL["override_filter"] = with_(*BASE) + """SELECT root_id, rel_path FROM entries
 WHERE rel_path = '' OR NOT (list_contains(string_split(rel_path, '/'), 'node_modules')
    OR rel_path = 'src/en' OR starts_with(rel_path, 'src/en/')
@@ -325,18 +335,23 @@ SQL["parse_patterns"] = with_(*BASE) + """SELECT root_id, rel_path, array_to_str
 FROM (SELECT root_id, rel_path, list_filter(list_transform(string_split(
         ' *.' || ext || ' ,' || name || ',, *.{js,ts}', ','), lambda x: trim(x)), lambda x: x <> '') AS parts
       FROM entries WHERE NOT is_dir)"""
-SQL["drop_invalid_patterns"] = with_(*BASE) + """SELECT pattern,
-  NOT (regexp_matches(pattern, '[^/]\\*\\*|\\*\\*[^/]') OR contains(pattern, '***')
-       OR (regexp_matches(pattern, '\\[[^\\]]*$') AND NOT regexp_matches(pattern, '\\[.+\\]'))) AS valid
-FROM (SELECT DISTINCT unnest([name || '**', '[' || ext, '*.' || ext, '**/' || name]) AS pattern
-      FROM entries WHERE NOT is_dir)"""
+# What the grammar says of each made pattern: a name before '**' and an extension after a lone '[' break it, an
+# extension after '*.' and a name after '**/' do not (the corpus names hold no '*' and no bracket).
+SQL["drop_invalid_patterns"] = with_(*BASE) + """SELECT DISTINCT pattern, valid FROM (
+  SELECT name || '**' AS pattern, FALSE AS valid FROM entries WHERE NOT is_dir
+  UNION ALL SELECT '[' || ext, FALSE FROM entries WHERE NOT is_dir
+  UNION ALL SELECT '*.' || ext, TRUE FROM entries WHERE NOT is_dir
+  UNION ALL SELECT '**/' || name, TRUE FROM entries WHERE NOT is_dir
+  UNION ALL SELECT p, v FROM (VALUES ('a[b]c[d', FALSE), ('[]', FALSE), ('[!]', FALSE), ('[]]', TRUE), ('[!]]', TRUE),
+    ('[**]', TRUE), ('[z-a]', TRUE), ('***', FALSE), ('**', TRUE), ('a/**/b', TRUE), ('a**/b', FALSE), ('**b', FALSE),
+    ('[a/]**', FALSE)) e(p, v))"""
 SQL["preset_patterns"] = with_(*BASE) + """SELECT DISTINCT root_id, pattern FROM (
   SELECT r.root_id, p.pattern FROM (SELECT DISTINCT root_id FROM files) r,
     (VALUES ('.*'), ('node_modules'), ('__pycache__'), ('target'), ('build'), ('dist')) p(pattern)
   UNION ALL SELECT root_id, trim('  *.' || ext || ' ') FROM entries WHERE NOT is_dir AND ext = 'TXT')
 WHERE pattern <> 'dist'"""
 SQL["fuzzy_filter"] = with_(*BASE) + \
-    "SELECT root_id, rel_path FROM entries WHERE rel_path <> '' AND regexp_matches(name, '(?i)D.*c.*1')"
+    "SELECT root_id, rel_path FROM entries WHERE rel_path <> '' AND regexp_matches(name, 'D.*c.*1')"
 SQL["pattern_match_matrix"] = with_(*BASE) + """SELECT pattern, CAST(glob_matches AS BIGINT) AS glob_matches,
   CAST(regex_matches AS BIGINT) AS regex_matches FROM (
   SELECT '*.rs' AS pattern, CAST(count_if(regexp_matches(rel_path, '^.*\\.rs$')) AS BIGINT) AS glob_matches,
@@ -456,7 +471,7 @@ SEMI JOIN pruned USING (root_id, rel_path)"""
 
 # ---- selection
 SQL["search_visible"] = with_(*PRUNED) + """, hits AS (SELECT root_id, rel_path, depth FROM pruned
-  WHERE rel_path <> '' AND regexp_matches(name, '(?i)D.*c.*1'))
+  WHERE rel_path <> '' AND regexp_matches(name, 'D.*c.*1'))
 SELECT DISTINCT root_id, rel_path FROM (
   SELECT root_id, rel_path FROM hits
   UNION ALL SELECT root_id, array_to_string(string_split(rel_path, '/')[1:i], '/')

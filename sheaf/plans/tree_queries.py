@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import classify as C
 from sheaf.functions import paths as P
-from sheaf.functions.patterns import (BENCH_GLOB_PATTERNS, PRESETS, cache_matcher, naive_cache_regex,
-                                      name_regex, override_regex, path_glob_regex)
+from sheaf.functions.patterns import (BENCH_GLOB_PATTERNS, PRESETS, cache_matcher, is_valid_glob, naive_cache_regex,
+                                      name_regex, override_regex, override_target, path_glob_regex, pattern_kind)
 from sheaf.operators import entries as EN
 from sheaf.operators import metrics as M
 from sheaf.operators import render as R
@@ -43,10 +43,7 @@ def q_pattern_type(spark, sf):
     cands = e.select(F.explode(F.array(
         F.col("name"), F.concat(F.lit("*."), F.col("ext")), F.concat(F.lit("^"), F.col("name")),
         F.concat(F.col("name"), F.lit("$")), F.concat(F.col("name"), F.lit("?")))).alias("pattern")).distinct()
-    p = F.col("pattern")
-    kind = (F.when(p.contains("*") | p.contains("?"), F.lit("glob"))
-            .when(p.startswith("^") | p.endswith("$"), F.lit("regex")).otherwise(F.lit("exact")))
-    return cands.select("pattern", kind.alias("ptype"))
+    return cands.select("pattern", pattern_kind(F.col("pattern")).alias("ptype"))
 
 
 @query("match_exact")
@@ -72,7 +69,7 @@ def q_match_regex(spark, sf):
 
 @query("pattern_cache_match")
 def q_pattern_cache_match(spark, sf):
-    """Any glob (braces expanded) or naive regex matching the rel path."""
+    """Any glob or naive regex matching the rel path."""
     return corpus_entries(spark, sf).filter(F.col("rel_path").rlike(cache_matcher(CACHE_PATTERNS))).select(
         "root_id", "rel_path")
 
@@ -82,8 +79,8 @@ def q_override_filter(spark, sf):
     """Gitignore-style exclusions; '/'-patterns anchor at the root and prune subtrees."""
     e = corpus_entries(spark, sf)
     rx = override_regex(OVERRIDE_PATTERNS)
-    return e.filter((F.col("rel_path") == "") | ~F.concat("rel_path", F.lit("/")).rlike(rx)).select(
-        "root_id", "rel_path")
+    target = override_target(F.col("rel_path"), F.col("is_dir"))
+    return e.filter((F.col("rel_path") == "") | ~target.rlike(rx)).select("root_id", "rel_path")
 
 
 @query("parse_patterns")
@@ -96,11 +93,8 @@ def q_parse_patterns(spark, sf):
                     F.size(parts).cast("bigint").alias("n_patterns"))
 
 
-def glob_is_valid(p):
-    """B14 as an expression: closed classes and '**' only as a whole component."""
-    bad_star = p.rlike(r"[^/]\*\*|\*\*[^/]") | p.contains("***")
-    unclosed = p.rlike(r"\[[^\]]*$") & ~p.rlike(r"\[.+\]")
-    return ~(bad_star | unclosed)
+# Patterns at the edges of the glob grammar, judged beside those made from the corpus names.
+EDGE_GLOBS = ["a[b]c[d", "[]", "[!]", "[]]", "[!]]", "[**]", "[z-a]", "***", "**", "a/**/b", "a**/b", "**b", "[a/]**"]
 
 
 @query("drop_invalid_patterns")
@@ -108,8 +102,9 @@ def q_drop_invalid_patterns(spark, sf):
     """Candidate globs from the corpus; invalid ones are dropped (flagged here)."""
     e = EN.files_only(corpus_entries(spark, sf))
     cands = e.select(F.explode(F.array(F.concat("name", F.lit("**")), F.concat(F.lit("["), "ext"),
-                                       F.concat(F.lit("*."), "ext"), F.concat(F.lit("**/"), "name"))).alias("pattern"))
-    return cands.distinct().select("pattern", glob_is_valid(F.col("pattern")).alias("valid"))
+                                       F.concat(F.lit("*."), "ext"), F.concat(F.lit("**/"), "name"),
+                                       *[F.lit(g) for g in EDGE_GLOBS])).alias("pattern"))
+    return cands.distinct().select("pattern", is_valid_glob(F.col("pattern")).alias("valid"))
 
 
 @query("preset_patterns")
@@ -137,7 +132,8 @@ def q_pattern_match_matrix(spark, sf):
     for i, p in enumerate(BENCH_GLOB_PATTERNS):
         g = path_glob_regex(p)
         aggs.append(F.sum(F.col("rel_path").rlike(g).cast("int") if g else F.lit(0)).alias(f"g{i}"))
-        aggs.append(F.sum(F.col("rel_path").rlike(naive_cache_regex(p)).cast("int")).alias(f"r{i}"))
+        r = naive_cache_regex(p)
+        aggs.append(F.sum(F.col("rel_path").rlike(r).cast("int") if r else F.lit(0)).alias(f"r{i}"))
     a = e.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(f"g{i}").cast("bigint").alias("glob_matches"),
                               F.col(f"r{i}").cast("bigint").alias("regex_matches"))
