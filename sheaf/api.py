@@ -5,7 +5,7 @@ from sheaf.operators.metrics import (budget_breaches, event_gaps, last_n, latenc
                                      metric_growth, running_progress)
 from sheaf.operators.pack import budget_shares, model_fit, pack_by_offset, pack_next_fit  # noqa: F401
 from sheaf.operators.prune import prune  # noqa: F401
-from sheaf.operators.render import (assemble, document_stats, export, failed_summary, fragments,  # noqa: F401
+from sheaf.operators.render import (document_stats, export, failed_summary, fragments,  # noqa: F401
                                     preorder, tree_lines)
 from sheaf.operators.search import content_search, fuzzy_filter, match_count, match_positions  # noqa: F401
 from sheaf.operators.select import (collect_selected, diff, expand, rollup, select_all,  # noqa: F401
@@ -19,7 +19,6 @@ from sheaf.streaming.changes import (accepted, batch_summary, change_batches_str
 from sheaf.streaming.stateful import history_stream, throttle_stream  # noqa: F401
 
 estimate = selection_summary
-document = assemble
 find = content_search
 latency = latency_stats
 pack = pack_next_fit

@@ -35,8 +35,8 @@ def derive_entries(files: DataFrame, max_depth: int | None = None, keep_content:
     size = F.col("size") if "size" in files.columns else F.octet_length("content")
     extra = [F.col("content")] if keep_content else []
     f = files.select("root_id", "rel_path", F.lit(False).alias("is_dir"), size.cast("bigint").alias("size"), *extra)
-    dirs = (files.select("root_id", F.explode(P.ancestors("rel_path")).alias("rel_path"))
-            .distinct()
+    parents = files.select("root_id", P.parent_path("rel_path").alias("parent")).distinct()
+    dirs = (parents.select("root_id", F.explode(P.ancestors_or_self("parent")).alias("rel_path")).distinct()
             .select("root_id", "rel_path", F.lit(True).alias("is_dir"), F.lit(None).cast("bigint").alias("size"),
                     *[F.lit(None).cast("string").alias("content")] if keep_content else []))
     out = _shape(f.unionByName(dirs), keep_content)
@@ -76,16 +76,19 @@ def read_contents(wanted: DataFrame, contents: DataFrame, root_path=None) -> Dat
     ``root_path``), rows escaping the root get the traversal error before any
     decoding (A4).
     """
-    c = contents.select("root_id", "rel_path", F.col("content").alias("_raw"))
-    j = wanted.join(c, ["root_id", "rel_path"], "left")
+    c = contents.select("root_id", "rel_path", "content")
+    return decoded(wanted.drop("content").join(c, ["root_id", "rel_path"], "left"), root_path)
+
+
+def decoded(rows: DataFrame, root_path=None) -> DataFrame:
+    """``rows`` with ``content`` as valid text and ``error`` (see :func:`read_contents`): a projection."""
     raw = F.col("_raw")
-    is_bin = dict(c.dtypes)["_raw"] == "binary"
+    is_bin = dict(rows.dtypes)["content"] == "binary"
     valid = F.is_valid_utf8(raw.cast("string")) if is_bin else F.lit(True)
     text = raw.cast("string") if is_bin else raw
     err = F.when(raw.isNull(), F.lit(NOT_FOUND_ERROR)).when(~valid, F.lit(UTF8_ERROR))
     if root_path is not None:
         inside = P.contained_in(F.concat(root_path, F.lit("/"), F.col("rel_path")), root_path)
         err = F.when(~inside, F.lit(TRAVERSAL_ERROR)).otherwise(err)
-    out = j.withColumn("error", err)
-    out = out.withColumn("content", F.when(F.col("error").isNull(), text))
-    return out.drop("_raw")
+    out = rows.withColumnRenamed("content", "_raw").withColumn("error", err)
+    return out.withColumn("content", F.when(F.col("error").isNull(), text)).drop("_raw")

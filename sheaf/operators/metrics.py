@@ -75,6 +75,6 @@ def progress_pct(current, total):
 
 def running_progress(done: DataFrame, key: str, order: list, pos: str = "current") -> DataFrame:
     """The n-th completed item of a key's total (skew-safe position + partial count)."""
-    p = ordered_scan(done, [key], order, pos=pos)
-    tot = done.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
+    p = ordered_scan(done, [key], order, pos=pos)  # reads a checkpoint: the total below costs no second run of `done`
+    tot = p.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
     return p.join(tot, key)

@@ -1,10 +1,10 @@
 """Ignore-pattern pruning.
 
 An entry disappears when it or any ancestor has a name matching any pattern of
-its root's profile.  Each distinct profile is folded on the driver to ONE regex
-literal over ``'/' || rel_path || '/'`` (see ``component_regex``), so pruning
-is a single codegen'd RLIKE per row: no explode, no recursion, and never a
-join on RLIKE (which would plan as a nested-loop join).
+its root's profile.  A profile is folded to ONE regex over
+``'/' || rel_path || '/'`` (see ``component_regex``), so pruning is a single
+RLIKE per row: no explode, no recursion, and never a join on RLIKE (which would
+plan as a nested-loop join).
 
 Profiles: ``profiles(root_id, ord, pattern)``; ``root_id`` NULL is the global
 profile; a root with any rows of its own uses only those (a NULL pattern row
@@ -17,22 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.patterns import component_regex
-
-# Upper bound on DISTINCT pattern lists pulled to the driver to compile; the
-# per-root assignment stays distributed.  Policies are config, not data.
-MAX_DISTINCT_PROFILES = 10_000
-
+from sheaf.session import ensure_checkpoint_dir
 
 def match_any_component(rel_path: Column, patterns: list[str], root_name: Column | None = None) -> Column:
     """True when any component (optionally the root's own name too) matches a glob."""
     prof = component_regex(patterns)
     if prof.regex is None:
         return F.lit(False)
-    target = F.concat(F.lit("/"), rel_path, F.lit("/"))
-    if root_name is not None:
-        target = F.concat(F.lit("/"), root_name, F.when(rel_path == "", F.lit("")).otherwise(F.lit("/")),
-                          rel_path, F.lit("/"))
-    return target.rlike(prof.regex)
+    return component_target(rel_path, root_name).rlike(prof.regex)
+
+
+def component_target(rel_path: Column, root_name: Column | None = None) -> Column:
+    """What a component regex is tested on: the path (after the root's name, if given) between slashes."""
+    if root_name is None:
+        return F.concat(F.lit("/"), rel_path, F.lit("/"))
+    return F.concat(F.lit("/"), root_name, F.when(rel_path == "", F.lit("")).otherwise(F.lit("/")), rel_path, F.lit("/"))
 
 
 def prune_with_patterns(entries: DataFrame, patterns: list[str], include_root: bool = False) -> DataFrame:
@@ -41,61 +40,49 @@ def prune_with_patterns(entries: DataFrame, patterns: list[str], include_root: b
     return entries.filter(~hit)
 
 
-_RESOLVED: dict = {}  # (app id, id(profiles)) -> (root_map, plists, global id); holds the frame alive
+_RESOLVED: dict = {}  # (app id, id(profiles)) -> (profiles, root regexes, global regex); holds the frame alive
 
 
-def resolve_profiles(profiles: DataFrame):
-    """Memoised :func:`_resolve_profiles` per profiles DataFrame (policy is resolved once)."""
-    key = (profiles.sparkSession.sparkContext.applicationId, id(profiles))
-    if key not in _RESOLVED:
-        _RESOLVED[key] = (profiles, _resolve_profiles(profiles))
-    return _RESOLVED[key][1]
+def resolve_profiles(profiles: DataFrame) -> tuple[DataFrame, str | None]:
+    """``(root_id, _own, _rx)``, one row a root with a profile of its own, and the global regex; memoised per frame.
 
+    Each pattern list is folded to its regex where its rows are (a small function over policy rows); the result is
+    pinned once, so the queries that use it run no Python.  Only the global list reaches the driver.
+    """
+    spark = profiles.sparkSession
+    key = (spark.sparkContext.applicationId, id(profiles))
+    if key not in _RESOLVED:
+        ensure_checkpoint_dir(spark)
+        folded = (profiles.groupBy("root_id")
+                  .agg(F.array_sort(F.collect_list(F.struct("ord", "pattern"))).alias("_pl"))
+                  .select("root_id", F.filter(F.transform("_pl", lambda s: s["pattern"]), lambda p: p.isNotNull()).alias("plist"))
+                  .mapInPandas(_fold, "root_id string, _own boolean, _rx string")).checkpoint()
+        default = folded.filter(F.col("root_id").isNull()).first()
+        _RESOLVED[key] = (profiles, folded.filter(F.col("root_id").isNotNull()), default["_rx"] if default else None)
+    return _RESOLVED[key][1:]
 
-def _resolve_profiles(profiles: DataFrame):
-    """-> (root_map DataFrame(root_id, profile_id), {profile_id: [patterns]}, global_id).
 
-    Only the distinct pattern *lists* reach the driver (bounded by
-    ``MAX_DISTINCT_PROFILES``); the root -> profile mapping stays a DataFrame.
-    """
-    per_root = (profiles.groupBy("root_id")
-                .agg(F.array_sort(F.collect_list(F.struct("ord", "pattern"))).alias("_pl"))
-                .select("root_id", F.filter(F.transform("_pl", lambda s: s["pattern"]),
-                                            lambda p: p.isNotNull()).alias("plist")))
-    distinct_lists = per_root.select("plist").distinct().limit(MAX_DISTINCT_PROFILES + 1).collect()
-    if len(distinct_lists) > MAX_DISTINCT_PROFILES:
-        raise ValueError(f"more than {MAX_DISTINCT_PROFILES} distinct ignore profiles")
-    lists = sorted({tuple(r["plist"]) for r in distinct_lists})
-    ids = {lst: i for i, lst in enumerate(lists)}
-    id_map = F.create_map(*[x for lst, i in ids.items() for x in (F.lit("\u0001".join(lst)), F.lit(i))]) \
-        if ids else None
-    key = F.array_join("plist", "\u0001")
-    # The policy table is tiny and referenced by every prune; pin it once.
-    root_map = per_root.select("root_id", F.try_element_at(id_map, key).alias("profile_id")).cache() \
-        if ids else None
-    global_row = [r for r in per_root.filter(F.col("root_id").isNull()).collect()]
-    global_id = ids[tuple(global_row[0]["plist"])] if global_row else None
-    return root_map, {i: list(lst) for lst, i in ids.items()}, global_id
+def _fold(frames):
+    import pandas as pd
+    for f in frames:
+        yield pd.DataFrame({"root_id": f["root_id"], "_own": True,
+                            "_rx": [component_regex(list(p)).regex for p in f["plist"]]}, columns=["root_id", "_own", "_rx"])
 
 
 def prune(entries: DataFrame, profiles: DataFrame | None = None, patterns: list[str] | None = None,
           include_root: bool = False) -> DataFrame:
-    """Subtree-prune ``entries`` by a global list or per-root ``profiles``."""
+    """Subtree-prune ``entries`` by a global list or per-root ``profiles``.
+
+    Any number of profiles: an equi-join gives each root its regex, which is one more column of the RLIKE; roots
+    without a profile are tested against the global literal.
+    """
     if profiles is None:
         return prune_with_patterns(entries, patterns or [], include_root)
-    root_map, plists, global_id = resolve_profiles(profiles)
-    if root_map is None:
-        return entries
-    rm = root_map.filter(F.col("root_id").isNotNull()).withColumnRenamed("profile_id", "_prof")
-    j = entries.join(rm, "root_id", "left")
-    prof = F.coalesce(F.col("_prof"), F.lit(global_id)) if global_id is not None else F.col("_prof")
-    root_name = F.col("root_id") if include_root else None
-    hit = None
-    for pid, plist in plists.items():
-        m = match_any_component(F.col("rel_path"), plist, root_name)
-        hit = F.when(prof == pid, m) if hit is None else hit.when(prof == pid, m)
-    hit = hit.otherwise(F.lit(False))
-    return j.filter(~hit).drop("_prof")
+    own, default = resolve_profiles(profiles)
+    target = component_target(F.col("rel_path"), F.col("root_id") if include_root else None)
+    hit = F.when(F.col("_own"), F.coalesce(F.rlike(target, F.col("_rx")), F.lit(False))).otherwise(
+        target.rlike(default) if default else F.lit(False))
+    return entries.join(own, "root_id", "left").filter(~hit).drop("_own", "_rx")
 
 
 def rejected_patterns(patterns: list[str]) -> list[str]:

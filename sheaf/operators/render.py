@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import paths as P
 from sheaf.functions.classify import language_of, tokens_from_char_count
 from sheaf.operators.prune import prune
-from sheaf.plans.ordered import ordered_scan, sized_broadcast
+from sheaf.plans.ordered import ordered_scan
 
 # ---------------------------------------------------------------------------
 # Fixed values of the output formats (bytes must equal the reference's).
@@ -107,50 +107,37 @@ def tree_lines(entries: DataFrame, patterns: list[str] | None = None, profiles:
     ``ci=True`` with ``max_depth=None`` is the loaded-tree variant (D11).
 
     A line's prefix needs "is last sibling" for every ancestor.  Ancestors are
-    directories, so their sibling key follows from the path alone; one
-    explode of the path levels joined to each parent's maximum child key
-    (a partial aggregation) yields every flag at once -- no recursion and no
-    join back per level.  The root itself is always last.
+    directories, so their sibling key follows from the path alone: one explode
+    of the path levels of *directories*, joined to each parent's maximum child
+    key (a partial aggregation), gives the prefix of everything inside each.
+    Files and directories then take it from their parent in one join -- no
+    recursion and no join back per level.  The root itself is always last.
     """
     vis = prune(entries.select("root_id", "rel_path", "parent", "name", "is_dir", "depth"),
                 profiles=profiles, patterns=patterns, include_root=True)
     if max_depth is not None:
         vis = vis.filter(F.col("depth") <= max_depth)
     vis = vis.withColumn("_k", sibling_key(ci))
-    maxchild = (vis.filter(F.col("parent").isNotNull()).groupBy("root_id", "parent")
-                .agg(F.max("_k").alias("_mk")).withColumnRenamed("parent", "_par"))
+    maxchild = (vis.filter(F.col("parent").isNotNull()).groupBy("root_id", "parent").agg(F.max("_k").alias("_mk")))
     parts = F.split("rel_path", "/")
-    lv = vis.filter(F.col("depth") >= 1).select(
-        "root_id", "rel_path", "is_dir", "name", "depth", "_k", F.posexplode(parts).alias("_i", "_c"))
-    par = F.when(F.col("_i") == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.col("_i")), "/"))
-    dir_key = (F.struct(F.lit(0).alias("f"), F.lower("_c").alias("l"), F.col("_c").alias("n")) if ci
-               else F.struct(F.lit(0).alias("f"), F.col("_c").alias("n")))
-    key = F.when(F.col("_i") == F.col("depth") - 1, F.col("_k")).otherwise(dir_key)
-    lv = lv.withColumn("_par", par).withColumn("_key", key)
-    j = lv.join(maxchild, ["root_id", "_par"])
-    g = (j.groupBy("root_id", "rel_path", "is_dir", "name")
-         .agg(F.array_sort(F.collect_list(F.struct("_i", (F.col("_key") == F.col("_mk")).alias("_last"))))
-              .alias("_fl")))
-    n = F.size("_fl")
-    pads = F.transform(F.slice("_fl", 1, n - 1), lambda s: F.when(s["_last"], F.lit(TREE_PAD_LAST))
-                       .otherwise(F.lit(TREE_PAD_MID)))
-    own_last = F.element_at("_fl", n)["_last"]
+    lv = vis.filter(F.col("is_dir") & (F.col("depth") >= 1)).select("root_id", "rel_path", F.posexplode(parts).alias("_i", "_c"))
+    above = F.when(F.col("_i") == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, F.col("_i")), "/"))
+    key = (F.struct(F.lit(0).alias("f"), F.lower("_c").alias("l"), F.col("_c").alias("n")) if ci
+           else F.struct(F.lit(0).alias("f"), F.col("_c").alias("n")))
+    flags = (lv.withColumn("parent", above).join(maxchild, ["root_id", "parent"])
+             .groupBy("root_id", "rel_path").agg(F.array_sort(F.collect_list(F.struct("_i", (key == F.col("_mk")).alias("_last")))).alias("_fl")))
+    pads = F.transform("_fl", lambda s: F.when(s["_last"], F.lit(TREE_PAD_LAST)).otherwise(F.lit(TREE_PAD_MID)))
+    inside = flags.select("root_id", F.col("rel_path").alias("parent"), F.concat(F.lit(TREE_PAD_LAST), F.array_join(pads, "")).alias("_pre"))
+    inside = inside.unionByName(vis.filter(F.col("depth") == 0).select("root_id", F.lit("").alias("parent"), F.lit(TREE_PAD_LAST).alias("_pre")))
+    inside = maxchild.join(inside, ["root_id", "parent"])
+    last = F.when(F.col("_mk").isNull() | (F.col("_k") == F.col("_mk")), F.lit(TREE_LAST)).otherwise(F.lit(TREE_MID))
     icon = F.when(F.col("is_dir"), F.lit(ICON_DIR)).otherwise(F.lit(ICON_FILE))
-    line = F.concat(F.lit(TREE_PAD_LAST), F.array_join(pads, ""),
-                    F.when(own_last, F.lit(TREE_LAST)).otherwise(F.lit(TREE_MID)), icon, F.lit(" "),
-                    F.col("name"), F.lit("\n"))
-    nodes = g.select("root_id", "rel_path", "is_dir", line.alias("line"))
-    roots = vis.filter(F.col("depth") == 0).select(
-        "root_id", "rel_path", "is_dir", F.concat(F.lit(TREE_LAST), icon, F.lit(" "), F.col("name"),
-                                                  F.lit("\n")).alias("line"))
-    lines = roots.unionByName(nodes).withColumn("_sk", sort_key("rel_path", "is_dir", ci))
+    line = F.concat(F.coalesce("_pre", F.lit("")), last, icon, F.lit(" "), F.col("name"), F.lit("\n"))
+    lines = vis.join(inside, ["root_id", "parent"], "left").select("root_id", "rel_path", "is_dir", line.alias("line"))
+    lines = lines.select("root_id", "line", sort_key("rel_path", "is_dir", ci).alias("_sk"))
     return ordered_scan(lines, ["root_id"], ["_sk"], pos="pos").select("root_id", "pos", "line")
 
 
-def ancestor_pairs_narrow(entries: DataFrame) -> DataFrame:
-    return entries.select("root_id", "rel_path", F.posexplode(P.ancestors("rel_path")).alias("anc_depth", "ancestor"))
-
-
 def _ensure_newline(content: Column) -> Column:
     return F.when(content.endswith("\n"), content).otherwise(F.concat(content, F.lit("\n")))
 
@@ -205,9 +192,8 @@ def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
     xml = fmt == "xml"
     sel = preorder(selected.select("root_id", "rel_path", "ext", "is_dir"), ci=True, pos="seq")
     ok = contents.filter(F.col("error").isNull()).select("root_id", "rel_path", "content")
-    # inner join: the path-only selection is broadcast when its measured size
-    # is small, so the content side is not shuffled; otherwise a shuffle join
-    files = sized_broadcast(sel).join(ok, ["root_id", "rel_path"])
+    # inner join: AQE broadcasts the path-only selection when its checkpointed size is small
+    files = sel.join(ok, ["root_id", "rel_path"])
     body = F.col("content") if transform is None else transform(F.col("content"))
 
     def row(section, seq, text):
@@ -223,8 +209,7 @@ def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
         "root_id", F.inline(F.array(row(SEC_FILES, F.col("seq"),
                                         file_fragment(fmt, F.col("rel_path"), body, F.col("ext"), safe))))))
     if tree is not None:
-        roots = selected.select("root_id").distinct()
-        t = tree.join(roots, "root_id", "left_semi")
+        t = tree.join(sel.filter(F.col("seq") == 1).select("root_id"), "root_id", "left_semi")
         trows = F.array(row(SEC_TREE, F.col("pos"), F.col("line")),
                         F.when(F.col("pos") == 1, row(SEC_TREE_OPEN, zero, F.lit(XML_TREE_OPEN if xml else MD_TREE_OPEN))),
                         F.when(F.col("pos") == 1, row(SEC_TREE_CLOSE, zero,
@@ -259,26 +244,6 @@ def failed_summary(selected: DataFrame, contents: DataFrame) -> DataFrame:
     return head.unionByName(items)
 
 
-# Roots whose assembled document is below this many bytes may be materialised
-# as one string; larger ones must be exported as sorted fragment files.
-DOCUMENT_GUARD_BYTES = 64 << 20
-
-
-def assemble(frags: DataFrame, guard_bytes: int = DOCUMENT_GUARD_BYTES) -> DataFrame:
-    """Whole documents ``(root_id, document)`` for roots under ``guard_bytes`` only.
-
-    Roots over the guard are left out (use :func:`export`); the guard is checked
-    with an aggregate before any concatenation, so no task ever holds more than
-    ``guard_bytes`` of one document.
-    """
-    size = frags.groupBy("root_id").agg(F.sum(F.octet_length("fragment")).alias("_b"))
-    small = size.filter(F.col("_b") <= guard_bytes).select("root_id")
-    f = frags.join(small, "root_id", "left_semi")
-    return f.groupBy("root_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "seq", "fragment"))),
-                                 lambda s: s["fragment"]), "").alias("document"))
-
-
 def export(frags: DataFrame, path: str) -> None:
     """Write each root's document to ``path/root_id=<id>/part-*.txt`` with exact bytes.
 

@@ -1,8 +1,8 @@
 """Search over names and contents.
 
 All matching is built-in string/regex expressions over whole texts; match
-offsets come from ``posexplode(split(...))`` with a per-text running sum, so a
-text never leaves the task that holds its row.
+offsets come from the lengths of the pieces between matches with a running sum
+per text, so a text never leaves the task that holds its row.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def _c(x) -> Column:
 
 
 def fuzzy_filter(entries: DataFrame, query: str) -> DataFrame:
-    """Names containing the query's characters in order, case-insensitive."""
+    """Names containing the query's characters in order (smart case)."""
     return entries.filter((F.col("rel_path") != "") & F.col("name").rlike(fuzzy_regex(query)))
 
 
@@ -36,12 +36,12 @@ def match_count(text, query: str) -> Column:
 def match_positions(texts: DataFrame, key_cols: list[str], text_col: str, query: str) -> DataFrame:
     """One row per match: ``match_idx`` (0-based), ``char_offset``, wrap-around ``next_idx``/``prev_idx``."""
     q = query.lower()
-    pieces = F.split(F.lower(F.col(text_col)), re.escape(q), -1)
-    x = texts.select(*key_cols, F.posexplode(pieces).alias("_i", "_piece"))
-    w = Window.partitionBy(*key_cols).orderBy("_i")
-    x = x.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key_cols)) - 1)
-    x = x.withColumn("_before", F.sum(F.length("_piece")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.filter(F.col("_i") < F.col("_n"))
+    lens = F.transform(F.split(F.lower(F.col(text_col)), re.escape(q), -1), lambda x: F.length(x))
+    # only the lengths of the pieces between matches leave the row, never the text
+    x = texts.select(*key_cols, lens.alias("_lens")).filter(F.size("_lens") > 1)
+    x = x.select(*key_cols, (F.size("_lens") - 1).alias("_n"), F.posexplode("_lens").alias("_i", "_len"))
+    w = Window.partitionBy(*key_cols).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_before", F.sum("_len").over(w)).filter(F.col("_i") < F.col("_n"))
     off = (F.col("_before") + F.col("_i") * len(q)).cast("bigint")
     n = F.col("_n")
     return x.select(*key_cols, F.col("_i").cast("bigint").alias("match_idx"), off.alias("char_offset"),

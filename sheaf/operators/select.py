@@ -30,23 +30,21 @@ def ancestor_pairs(entries: DataFrame, include_self: bool = False) -> DataFrame:
 def expand(entries: DataFrame, picks: DataFrame) -> DataFrame:
     """H1: ``entries`` + ``checked``: the node or any ancestor was picked.
 
-    Only paths travel: ancestors-or-self are exploded from ``(root_id,
-    rel_path)``, semi-joined to the picks, de-duplicated, and the (checked)
-    paths are joined back to the entries on their unique key.  Picks that name
-    pruned or missing paths match nothing.
+    Picked directories are propagated over directories only: their ancestors
+    are exploded and semi-joined to the picks.  A file is checked if it was
+    picked itself or its parent is checked, so files meet one row of their own
+    path and one of their parent's.  Picks that name pruned or missing paths
+    match nothing.
     """
-    p = picks.select("root_id", F.col("rel_path").alias("ancestor")).distinct()
-    hits = (entries.select("root_id", "rel_path", F.explode(P.ancestors_or_self("rel_path")).alias("ancestor"))
-            .join(p, ["root_id", "ancestor"], "left_semi")
-            .select("root_id", "rel_path").distinct().withColumn("_hit", F.lit(True)))
-    return (entries.join(hits, ["root_id", "rel_path"], "left")
-            .withColumn("checked", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit"))
-
-
-def leaves(entries: DataFrame) -> DataFrame:
-    """Files and childless directories."""
-    parents = entries.filter(F.col("parent").isNotNull()).select("root_id", F.col("parent").alias("rel_path")).distinct()
-    return entries.join(parents, ["root_id", "rel_path"], "left_anti")
+    p = picks.select("root_id", "rel_path").distinct()
+    up = (entries.filter("is_dir").select("root_id", "rel_path", F.explode(P.ancestors_or_self("rel_path")).alias("ancestor"))
+          .join(p.withColumnRenamed("rel_path", "ancestor"), ["root_id", "ancestor"], "left_semi")
+          .select("root_id", F.col("rel_path").alias("_dir")).distinct().withColumn("_up", F.lit(True)))
+    own = p.withColumn("_hit", F.lit(True))
+    return (entries.withColumn("_dir", F.when(F.col("is_dir"), F.col("rel_path")).otherwise(F.col("parent")))
+            .join(own, ["root_id", "rel_path"], "left").join(up, ["root_id", "_dir"], "left")
+            .withColumn("checked", F.coalesce(F.col("_up"), F.col("_hit") & ~F.col("is_dir"), F.lit(False)))
+            .drop("_dir", "_hit", "_up"))
 
 
 def rollup(states: DataFrame) -> DataFrame:
@@ -55,16 +53,29 @@ def rollup(states: DataFrame) -> DataFrame:
     A directory with children is checked iff all its descendant leaves are,
     unchecked iff none is, else indeterminate; a childless node keeps its own
     flag.  Equal to the bottom-up recursive update by induction.
+
+    Children are counted by parent first (files: all, checked), then only
+    directories are exploded over their ancestors; a childless directory counts
+    as one leaf of its own.  A file's state is its own flag, so files take part
+    in one partial aggregation and no join but the last, by their unique path.
     """
-    lv = leaves(states.select("root_id", "rel_path", "parent", "checked"))
-    agg = (lv.select("root_id", F.explode(P.ancestors("rel_path")).alias("rel_path"), "checked")
-           .groupBy("root_id", "rel_path")
-           .agg(F.bool_and("checked").alias("_all"), F.bool_and(~F.col("checked")).alias("_none")))
-    j = states.join(agg, ["root_id", "rel_path"], "left")
-    own = F.when(F.col("checked"), F.lit(CHECKED)).otherwise(F.lit(UNCHECKED))
-    state = (F.when(F.col("_all").isNull(), own).when(F.col("_all"), F.lit(CHECKED))
-             .when(F.col("_none"), F.lit(UNCHECKED)).otherwise(F.lit(INDETERMINATE)))
-    return j.withColumn("state", state).drop("_all", "_none")
+    directory = F.col("is_dir")
+    files = states.filter(~directory).groupBy("root_id", F.col("parent").alias("_dir")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("checked"), 1)).alias("_c"))
+    dirs = states.filter(directory).select("root_id", "rel_path", "parent", "checked")
+    inner = dirs.filter(F.col("parent").isNotNull()).groupBy("root_id", F.col("parent").alias("_dir")).agg(
+        F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast("bigint").alias("_c"))
+    known = files.unionByName(inner).groupBy("root_id", "_dir").agg(F.sum("_n").alias("_n"), F.sum("_c").alias("_c"))
+    own = dirs.join(known, (dirs["root_id"] == known["root_id"]) & (dirs["rel_path"] == known["_dir"]), "left").select(
+        dirs["root_id"], "rel_path", F.coalesce("_n", F.lit(1)).alias("_n"),
+        F.coalesce("_c", F.col("checked").cast("bigint")).alias("_c"))
+    total = (own.select("root_id", F.explode(P.ancestors_or_self("rel_path")).alias("rel_path"), "_n", "_c")
+             .groupBy("root_id", "rel_path").agg(F.sum("_n").alias("_n"), F.sum("_c").alias("_c")))
+    flag = F.when(F.col("checked"), F.lit(CHECKED)).otherwise(F.lit(UNCHECKED))
+    top = (states.filter(directory).join(total, ["root_id", "rel_path"], "left").withColumn(
+        "state", F.when(F.coalesce("_n", F.lit(0)) == 0, flag).when(F.col("_c") == F.col("_n"), F.lit(CHECKED))
+        .when(F.col("_c") == 0, F.lit(UNCHECKED)).otherwise(F.lit(INDETERMINATE))).drop("_n", "_c"))
+    return top.unionByName(states.filter(~directory).withColumn("state", flag))
 
 
 def collect_selected(states: DataFrame) -> DataFrame:
@@ -134,5 +145,5 @@ def select_all(entries: DataFrame) -> DataFrame:
 
 
 def deselect_all(entries: DataFrame) -> DataFrame:
-    """The empty selection."""
-    return entries.select("root_id", "rel_path").limit(0)
+    """Every entry unchecked."""
+    return entries.select("root_id", "rel_path", F.lit(UNCHECKED).alias("state"))

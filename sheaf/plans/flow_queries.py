@@ -138,8 +138,8 @@ def _doc_items(spark, sf):
     """Selected files with document position and char-token estimate."""
     sel = selected(spark, sf).select("root_id", "rel_path", "is_dir", "ext")
     pos = R.preorder(sel, ci=True, pos="seq")
-    c = contents(spark, sf).filter(F.col("error").isNull()).select("root_id", "rel_path", "content")
-    return pos.join(c, ["root_id", "rel_path"]).withColumn("tokens", C.tokens_from_chars("content"))
+    c = contents(spark, sf).filter(F.col("error").isNull()).select("root_id", "rel_path", C.tokens_from_chars("content").alias("tokens"))
+    return pos.join(c, ["root_id", "rel_path"])
 
 
 @query("pack_by_budget")
@@ -174,28 +174,31 @@ def _versions(spark, sf):
 
 
 def _latest_two(spark, sf):
-    v = _versions(spark, sf)
+    """The two newest versions of each path by id and content hash; the texts stay where they are."""
+    v = _versions(spark, sf).withColumn("_h", F.xxhash64("content")).drop("content")
     w = Window.partitionBy("root_id", "path").orderBy(F.col("doc_id").desc())
     return v.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2)
 
 
+def _sections(spark, sf):
+    """Status of each path by the hashes of its two newest versions, and the newest version's id."""
+    pair = _latest_two(spark, sf).groupBy("root_id", "path").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("_h").alias("kinds"), F.max("doc_id").alias("doc_id"))
+    status = F.when(F.col("n") == 1, "added").when(F.col("kinds") == 1, "unchanged").otherwise("changed")
+    return pair.select("root_id", "path", "doc_id", status.alias("status"))
+
+
 @query("changed_sections")
 def q_changed_sections(spark, sf):
-    """Latest vs previous version per path by content hash (full outer join)."""
-    t = _latest_two(spark, sf).withColumn("_h", F.xxhash64("content"))
-    new = t.filter(F.col("_rn") == 1).select("root_id", "path", F.col("_h").alias("h_new"))
-    old = t.filter(F.col("_rn") == 2).select("root_id", "path", F.col("_h").alias("h_old"))
-    j = new.join(old, ["root_id", "path"], "full_outer")
-    status = (F.when(F.col("h_old").isNull(), "added").when(F.col("h_new").isNull(), "removed")
-              .when(F.col("h_new") == F.col("h_old"), "unchanged").otherwise("changed"))
-    return j.select("root_id", "path", status.alias("status"))
+    """Latest vs previous version per path by content hash (a path's newest row has no newer version to lack)."""
+    return _sections(spark, sf).select("root_id", "path", "status")
 
 
 @query("changed_files_prompt")
 def q_changed_files_prompt(spark, sf):
     """L4: Markdown fragments of the latest version of changed or added paths only."""
-    ch = q_changed_sections(spark, sf).filter(F.col("status").isin("changed", "added"))
-    latest = _latest_two(spark, sf).filter(F.col("_rn") == 1).join(ch, ["root_id", "path"], "left_semi")
+    ch = _sections(spark, sf).filter(F.col("status").isin("changed", "added")).select("doc_id")
+    latest = _versions(spark, sf).join(ch, "doc_id", "left_semi")  # at most one id a path; AQE broadcasts them when small
     return latest.select("root_id", "path", R.file_fragment("markdown", F.col("path"), F.col("content"),
                                                            F.lit("md")).alias("fragment"))
 
@@ -222,7 +225,7 @@ def q_incremental_tokens(spark, sf):
     """Token delta to the previous version of the same path, and the running delta."""
     v = _versions(spark, sf).select("root_id", "path", "doc_id", C.tokens_from_chars("content").alias("tokens"))
     x = ordered_scan(v, ["root_id", "path"], ["doc_id"], lag={"_prev": "tokens"})
-    first = v.groupBy("root_id", "path").agg(F.min_by("tokens", "doc_id").alias("_first"))
+    first = x.groupBy("root_id", "path").agg(F.min_by("tokens", "doc_id").alias("_first"))
     return x.join(first, ["root_id", "path"]).select(
         "root_id", "path", "doc_id", "tokens", (F.col("tokens") - F.col("_prev")).alias("delta"),
         (F.col("tokens") - F.col("_first")).alias("running_delta"))
@@ -271,9 +274,8 @@ def q_pattern_suggestions(spark, sf):
 @query("render_audit")
 def q_render_audit(spark, sf):
     """Per root, files that could break a document."""
-    f = EN.files_only(corpus_entries(spark, sf))
-    c = contents(spark, sf)
-    j = f.join(c, ["root_id", "rel_path"], "left")
+    j = EN.files_only(EN.derive_entries(FX.files(spark, sf), keep_content=True)).withColumn(
+        "error", F.when(F.col("content").isNull(), F.lit(EN.NOT_FOUND_ERROR)))
     return j.groupBy("root_id").agg(
         F.count(F.when(F.col("name").rlike('[&"<>]'), 1)).alias("special_names"),
         F.count(F.when(F.col("content").contains("```"), 1)).alias("fences"),
@@ -290,8 +292,7 @@ def q_utf8_errors(spark, sf):
     raw = F.col("content").cast("binary")
     bad = F.concat(raw, F.unhex(F.lit("FF41")))
     b = f.select("root_id", "rel_path", F.when(F.col("rel_path").contains("/."), bad).otherwise(raw).alias("content"))
-    r = EN.read_contents(f.select("root_id", "rel_path"), b)
-    return r.select("root_id", "rel_path", "error")
+    return EN.decoded(b).select("root_id", "rel_path", "error")
 
 
 @query("export_prompt")

@@ -385,10 +385,9 @@ JOIN (SELECT root_id, max(ts) AS last_gen FROM changes WHERE kind = 'create' GRO
 WHERE m.kind = 'modify' GROUP BY 1"""
 
 # ---- aggregations
-SQL["children_by_parent"] = with_(*PRUNED) + f"""SELECT root_id, parent, count(*) AS n_children,
-  first(name ORDER BY {SIB_CI}) AS first_child,
-  first(name ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END DESC, lower(name) DESC, name DESC) AS last_child
-FROM pruned WHERE parent IS NOT NULL GROUP BY 1, 2"""
+SQL["children_by_parent"] = with_(*PRUNED) + f"""SELECT root_id, parent,
+  row_number() OVER (PARTITION BY root_id, parent ORDER BY {SIB_CI}) AS child_rank, name AS child
+FROM pruned WHERE parent IS NOT NULL"""
 SQL["failed_summary"] = with_("files", "picks") + f""", w AS (
   SELECT root_id, rel_path, FALSE AS is_dir FROM (SELECT DISTINCT root_id, rel_path FROM picks)),
 wo AS (SELECT w.*, row_number() OVER (PARTITION BY root_id ORDER BY {SK_CI}) AS seq FROM w),
@@ -458,6 +457,7 @@ SQL["selection_diff"] = with_(*PRUNED, "picks", "states", "sel_ab") + """
 SELECT root_id, rel_path, 'added' AS change FROM sel_a ANTI JOIN sel_b USING (root_id, rel_path)
 UNION ALL SELECT root_id, rel_path, 'removed' FROM sel_b ANTI JOIN sel_a USING (root_id, rel_path)"""
 SQL["select_all"] = with_(*PRUNED) + "SELECT root_id, rel_path, 'checked' AS state FROM pruned"
+SQL["deselect_all"] = with_(*PRUNED) + "SELECT root_id, rel_path, 'unchecked' AS state FROM pruned"
 SQL["selection_union"] = with_(*SELECTED) + """SELECT DISTINCT root_id, rel_path FROM (
   SELECT root_id, rel_path FROM selected
   UNION ALL SELECT f.root_id, f.rel_path FROM files f SEMI JOIN labels l ON l.doc_id = f.doc_id AND l.toxic = 1)"""

@@ -90,21 +90,3 @@ def exact_long(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.round(c).cast("bigint")
 
-
-# Broadcast a side only below this many bytes, measured (not estimated) first.
-BROADCAST_LIMIT_BYTES = 8 << 20
-
-
-def sized_broadcast(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when a measured bound of its size is under ``limit_bytes``.
-
-    One aggregate computes the exact bytes of its string/binary columns plus 8
-    per other column and row; above the limit the plain (shuffle) join stays.
-    Meant for path-only frames that are cheap to re-read (checkpointed input).
-    """
-    parts = [F.count(F.lit(1)) * F.lit(8 * max(1, len(df.columns)))]
-    for f in df.schema.fields:
-        if f.dataType.typeName() in ("string", "binary"):
-            parts.append(F.coalesce(F.sum(F.octet_length(F.col(f.name))), F.lit(0)))
-    total = df.select(*[F.col(c) for c in df.columns]).agg(sum(parts[1:], parts[0]).alias("b")).first()["b"]
-    return F.broadcast(df) if total is not None and total <= limit_bytes else df

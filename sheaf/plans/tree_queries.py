@@ -206,11 +206,9 @@ def q_dirty_roots(spark, sf):
 # ---------------------------------------------------------------- 2D aggregations
 @query("children_by_parent")
 def q_children_by_parent(spark, sf):
-    """Children per parent with first/last child in dirs-first, case-insensitive order."""
-    e = pruned_entries(spark, sf).filter(F.col("parent").isNotNull()).withColumn("_k", R.sibling_key(ci=True))
-    return e.groupBy("root_id", "parent").agg(
-        F.count(F.lit(1)).alias("n_children"), F.min("_k")["n"].alias("first_child"),
-        F.max("_k")["n"].alias("last_child"))
+    """The full child list of every directory, dirs first, case-insensitive: one row a child."""
+    e = pruned_entries(spark, sf).filter(F.col("parent").isNotNull())
+    return R.sibling_rank(e, ci=True).select("root_id", "parent", F.col("sibling_rank").alias("child_rank"), F.col("name").alias("child"))
 
 
 @query("failed_summary")
@@ -218,7 +216,8 @@ def q_failed_summary(spark, sf):
     """Warning header and failure items in document order."""
     f = FX.files(spark, sf)
     w = wanted_with_missing(spark, sf).withColumn("is_dir", F.lit(False))
-    r = EN.read_contents(w.select("root_id", "rel_path"), f.select("root_id", "rel_path", "content"))
+    # a listing of what can be read is enough: no text has to travel
+    r = EN.read_contents(w.select("root_id", "rel_path"), f.select("root_id", "rel_path", F.when(F.col("content").isNotNull(), "").alias("content")))
     return R.failed_summary(w, r)
 
 
@@ -238,10 +237,12 @@ def q_render_tree_ci(spark, sf):
 def q_node_counts(spark, sf):
     """Nodes, bytes and byte-tokens in each directory's subtree (itself included)."""
     e = pruned_entries(spark, sf)
-    x = e.select("root_id", F.explode(P.ancestors_or_self("rel_path")).alias("dir"), "size")
-    a = x.groupBy("root_id", "dir").agg(F.count(F.lit(1)).alias("n_nodes"),
-                                        F.sum("size").cast("bigint").alias("bytes"),
-                                        F.sum(C.tokens_from_bytes("size")).cast("bigint").alias("tokens"))
+    # files are counted into their parent first, so that only directories are exploded over their ancestors
+    at = F.when(F.col("is_dir"), F.col("rel_path")).otherwise(F.col("parent")).alias("at")
+    own = e.groupBy("root_id", at).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"), F.sum(C.tokens_from_bytes("size")).alias("t"))
+    x = own.select("root_id", F.explode(P.ancestors_or_self("at")).alias("dir"), "n", "b", "t")
+    a = x.groupBy("root_id", "dir").agg(F.sum("n").cast("bigint").alias("n_nodes"), F.sum("b").cast("bigint").alias("bytes"),
+                                        F.sum("t").cast("bigint").alias("tokens"))
     dirs = e.filter("is_dir").select("root_id", F.col("rel_path").alias("dir"))
     return a.join(dirs, ["root_id", "dir"], "left_semi")
 
@@ -249,10 +250,8 @@ def q_node_counts(spark, sf):
 @query("bytes_read")
 def q_bytes_read(spark, sf):
     """Σ bytes of the readable selected files per root."""
-    c = contents(spark, sf).join(selected(spark, sf).select("root_id", "rel_path"), ["root_id", "rel_path"],
-                                 "left_semi")
-    return c.filter(F.col("error").isNull()).groupBy("root_id").agg(
-        F.sum(F.octet_length("content")).cast("bigint").alias("bytes_read"))
+    readable = selected(spark, sf).filter(F.col("size").isNotNull())  # a file without content has no size
+    return readable.groupBy("root_id").agg(F.sum("size").cast("bigint").alias("bytes_read"))
 
 
 @query("match_count")
@@ -265,10 +264,7 @@ def q_match_count(spark, sf):
 def q_progress_pct(spark, sf):
     """End-of-read progress per root (roots with nothing selected: 0/0 = 100 %)."""
     roots = corpus_entries(spark, sf).select("root_id").distinct()
-    c = contents(spark, sf).join(selected(spark, sf).select("root_id", "rel_path"), ["root_id", "rel_path"],
-                                 "left_semi")
-    a = c.groupBy("root_id").agg(F.count(F.lit(1)).alias("total"),
-                                 F.count(F.when(F.col("error").isNull(), 1)).alias("current"))
+    a = selected(spark, sf).groupBy("root_id").agg(F.count(F.lit(1)).alias("total"), F.count("size").alias("current"))
     j = roots.join(a, "root_id", "left").fillna(0, ["total", "current"])
     return j.select("root_id", F.col("current").cast("bigint").alias("current"),
                     F.col("total").cast("bigint").alias("total"),
@@ -358,6 +354,12 @@ def q_selection_diff(spark, sf):
     return S.diff(before, after)
 
 
+@query("deselect_all")
+def q_deselect_all(spark, sf):
+    """Every visible entry unchecked."""
+    return S.deselect_all(pruned_entries(spark, sf))
+
+
 @query("select_all")
 def q_select_all(spark, sf):
     """Every visible entry checked."""
