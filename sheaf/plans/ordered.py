@@ -34,6 +34,44 @@ from pyspark.sql import functions as F
 
 from sheaf.session import ensure_checkpoint_dir
 
+
+def _pinned_order(df: DataFrame, keys: list[str], order: list, num_partitions: int | None = None) -> DataFrame:
+    """``df`` in ranges of ``(keys, order)``, with ``_pid`` and the consecutive ``_mid`` of each row.
+
+    Reliable checkpoint in the cluster's shared checkpoint folder: one execution of the range exchange, lineage cut,
+    executor-loss safe; all consumers read the same files.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    key_cols = [F.col(k) for k in keys]
+    ranged = df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
+    ensure_checkpoint_dir(spark)
+    return ranged.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")).checkpoint(eager=True)
+
+
+def islands(df: DataFrame, keys: list[str], order: list, value: str, gap: int, name: str) -> DataFrame:
+    """Add ``name``: the island of each row per ``keys`` in ``order``, from 1; a step of ``gap`` or more in ``value``
+    starts a new one.
+
+    One ordered scan: steps inside a ``(key, partition)`` run are counted there, the step over each border comes from
+    the runs' first and last values in the small summary.  ``value`` is non-null and does not decrease in ``order``.
+    """
+    scanned = _pinned_order(df, keys, order)
+    local = Window.partitionBy(*keys, "_pid").orderBy("_mid")
+    step = F.coalesce((F.col(value) - F.lag(value).over(local) >= gap).cast("bigint"), F.lit(0))
+    run = scanned.withColumn("_new", step).withColumn(
+        "_run", F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = run.groupBy(*keys, "_pid").agg(F.max("_run").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("_pid")
+    border = F.coalesce((F.col("_lo") - F.lag("_hi").over(w) >= gap).cast("bigint"), F.lit(1))
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = (summary.select(*keys, "_pid", border.alias("_border"), before.alias("_before"))
+               .withColumn("_off", F.sum("_border").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")))
+    out = run.join(offsets.select(*keys, "_pid", "_off"), [*keys, "_pid"])
+    return out.select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_run")).alias(name))
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None = None,
                  cumsum: dict[str, str] | None = None, lag: dict[str, str] | None = None,
                  num_partitions: int | None = None) -> DataFrame:
@@ -45,18 +83,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None
     """
     cumsum = cumsum or {}
     lag = lag or {}
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    key_cols = [F.col(k) for k in keys]
-    ranged = df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
-    scanned = ranged.select("*", F.spark_partition_id().alias("_pid"),
-                            F.monotonically_increasing_id().alias("_mid"))
-    # Reliable checkpoint in the cluster's shared checkpoint folder: one
-    # execution of the range exchange, lineage cut, executor-loss safe; both
-    # consumers below read the same files (same _pid/_mid).
-    ensure_checkpoint_dir(spark)
-    scanned = scanned.checkpoint(eager=True)
+    scanned = _pinned_order(df, keys, order, num_partitions)
 
     cum_in = list(dict.fromkeys(cumsum.values()))
     lag_in = list(dict.fromkeys(lag.values()))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.plans.ordered import ordered_scan
+from sheaf.plans.ordered import islands, ordered_scan
 
 # ---------------------------------------------------------------------------
 # Fixed values of the watcher.
@@ -54,16 +54,11 @@ def _gap_us(gap: str) -> int:
 def sessionize(changes: DataFrame, gap: str = "1 hour") -> DataFrame:
     """J1 batch twin: ``batch_start`` per event; a new batch when the silence is >= gap.
 
-    Gaps-and-islands with two skew-safe ordered scans (lag, then running sum
-    of the new-batch flag) -- equal to ``session_window(ts, gap)``.
+    Gaps and islands in one skew-safe ordered scan that carries the changes
+    along -- equal to ``session_window(ts, gap)``.
     """
-    g = _gap_us(gap)
-    x = changes.select("root_id", "event_id", F.unix_micros("ts").alias("_us"))
-    x = ordered_scan(x, ["root_id"], ["_us", "event_id"], lag={"_prev": "_us"})
-    x = x.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= g), 1).otherwise(0))
-    x = ordered_scan(x, ["root_id"], ["_us", "event_id"], cumsum={"_sid": "_new"})
-    x = x.withColumn("batch_id", F.round("_sid").cast("bigint"))
-    return changes.join(x.select("root_id", "event_id", "batch_id"), ["root_id", "event_id"])
+    x = changes.withColumn("_us", F.unix_micros("ts"))
+    return islands(x, ["root_id"], ["_us", "event_id"], "_us", _gap_us(gap), "batch_id").drop("_us")
 
 
 def batch_summary(sessionized: DataFrame) -> DataFrame:
