@@ -71,19 +71,18 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 8 << 20) -> Iterat
             yield batch.slice(lo, hi - lo)
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words of lower-cased (A-Z) texts: a code for each in a row, the distinct words, and the count of each text.
 
     Words are runs of bytes other than \\x20 and \\x09-\\x0D; a null text has none.
     """
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     coded = split.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
     codes = coded.indices.to_numpy()
     at = split.offsets.to_numpy() - split.offsets[0].as_py()
-    full = np.array([bool(w) for w in words], bool)[codes] if words else np.zeros(0, bool)
+    full = (pc.binary_length(coded.dictionary).to_numpy() > 0)[codes]
     counts = np.diff(np.append(0, np.cumsum(full))[at])
-    return codes[full], words, counts
+    return codes[full], coded.dictionary, counts
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
