@@ -128,7 +128,7 @@ def q_job_state(spark, sf):
 
 @query("history_replay")
 def q_history_replay(spark, sf):
-    """undo/redo replay with 20-deep stacks, distributed (rows-only check)."""
+    """undo/redo replay with 20-deep stacks, distributed."""
     from sheaf.plans.history import replay
     return replay(FX.sel_ops(spark, sf))
 

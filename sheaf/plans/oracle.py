@@ -634,6 +634,26 @@ SQL["load_profiles"] = with_("files") + f"""SELECT root_id, CAST(i - 1 AS BIGINT
         THEN ['*.TXT', 'tests'] ELSE [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}] END AS pats
     FROM (SELECT DISTINCT root_id FROM files)))"""
 
+# the stacks as lists, one step a row number for all sessions at once
+SQL["history_replay"] = """WITH RECURSIVE ops AS (
+  SELECT user_id AS session_id, event_id, 'u' || CAST(user_id AS VARCHAR) || '/k' || json_extract_string(props, '$.k') AS snap,
+    CASE event_type WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'redo' ELSE 'push' END AS op,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+r AS (
+  SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS event_id, '' AS op, FALSE AS applied,
+    '' AS cur, CAST([] AS VARCHAR[]) AS past, CAST([] AS VARCHAR[]) AS fut FROM ops
+  UNION ALL
+  SELECT o.session_id, o.rn, o.event_id, o.op, o.op = 'push' OR (o.op = 'undo' AND len(past) > 0) OR (o.op = 'redo' AND len(fut) > 0),
+    CASE WHEN o.op = 'push' THEN o.snap WHEN o.op = 'undo' AND len(past) > 0 THEN past[-1]
+         WHEN o.op = 'redo' AND len(fut) > 0 THEN fut[-1] ELSE cur END,
+    CASE WHEN o.op = 'push' THEN list_append(past, o.snap)[-20:] WHEN o.op = 'undo' AND len(past) > 0 THEN past[1:len(past) - 1]
+         WHEN o.op = 'redo' AND len(fut) > 0 THEN list_append(past, cur)[-20:] ELSE past END,
+    CASE WHEN o.op = 'push' THEN CAST([] AS VARCHAR[]) WHEN o.op = 'undo' AND len(past) > 0 THEN list_append(fut, cur)[-20:]
+         WHEN o.op = 'redo' AND len(fut) > 0 THEN fut[1:len(fut) - 1] ELSE fut END
+  FROM r JOIN ops o ON o.session_id = r.session_id AND o.rn = r.rn + 1)
+SELECT session_id, event_id, op, applied, CAST(len(past) AS BIGINT) AS past_len, CAST(len(fut) AS BIGINT) AS future_len,
+  cur AS current FROM r WHERE rn > 0"""
 SQL["latency_stats"] = with_("samples", "gaps") + """, ring AS (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, event_id DESC) AS rn FROM gaps) WHERE rn <= 120),
 st AS (SELECT key, count(*) AS n, sum(gap_us) AS s, list_sort(list(gap_us)) AS xs FROM ring GROUP BY 1)

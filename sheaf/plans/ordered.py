@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sheaf.session import ensure_checkpoint_dir
 
 
-def _pinned_order(df: DataFrame, keys: list[str], order: list, num_partitions: int | None = None) -> DataFrame:
+def pinned_order(df: DataFrame, keys: list[str], order: list, num_partitions: int | None = None) -> DataFrame:
     """``df`` in ranges of ``(keys, order)``, with ``_pid`` and the consecutive ``_mid`` of each row.
 
     Reliable checkpoint in the cluster's shared checkpoint folder: one execution of the range exchange, lineage cut,
@@ -57,7 +57,7 @@ def islands(df: DataFrame, keys: list[str], order: list, value: str, gap: int, n
     One ordered scan: steps inside a ``(key, partition)`` run are counted there, the step over each border comes from
     the runs' first and last values in the small summary.  ``value`` is non-null and does not decrease in ``order``.
     """
-    scanned = _pinned_order(df, keys, order)
+    scanned = pinned_order(df, keys, order)
     local = Window.partitionBy(*keys, "_pid").orderBy("_mid")
     step = F.coalesce((F.col(value) - F.lag(value).over(local) >= gap).cast("bigint"), F.lit(0))
     run = scanned.withColumn("_new", step).withColumn(
@@ -83,7 +83,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None
     """
     cumsum = cumsum or {}
     lag = lag or {}
-    scanned = _pinned_order(df, keys, order, num_partitions)
+    scanned = pinned_order(df, keys, order, num_partitions)
 
     cum_in = list(dict.fromkeys(cumsum.values()))
     lag_in = list(dict.fromkeys(lag.values()))
