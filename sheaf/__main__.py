@@ -37,25 +37,25 @@ def main(argv=None) -> None:
     from sheaf.operators import select as S
     from sheaf.operators.prune import prune
     from sheaf.session import ensure_checkpoint_dir, local_session
-    from sheaf.sources.tree_source import read_tree
+    from sheaf.sources.tree_source import read_files, read_tree, root_ids
 
     spark = SparkSession.getActiveSession() or local_session()
     ensure_checkpoint_dir(spark)
     patterns = parse_pattern_string(a.ignore)
-    listing = read_tree(spark, a.roots, content=True)
-    entries = listing.drop("content")
+    entries = read_tree(spark, a.roots)  # names and sizes; only selected files are opened below
     pruned = prune(entries, patterns=patterns)
     roots = entries.select("root_id").distinct()
     picks = (roots.select("root_id", F.explode(F.array(*map(F.lit, a.select.split(",")))).alias("rel_path"))
              if a.select else roots.select("root_id", F.lit("").alias("rel_path")))
     sel = S.expand(pruned, picks).filter(~F.col("is_dir") & F.col("checked"))
-    contents = EN.read_contents(sel.select("root_id", "rel_path"),
-                                listing.filter(~F.col("is_dir")).select("root_id", "rel_path", "content"))
+    contents = EN.decoded(read_files(sel, root_ids(a.roots)))
     tree = None if a.no_tree else R.tree_lines(entries, patterns=patterns)
     frags = R.fragments(sel, contents, a.format, tree=tree, safe=a.safe)
     R.export(frags, a.out)
-    R.document_stats(frags).orderBy("root_id").show(truncate=False)
-    R.failed_summary(sel, contents).orderBy("root_id", "seq").show(truncate=False)
+    for r in R.document_stats(frags).orderBy("root_id").toLocalIterator():
+        print(f"{r['root_id']}: {r['n_fragments']} fragments, {r['n_chars']} chars, {r['n_bytes']} bytes, {r['output_tokens']} tokens")
+    for r in R.failed_summary(sel, contents).orderBy("root_id", "seq").toLocalIterator():
+        print(f"{r['root_id']}: {r['item']}")
 
 
 if __name__ == "__main__":

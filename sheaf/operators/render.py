@@ -251,10 +251,8 @@ def export(frags: DataFrame, path: str) -> None:
     part files of a root, read in name order, concatenate to its document; no
     root is ever gathered into one task.  Refuses to overwrite an existing path.
     """
-    import os
-
-    from sheaf.sources.export_sink import register
-    if os.path.exists(path):
+    from sheaf.sources.export_sink import exists, register
+    if exists(path):
         raise FileExistsError(path)
     register(frags.sparkSession)
     n = int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions"))

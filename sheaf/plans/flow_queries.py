@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sheaf.functions import classify as C
 from sheaf.functions.patterns import DEFAULT_PATTERNS, component_regex
@@ -14,7 +15,9 @@ from sheaf.operators import render as R
 from sheaf.operators import search as SR
 from sheaf.plans.ordered import ordered_scan
 from sheaf.plans.queries import contents, corpus_entries, query, selected
+from sheaf.session import ensure_checkpoint_dir
 from sheaf.sources import fixtures as FX
+from sheaf.sources.policy import parse_policies
 from sheaf.streaming import changes as CH
 
 # ---------------------------------------------------------------------------
@@ -115,6 +118,12 @@ def q_active_alerts(spark, sf):
     return CH.alert_timeline(_alerts(spark, sf))
 
 
+@query("alerts_at")
+def q_alerts_at(spark, sf):
+    """What is shown when the last event of the log arrives."""
+    return CH.alerts_at(_alerts(spark, sf))
+
+
 @query("job_state")
 def q_job_state(spark, sf):
     """Per job the last state (generating / ready / cancelled); errors don't change it."""
@@ -220,6 +229,15 @@ def q_multi_root_prompt(spark, sf):
                                                                                "n_chars")
 
 
+@query("multi_root_document")
+def q_multi_root_document(spark, sf):
+    """The combined document of all conversations: each root's header, tree and files as rows."""
+    t = FX.transcripts(spark, sf)
+    e = EN.derive_entries(t)
+    frags = R.fragments(EN.files_only(e), EN.corpus_contents(t), "markdown", tree=R.tree_lines(e, patterns=[]))
+    return frags.select("root_id", "section", "seq", "fragment")
+
+
 @query("incremental_tokens")
 def q_incremental_tokens(spark, sf):
     """Token delta to the previous version of the same path, and the running delta."""
@@ -297,27 +315,25 @@ def q_utf8_errors(spark, sf):
 
 @query("export_prompt")
 def q_export_prompt(spark, sf):
-    """Per-root export manifest (file name, bytes) of the Markdown document that export() writes."""
+    """The Markdown documents written by the export sink to the shared folder; bytes of each as read back."""
     from sheaf.plans.queries import q_assemble_markdown
-    st = R.document_stats(q_assemble_markdown(spark, sf))
-    return st.select("root_id", F.lit("codebase_export.md").alias("file_name"), "n_bytes")
-
-
-PROFILE_JSON_SCHEMA = T.StructType([T.StructField("ignore_patterns", T.ArrayType(T.StringType()))])
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    R.export(q_assemble_markdown(spark, sf), out)
+    files = spark.read.format("binaryFile").load(out).withColumn("root_id", F.col("root_id").cast("string"))
+    return files.groupBy("root_id").agg(F.sum("length").cast("bigint").alias("n_bytes")).select(
+        "root_id", F.lit("codebase_export.md").alias("file_name"), "n_bytes")
 
 
 @query("load_profiles")
 def q_load_profiles(spark, sf):
-    """Per-root JSON policy; invalid JSON or a missing list falls back to the defaults."""
+    """Saved settings of each root, read by the policy loader; broken or partial ones fall back to the defaults."""
     roots = FX.files(spark, sf).select("root_id").distinct()
-    n = F.regexp_extract("root_id", r"(\d+)$", 1).cast("int")
-    text = (F.when(n % 3 == 0, F.lit("{oops"))
-            .when(n % 3 == 1, F.lit('{"ignore_patterns": ["*.TXT", "tests"]}'))
-            .otherwise(F.lit('{"window": {"width": 800}}')))
-    parsed = F.from_json(text, PROFILE_JSON_SCHEMA, {"mode": "PERMISSIVE"})
-    pats = F.coalesce(parsed["ignore_patterns"], F.array(*map(F.lit, DEFAULT_PATTERNS)))
-    return roots.select("root_id", F.posexplode(pats).alias("ord", "pattern")).withColumn(
-        "ord", F.col("ord").cast("bigint"))
+    n = F.regexp_extract("root_id", r"(\d+)$", 1).cast("int") % 4
+    head = '{"window_width": 1200.0, "window_height": 800.0, "split_position": 0.3, "last_directory": null, "include_tree": true, '
+    tail = '"output_format": "xml", "theme": "auto"'
+    text = (F.when(n == 0, F.lit("{oops")).when(n == 1, F.lit(head + tail + ', "ignore_patterns": " *.TXT, tests"}'))
+            .when(n == 2, F.lit(head + '"ignore_patterns": "*.md"}')).otherwise(F.lit(head + tail + ', "ignore_patterns": ""}')))
+    return parse_policies(roots.select("root_id", text.alias("policy"))).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 # ---------------------------------------------------------------- D14 / D16 / D17

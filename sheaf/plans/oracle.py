@@ -540,6 +540,13 @@ SELECT key, event_id, severity,
   CASE WHEN nxt IS NULL THEN ttl ELSE least(us + ttl, nxt) - us END AS shown_us,
   nxt IS NOT NULL AND nxt < us + ttl AS replaced
 FROM al2"""
+SQL["alerts_at"] = """WITH al AS (SELECT user_id % 10 AS key, event_id, epoch_us(ts) AS us,
+    CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'success' END AS severity FROM events),
+now AS (SELECT max(us) AS t FROM al),
+newest AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us DESC, event_id DESC) AS rn FROM al)
+SELECT key, event_id, severity, us + ttl - t AS left_us FROM (
+  SELECT *, CASE severity WHEN 'error' THEN 240000000 WHEN 'warning' THEN 180000000 ELSE 120000000 END AS ttl FROM newest, now WHERE rn = 1)
+WHERE t < us + ttl"""
 SQL["job_state"] = """SELECT job_id,
   arg_max(state, CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id) FILTER (WHERE state <> 'error') AS state,
   CAST(count_if(state = 'error') AS BIGINT) AS n_errors
@@ -593,6 +600,20 @@ FROM files WHERE regexp_matches(content, '[0-9]{3}-[0-9]{4}')"""
 SQL["multi_root_prompt"] = """WITH t AS (SELECT 'conv' || CAST(conv_id AS VARCHAR) AS root_id,
     CAST(turn AS VARCHAR) || '_' || role || '.md' AS rel_path, CAST(length(text) AS BIGINT) AS n_chars FROM conversations)
 SELECT row_number() OVER (ORDER BY root_id, lower(rel_path), rel_path) AS doc_pos, root_id, rel_path, n_chars FROM t"""
+CTE["conv_files"] = """files AS (SELECT 'conv' || CAST(conv_id AS VARCHAR) AS root_id,
+    CAST(turn AS VARCHAR) || '_' || role || '.md' AS rel_path, text AS content, conv_id AS doc_id FROM conversations)"""
+SQL["multi_root_document"] = with_("conv_files", "fanc", "entries", extra=tree_ctes(profiled=False)) + f""", ordered AS (
+  SELECT root_id, rel_path, row_number() OVER (PARTITION BY root_id ORDER BY {SK_CI}) AS seq FROM entries WHERE NOT is_dir),
+body AS (SELECT o.root_id, o.seq, '### ' || o.rel_path || chr(10) || chr(10) || '```markdown' || chr(10) ||
+    CASE WHEN ends_with(content, chr(10)) THEN content ELSE content || chr(10) END || '```' || chr(10) || chr(10) AS f
+  FROM ordered o JOIN files USING (root_id, rel_path)),
+r AS (SELECT DISTINCT root_id FROM files)
+SELECT root_id, 0 AS section, CAST(0 AS BIGINT) AS seq, '# Codebase Export' || chr(10) || chr(10) AS fragment FROM r
+UNION ALL SELECT root_id, 1, 0, '## Directory Structure' || chr(10) || chr(10) || '```' || chr(10) FROM r
+UNION ALL SELECT root_id, 2, pos, line FROM tree
+UNION ALL SELECT root_id, 3, 0, '```' || chr(10) || chr(10) FROM r
+UNION ALL SELECT root_id, 4, 0, '## Files' || chr(10) || chr(10) FROM r
+UNION ALL SELECT root_id, 5, seq, f FROM body"""
 SQL["incremental_tokens"] = """WITH v AS (SELECT source AS root_id, lang || '.md' AS path, doc_id,
     CAST((length(text) + 3) // 4 AS BIGINT) AS tokens FROM documents)
 SELECT root_id, path, doc_id, tokens,
@@ -630,8 +651,9 @@ SQL["export_prompt"] = _doc_sql("markdown") + """SELECT root_id, 'codebase_expor
   CAST(sum(strlen(fragment)) AS BIGINT) AS n_bytes FROM doc GROUP BY 1"""
 SQL["load_profiles"] = with_("files") + f"""SELECT root_id, CAST(i - 1 AS BIGINT) AS ord, pats[i] AS pattern FROM (
   SELECT root_id, pats, unnest(range(1, len(pats) + 1)) AS i FROM (
-    SELECT root_id, CASE WHEN CAST(regexp_extract(root_id, '(\\d+)$', 1) AS INTEGER) % 3 = 1
-        THEN ['*.TXT', 'tests'] ELSE [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}] END AS pats
+    SELECT root_id, CASE CAST(regexp_extract(root_id, '(\\d+)$', 1) AS INTEGER) % 4
+        WHEN 1 THEN ['*.TXT', 'tests'] WHEN 3 THEN [CAST(NULL AS VARCHAR)]
+        ELSE [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}] END AS pats
     FROM (SELECT DISTINCT root_id FROM files)))"""
 
 # the stacks as lists, one step a row number for all sessions at once
@@ -688,10 +710,8 @@ SELECT root_id, ancestor AS rel_path,
 FROM hanc GROUP BY 1, 2"""
 
 CTE["page_files"] = """files AS (
-  SELECT root_id, rel_path, arg_min(html, page_id) AS content, min(page_id) AS doc_id FROM (
-    SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS root_id,
-      CASE WHEN p = '' OR ends_with(p, '/') THEN p || 'index.html' ELSE p || '.html' END AS rel_path,
-      html, page_id
-    FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) AS p FROM pages))
-  GROUP BY 1, 2)"""
+  SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS root_id,
+    p || CASE WHEN p = '' OR ends_with(p, '/') THEN 'index' ELSE '' END || '~' || CAST(page_id AS VARCHAR) || '.html' AS rel_path,
+    html AS content, page_id AS doc_id
+  FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) AS p FROM pages))"""
 SQL["page_tree"] = with_("page_files", "fanc", "entries", "prof", extra=TREE) + "SELECT root_id, pos, line FROM tree"

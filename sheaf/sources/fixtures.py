@@ -82,20 +82,16 @@ def profiles(spark: SparkSession) -> DataFrame:
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as files: host = root, URL path (no query/fragment) = rel path.
 
-    Static-site layout: ``/a/b`` is the file ``a/b.html`` and ``/a/b/`` (or the
-    empty path) the index page ``a/b/index.html`` -- so a URL used both ways
-    never makes one path a file and a directory at once.  Repeated URLs are one
-    page (the lowest page_id), keeping paths unique as a corpus requires.
+    Static-site layout, one file a page: ``/a/b`` of page 7 is ``a/b~7.html`` and
+    ``/a/b/`` (or the empty path) ``a/b/index~7.html``, so all pages of a URL
+    stay and no path is a file and a directory at once.
     """
     p = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/?([^?#]*)", 1)
-    rel = F.when((path == "") | path.endswith("/"), F.concat(path, F.lit("index.html"))).otherwise(
-        F.concat(path, F.lit(".html")))
-    # a corpus has one file per path: a URL crawled twice is one page (the first crawled, lowest page_id)
-    return (p.select(host.alias("root_id"), rel.alias("rel_path"), "html", "page_id")
-            .groupBy("root_id", "rel_path")
-            .agg(F.min_by("html", "page_id").alias("content"), F.min("page_id").alias("page_id")))
+    index = F.when((path == "") | path.endswith("/"), "index").otherwise("")
+    rel = F.concat(path, index, F.lit("~"), F.col("page_id").cast("string"), F.lit(".html"))
+    return p.select(host.alias("root_id"), rel.alias("rel_path"), F.col("html").alias("content"), "page_id")
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

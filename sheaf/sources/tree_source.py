@@ -13,6 +13,7 @@ Rows: ``root_id, rel_path, is_dir, size`` and, with ``content=true``, the raw
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +22,29 @@ SCHEMA = "root_id string, rel_path string, is_dir boolean, size bigint"
 SCHEMA_WITH_CONTENT = SCHEMA + ", content binary"
 
 
+def root_ids(paths: list[str]) -> dict[str, str]:
+    """Root id -> absolute path: the last name, or the whole path where another root has the same name."""
+    roots = list(dict.fromkeys(os.path.abspath(p) for p in paths if p))
+    names = [os.path.basename(r) or r for r in roots]
+    return {n if names.count(n) == 1 else r: r for n, r in zip(names, roots)}
+
+
+def read_files(wanted, roots: dict[str, str]):
+    """``wanted(root_id, rel_path)`` with the bytes of each file as ``content`` (null if it cannot be read)."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            out = []
+            for root, rel in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    with open(os.path.join(roots[root], rel), "rb") as fh:
+                        out.append(fh.read())
+                except OSError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["root_id", "rel_path", "content"])
+    return wanted.select("root_id", "rel_path").mapInArrow(run, "root_id string, rel_path string, content binary")
+
+
 class _Part(InputPartition):
     def __init__(self, root: str, root_id: str, top: str | None):
         super().__init__((root, root_id, top))
@@ -29,18 +53,19 @@ class _Part(InputPartition):
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict, with_content: bool, max_depth: int | None):
-        self.roots = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
+        given = json.loads(options["paths"]) if options.get("paths") else [options["path"]] if options.get("path") else []
+        self.roots = root_ids(given)
         self.with_content = with_content
         self.max_depth = max_depth
 
     def partitions(self):
         parts = []
-        for root in self.roots:
-            root = os.path.abspath(root)
-            root_id = os.path.basename(root.rstrip("/")) or root
+        for root_id, root in self.roots.items():
             if not os.path.isdir(root):
                 continue
             parts.append(_Part(root, root_id, None))
+            if self.max_depth is not None and self.max_depth < 1:
+                continue
             try:
                 with os.scandir(root) as it:
                     for e in it:
@@ -68,6 +93,8 @@ class TreeReader(DataSourceReader):
         root, root_id, top = partition.root, partition.root_id, partition.top
         if top is None:  # the root row and top-level files
             yield self._row(root_id, "", True, root, None)
+            if self.max_depth is not None and self.max_depth < 1:
+                return
             try:
                 with os.scandir(root) as it:
                     for e in it:
@@ -104,9 +131,9 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """``spark.read.format("sheaf_tree").option("paths", "/a,/b").load()``.
+    """``spark.read.format("sheaf_tree").option("paths", '["/a", "/b"]').load()``.
 
-    Options: ``paths`` (comma-separated roots), ``content`` (true/false),
+    Options: ``paths`` (a JSON list of roots) or ``path`` (one root), ``content`` (true/false),
     ``maxDepth`` (keep entries with depth <= N).
     """
 
@@ -133,7 +160,7 @@ def read_tree(spark, paths: list[str], content: bool = False, max_depth: int | N
     """A1: listing rows of raw directory trees, shaped like ``derive_entries`` output."""
     from sheaf.operators.entries import _shape
     register(spark)
-    r = spark.read.format("sheaf_tree").option("paths", ",".join(paths)).option("content", str(content).lower())
+    r = spark.read.format("sheaf_tree").option("paths", json.dumps(list(paths))).option("content", str(content).lower())
     if max_depth is not None:
         r = r.option("maxDepth", str(max_depth))
     return _shape(r.load(), keep_content=content)

@@ -87,13 +87,32 @@ def error_items(sessionized: DataFrame) -> DataFrame:
     return head.unionByName(e.select("root_id", "batch_id", "seq", F.col("message").alias("item")))
 
 
+def _stream_batches(changes: DataFrame, gap: str, watermark: str):
+    return changes.withWatermark("ts", watermark).groupBy("root_id", F.session_window("ts", gap).alias("w"))
+
+
 def change_batches_stream(changes: DataFrame, gap: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """J1 streaming: session windows per root under a watermark (append mode emits closed batches)."""
+    """J1 streaming: session windows per root under a watermark (append mode emits closed batches).
+
+    The columns of :func:`batch_summary`; a window's state holds the distinct paths of one open batch.
+    """
     is_err = F.col("kind") == "error"
-    return (changes.withWatermark("ts", watermark)
-            .groupBy("root_id", F.session_window("ts", gap).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_events"), F.count(F.when(is_err, 1)).alias("n_errors"))
-            .select("root_id", F.col("w.start").alias("batch_start"), "n_events", "n_errors"))
+    a = _stream_batches(changes, gap, watermark).agg(
+        F.max("ts").alias("batch_last"), F.count(F.lit(1)).alias("n_events"),
+        F.size(F.collect_set(F.when(~is_err, F.col("path")))).cast("bigint").alias("n_paths"),
+        F.count(F.when(is_err, 1)).alias("n_errors"))
+    outcome = F.when(F.col("n_errors") > 0, F.lit("error")).otherwise(F.lit("changed"))
+    return a.select("root_id", F.col("w.start").alias("batch_start"), "batch_last", "n_events", "n_paths", "n_errors",
+                    outcome.alias("outcome"))
+
+
+def error_items_stream(changes: DataFrame, gap: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
+    """J3 streaming: ``(root_id, batch_start, seq, item)`` of every closed batch with errors, as :func:`error_items`."""
+    errors = F.array_sort(F.collect_list(F.when(F.col("kind") == "error", F.struct("ts", "event_id", "message"))))
+    a = _stream_batches(changes, gap, watermark).agg(errors.alias("e")).filter(F.size("e") > 0)
+    items = F.concat(F.array(F.lit(MSG_ERROR)), F.transform("e", lambda x: x["message"]))
+    return a.select("root_id", F.col("w.start").alias("batch_start"), F.posexplode(items).alias("seq", "item")).withColumn(
+        "seq", F.col("seq").cast("bigint"))
 
 
 def dirty_flags(changes: DataFrame, gen_kind: str = "create", change_kinds=("modify", "remove")) -> DataFrame:
@@ -133,6 +152,31 @@ def progress_summary(events: DataFrame) -> DataFrame:
                                                  F.max("total").alias("total"))
 
 
+def progress_stream(events: DataFrame) -> DataFrame:
+    """J5 streaming: :func:`progress_summary` as a running aggregation over progress events (complete or update mode)."""
+    return progress_summary(events)
+
+
+def alerts_at(alerts: DataFrame, at_us=None, key: str = "key") -> DataFrame:
+    """The alert of each key that is shown at ``at_us`` (default: the time of the last alert), and the time it has left.
+
+    The newest alert up to then replaces all before it; it is shown until its TTL ends.
+    """
+    a = alerts.select(key, "event_id", "severity", F.unix_micros("ts").alias("_us"), "ttl_us")
+    t = a.agg(F.max("_us")).first()[0] if at_us is None else at_us
+    if t is None:
+        t = 0
+    newest = a.filter(F.col("_us") <= t).groupBy(key).agg(F.max(F.struct("_us", "event_id", "severity", "ttl_us")).alias("m"))
+    return newest.select(key, "m.event_id", "m.severity", (F.col("m._us") + F.col("m.ttl_us") - t).alias("left_us")).filter(
+        F.col("left_us") > 0)
+
+
+def alerts_stream(alerts: DataFrame, key: str = "key") -> DataFrame:
+    """J6 streaming: the newest alert of each key with the time it ends at, as a running maximum (update mode)."""
+    m = F.max(F.struct(F.unix_micros("ts").alias("_us"), "event_id", "severity", "ttl_us")).alias("m")
+    return alerts.groupBy(key).agg(m).select(key, "m.event_id", "m.severity", (F.col("m._us") + F.col("m.ttl_us")).alias("until_us"))
+
+
 def alert_timeline(alerts: DataFrame, key: str = "key") -> DataFrame:
     """How long each alert is shown: until its TTL ends or a newer alert replaces it.
 
