@@ -16,6 +16,7 @@ from sheaf.functions import paths as P
 from sheaf.functions.classify import language_of, tokens_from_char_count
 from sheaf.operators.prune import prune
 from sheaf.plans.ordered import ordered_scan
+from sheaf.session import pinned_table
 
 # ---------------------------------------------------------------------------
 # Fixed values of the output formats (bytes must equal the reference's).
@@ -186,13 +187,14 @@ def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
 
     The fixed header/footer rows ride on each root's first selected row and the
     tree open/close rows on its first tree line (``inline`` of a small array),
-    instead of re-deriving root lists; the ordered selection is checkpointed,
-    so reading it twice costs no recomputation.
+    instead of re-deriving root lists; the ordered selection is stored, so
+    reading it twice costs no recomputation.
     """
     xml = fmt == "xml"
-    sel = preorder(selected.select("root_id", "rel_path", "ext", "is_dir"), ci=True, pos="seq")
+    sel = pinned_table(preorder(selected.select("root_id", "rel_path", "ext", "is_dir"), ci=True, pos="seq"), "selection")
     ok = contents.filter(F.col("error").isNull()).select("root_id", "rel_path", "content")
-    # inner join: AQE broadcasts the path-only selection when its checkpointed size is small
+    # inner join: Catalyst broadcasts the path-only selection while its stored size is under its threshold, and the
+    # contents then stay where they are
     files = sel.join(ok, ["root_id", "rel_path"])
     body = F.col("content") if transform is None else transform(F.col("content"))
 

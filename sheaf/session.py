@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings this library relies on for result equality with the oracle
 # (UTC session time) and for scale (AQE re-planning, skew-join splitting).
@@ -55,3 +56,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="sheaf-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def pinned_table(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read back.
+
+    Like a checkpoint it is one execution and safe from lost executors; besides, Catalyst knows its true size and so
+    picks a broadcast join by its own threshold.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pinned/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
