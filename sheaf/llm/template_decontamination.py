@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become sequences of template tokens: lower-case words, with numbers, names (capitalised words inside a sentence)
-and units (after a number) replaced by typed placeholders.  Windows of ``WINDOW`` template tokens are hash-joined with
+Texts become sequences of template tokens: lower-case words, with numbers, names (capitalised words inside a sentence,
+but not three or more in a row, as in headings) and units (after a number) replaced by typed placeholders.  Windows of ``WINDOW`` template tokens are hash-joined with
 the benchmark's.  Matches of a document and an item on one diagonal (equal shift) that cover enough of the item are a
 candidate; its slots, the original values behind the placeholders, must be consistent: equal item values stand for
 equal document values.  That catches verbatim copies and re-parameterised questions alike.
@@ -38,9 +38,14 @@ def canonical(df: DataFrame, text: str) -> DataFrame:
     """``df`` with ``__raw`` and ``__tpl``, arrays of equal length: original and template tokens of ``text``."""
     def template(token: Column, i: Column) -> Column:
         before, low = F.get("__tok", i - 1), F.lower(token)
+
+        def capital(j: Column) -> Column:
+            return F.coalesce(F.lower(F.get("__tok", j)) != F.get("__tok", j), F.lit(False))
+
+        heading = (capital(i - 1) & (capital(i + 1) | capital(i - 2))) | (capital(i + 1) & capital(i + 2))
         return (F.when(_is_number(token), "<num>")
                 .when(low.isin(UNITS) & _is_number(before), "<unit>")
-                .when((low != token) & (i > 0) & ~before.isin(STOPS) & token.rlike(r"^\p{Lu}\p{Ll}"), "<name>")
+                .when((low != token) & (i > 0) & ~before.isin(STOPS) & token.rlike(r"^\p{Lu}\p{Ll}") & ~heading, "<name>")
                 .otherwise(low))
 
     df = df.withColumn("__tok", _tokens(F.col(text)))
@@ -111,10 +116,13 @@ _UNITS = ", ".join(f"'{u}'" for u in UNITS)
 def _sql_side(name: str, table: str, key: str) -> str:
     """Template tokens of a table: one row for each text, with lists ``raw`` and ``tpl``."""
     return rf"""{name}_t AS (SELECT DISTINCT {key} AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tok FROM {table}),
-{name}_x AS (SELECT id, i, tok[i] AS t, CASE WHEN i > 1 THEN tok[i - 1] END AS b FROM (SELECT id, tok, unnest(range(1, len(tok) + 1)) AS i FROM {name}_t)),
+{name}_x AS (SELECT id, i, tok[i] AS t, CASE WHEN i > 1 THEN tok[i - 1] END AS b, i > 1 AND lower(tok[i - 1]) <> tok[i - 1] AS p1,
+      i > 2 AND lower(tok[i - 2]) <> tok[i - 2] AS p2, coalesce(lower(tok[i + 1]) <> tok[i + 1], FALSE) AS n1,
+      coalesce(lower(tok[i + 2]) <> tok[i + 2], FALSE) AS n2 FROM (SELECT id, tok, unnest(range(1, len(tok) + 1)) AS i FROM {name}_t)),
 {name}_c AS (SELECT id, i, t, CASE WHEN regexp_matches(t, '^[0-9]') THEN '<num>'
       WHEN lower(t) IN ({_UNITS}) AND regexp_matches(coalesce(b, ''), '^[0-9]') THEN '<unit>'
-      WHEN lower(t) <> t AND i > 1 AND b NOT IN ('.', '!', '?', chr(10)) AND regexp_matches(t, '^\p{{Lu}}\p{{Ll}}') THEN '<name>'
+      WHEN lower(t) <> t AND i > 1 AND b NOT IN ('.', '!', '?', chr(10)) AND regexp_matches(t, '^\p{{Lu}}\p{{Ll}}')
+           AND NOT ((p1 AND (n1 OR p2)) OR (n1 AND n2)) THEN '<name>'
       ELSE lower(t) END AS c FROM {name}_x WHERE t NOT IN ('.', '!', '?', chr(10))),
 {name} AS (SELECT id, list(t ORDER BY i) AS raw, list(c ORDER BY i) AS tpl FROM {name}_c GROUP BY id),
 {name}_w AS (SELECT id, i - 1 AS pos, array_to_string(tpl[i:i + {WINDOW - 1}], ' ') AS h, tpl[i:i + {WINDOW - 1}] AS parts

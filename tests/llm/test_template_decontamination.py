@@ -5,6 +5,7 @@ from sheaf.llm import template_decontamination as td
 
 ITEM = ("Yesterday Tom bought 12 red apples at the market for 3 dollars each. Later that same day he gave 5 apples to his "
         "friend Anna and ate 2 of the others. How many apples does Tom have left now?")
+PLAIN = "The quick red fox jumps over a lazy dog. Then it runs far away from the old farm. Nobody saw where it went."
 FILL = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x" for i in range(300))
 
 
@@ -17,11 +18,13 @@ def test_verbatim_and_reparameterised_are_caught_inconsistent_and_clean_are_not(
     other = ITEM.replace("Tom", "Peter").replace("Anna", "Maria").replace("12", "30").replace("5", "9").replace("dollars", "euros")
     mixed = ITEM.replace("Tom have", "Carl have")
     rows = [(1, FILL), (2, FILL + ". " + ITEM + " " + FILL), (3, other), (4, mixed), (5, ITEM.upper()), (6, ITEM.replace(",", "")),
-            (7, " ".join(ITEM.split()[4:24])), (8, "Tom bought 12 apples"), (9, None), (10, "")]
+            (7, " ".join(ITEM.split()[4:24])), (8, "Tom bought 12 apples"), (9, None), (10, ""), (11, ITEM.title()), (12, FILL + " " + ITEM.lower().replace(".", ""))]
     got = {r.doc_id: r for r in td.matches(docs(rows), bench([(77, ITEM), (78, "Too short"), (79, None)])).collect()}
-    assert set(got) == {2, 3, 5, 6, 7} | ({4} & set(got))
+    assert set(got) == {2, 3, 5, 6, 7, 11} | ({4, 12} & set(got))
     assert got[2].verbatim and not got[3].verbatim and got[2].matched_tokens == got[2].item_tokens == got[3].matched_tokens
     assert got[3].slots == 8 and {r.item_id for r in got.values()} == {77}
+    plain = td.matches(docs([(1, ITEM.title()), (2, PLAIN.title()), (3, PLAIN.lower()), (4, PLAIN.upper().replace(".", " "))]), bench([(1, PLAIN)]))
+    assert {r.doc_id for r in plain.collect()} == {2, 3, 4}
     full = [r for r in got.values() if r.doc_id == 4]
     assert not full or full[0].matched_tokens < got[2].matched_tokens
 
