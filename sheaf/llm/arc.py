@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.shared import binary_values
+from sheaf.llm.shared import binary_values, stored
 
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -203,7 +203,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_min_byte
     best = F.max(F.struct("source_id", "date", "record_id", "url")).alias("of")
     first = seen.groupBy("payload_digest", "payload_bytes").agg(best, F.count("*").alias("copies"))
     first = first.filter("copies > 1").select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "of.*")
-    first = first.toDF("d", "b", "of_source", "of_date", "of_record", "of_url")
+    first = stored(first.toDF("d", "b", "of_source", "of_date", "of_record", "of_url"), "copied")
     records = read_arc(spark, arc_path)
     hit = alike & (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")) & (F.col("of_record") != F.col("record_id"))
     rows = records.join(first, hit, "left").drop("d", "b")
