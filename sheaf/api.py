@@ -3,7 +3,7 @@
 from sheaf.operators.entries import corpus_contents, derive_entries, files_only, read_contents  # noqa: F401
 from sheaf.operators.metrics import (budget_breaches, event_gaps, last_n, latency_stats,  # noqa: F401
                                      metric_growth, running_progress)
-from sheaf.operators.pack import budget_shares, model_fit, pack_by_offset, pack_next_fit  # noqa: F401
+from sheaf.operators.pack import budget_shares, model_fit, pack_next_fit  # noqa: F401
 from sheaf.operators.prune import prune  # noqa: F401
 from sheaf.operators.render import (document_stats, export, failed_summary, fragments,  # noqa: F401
                                     preorder, tree_lines)

@@ -50,11 +50,6 @@ def files_only(entries: DataFrame) -> DataFrame:
     return entries.filter(~F.col("is_dir"))
 
 
-def children_of(entries: DataFrame, root_id: str, parent: str) -> DataFrame:
-    """A2: one-level listing under ``parent`` (filter on stored columns)."""
-    return entries.filter((F.col("root_id") == root_id) & (F.col("parent") == parent))
-
-
 NOT_FOUND_ERROR = "Failed to read file: not found"
 TRAVERSAL_ERROR = "Security error: path traversal detected"
 UTF8_ERROR = "Failed to read file: stream did not contain valid UTF-8"

@@ -2,11 +2,8 @@
 
 * ``pack_next_fit`` (L1): greedy next-fit of files, in document order, into
   sessions of at most ``budget`` tokens (a file larger than the budget gets a
-  session of its own).  The sequential fold runs as a distributed chain of
-  "next session start" pointers (``plans.chains``).
-* ``pack_by_offset``: the scalable approximation -- session = floor(start
-  offset / budget) from a skew-safe running sum (sessions may exceed the
-  budget by the straddling file).
+  session of its own).  The sequential fold runs distributed, in three passes
+  (``plans.chains``).
 * ``budget_shares`` (L2): per (root, class) running sums against a share of
   the budget -- skew-safe ordered scan.
 * ``model_fit`` (L3): a fixed limits list unpivoted per document, no join.
@@ -49,12 +46,6 @@ def pack_next_fit(items: DataFrame, budget: int = SESSION_BUDGET) -> DataFrame:
                              budget)
 
 
-def pack_by_offset(items: DataFrame, budget: int = SESSION_BUDGET) -> DataFrame:
-    """Skew-safe approximation of L1: session = floor(tokens before the item / budget)."""
-    x = ordered_scan(items.select("root_id", "seq", "tokens"), ["root_id"], ["seq"], cumsum={"_cum": "tokens"})
-    return x.withColumn("session", F.floor((exact_long("_cum") - F.col("tokens")) / budget).cast("bigint")).drop("_cum")
-
-
 def budget_shares(items: DataFrame, budget: int, shares: dict[str, float] = SHARES) -> DataFrame:
     """L2: keep items while the running tokens of their (root, class) stay within the class share."""
     share = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(int(budget * v)))])

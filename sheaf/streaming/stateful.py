@@ -3,9 +3,7 @@
 Streaming: ``transformWithStateInPandas`` with per-key state (a timestamp, or
 three bounded snapshot stacks); micro-batches bound what a task holds.
 Batch: the throttle's batch twin is the distributed chain fold in
-``plans.chains`` and the history replay is ``plans.history.replay``;
-``history_batch`` below (one ``applyInPandas`` group per session) is the
-sequential definition the tests compare against, not a production path.
+``plans.chains`` and the history replay is ``plans.history.replay``.
 The per-key folds themselves are small pure-Python helpers.
 """
 
@@ -121,21 +119,6 @@ def _empty_history() -> dict:
     return {"current": [], "past": [], "future": []}
 
 
-def history_batch(sel_ops: DataFrame) -> DataFrame:
-    """J8 sequential definition (tests): replay each session's ops in (ts, event_id) order."""
-    def per_session(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-        ops = [(int(e), o, list(p) if p is not None else []) for e, o, p in
-               zip(pdf["event_id"], pdf["op"], pdf["paths"])]
-        _, out = history_fold(_empty_history(), ops)
-        res = pd.DataFrame(out, columns=["event_id", "op", "applied", "past_len", "future_len", "current"])
-        res.insert(0, "session_id", int(pdf["session_id"].iloc[0]))
-        return res
-
-    return (sel_ops.select("session_id", "ts", "event_id", "op", "paths")
-            .groupBy("session_id").applyInPandas(per_session, HISTORY_OUT))
-
-
 def history_stream(sel_ops: DataFrame) -> DataFrame:
     """J8 streaming: the three bounded stacks live in one ValueState per session."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle

@@ -40,7 +40,7 @@ def test_throttle_matches_sequential(spark):
 
 def test_history_replay_matches_sequential_with_hot_session(spark):
     from sheaf.plans.history import replay
-    from sheaf.streaming.stateful import history_batch
+    from tests.definitions import history_batch
     rnd = random.Random(9)
     rows = []
     for e in range(1500):

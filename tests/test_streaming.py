@@ -9,6 +9,7 @@ from sheaf.sources import fixtures as FX
 from sheaf.streaming import changes as CH
 from sheaf.streaming import stateful as ST
 from tests.conftest import SF_SMALL
+from tests.definitions import history_batch
 
 
 def _write_changes(spark):
@@ -52,7 +53,7 @@ def test_history_stream_equals_batch(spark):
     s = spark.readStream.schema(ops.schema).parquet(d)
     _run(ST.history_stream(s), "j8_stream")
     got = sorted(tuple(r) for r in spark.table("j8_stream").collect())
-    want = sorted(tuple(r) for r in ST.history_batch(ops).collect())
+    want = sorted(tuple(r) for r in history_batch(ops).collect())
     assert got == want
     assert max(r[4] for r in want) <= ST.HISTORY_DEPTH
 
