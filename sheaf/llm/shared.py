@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,18 +35,41 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/llm/{uuid.uuid4().hex}/{label}"
 
 
+_temporary: list[list[str]] = []  # paths written inside of each open `temporary_tables`
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs no recomputation upstream, several consumers read one execution,
-    and Catalyst knows the table's true size when it picks a join.
+    and Catalyst knows the table's true size when it picks a join.  The table stays until the caller's
+    ``temporary_tables`` closes, else until the cluster clears the folder.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _temporary:
+        _temporary[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, in whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``stored`` writes inside of this block at its end; results must have been written by then."""
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            drop_path(spark, path)
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's identity and content; rows equal in both are interchangeable."""
     return F.xxhash64(*[F.col(c) for c in cols])
