@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import paths as P
 from sheaf.functions.classify import tokens_from_bytes
 from sheaf.functions.patterns import fuzzy_regex
+from sheaf.session import pinned_table
 
 CHECKED, UNCHECKED, INDETERMINATE = "checked", "unchecked", "indeterminate"
 
@@ -35,11 +36,16 @@ def expand(entries: DataFrame, picks: DataFrame) -> DataFrame:
     picked itself or its parent is checked, so files meet one row of their own
     path and one of their parent's.  Picks that name pruned or missing paths
     match nothing.
+
+    Picks and checked directories are stored first: their true size lets
+    Catalyst broadcast them under its threshold, and the entries then stay
+    where they are.
     """
-    p = picks.select("root_id", "rel_path").distinct()
+    p = pinned_table(picks.select("root_id", "rel_path").distinct(), "picks")
     up = (entries.filter("is_dir").select("root_id", "rel_path", F.explode(P.ancestors_or_self("rel_path")).alias("ancestor"))
           .join(p.withColumnRenamed("rel_path", "ancestor"), ["root_id", "ancestor"], "left_semi")
-          .select("root_id", F.col("rel_path").alias("_dir")).distinct().withColumn("_up", F.lit(True)))
+          .select("root_id", F.col("rel_path").alias("_dir")).distinct())
+    up = pinned_table(up, "checked").withColumn("_up", F.lit(True))
     own = p.withColumn("_hit", F.lit(True))
     return (entries.withColumn("_dir", F.when(F.col("is_dir"), F.col("rel_path")).otherwise(F.col("parent")))
             .join(own, ["root_id", "rel_path"], "left").join(up, ["root_id", "_dir"], "left")
@@ -59,6 +65,7 @@ def rollup(states: DataFrame) -> DataFrame:
     as one leaf of its own.  A file's state is its own flag, so files take part
     in one partial aggregation and no join but the last, by their unique path.
     """
+    states = pinned_table(states, "states")  # read five times below, by column
     directory = F.col("is_dir")
     files = states.filter(~directory).groupBy("root_id", F.col("parent").alias("_dir")).agg(
         F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("checked"), 1)).alias("_c"))

@@ -80,3 +80,13 @@ def test_tree_source_lists_hidden_and_directories(spark, tmp_path):
     assert rows["dir1"]["is_dir"] and rows["file1.txt"]["size"] == 7
     assert bytes(rows["file1.txt"]["content"]) == b"content"
     assert read_tree(spark, [str(tmp_path / "missing")]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["render_audit", "match_navigation", "bytes_read", "utf8_errors", "changed_sections", "progress_pct",
+                                  "node_counts"])
+def test_no_text_in_exchanges(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    mode = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    for node in df._jdf.queryExecution().explainString(mode).split("\n\n"):
+        if re.match(r"\(\d+\) (Broadcast)?Exchange", node):
+            assert not re.search(r"\b(content|text|fragment|_raw|html)#", node), (name, node)
