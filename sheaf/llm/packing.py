@@ -26,7 +26,7 @@ from sheaf.llm.shared import slices, stored
 
 WINDOW = 2048
 END_ID = 1
-_CACHE_ATOMS = 800_000
+_CACHE_ATOMS = 400_000
 _CLOSING = ".,;:!?"
 _PLAIN = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[{_CLOSING}]*$"
 _tokenizers: dict[str, WordIds] = {}
