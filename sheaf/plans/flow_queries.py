@@ -8,11 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import classify as C
-from sheaf.functions.patterns import DEFAULT_PATTERNS, component_regex
+from sheaf.functions.patterns import component_regex
 from sheaf.operators import entries as EN
 from sheaf.operators import pack as PK
 from sheaf.operators import render as R
 from sheaf.operators import search as SR
+from sheaf.operators.projects import project_profiles
 from sheaf.plans.ordered import ordered_scan
 from sheaf.plans.queries import contents, corpus_entries, query, selected
 from sheaf.session import ensure_checkpoint_dir
@@ -30,7 +31,6 @@ INCLUDE_GLOBS = ["*.{rs,py}", "Doc_*"]
 MAX_FILE_BYTES = 4096
 MAX_FILES = 10
 SUGGESTIONS = 10
-PROJECT_PRESETS = {"rs": ["target"], "py": ["__pycache__"], "js": ["node_modules", "dist"], "md": ["_build"]}
 SHARE_BUDGET = 20000
 SHARES = {"code": 0.6, "tests": 0.2, "docs": 0.2}
 # ---------------------------------------------------------------------------
@@ -251,14 +251,8 @@ def q_incremental_tokens(spark, sf):
 
 @query("project_profiles")
 def q_project_profiles(spark, sf):
-    """Project type per root = most frequent extension; its ignore preset (default otherwise)."""
-    f = EN.files_only(corpus_entries(spark, sf))
-    cnt = f.groupBy("root_id", "ext").agg(F.count(F.lit(1)).alias("n"))
-    typ = cnt.groupBy("root_id").agg(F.max_by("ext", F.struct("n", "ext")).alias("project_type"))
-    m = F.create_map(*[x for k, v in PROJECT_PRESETS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    pats = F.coalesce(F.try_element_at(m, F.col("project_type")), F.array(*map(F.lit, DEFAULT_PATTERNS)))
-    return typ.select("root_id", "project_type", F.posexplode(pats).alias("ord", "pattern")).withColumn(
-        "ord", F.col("ord").cast("bigint"))
+    """Project type per root (marker file, else most files of a known kind) and its ignore preset."""
+    return project_profiles(corpus_entries(spark, sf)).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 @query("include_patterns")

@@ -621,15 +621,17 @@ SELECT root_id, path, doc_id, tokens,
   tokens - first(tokens) OVER (PARTITION BY root_id, path ORDER BY doc_id
                                ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS running_delta
 FROM v"""
-SQL["project_profiles"] = with_(*BASE) + f""", cnt AS (SELECT root_id, ext, count(*) AS n FROM entries
-  WHERE NOT is_dir GROUP BY 1, 2),
-typ AS (SELECT root_id, first(ext ORDER BY n DESC, ext DESC) AS project_type FROM cnt GROUP BY 1),
-pre AS (SELECT * FROM (VALUES ('rs', ['target']), ('py', ['__pycache__']), ('js', ['node_modules', 'dist']),
-                              ('md', ['_build'])) p(t, pats))
-SELECT root_id, project_type, CAST(i - 1 AS BIGINT) AS ord, pats[i] AS pattern FROM (
-  SELECT t.root_id, t.project_type, coalesce(p.pats, [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}]) AS pats,
-         unnest(range(1, len(coalesce(p.pats, [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}])) + 1)) AS i
-  FROM typ t LEFT JOIN pre p ON p.t = t.project_type)"""
+SQL["project_profiles"] = with_(*BASE) + f""", known(ext, t) AS (VALUES ('rs', 'rust'), ('js', 'node'), ('ts', 'node'), ('py', 'python'), ('java', 'java')),
+cnt AS (SELECT root_id, t, count(*) AS n FROM entries JOIN known USING (ext) WHERE NOT is_dir GROUP BY 1, 2),
+typ AS (SELECT r.root_id, coalesce(x.t, 'default') AS project_type FROM (SELECT DISTINCT root_id FROM entries) r
+        LEFT JOIN (SELECT root_id, first(t ORDER BY n DESC, t DESC) AS t FROM cnt GROUP BY 1) x USING (root_id)),
+pre(t, pats) AS (VALUES ('node', ['node_modules', 'dist', 'build', 'coverage', '*.log', '.nyc_output', 'npm-debug.log*']),
+  ('rust', ['target', 'Cargo.lock', '*.pdb', '*.exe', '*.so', '*.dylib']),
+  ('python', ['__pycache__', '*.pyc', '*.pyo', 'venv', 'env', '.pytest_cache', 'dist', 'build']),
+  ('java', ['target', '*.class', '*.jar', '*.war', '*.ear', '*.iml']),
+  ('default', [{", ".join(sql_str(x) for x in DEFAULT_PATTERNS)}]))
+SELECT root_id, project_type, CAST(i - 1 AS BIGINT) AS ord, pats[i] AS pattern
+FROM (SELECT root_id, project_type, pats, unnest(range(1, len(pats) + 1)) AS i FROM typ JOIN pre ON t = project_type)"""
 SQL["include_patterns"] = with_(*BASE) + """SELECT root_id, rel_path FROM entries
 WHERE NOT is_dir AND (name GLOB '*.rs' OR name GLOB '*.py' OR name GLOB 'Doc_*')"""
 SQL["max_file_size"] = with_(*SELECTED) + f"""SELECT root_id, rel_path, size, rank FROM (

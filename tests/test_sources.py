@@ -113,3 +113,15 @@ def test_alerts_and_progress_streams(spark):
     ev.write.mode("overwrite").parquet(p)
     _run(CH.progress_stream(spark.readStream.schema(ev.schema).parquet(p)), "j5_stream", "complete")
     assert [tuple(r) for r in spark.table("j5_stream").collect()] == [("r", "reading", 3, 3, 3)]
+
+
+def test_project_types_by_marker_then_extension(spark):
+    from sheaf.operators.projects import project_profiles, project_types
+    names = {"m": ["Cargo.toml", "package.json", "a.py", "b.py"], "deep": ["x/Cargo.toml", "a.py", "b/c.js", "d.py"], "none": ["a.txt"],
+             "tie": ["a.rs", "b.py"], "setup": ["setup.py", "a.rs", "b.rs"]}
+    f = spark.createDataFrame([(r, n, "x") for r, ns in names.items() for n in ns], "root_id string, rel_path string, content string")
+    e = EN.derive_entries(f)
+    assert {r["root_id"]: r["project_type"] for r in project_types(e).collect()} == {
+        "m": "rust", "deep": "python", "none": "default", "tie": "rust", "setup": "python"}
+    got = [r["pattern"] for r in project_profiles(e).filter("root_id = 'none'").orderBy("ord").collect()]
+    assert got == DEFAULT_PATTERNS
