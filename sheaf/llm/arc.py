@@ -86,7 +86,8 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 
 
 def _write(records: DataFrame, path: str, end: str) -> None:
-    records.select(F.col("value").cast("string")).write.option("lineSep", end).option("compression", "gzip").text(path)
+    out = records.select(F.col("value").cast("string")).write.option("lineSep", end)
+    out.options(compression="gzip", **{"zlib.compress.level": "BEST_SPEED"}).text(path)
 
 
 def _open(content: bytes) -> BinaryIO:
