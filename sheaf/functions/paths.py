@@ -23,13 +23,13 @@ def components(rel) -> Column:
 def depth(rel) -> Column:
     """0 for the root, else the number of components."""
     rel = _c(rel)
-    return F.when(rel == "", F.lit(0)).otherwise(F.size(F.split(rel, "/")))
+    return F.when(rel == "", F.lit(0)).otherwise(F.length(rel) - F.length(F.replace(rel, F.lit("/"), F.lit(""))) + 1)
 
 
 def file_name(rel, root_name=None) -> Column:
     """Last component; the root's name is its root id."""
     rel = _c(rel)
-    last = F.element_at(F.split(rel, "/"), -1)
+    last = F.substring_index(rel, "/", -1)
     if root_name is None:
         return last
     return F.when(rel == "", _c(root_name)).otherwise(last)
@@ -38,7 +38,9 @@ def file_name(rel, root_name=None) -> Column:
 def parent_path(rel) -> Column:
     """Parent rel path; NULL for the root, ``''`` for top-level entries."""
     rel = _c(rel)
-    return F.when(rel == "", F.lit(None).cast("string")).otherwise(F.regexp_replace(rel, "/?[^/]+$", ""))
+    last = F.length(F.substring_index(rel, "/", -1))
+    return F.when(rel == "", F.lit(None).cast("string")).otherwise(
+        F.substring(rel, F.lit(1), F.greatest(F.length(rel) - last - 1, F.lit(0))))
 
 
 def extension(name) -> Column:

@@ -38,8 +38,13 @@ def pruned_entries(spark, sf):
     return prune(corpus_entries(spark, sf), profiles=FX.profiles(spark))
 
 
+def nodes(entries):
+    """What selection needs of an entry: the other columns would be derived and stored for nothing."""
+    return entries.select("root_id", "rel_path", "parent", "is_dir")
+
+
 def states(spark, sf):
-    return S.selection_states(pruned_entries(spark, sf), FX.picks(spark, sf))
+    return S.selection_states(nodes(pruned_entries(spark, sf)), FX.picks(spark, sf))
 
 
 def selected(spark, sf):

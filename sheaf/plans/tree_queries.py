@@ -15,7 +15,8 @@ from sheaf.operators import search as SR
 from sheaf.operators import select as S
 from sheaf.operators.prune import prune
 from sheaf.plans.ordered import ordered_scan
-from sheaf.plans.queries import contents, corpus_entries, full_path, pruned_entries, query, selected
+from sheaf.plans.queries import contents, corpus_entries, full_path, nodes, pruned_entries, query, selected
+from sheaf.session import pinned_table
 from sheaf.sources import fixtures as FX
 
 # ---------------------------------------------------------------------------
@@ -348,7 +349,7 @@ def _picks_files_only(spark, sf):
 @query("selection_diff")
 def q_selection_diff(spark, sf):
     """G1: files added/removed when directory picks are applied on top of file picks."""
-    pr = pruned_entries(spark, sf)
+    pr = nodes(pruned_entries(spark, sf))
     before = S.selected_flat(S.selection_states(pr, _picks_files_only(spark, sf)))
     after = S.selected_flat(S.selection_states(pr, FX.picks(spark, sf)))
     return S.diff(before, after)
@@ -415,7 +416,7 @@ def q_search_visible(spark, sf):
 def q_reload_with_patterns(spark, sf):
     """H7: re-prune with the 'minimal' preset; surviving picks re-expanded."""
     pr = prune(corpus_entries(spark, sf), patterns=PRESETS["minimal"])
-    return S.selected_flat(S.selection_states(pr, FX.picks(spark, sf))).select("root_id", "rel_path")
+    return S.selected_flat(S.selection_states(nodes(pr), FX.picks(spark, sf))).select("root_id", "rel_path")
 
 
 @query("hierarchy_rollup")
@@ -425,10 +426,10 @@ def q_hierarchy_rollup(spark, sf):
     Nodes are paths: lines repeating an (order, line) pair are one leaf, checked
     when any of them is picked (picks select paths).
     """
-    h = FX.hierarchy(spark, sf)
+    h = pinned_table(FX.hierarchy(spark, sf), "lines")  # the listing is a stored table, as entries are
     e = EN.derive_entries(h.select("root_id", "rel_path", F.lit(None).cast("bigint").alias("size")))
     picks = h.filter("picked").select("root_id", "rel_path")
-    return S.selection_states(e, picks).filter("is_dir").select("root_id", "rel_path", "state")
+    return S.selection_states(nodes(e), picks).filter("is_dir").select("root_id", "rel_path", "state")
 
 
 @query("page_tree")
