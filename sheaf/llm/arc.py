@@ -153,7 +153,7 @@ def _number(text: str | None) -> int | None:
 def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """One row for each record of the ARC files under ``path``, with its payload if asked for.
 
-    ``kind`` is ``warcinfo`` for a version block, ``response`` for an HTTP block, else ``resource``.  ``record_id`` is
+    ``kind`` is ``warcinfo`` for the version block (the first record only), ``response`` for an HTTP block, else ``resource``.  ``record_id`` is
     derived from the archive's name and the record's place, ``date`` is in ISO form.  An empty file has no record.
     """
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
@@ -167,7 +167,7 @@ def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                 rows, held = [], 0
                 for place, (version, f, block, cut) in enumerate(arc_records(content.as_py())):
                     head, body = split_http(block)
-                    kind = "warcinfo" if f["URL"].startswith("filedesc:") else "response" if head else "resource"
+                    kind = "warcinfo" if not place and f["URL"].startswith("filedesc:") else "response" if head else "resource"
                     rows.append((f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{place}')}", version,
                                  _number(header(head, SOURCE_ID)), f["URL"], f["IP-address"], iso_date(f["Archive-date"]),
                                  f["Content-type"], kind, cut, head, sha1_base32(body), len(body), body)[:len(names)])

@@ -72,3 +72,13 @@ def test_small_payloads_stay_and_empty_table(spark):
     arc.write_arc(pages.filter("false"), legacy)
     arc.convert(spark, legacy, out)
     assert arc.read_warc(spark, out).filter("record_type <> 'warcinfo'").count() == 0
+
+
+def test_a_page_with_the_url_of_a_version_block_is_a_page(spark):
+    pages = spark.createDataFrame([(1, "filedesc://x", "same"), (2, "http://x/2", "same"), (3, "filedesc:y", "other")],
+                                  "page_id long, url string, html string").coalesce(1)
+    legacy, out = new_path(spark, "arc"), new_path(spark, "warc")
+    arc.write_arc(pages, legacy)
+    arc.convert(spark, legacy, out)
+    got = {r.source_id: (r.record_type, r.refers_to) for r in arc.read_warc(spark, out).filter("record_type <> 'warcinfo'").collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None)}
