@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import arc, collinear_chains, column_bwt, cross_parsing, host_quality, maxent_lm, packing, simhash_vptree, template_decontamination, url_templates
+from sheaf.llm import arc, collinear_chains, column_bwt, cross_parsing, host_quality, maxent_lm, packing, piece_encoding, simhash_vptree, template_decontamination, url_templates
 from sheaf.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = column_bwt.remove(read(spark, sf_dir, "documents"), length=400)
     return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_piece_encoding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the ids of a merge-type model, and decoded again."""
+    return piece_encoding.digests(read(spark, sf_dir, "documents"))
