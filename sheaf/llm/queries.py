@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import arc, collinear_chains, column_bwt, cross_parsing, host_quality, maxent_lm, packing, piece_encoding, simhash_vptree, template_decontamination, url_templates
+from sheaf.llm import arc, collinear_chains, column_bwt, cross_parsing, host_quality, maxent_lm, packing, piece_encoding, prefix_trie, ranked_search, simhash_vptree, template_decontamination, url_templates
 from sheaf.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,7 +110,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_ranked_search")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for each benchmark item."""
+    return ranked_search.search(read(spark, sf_dir, "benchmark"), ranked_search.index(read(spark, sf_dir, "documents")))
+
+
+SQL["op11_ranked_search"] = ranked_search.SQL
+
+
 @query("op12_piece_encoding")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the ids of a merge-type model, and decoded again."""
     return piece_encoding.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.branched_trie(read(spark, sf_dir, "conversations"))
+
+
+SQL["op13_prefix_trie"] = prefix_trie.SQL
