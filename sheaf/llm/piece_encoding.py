@@ -11,7 +11,7 @@ crosses do not know of each other, so a row is right if no border is crossed, an
 3. A character without a piece stands alone and is written as the pieces of its UTF-8 bytes.
 
 Texts are first cut where no piece of the vocabulary can cross, before white space and around characters without a
-piece; each distinct part is encoded once while the cache lasts.
+piece; a distinct word is encoded once while the cache lasts.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -33,9 +34,10 @@ from sheaf.llm.shared import binary_values, slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-_CACHE_PARTS = 200_000
+BORDER = "\ue000"
+_CACHE_WORDS = 500_000
 _CACHE_PAIRS = 500_000
-_CACHED_LENGTH = 64
+_JOINED_WORDS = 20_000
 _models: dict[str, Pieces] = {}
 
 
@@ -66,8 +68,13 @@ class Pieces:
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         part = "(?s:.+)" if crossing else f"{SPACE}*[^{SPACE}{loose}]+|{SPACE}+" + (f"|[{loose}]" if loose else "")
         self.parts = re.compile(part)
+        self.crossing = crossing or any(BORDER in p for p in self.ids)
         self.pairs: dict[tuple[str | None, str], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = _Parts(self)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by its merges: the best pair first, the leftmost of equals."""
@@ -101,34 +108,97 @@ class Pieces:
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text, by backtracking."""
-        longest = self.longest(text)
-        open_ = bytearray(b"\1") * (len(text) + 1)
+        longest, size = self.longest(text), len(text)
+        open_ = bytearray(b"\1") * (size + 1)
+        pairs, shorter = self.pairs, self.shorter
         pieces: list[str] = []
-        at, piece = 0, longest[0] if text else None
-        while at < len(text):
-            last = pieces[-1] if pieces else None
-            while piece is not None and not (open_[at + len(piece)] and self.compatible(last, piece)):
-                piece = self.shorter.get(piece)
+        at, last, piece = 0, None, longest[0] if text else None
+        while at < size:
+            while piece is not None:
+                end = at + len(piece)
+                if open_[end]:
+                    fits = pairs.get((last, piece))
+                    if fits or fits is None and self.compatible(last, piece):
+                        break
+                piece = shorter.get(piece)
             if piece is not None:
                 pieces.append(piece)
-                at += len(piece)
-                piece = longest[at] if at < len(text) else None
+                at, last = end, piece
+                piece = longest[at] if at < size else None
             elif last is None:
                 raise ValueError(f"no row of pieces for {text!r}")
             else:
                 open_[at] = 0
                 piece = pieces.pop()
                 at -= len(piece)
+                last = pieces[-1] if pieces else None
         return pieces
 
-    def encode(self, text: str) -> Iterator[int]:
+    def ids_of(self, pieces: list[str]) -> list[int]:
+        """The ids of a row of pieces; a character without a piece is its UTF-8 bytes."""
+        ids: list[int] = []
+        known = self.ids.get
+        for piece in pieces:
+            found = known(piece)
+            if found is not None:
+                ids.append(found)
+            else:
+                ids += [self.byte_ids[b] for b in piece.encode()]
+        return ids
+
+    def encode(self, text: str) -> list[int]:
         """The ids of a text, without an end id."""
-        if not text:
-            return iter(())
-        if len(self.cache) > _CACHE_PARTS:
-            self.cache.clear()
-        marked = SPACE + text.replace(" ", SPACE)
-        return itertools.chain.from_iterable(map(self.cache.__getitem__, self.parts.findall(marked)))
+        return self._marked_ids(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def _marked_ids(self, marked: str) -> list[int]:
+        return list(itertools.chain.from_iterable((self.ids_of(self.split(part)) for part in self.parts.findall(marked))))
+
+    def _words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words behind a space mark each, and the count of each: one text with borders that nothing crosses."""
+        joined = BORDER.join([SPACE + w for w in words])
+        if joined.count(BORDER) >= len(words):  # some word has the border's character
+            own = [self._marked_ids(SPACE + w) for w in words]
+            return np.fromiter(itertools.chain.from_iterable(own), np.int32), np.array([len(x) for x in own])
+        self.ids[BORDER] = -1
+        ids = np.array(self.ids_of(self.split(joined)), np.int32)
+        del self.ids[BORDER]
+        border = np.flatnonzero(ids < 0)
+        return ids[ids >= 0], np.diff(np.concatenate([[-1], border, [len(ids)]])) - 1
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without end ids.
+
+        Where no piece crosses into white space, a text without runs of spaces is its words, each behind one space mark;
+        these are looked up as a whole, a distinct word once.
+        """
+        whole = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, SPACE))
+        apart = whole.to_numpy(zero_copy_only=False) | self.crossing
+        if len(self.words) > _CACHE_WORDS:
+            self._forget()
+        split = pc.split_pattern(texts.filter(pa.array(~apart)), " ")
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        fresh = [w for w in names if w not in self.words]
+        if fresh:
+            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+            for lo in range(0, len(fresh), _JOINED_WORDS):
+                ids, sizes = self._words_ids(fresh[lo:lo + _JOINED_WORDS])
+                self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+                self.flat = np.append(self.flat, ids)
+        rows = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        size = np.diff(self.starts)[rows]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.starts[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        spaced = iter(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        out = []
+        for one, text in zip(apart.tolist(), texts, strict=True):
+            if one:
+                out.append(np.array(self.encode(text.as_py()), np.int32))
+            else:
+                lo, hi = next(spaced)
+                out.append(ids[lo:hi] if text.as_buffer().size else ids[:0])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of any row of ids: pieces with their spaces, runs of bytes as UTF-8 (a byte that is no part of a
@@ -149,21 +219,14 @@ class Pieces:
         return "".join(out)
 
 
-class _Parts(dict):
-    """Ids of the parts met so far."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        p = self.pieces
-        ids: list[int] = []
-        for piece in p.split(part):
-            found = p.ids.get(piece)
-            ids += [found] if found is not None else [p.byte_ids[b] for b in piece.encode()]
-        if len(part) <= _CACHED_LENGTH:
-            self[part] = tuple(ids)
-        return tuple(ids)
+def _valid(texts: pa.Array) -> pa.Array:
+    """``texts`` without nulls and bytes that are no UTF-8."""
+    filled = texts.fill_null("").cast(pa.string())
+    try:
+        filled.validate(full=True)
+        return filled
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in binary_values(filled)], pa.string())
 
 
 def _characters(data: bytes) -> str:
@@ -208,8 +271,7 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", model: str |
         for whole in batches:
             for batch in slices(whole, text):
                 ids, ends = [], [0]
-                for data in binary_values(batch.column(batch.schema.get_field_index(text))):
-                    got = np.fromiter(own.encode((data or b"").decode("utf-8", "replace")), np.int32)
+                for got in own.encode_all(_valid(batch.column(batch.schema.get_field_index(text)))):
                     ids += [got, [own.end]]
                     ends.append(ends[-1] + len(got) + 1)
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
