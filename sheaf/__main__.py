@@ -37,7 +37,8 @@ def main(argv=None) -> None:
     from sheaf.operators import select as S
     from sheaf.operators.prune import prune
     from sheaf.session import ensure_checkpoint_dir, local_session
-    from sheaf.sources.tree_source import read_files, read_tree, root_ids
+    from sheaf.sources.tree_listing import read_tree
+    from sheaf.sources.tree_source import read_files, root_ids
 
     spark = SparkSession.getActiveSession() or local_session()
     ensure_checkpoint_dir(spark)

@@ -14,7 +14,8 @@ from sheaf.plans.chains import next_fit_sessions, throttle_reports  # noqa: F401
 from sheaf.plans.history import replay  # noqa: F401
 from sheaf.plans.ordered import ordered_scan  # noqa: F401
 from sheaf.sources.policy import parse_policies, read_policies  # noqa: F401
-from sheaf.sources.tree_source import read_files, read_tree  # noqa: F401
+from sheaf.sources.tree_listing import list_tree, read_tree  # noqa: F401
+from sheaf.sources.tree_source import read_files  # noqa: F401
 from sheaf.streaming.changes import (accepted, batch_summary, change_batches_stream, dirty_flags,  # noqa: F401
                                      read_change_stream, sessionize)
 from sheaf.streaming.stateful import history_stream, throttle_stream  # noqa: F401

@@ -1,4 +1,6 @@
-"""A1 over raw storage: a Python DataSource listing directory trees.
+"""A1 over local storage as a table format: a Python DataSource listing directory trees.
+
+``tree_listing.read_tree`` lists trees of any shape and store; this format serves ``spark.read.format``.
 
 ``binaryFile`` drops names starting with '.' or '_' and lists no directories,
 so a listing source of our own is needed for raw trees.  Partitioning: one
@@ -18,17 +20,13 @@ import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sheaf.sources.stores import join, read_bytes, root_ids
+from sheaf.sources.tree_listing import read_tree  # noqa: F401  (lists trees of any shape and store)
+
 SCHEMA = "root_id string, rel_path string, is_dir boolean, size bigint"
 SCHEMA_WITH_CONTENT = SCHEMA + ", content binary"
 
 
-def root_ids(paths: list[str]) -> dict[str, str]:
-    """Root id -> absolute path: the last name, or the whole path where another root has the same name."""
-    roots = list(dict.fromkeys(os.path.abspath(p) for p in paths if p))
-    names = [os.path.basename(r) or r for r in roots]
-    return {n if names.count(n) == 1 else r: r for n, r in zip(names, roots)}
-
-
 def read_files(wanted, roots: dict[str, str]):
     """``wanted(root_id, rel_path)`` with the bytes of each file as ``content`` (null if it cannot be read)."""
     def run(batches):
@@ -36,11 +34,7 @@ def read_files(wanted, roots: dict[str, str]):
         for b in batches:
             out = []
             for root, rel in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    with open(os.path.join(roots[root], rel), "rb") as fh:
-                        out.append(fh.read())
-                except OSError:
-                    out.append(None)
+                out.append(read_bytes(join(roots[root], rel)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["root_id", "rel_path", "content"])
     return wanted.select("root_id", "rel_path").mapInArrow(run, "root_id string, rel_path string, content binary")
 
@@ -154,13 +148,3 @@ class TreeSource(DataSource):
 
 def register(spark) -> None:
     spark.dataSource.register(TreeSource)
-
-
-def read_tree(spark, paths: list[str], content: bool = False, max_depth: int | None = None):
-    """A1: listing rows of raw directory trees, shaped like ``derive_entries`` output."""
-    from sheaf.operators.entries import _shape
-    register(spark)
-    r = spark.read.format("sheaf_tree").option("paths", json.dumps(list(paths))).option("content", str(content).lower())
-    if max_depth is not None:
-        r = r.option("maxDepth", str(max_depth))
-    return _shape(r.load(), keep_content=content)
