@@ -35,9 +35,10 @@ from sheaf.llm.shared import binary_values, slices
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 BORDER = "\ue000"
-_CACHE_WORDS = 500_000
-_CACHE_PAIRS = 500_000
+_CACHE_WORDS = 200_000
+_CACHE_PAIRS = 250_000
 _JOINED_WORDS = 20_000
+_SLICE_BYTES = 2 << 20
 _models: dict[str, Pieces] = {}
 
 
@@ -269,7 +270,7 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", model: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, _SLICE_BYTES):
                 ids, ends = [], [0]
                 for got in own.encode_all(_valid(batch.column(batch.schema.get_field_index(text)))):
                     ids += [got, [own.end]]
