@@ -2,7 +2,7 @@
 
     python -m sheaf /path/to/repo [/another/root ...] --out OUT_DIR
         [--format markdown|xml] [--no-tree] [--ignore '.*,node_modules,...']
-        [--select rel/path,dir ...] [--safe]
+        [--select rel/path,dir ...] [--safe] [--progress]
 
 Lists the roots with the tree DataSource, prunes by the ignore patterns,
 expands the selection (default: everything), renders fragments and writes one
@@ -14,6 +14,7 @@ if there is one, else a local one.
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ def main(argv=None) -> None:
     ap.add_argument("--no-tree", action="store_true")
     ap.add_argument("--safe", action="store_true", help="escape paths, split ']]>', lengthen fences")
     ap.add_argument("--ignore", default=join_patterns(DEFAULT_PATTERNS))
+    ap.add_argument("--progress", action="store_true", help="print finished and known tasks of each stage while it runs")
     ap.add_argument("--select", default="", help="comma list of rel paths to check (default: the whole root)")
     a = ap.parse_args(argv)
 
@@ -36,23 +38,28 @@ def main(argv=None) -> None:
     from sheaf.operators import render as R
     from sheaf.operators import select as S
     from sheaf.operators.prune import prune
-    from sheaf.session import ensure_checkpoint_dir, local_session
+    from sheaf.session import ensure_checkpoint_dir, local_session, pinned_table
     from sheaf.sources.tree_listing import read_tree
     from sheaf.sources.tree_source import read_files, root_ids
+    from sheaf.streaming.monitor import LiveProgress
 
     spark = SparkSession.getActiveSession() or local_session()
     ensure_checkpoint_dir(spark)
     patterns = parse_pattern_string(a.ignore)
-    entries = read_tree(spark, a.roots)  # names and sizes; only selected files are opened below
+    live = LiveProgress(spark, ",".join(root_ids(a.roots)), report=lambda row: print("%s: %s %d/%d" % row[:4], file=sys.stderr) if a.progress else None)
+    with live.stage("scanning"):
+        entries = read_tree(spark, a.roots)  # names and sizes; only selected files are opened below
     pruned = prune(entries, patterns=patterns)
     roots = entries.select("root_id").distinct()
     picks = (roots.select("root_id", F.explode(F.array(*map(F.lit, a.select.split(",")))).alias("rel_path"))
              if a.select else roots.select("root_id", F.lit("").alias("rel_path")))
     sel = S.expand(pruned, picks).filter(~F.col("is_dir") & F.col("checked"))
-    contents = EN.decoded(read_files(sel, root_ids(a.roots)))
-    tree = None if a.no_tree else R.tree_lines(entries, patterns=patterns)
-    frags = R.fragments(sel, contents, a.format, tree=tree, safe=a.safe)
-    R.export(frags, a.out)
+    with live.stage("reading"):
+        contents = pinned_table(EN.decoded(read_files(sel, root_ids(a.roots))), "contents")  # read once, used three times
+    with live.stage("building"):
+        tree = None if a.no_tree else R.tree_lines(entries, patterns=patterns)
+        frags = R.fragments(sel, contents, a.format, tree=tree, safe=a.safe)
+        R.export(frags, a.out)
     for r in R.document_stats(frags).orderBy("root_id").toLocalIterator():
         print(f"{r['root_id']}: {r['n_fragments']} fragments, {r['n_chars']} chars, {r['n_bytes']} bytes, {r['output_tokens']} tokens")
     for r in R.failed_summary(sel, contents).orderBy("root_id", "seq").toLocalIterator():
