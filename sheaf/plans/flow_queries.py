@@ -332,6 +332,7 @@ def q_load_profiles(spark, sf):
 
 # ---------------------------------------------------------------- D14 / D16 / D17
 from sheaf.operators import metrics as M  # noqa: E402
+from sheaf.operators.rolling import rolling_stats  # noqa: E402
 
 
 @query("latency_stats")
@@ -343,6 +344,14 @@ def q_latency_stats(spark, sf):
                                           ["avg_rate", "p50_ms", "p95_ms", "p99_ms", "max_ms"]])
 
 
+@query("rolling_latency")
+def q_rolling_latency(spark, sf):
+    """E5/D14 rolling: at every positive gap of a user, rate and p50/p95/p99/max over the newest 120 up to it."""
+    g = M.event_gaps(FX.samples(spark, sf))
+    s = rolling_stats(g, "key", ["ts_us", "event_id"], "gap_us")
+    return s.select("key", "event_id", "n_samples", *[F.round(c, 6).alias(c) for c in ["avg_rate", "p50_ms", "p95_ms", "p99_ms", "max_ms"]])
+
+
 @query("budget_breaches")
 def q_budget_breaches(spark, sf):
     """Samples whose elapsed time exceeds the budget, with the overrun ratio."""

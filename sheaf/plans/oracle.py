@@ -685,6 +685,13 @@ SELECT key, n AS n_samples, round(CASE WHEN s > 0 THEN n * 1000000.0 / s ELSE 0.
   round(xs[n * 50 // 100 + 1] / 1000.0, 6) AS p50_ms, round(xs[n * 95 // 100 + 1] / 1000.0, 6) AS p95_ms,
   round(xs[n * 99 // 100 + 1] / 1000.0, 6) AS p99_ms, round(xs[n] / 1000.0, 6) AS max_ms
 FROM st"""
+SQL["rolling_latency"] = with_("samples", "gaps") + """, st AS (
+  SELECT key, event_id, count(*) OVER w AS n, sum(gap_us) OVER w AS s, list_sort(list(gap_us) OVER w) AS xs FROM gaps
+  WINDOW w AS (PARTITION BY key ORDER BY ts_us, event_id ROWS BETWEEN 119 PRECEDING AND CURRENT ROW))
+SELECT key, event_id, n AS n_samples, round(CASE WHEN s > 0 THEN n * 1000000.0 / s ELSE 0.0 END, 6) AS avg_rate,
+  round(xs[n * 50 // 100 + 1] / 1000.0, 6) AS p50_ms, round(xs[n * 95 // 100 + 1] / 1000.0, 6) AS p95_ms,
+  round(xs[n * 99 // 100 + 1] / 1000.0, 6) AS p99_ms, round(xs[n] / 1000.0, 6) AS max_ms
+FROM st"""
 SQL["budget_breaches"] = with_("samples") + """SELECT key, event_id, elapsed, round(elapsed / budget, 6) AS ratio
 FROM samples WHERE elapsed > budget"""
 SQL["metric_growth"] = """SELECT user_id AS key, round(greatest(
