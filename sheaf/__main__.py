@@ -26,7 +26,8 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="sheaf")
     ap.add_argument("roots", nargs="+")
     ap.add_argument("--out", required=True)
-    ap.add_argument("--format", choices=["markdown", "xml"], default="markdown")
+    from sheaf.operators import render as R
+    ap.add_argument("--format", choices=R.format_names(), default="markdown")
     ap.add_argument("--no-tree", action="store_true")
     ap.add_argument("--safe", action="store_true", help="escape paths, split ']]>', lengthen fences")
     ap.add_argument("--ignore", default=join_patterns(DEFAULT_PATTERNS))
@@ -35,7 +36,6 @@ def main(argv=None) -> None:
     a = ap.parse_args(argv)
 
     from sheaf.operators import entries as EN
-    from sheaf.operators import render as R
     from sheaf.operators import select as S
     from sheaf.operators.prune import prune
     from sheaf.session import ensure_checkpoint_dir, local_session, pinned_table

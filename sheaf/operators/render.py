@@ -155,18 +155,114 @@ def _fence_for(content: Column, safe: bool) -> Column:
     return F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
 
 
-def file_fragment(fmt: str, path: Column, content: Column, ext: Column, safe: bool = False) -> Column:
-    """One file's fragment (D7/D8), bytes as the reference writes them."""
-    body = _ensure_newline(content)
-    if fmt == "xml":
+class DocumentFormat:
+    """How a document's parts are written.  Every part is a Column (a literal, or made of the columns given), so any
+    format runs inside the same plan; a part that is None is left out."""
+
+    name = ""
+
+    def header(self) -> Column | None:
+        return None
+
+    def tree_open(self) -> Column | None:
+        return None
+
+    def tree_close(self) -> Column | None:
+        return None
+
+    def tree_line(self, line: Column) -> Column | None:
+        return line
+
+    def files_open(self) -> Column | None:
+        return None
+
+    def footer(self) -> Column | None:
+        return None
+
+    def fragment(self, path: Column, content: Column, ext: Column, safe: bool) -> Column:
+        """One file; ``content`` is its text as read."""
+        raise NotImplementedError
+
+
+class XmlFormat(DocumentFormat):
+    """D7."""
+
+    name = "xml"
+
+    def header(self):
+        return F.lit(XML_HEADER)
+
+    def tree_open(self):
+        return F.lit(XML_TREE_OPEN)
+
+    def tree_close(self):
+        return F.lit(XML_TREE_CLOSE)
+
+    def files_open(self):
+        return F.lit(XML_FILES_OPEN)
+
+    def footer(self):
+        return F.lit(XML_FOOTER)
+
+    def fragment(self, path, content, ext, safe):
+        body = _ensure_newline(content)
         p = _xml_escape(path) if safe else path
         b = F.regexp_replace(body, "]]>", "]]]]><![CDATA[>") if safe else body
         return F.concat(F.lit('    <file path="'), p, F.lit('">\n<![CDATA[\n'), b, F.lit(XML_FILE_CLOSE))
-    if fmt == "markdown":
+
+
+class MarkdownFormat(DocumentFormat):
+    """D8."""
+
+    name = "markdown"
+
+    def header(self):
+        return F.lit(MD_HEADER)
+
+    def tree_open(self):
+        return F.lit(MD_TREE_OPEN)
+
+    def tree_close(self):
+        return F.lit(MD_TREE_CLOSE)
+
+    def files_open(self):
+        return F.lit(MD_FILES_OPEN)
+
+    def fragment(self, path, content, ext, safe):
         fence = _fence_for(content, safe)
-        return F.concat(F.lit("### "), path, F.lit("\n\n"), fence, language_of(ext), F.lit("\n"), body,
+        return F.concat(F.lit("### "), path, F.lit("\n\n"), fence, language_of(ext), F.lit("\n"), _ensure_newline(content),
                         fence, F.lit("\n\n"))
-    raise ValueError(f"unknown format {fmt!r}")
+
+
+_FORMATS: dict[str, DocumentFormat] = {}
+
+
+def register_format(fmt: DocumentFormat) -> None:
+    """Make a format known by its name, in place of one that had it."""
+    if not fmt.name:
+        raise ValueError("a format needs a name")
+    _FORMATS[fmt.name] = fmt
+
+
+def format_names() -> list[str]:
+    return sorted(_FORMATS)
+
+
+def document_format(fmt: str | DocumentFormat) -> DocumentFormat:
+    if isinstance(fmt, DocumentFormat):
+        return fmt
+    if fmt not in _FORMATS:
+        raise ValueError(f"unknown format {fmt!r}")
+    return _FORMATS[fmt]
+
+
+register_format(XmlFormat())
+register_format(MarkdownFormat())
+
+
+def file_fragment(fmt: str | DocumentFormat, path: Column, content: Column, ext: Column, safe: bool = False) -> Column:
+    """One file's fragment (D7/D8), bytes as the reference writes them."""
+    return document_format(fmt).fragment(path, content, ext, safe)
 
 
 def bench_fragment(path: Column, content: Column) -> Column:
@@ -175,7 +271,7 @@ def bench_fragment(path: Column, content: Column) -> Column:
     return F.concat(F.lit(a), path, F.lit(b), content, F.lit(c))
 
 
-def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
+def fragments(selected: DataFrame, contents: DataFrame, fmt: str | DocumentFormat = "markdown",
               tree: DataFrame | None = None, safe: bool = False, transform=None) -> DataFrame:
     """Document rows ``(root_id, section, seq, fragment)`` for the selected files.
 
@@ -183,14 +279,15 @@ def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
     preorder (F4); ``contents(root_id, rel_path, content, error)``; failed
     reads are left out (they go to :func:`failed_summary`).  ``tree`` is the
     output of :func:`tree_lines`; roots with no tree lines get no tree block.
-    ``transform`` maps the content Column (a Column expression, not a UDF).
+    ``transform`` maps the content Column (a Column expression, not a UDF).  ``fmt`` is a registered name or a
+    :class:`DocumentFormat`.
 
     The fixed header/footer rows ride on each root's first selected row and the
     tree open/close rows on its first tree line (``inline`` of a small array),
     instead of re-deriving root lists; the ordered selection is stored, so
     reading it twice costs no recomputation.
     """
-    xml = fmt == "xml"
+    form = document_format(fmt)
     sel = pinned_table(preorder(selected.select("root_id", "rel_path", "ext", "is_dir"), ci=True, pos="seq"), "selection")
     ok = contents.filter(F.col("error").isNull()).select("root_id", "rel_path", "content")
     # inner join: Catalyst broadcasts the path-only selection while its stored size is under its threshold, and the
@@ -202,20 +299,18 @@ def fragments(selected: DataFrame, contents: DataFrame, fmt: str = "markdown",
         return F.struct(F.lit(section).alias("section"), seq.cast("bigint").alias("seq"), text.alias("fragment"))
 
     zero = F.lit(0)
-    fixed = [row(SEC_HEADER, zero, F.lit(XML_HEADER if xml else MD_HEADER)),
-             row(SEC_FILES_OPEN, zero, F.lit(XML_FILES_OPEN if xml else MD_FILES_OPEN))]
-    if xml:
-        fixed.append(row(SEC_FOOTER, zero, F.lit(XML_FOOTER)))
-    heads = sel.filter(F.col("seq") == 1).select("root_id", F.inline(F.array(*fixed)))
-    out = heads.unionByName(files.select(
-        "root_id", F.inline(F.array(row(SEC_FILES, F.col("seq"),
-                                        file_fragment(fmt, F.col("rel_path"), body, F.col("ext"), safe))))))
-    if tree is not None:
+    fixed = [row(section, zero, text) for section, text in
+             ((SEC_HEADER, form.header()), (SEC_FILES_OPEN, form.files_open()), (SEC_FOOTER, form.footer())) if text is not None]
+    out = files.select("root_id", F.inline(F.array(row(SEC_FILES, F.col("seq"),
+                                                       form.fragment(F.col("rel_path"), body, F.col("ext"), safe)))))
+    if fixed:
+        out = sel.filter(F.col("seq") == 1).select("root_id", F.inline(F.array(*fixed))).unionByName(out)
+    line = form.tree_line(F.col("line"))
+    if tree is not None and line is not None:
         t = tree.join(sel.filter(F.col("seq") == 1).select("root_id"), "root_id", "left_semi")
-        trows = F.array(row(SEC_TREE, F.col("pos"), F.col("line")),
-                        F.when(F.col("pos") == 1, row(SEC_TREE_OPEN, zero, F.lit(XML_TREE_OPEN if xml else MD_TREE_OPEN))),
-                        F.when(F.col("pos") == 1, row(SEC_TREE_CLOSE, zero,
-                                                      F.lit(XML_TREE_CLOSE if xml else MD_TREE_CLOSE))))
+        ends = [F.when(F.col("pos") == 1, row(section, zero, text)) for section, text in
+                ((SEC_TREE_OPEN, form.tree_open()), (SEC_TREE_CLOSE, form.tree_close())) if text is not None]
+        trows = F.array(row(SEC_TREE, F.col("pos"), line), *ends)
         out = out.unionByName(t.select("root_id", F.inline(F.filter(trows, lambda r: r.isNotNull()))))
     return out
 
