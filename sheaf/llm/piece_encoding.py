@@ -37,8 +37,9 @@ SPACE = "▁"
 BORDER = "\ue000"
 _CACHE_WORDS = 200_000
 _CACHE_PAIRS = 250_000
+_CLOSING = ".,;:!?"
 _JOINED_WORDS = 20_000
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 4 << 20
 _models: dict[str, Pieces] = {}
 
 
@@ -57,6 +58,10 @@ class Pieces:
         if len(self.bytes) != 256 or self.end < 0:
             raise ValueError(f"{path}: byte fallback and an end piece are needed")
         self.byte_ids = [i for _, i in sorted((b, i) for i, b in self.bytes.items())]
+        char = {i: chr(b) for i, b in self.bytes.items() if b < 0x80}
+        self.surface = pa.array([char.get(i, "" if self.control[i] else self.names[i].replace(SPACE, " ")) for i in ids], pa.string())
+        self.alone = np.array([i == self.unknown or self.bytes.get(i, 0) >= 0x80 for i in ids])  # not to be joined piece by piece
+        self.silent, self.marked = np.array(self.control), np.array([n.startswith(SPACE) for n in self.names])
         plain = [i for i in ids if not (self.control[i] or model.is_unknown(i) or model.is_byte(i))]
         self.ids = {self.names[i]: i for i in plain}
         self.score = {self.names[i]: model.get_score(i) for i in plain}
@@ -69,13 +74,16 @@ class Pieces:
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         part = "(?s:.+)" if crossing else f"{SPACE}*[^{SPACE}{loose}]+|{SPACE}+" + (f"|[{loose}]" if loose else "")
         self.parts = re.compile(part)
+        behind = {b for p in self.ids for a, b in itertools.pairwise(p) if a.isalpha()}  # characters after a letter in some piece
+        self.closing = "".join(c for c in _CLOSING if c not in behind)
         self.crossing = crossing or any(BORDER in p for p in self.ids)
         self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.choices: dict[tuple[str | None, str], str] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.starts, self.uses = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by its merges: the best pair first, the leftmost of equals."""
@@ -111,21 +119,20 @@ class Pieces:
         """The pieces of a text, by backtracking."""
         longest, size = self.longest(text), len(text)
         open_ = bytearray(b"\1") * (size + 1)
-        pairs, shorter = self.pairs, self.shorter
+        first = self.choices
         pieces: list[str] = []
         at, last, piece = 0, None, longest[0] if text else None
         while at < size:
-            while piece is not None:
-                end = at + len(piece)
-                if open_[end]:
-                    fits = pairs.get((last, piece))
-                    if fits or fits is None and self.compatible(last, piece):
-                        break
-                piece = shorter.get(piece)
-            if piece is not None:
-                pieces.append(piece)
-                at, last = end, piece
-                piece = longest[at] if at < size else None
+            found = first.get((last, piece))
+            if found is None:
+                found = self._first(last, piece)
+            while found and not open_[at + len(found)]:
+                found = self.shorter.get(found)
+                found = found and self._first(last, found)
+            if found:
+                pieces.append(found)
+                at += len(found)
+                last, piece = found, longest[at] if at < size else None
             elif last is None:
                 raise ValueError(f"no row of pieces for {text!r}")
             else:
@@ -135,6 +142,16 @@ class Pieces:
                 last = pieces[-1] if pieces else None
         return pieces
 
+    def _first(self, last: str | None, piece: str) -> str:
+        """``piece`` or its longest shorter prefix that is compatible with ``last``; '' if none is."""
+        if len(self.choices) > _CACHE_PAIRS:
+            self.choices.clear()
+        found = piece
+        while found is not None and not self.compatible(last, found):
+            found = self.shorter.get(found)
+        self.choices[last, piece] = found or ""
+        return found or ""
+
     def ids_of(self, pieces: list[str]) -> list[int]:
         """The ids of a row of pieces; a character without a piece is its UTF-8 bytes."""
         ids: list[int] = []
@@ -156,41 +173,71 @@ class Pieces:
 
     def _words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words behind a space mark each, and the count of each: one text with borders that nothing crosses."""
-        joined = BORDER.join([SPACE + w for w in words])
-        if joined.count(BORDER) >= len(words):  # some word has the border's character
-            own = [self._marked_ids(SPACE + w) for w in words]
-            return np.fromiter(itertools.chain.from_iterable(own), np.int32), np.array([len(x) for x in own])
         self.ids[BORDER] = -1
-        ids = np.array(self.ids_of(self.split(joined)), np.int32)
+        ids = np.array(self.ids_of(self.split(BORDER.join([SPACE + w for w in words]))), np.int32)
         del self.ids[BORDER]
         border = np.flatnonzero(ids < 0)
         return ids[ids >= 0], np.diff(np.concatenate([[-1], border, [len(ids)]])) - 1
 
+    def _rows(self, atoms: list[str]) -> np.ndarray:
+        """The cache's row of each of ``atoms`` (different words, or all tails behind a border), encoding those it lacks."""
+        fresh = [w for w in atoms if w not in self.words]
+        if fresh:
+            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+            if fresh[0].startswith(BORDER):
+                tails = [self._marked_ids(w[1:]) for w in fresh]
+                found = [(np.array(t, np.int32), [len(t)]) for t in tails]
+            else:
+                found = [self._words_ids(fresh[lo:lo + _JOINED_WORDS]) for lo in range(0, len(fresh), _JOINED_WORDS)]
+            ids, sizes = [self.flat, *(f[0] for f in found)], [np.diff(self.starts), *(f[1] for f in found)]
+            self.flat, self.starts = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(sizes)))
+            self.uses = np.append(self.uses, np.zeros(len(fresh), np.int32))
+        rows = np.fromiter(map(self.words.__getitem__, atoms), np.int64, len(atoms))
+        self.uses[rows] += 1
+        return rows
+
+    def _atoms(self, words: pa.Array) -> np.ndarray:
+        """The rows of the stem and the tail of each of ``words``; one that does not end in closing punctuation, or has no
+        letter before it, is a stem with an empty tail."""
+        trimmed = pc.utf8_rtrim(words, self.closing or " ")
+        cut = pc.match_substring_regex(trimmed, r"\p{L}$")
+        stems = pc.if_else(cut, trimmed, words).dictionary_encode()
+        tails = pc.if_else(cut, pc.replace_substring_regex(words, f"^(?s:.)*?([{_CLOSING}]*)$", BORDER + r"\1"), BORDER).dictionary_encode()
+        rows = [self._rows(x.dictionary.to_pylist())[x.indices.to_numpy()] for x in (stems, tails)]
+        return np.stack(rows, axis=1)
+
+    def _make_room(self) -> None:
+        """Drop the words met in one slice only, else all, once there are too many."""
+        if len(self.words) <= _CACHE_WORDS:
+            return
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > _CACHE_WORDS // 2:
+            self._forget()
+            return
+        names = list(self.words)
+        size = np.diff(self.starts)[keep]
+        self.flat = np.concatenate([self.flat[:0], *(self.flat[self.starts[i]:self.starts[i + 1]] for i in keep.tolist())])
+        self.starts, self.uses = np.append(0, np.cumsum(size)), self.uses[keep] // 2 + 1
+        self.words = dict(zip([names[i] for i in keep.tolist()], range(len(keep)), strict=True))
+
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, without end ids.
 
         Where no piece crosses into white space, a text without runs of spaces is its words, each behind one space mark;
-        these are looked up as a whole, a distinct word once.
+        where none joins a letter and closing punctuation, a word is its stem and its tail.  These are looked up as a whole.
         """
-        whole = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, SPACE))
+        whole = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
+        for mark in (SPACE, BORDER):
+            whole = pc.or_(whole, pc.match_substring(texts, mark))
         apart = whole.to_numpy(zero_copy_only=False) | self.crossing
-        if len(self.words) > _CACHE_WORDS:
-            self._forget()
+        self._make_room()
         split = pc.split_pattern(texts.filter(pa.array(~apart)), " ")
         coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        fresh = [w for w in names if w not in self.words]
-        if fresh:
-            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
-            for lo in range(0, len(fresh), _JOINED_WORDS):
-                ids, sizes = self._words_ids(fresh[lo:lo + _JOINED_WORDS])
-                self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
-                self.flat = np.append(self.flat, ids)
-        rows = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
-        size = np.diff(self.starts)[rows]
+        atoms = self._atoms(coded.dictionary)[coded.indices.to_numpy()].ravel()
+        size = np.diff(self.starts)[atoms]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.starts[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        at = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        ids = self.flat[np.repeat(self.starts[atoms] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.append(0, ends)[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
         spaced = iter(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
         out = []
         for one, text in zip(apart.tolist(), texts, strict=True):
@@ -219,6 +266,24 @@ class Pieces:
                 first = False
         return "".join(out)
 
+    def decode_all(self, rows: pa.ListArray) -> pa.Array:
+        """The text of each row of ids (null: empty); rows without bytes beyond ASCII are joined at once."""
+        offsets = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+        flat = rows.flatten().to_numpy().astype(np.int64)
+        sizes = np.diff(offsets)
+        hard = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=self.alone[flat], minlength=len(sizes)) > 0
+        parts = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), self.surface.take(pa.array(flat)))
+        texts = pc.binary_join(parts, "")
+        shown = ~self.silent[flat]
+        first = np.append(np.flatnonzero(shown), len(flat))
+        first = first[np.searchsorted(first, offsets[:-1])]  # the first piece that is not silent
+        marked = (first < offsets[1:]) & np.append(self.marked[flat], False)[first]
+        texts = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(texts, 1), texts)
+        if hard.any():
+            slow = [self.decode(flat[a:b].tolist()) for a, b, h in zip(offsets[:-1].tolist(), offsets[1:].tolist(), hard.tolist(), strict=True) if h]
+            texts = pc.replace_with_mask(texts, pa.array(hard), pa.array(slow, pa.string()))
+        return texts
+
 
 def _valid(texts: pa.Array) -> pa.Array:
     """``texts`` without nulls and bytes that are no UTF-8."""
@@ -290,9 +355,8 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", model: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            texts = [own.decode(row.values.to_numpy(zero_copy_only=False).tolist()) if row.is_valid else "" for row in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            texts = own.decode_all(batch.column(batch.schema.get_field_index(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, into])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(into, StringType())]))
 

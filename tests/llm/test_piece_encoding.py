@@ -34,9 +34,12 @@ def test_random_texts_equal_the_library(own, library):
 
 def test_random_ids_decode_like_the_library(own, library):
     r = random.Random(2)
-    for _ in range(4000):
-        ids = [r.choice([0, 1, 2, 259, 260, 29871, 200, 230, 198, 131, r.randrange(3, 259), r.randrange(32000)]) for _ in range(r.randrange(8))]
-        assert own.decode(ids) == library.decode(ids), ids
+    few, all_ = [0, 1, 2, 259, 260, 29871, 200, 230, 198, 131], [13, 1, 2, 259, 306, 29871]
+    rows = [[r.choice([*few, r.randrange(3, 259), r.randrange(32000)]) for _ in range(r.randrange(8))] for _ in range(4000)]
+    rows += [[r.choice([*all_, r.randrange(300, 20000)]) for _ in range(r.randrange(8))] for _ in range(4000)]
+    for ids, text in zip(rows, own.decode_all(pa.array(rows, pa.list_(pa.int32()))).to_pylist(), strict=True):
+        assert own.decode(ids) == text == library.decode(ids), ids
+    assert own.decode_all(pa.array([None, [306], []], pa.list_(pa.int32())).slice(0)).to_pylist() == ["", library.decode([306]), ""]
 
 
 def test_backtracking_drops_pieces_and_agrees_with_the_merges(own):
