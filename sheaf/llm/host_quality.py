@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sheaf.llm.shared import binary_values, stored
+from sheaf.llm.shared import binary_values, free_name, quoted, stored
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rules of a document, over the counts of ``STATS``.
@@ -135,13 +135,13 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 def keep(docs: DataFrame, text: str = "text", host: str = "source", rules: dict[str, str] | None = None,
          max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns; nulls, ties and empty tables as there."""
-    prefix = "__quality_"
+    prefix = free_name(docs, "__quality_")
     broken = failed(rules or RULES, prefix)
     judged = stored(measured(docs, text, prefix), "judged")
     hosts = stored(host_verdicts(judged, host, broken, max_host_rate).filter("NOT host_kept").select(
-        F.col("host").alias("__quality_host")), "rejected")
+        F.col("host").alias(f"{prefix}host")), "rejected")
     good = judged.filter(~broken["any"])
-    return good.join(hosts, good[host] == hosts["__quality_host"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return good.join(hosts, good[host] == hosts[f"{prefix}host"], "left_anti").select(*map(quoted, docs.columns))
 
 
 SQL = r"""

@@ -70,6 +70,19 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             drop_path(spark, path)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted`` with as many underscores before it as no column of ``df`` needs, in any case, to start with it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(wanted.lower()) for c in taken):
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_key(*cols: str) -> Column:
     """A 64-bit key of a row's identity and content; rows equal in both are interchangeable."""
     return F.xxhash64(*[F.col(c) for c in cols])

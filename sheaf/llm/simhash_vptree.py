@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.shared import binary_values, connected, row_key, run_edges, shuffle_partitions, stored, whole_groups
+from sheaf.llm.shared import binary_values, connected, free_name, row_key, run_edges, shuffle_partitions, stored, whole_groups
 
 SEED = 42
 BITS = 64
@@ -205,5 +205,6 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, doc_id: str =
     found = _members(docs.select(F.col(doc_id).alias("__id"), key.alias("__key"), F.col(text).alias("__text")),
                      shingle, max_bits, "__text", ("__id", "__key"), MAX_SHARD)
     best = found.groupBy("__component").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")).alias("k"))
-    stay = docs.withColumn("__key", key).join(best.select(F.col("k.__key").alias("__key")), "__key", "left_semi")
-    return stay.dropDuplicates(["__key"]).drop("__key")
+    own = free_name(docs, "__key")
+    stay = docs.withColumn(own, key).join(best.select(F.col("k.__key").alias(own)), own, "left_semi")
+    return stay.dropDuplicates([own]).drop(own)

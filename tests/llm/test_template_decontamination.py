@@ -29,6 +29,22 @@ def test_verbatim_and_reparameterised_are_caught_inconsistent_and_clean_are_not(
     assert not full or full[0].matched_tokens < got[2].matched_tokens
 
 
+CAPITAL = "What is the capital city of the country of France?"
+LEGS = "How many legs do 3 spiders and 2 ants have together?"
+HAMLET = "Who wrote the play called Hamlet in London?"
+BRIEF = "Name Newton's third law"
+
+
+def test_short_items_are_found_whatever_stands_beside_them(docs, bench):
+    rows = [(1, f"Question: {CAPITAL}"), (2, HAMLET.lower().strip("?")), (3, f"Answer this 1) {LEGS} Thanks"), (4, LEGS.upper()),
+            (5, f"Please tell me {CAPITAL.lower()} and why"), (6, f"Quiz: {LEGS.replace('3 spiders', '7 cows').replace('ants', 'ants')}"),
+            (7, f"Question: {LEGS.replace('3', '40').replace('2', '5')}"), (8, f"{FILL} please NAME NEWTON'S THIRD LAW, and explain it"),
+            (9, "The capital city of the country of Peru is Lima."), (10, "Who wrote the book?"), (11, "Newton's second law"), (12, FILL)]
+    items = bench([(1, CAPITAL), (2, LEGS), (3, HAMLET), (4, BRIEF), (5, "Why not")])
+    got = {(r.doc_id, r.item_id) for r in td.matches(docs(rows + [(13, "Why not"), (14, "why not go there")]), items).collect()}
+    assert got == {(1, 1), (2, 3), (3, 2), (4, 2), (5, 1), (7, 2), (8, 4)}
+
+
 def test_clean_keeps_rows_and_columns(docs, bench):
     df = docs([(1, ITEM), (1, ITEM), (None, FILL), (None, FILL), (2, None)]).withColumn("__raw", F.lit(1)).withColumn("pos", F.lit(2))
     kept = td.clean(df, bench([(1, ITEM), (1, ITEM), (None, ITEM)]))
@@ -46,9 +62,12 @@ def test_no_python_in_the_plan(docs, bench):
 def test_against_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    con.execute("CREATE VIEW benchmark AS SELECT * FROM read_parquet('/root/testdata/sf0.001/benchmark.parquet') "
+                "UNION ALL SELECT 900 + n, array_to_string(string_split(text, ' ')[4:3 + n], ' ') "
+                "FROM (SELECT text, unnest([2, 3, 5, 7]) AS n FROM read_parquet('/root/testdata/sf0.001/documents.parquet') WHERE doc_id = 3)")
     want = con.execute(f"SELECT * FROM ({td.SQL}) ORDER BY doc_id, item_id").fetchall()
-    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    more = spark.createDataFrame(con.execute("SELECT * FROM benchmark WHERE item_id >= 900").fetchall(), "item_id long, text string")
+    read = lambda t: (lambda d: d.unionByName(more) if t == "benchmark" else d)(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet"))
     got = td.matches(read("documents"), read("benchmark")).drop("__key").orderBy("doc_id", "item_id").collect()
     assert want and [tuple(r) for r in got] == [tuple(r) for r in want]
