@@ -15,6 +15,9 @@ first cut to what can repeat, without losing a match:
 3. *Columns.*  The other anchors that share a key send their contexts, ``2 * length - GRAM`` bytes each, aligned at
    the anchor.  One task builds the collections of its keys together, a round for each column; where two neighbours
    have ``length`` bytes in common, the string that starts in that column repeats.  Only bytes decide here.
+4. *Crowded keys.*  A passage that very many documents hold between differing texts puts all their contexts under one
+   key.  A key of more than ``CROWD`` contexts is not built in one task: its strings are dealt one by one, by a hash of
+   all their bytes, and settled like copies.  What a slice has several times it sends once, whatever the passage.
 
 Order and prefixes of a bucket's contexts are arrays in memory; the sequential files between the steps are Spark's.
 """
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.shared import binary_values, row_key, run_edges, shuffle_partitions, slices, stored
+from sheaf.llm.shared import binary_values, bucket_count, row_key, run_edges, slices, stored
 
 LENGTH = 400
 GRAM = 16
 CHUNK = 1 << 21
+CROWD = 5_000  # contexts of a key that one task may build together
 _PLACE = np.uint64((1 << 23) - 1)  # a chunk with its surroundings is shorter
 _BASE = 0x9E3779B97F4A7C15
 
@@ -154,9 +158,75 @@ def _settle(key: np.ndarray, context: np.ndarray, several: np.ndarray) -> tuple[
     return copy, compare
 
 
+_DEALT = "bucket long, kind long, key binary, context binary, ref binary, place binary, several binary"
+
+
+def _dealt(key: np.ndarray, context: np.ndarray, ref: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A slice's entries, one row a bucket; what occurs several times is settled here, and one of it goes on."""
+    order = np.lexsort((context, key))
+    key, context, ref, place = (x[order] for x in (key, context, ref, place))
+    edges = run_edges(key, context)
+    several = np.diff(edges) > 1
+    inside = np.repeat(several, np.diff(edges))
+    rows = [(0, 1, np.zeros(0).tobytes(), b"", ref[inside].tobytes(), place[inside].tobytes(), b"")] if inside.any() else []
+    one = edges[:-1]
+    bucket = ((key[one] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = run_edges(bucket[order])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        at = one[order[lo:hi]]
+        rows.append((int(bucket[order[lo]]), 0, key[at].tobytes(), context[at].tobytes(), ref[at].tobytes(),
+                     place[at].tobytes(), several[order[lo:hi]].tobytes()))
+    if rows and rows[0][1]:
+        rows[0] = (int(rows[-1][0]), *rows[0][1:])
+    return _binary(rows, ["bucket", "kind", "key", "context", "ref", "place", "several"])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """A bucket's entries: copies (no key), and those of a key that must be compared."""
+    kind = table.column("kind").to_numpy()
+    def all_of(name: str, dtype, which: int) -> np.ndarray:
+        return np.frombuffer(b"".join(x for x, k in zip(table.column(name).to_pylist(), kind, strict=True) if k == which), dtype)
+    ref, place = all_of("ref", np.int64, 0), all_of("place", np.int64, 0)
+    key = all_of("key", np.uint64, 0)
+    if len(key):
+        copy, compare = _settle(key, all_of("context", np.uint64, 0), all_of("several", bool, 0))
+    else:
+        copy = compare = np.zeros(0, bool)
+    done = np.append(all_of("ref", np.int64, 1), ref[copy]), np.append(all_of("place", np.int64, 1), place[copy])
+    return pa.table({"ref": np.append(done[0], ref[compare]), "place": np.append(done[1], place[compare]),
+                     "key": [None] * len(done[0]) + key[compare].view(np.int64).tolist()},
+                    schema=pa.schema([("ref", pa.int64()), ("place", pa.int64()), ("key", pa.int64())]))
+
+
+def _strings(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``ref, places, text``: every string of ``length`` bytes that holds one of the anchors, dealt by its hash."""
+    byte, power, inverse = _tables()
+    span = length - GRAM + 1
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            keys, refs, starts = [], [], []
+            for ref, places, text in zip(batch.column(0).to_pylist(), batch.column(1), binary_values(batch.column(2)), strict=True):
+                last = -1
+                for place in np.sort(places.values.to_numpy()).tolist():
+                    lo, hi = max(0, place - span + 1, last + 1), min(len(text), place + length)
+                    n = min(place, len(text) - length) - lo + 1  # strings that start from `lo` to the anchor
+                    if n <= 0:
+                        continue
+                    last = lo + n - 1
+                    symbol = byte[np.frombuffer(text, np.uint8, hi - lo, lo)]
+                    prefix = np.append(np.uint64(0), np.cumsum(symbol * power[:len(symbol)], dtype=np.uint64))
+                    keys.append(_mix((prefix[length:length + n] - prefix[:n]) * inverse[:n]))
+                    refs.append(np.full(n, ref))
+                    starts.append(np.arange(lo, lo + n))
+            if keys:
+                key = np.concatenate(keys)
+                yield _dealt(key, key, np.concatenate(refs), np.concatenate(starts), buckets)
+
+
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows ``ref, start, end``: byte ranges of ``docs`` (``__ref, __text``) that repeated strings cover."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = bucket_count(docs, "__text")
     span = length - GRAM + 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,46 +242,23 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if not found[0]:
                     continue
                 key, context, ref, place = (np.concatenate(x) for x in found)
-                order = np.lexsort((context, key))
-                key, context, ref, place = (x[order] for x in (key, context, ref, place))
-                edges = run_edges(key, context)
-                several = np.diff(edges) > 1  # settled here; one of them goes on
-                inside = np.repeat(several, np.diff(edges))
-                rows = [(0, 1, np.zeros(0).tobytes(), b"", ref[inside].tobytes(), place[inside].tobytes(), b"")] if inside.any() else []
-                one = edges[:-1]
-                bucket = ((key[one] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = run_edges(bucket[order])
-                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    at = one[order[lo:hi]]
-                    rows.append((int(bucket[order[lo]]), 0, key[at].tobytes(), context[at].tobytes(), ref[at].tobytes(),
-                                 place[at].tobytes(), several[order[lo:hi]].tobytes()))
-                if rows and rows[0][1]:
-                    rows[0] = (int(rows[-1][0]), *rows[0][1:])
-                yield _binary(rows, ["bucket", "kind", "key", "context", "ref", "place", "several"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        def all_of(name: str, dtype, which: int) -> np.ndarray:
-            return np.frombuffer(b"".join(x for x, k in zip(table.column(name).to_pylist(), kind, strict=True) if k == which), dtype)
-        ref, place = all_of("ref", np.int64, 0), all_of("place", np.int64, 0)
-        key = all_of("key", np.uint64, 0)
-        if len(key):
-            copy, compare = _settle(key, all_of("context", np.uint64, 0), all_of("several", bool, 0))
-        else:
-            copy = compare = np.zeros(0, bool)
-        done = np.append(all_of("ref", np.int64, 1), ref[copy]), np.append(all_of("place", np.int64, 1), place[copy])
-        return pa.table({"ref": np.append(done[0], ref[compare]), "place": np.append(done[1], place[compare]),
-                         "key": [None] * len(done[0]) + key[compare].view(np.int64).tolist()},
-                        schema=pa.schema([("ref", pa.int64()), ("place", pa.int64()), ("key", pa.int64())]))
-
-    sent = docs.mapInArrow(send, "bucket long, kind long, key binary, context binary, ref binary, place binary, several binary")
-    found = stored(sent.groupBy("bucket").applyInArrow(meet, "ref long, place long, key long"), "anchors")
+                yield _dealt(key, context, ref, place, buckets)
+
+    sent = docs.mapInArrow(send, _DEALT)
+    found = stored(sent.groupBy("bucket").applyInArrow(_meet, "ref long, place long, key long"), "anchors")
     # a copy's whole context goes, as far as its document has it; `spans` are clipped where they are used
     copies = found.filter("key IS NULL").select("ref", (F.col("place") - (span - 1)).alias("start"), (F.col("place") + length).alias("end"))
 
-    asked = found.filter("key IS NOT NULL").groupBy("ref").agg(F.collect_list(F.struct("place", "key")).alias("asked"))
-    texts = asked.join(docs.select(F.col("__ref").alias("ref"), F.col("__text").alias("text")), "ref")
+    open_ = found.filter("key IS NOT NULL")
+    crowded = stored(open_.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key"), "crowded")
+    here = docs.select(F.col("__ref").alias("ref"), F.col("__text").alias("text"))
+    crowd = open_.join(crowded, "key", "left_semi").groupBy("ref").agg(F.collect_set("place").alias("places")).join(here, "ref")
+    strings = crowd.select("ref", "places", "text").mapInArrow(lambda batches: _strings(batches, length, buckets), _DEALT)
+    repeated = strings.groupBy("bucket").applyInArrow(_meet, "ref long, place long, key long")
+    copies = copies.unionByName(repeated.select("ref", F.col("place").alias("start"), (F.col("place") + length).alias("end")))
+
+    asked = open_.join(crowded, "key", "left_anti").groupBy("ref").agg(F.collect_list(F.struct("place", "key")).alias("asked"))
+    texts = asked.join(here, "ref")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.shared import binary_values, run_edges, shuffle_partitions, slices, stored, word_codes
+from sheaf.llm.shared import binary_values, bucket_count, run_edges, slices, stored, word_codes
 
 HEAD, TAIL = 32, 32  # classes: the end token and the HEAD - 1 most frequent words, and TAIL classes of other words
 CLASSES = HEAD + TAIL
@@ -263,9 +263,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     is the end token alone.  Every row is scored, repeated ones too, and trains as often.  Without training rows all
     counts are zero and the classes uniform.  An empty table gives none.  Other columns are not looked at.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, folds, fold).alias("held_out"), F.col(text).alias("text"))
-    buckets = shuffle_partitions(spark)
+    buckets = bucket_count(docs, text)
     blocks = _blocks(source)
     replies = _corpus_counts(blocks, buckets)
     corpus = _corpus(replies)

@@ -92,6 +92,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket_count(df: DataFrame, text: str, each: int = 16 << 20) -> int:
+    """Into how many buckets to deal what is made of the texts of ``df``, so that none grows with the corpus: one for every
+    ``each`` bytes of text, and at least one a shuffle partition."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(shuffle_partitions(df.sparkSession), -(-size // each))
+
+
 def binary_values(column: pa.Array) -> list[bytes | None]:
     """The bytes of a string or binary Arrow column (null: None), without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -51,6 +51,20 @@ def test_against_brute_force(docs, length):
     check(docs(rows).repartition(5), rows, length)
 
 
+def test_a_crowded_key_is_dealt_by_strings(docs, monkeypatch):
+    """One passage between differing texts in every document, longer than a string, cut short here and there."""
+    r = random.Random(21)
+    passage = text(r, 150)
+    rows = []
+    for i in range(260):
+        lo, hi = (0, 150) if r.random() < .7 else sorted((r.randrange(60), 90 + r.randrange(60)))
+        rows.append((i, text(r, r.randrange(60)) + passage[lo:hi] + text(r, r.randrange(60)) + (passage[20:70] if i % 9 == 0 else "")))
+    df = docs(rows).repartition(4)
+    check(df, rows, 40)
+    monkeypatch.setattr(cb, "CROWD", 20)
+    check(df, rows, 40)
+
+
 def test_low_complexity_and_overlaps(docs):
     r = random.Random(9)
     rows = [(1, "a" * 90), (2, "ab" * 60), (3, "abc" * 30 + text(r, 50)), (4, text(r, 30, "ab") * 5), (5, "a" * 39), (6, "b" * 40), (7, "c" * 41)]
