@@ -64,21 +64,30 @@ def _places(width: int) -> Column:
     return F.coalesce(at, F.array().cast("array<int>"))
 
 
-def windows(df: DataFrame, *keep: str | Column) -> DataFrame:
-    """``keep``, ``pos`` (from 0), ``h`` of all windows: of template tokens, and where these differ of plain ones."""
-    def both(i: Column) -> Column:
-        part = lambda name: F.xxhash64(F.slice(name, i, F.lit(WINDOW)))
-        return F.struct(part("__tpl").alias("t"), part("__low").alias("l"))
+def _window(tokens: str, i: Column) -> Column:
+    """The hash of the window that starts at ``i`` (from 1) of an array of token hashes."""
+    return F.xxhash64(F.slice(tokens, i, F.lit(WINDOW)))
 
-    found = df.select(*keep, F.posexplode(F.transform(_places(WINDOW), both)).alias("pos", "w"))
-    each = F.when(F.col("w.t") == F.col("w.l"), F.array("w.t")).otherwise(F.array("w.t", "w.l"))
-    return found.withColumn("h", F.explode(each)).drop("w")
+
+def _hashed(df: DataFrame) -> DataFrame:
+    """``df`` with ``__t`` and ``__l``, the hashes of its template and plain tokens: a token is hashed once, not once a window."""
+    return df.withColumn("__t", F.transform("__tpl", lambda t: F.xxhash64(t))).withColumn("__l", F.transform("__low", lambda t: F.xxhash64(t)))
+
+
+def windows(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``pos`` (from 0), ``h`` of all windows of ``df`` (``_hashed``): of template tokens, and where these differ of
+    plain ones."""
+    template = F.transform(_places(WINDOW), lambda i: F.struct((i - 1).alias("pos"), _window("__t", i).alias("h")))
+    filled = F.filter(_places(WINDOW), lambda i: F.slice("__t", i, F.lit(WINDOW)) != F.slice("__l", i, F.lit(WINDOW)))
+    plain = F.when(F.col("__t") != F.col("__l"), F.transform(filled, lambda i: F.struct((i - 1).alias("pos"), _window("__l", i).alias("h"))))
+    both = F.when(plain.isNull(), template).otherwise(F.concat(template, plain))
+    return df.select(*keep, F.explode(both).alias("w")).select(*keep, "w.pos", "w.h")
 
 
 def short_windows(df: DataFrame, widths: list[int], *keep: str) -> DataFrame:
     """The same for windows of plain tokens of other ``widths``."""
     part = lambda n: F.transform(_places(n), lambda i: F.struct(
-        (i - 1).alias("pos"), F.xxhash64(F.lit(n), F.slice("__low", i, F.lit(n))).alias("h")))
+        (i - 1).alias("pos"), F.xxhash64(F.lit(n), F.slice("__l", i, F.lit(n))).alias("h")))
     return df.select(*keep, F.explode(F.concat(*map(part, widths))).alias("w")).select(*keep, "w.pos", "w.h")
 
 
@@ -94,22 +103,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     items = canonical(benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("__text")).dropDuplicates(), "__text")
     items = stored(items.select("item_id", row_key("item_id", "__text").alias("__item"), "__raw", "__tpl", "__low",
                                 F.size("__tpl").alias("item_tokens")), "items")
-    own = windows(items, "__item", "item_tokens", "__tpl", "__low").withColumnRenamed("pos", "at")
+    items_hashed = _hashed(items)
+    own = windows(items_hashed, "__item", "item_tokens", "__tpl", "__l").withColumnRenamed("pos", "at")
     part = F.slice("__tpl", F.col("at") + 1, F.lit(WINDOW))
     literals = F.size(F.filter(part, lambda t: ~t.startswith("<")))
-    plain = F.col("h") == F.xxhash64(F.slice("__low", F.col("at") + 1, F.lit(WINDOW)))
+    plain = F.col("h") == _window("__l", F.col("at") + 1)
     own = own.filter((literals >= MIN_LITERALS) | plain).select("__item", "item_tokens", "at", F.lit(WINDOW).alias("width"), "h")
-    brief = items.filter((F.col("item_tokens") >= MIN_ITEM) & (F.col("item_tokens") < WINDOW))
+    brief = items_hashed.filter((F.col("item_tokens") >= MIN_ITEM) & (F.col("item_tokens") < WINDOW))
     widths = sorted(r[0] for r in brief.select("item_tokens").distinct().collect())  # fewer than WINDOW numbers
     if widths:
-        whole = F.xxhash64(F.col("item_tokens"), F.col("__low"))
+        whole = F.xxhash64(F.col("item_tokens"), F.col("__l"))
         own = own.unionByName(brief.select("__item", "item_tokens", F.lit(0).alias("at"), F.col("item_tokens").alias("width"), whole.alias("h")))
     own = stored(own, "item_windows")
     least = F.when(F.col("item_tokens") > WINDOW, F.least(F.lit(MIN_TOKENS), F.col("item_tokens") - 1)).otherwise(F.col("item_tokens"))
     few = own.agg(F.min(least).alias("n")).first()["n"] or MIN_TOKENS
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).withColumn("__key", row_key("doc_id", "__text"))
-    told = canonical(rows, "__text")
+    told = _hashed(canonical(rows, "__text"))
     spots = windows(told, "__key")
     if widths:
         spots = spots.unionByName(short_windows(told, widths, "__key"))
