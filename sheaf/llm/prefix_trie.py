@@ -85,7 +85,7 @@ def turns(conversations: DataFrame) -> DataFrame:
     narrow = conversations.filter("conv_id IS NOT NULL").select(
         "conv_id", "turn", F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256)).alias("identity"),
         F.octet_length(text).cast("long").alias("bytes"))
-    placed = ordered_scan(narrow, ["conv_id"], [F.col("turn").asc_nulls_first(), "identity"], pos="position")
+    placed = ordered_scan(narrow, ["conv_id"], ["turn", "identity"], pos="position")
     return stored(placed.drop("turn"), "turns")
 
 
