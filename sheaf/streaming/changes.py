@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheaf.plans.ordered import islands, ordered_scan
+from sheaf.plans.ordered import Desc, islands, ordered_scan
 
 # ---------------------------------------------------------------------------
 # Fixed values of the watcher.
@@ -184,7 +184,7 @@ def alert_timeline(alerts: DataFrame, key: str = "key") -> DataFrame:
     comes from a skew-safe descending scan (lag in reverse order = lead).
     """
     a = alerts.select(key, "event_id", "severity", F.unix_micros("ts").alias("_us"), "ttl_us")
-    nxt = ordered_scan(a, [key], [F.col("_us").desc(), F.col("event_id").desc()], lag={"_next": "_us"})
+    nxt = ordered_scan(a, [key], [Desc("_us"), Desc("event_id")], lag={"_next": "_us"})
     until = F.when(F.col("_next").isNull(), F.col("_us") + F.col("ttl_us")).otherwise(
         F.least(F.col("_us") + F.col("ttl_us"), F.col("_next")))
     return nxt.select(key, "event_id", "severity", (until - F.col("_us")).alias("shown_us"),

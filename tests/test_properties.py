@@ -113,3 +113,30 @@ def test_document_tokens_come_from_fragment_lengths(spark):
     st = R.document_stats(fr).first()
     assert st["n_chars"] == len(doc) and st["output_tokens"] == (len(doc) + 3) // 4
     assert st["n_bytes"] == len(doc.encode("utf-8"))
+
+
+def test_ordered_scan_with_hot_keys_descending_orders_and_nulls(spark):
+    from sheaf.plans.ordered import Desc
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["hot", "hot", "warm", f"k{rnd.randrange(400)}"]), rnd.choice([None, *range(50)]), f"t{i:05d}", rnd.choice([None, 1, 5, -2]))
+            for i in range(9000)]
+    df = spark.createDataFrame(rows, "k string, a long, b string, v long").repartition(5)
+    for order, native in ((["a", "b"], [F.col("a"), F.col("b")]), ([Desc("a"), "b"], [F.col("a").desc(), F.col("b")]),
+                          ([F.lower("b")], [F.lower("b")]), ([F.struct("a", "b")], [F.struct("a", "b")])):
+        w = Window.partitionBy("k").orderBy(*native)
+        want = df.select("*", F.row_number().over(w).cast("bigint").alias("p"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+                         F.lag("v").over(w).alias("g"), F.lag("b").over(w).alias("h"))
+        got = ordered_scan(df, ["k"], order, pos="p", cumsum={"s": "v"}, lag={"g": "v", "h": "b"})
+        assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_ordered_scan_shuffles_rows_once(spark):
+    df = spark.range(30_000).select((F.col("id") % 3000).alias("k"), F.col("id").alias("o"))
+    plain = ordered_scan(df, ["k"], ["o"], pos="p")
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    skewed = ordered_scan(df.withColumn("k", F.when(F.col("o") % 3 == 0, -1).otherwise(F.col("k"))), ["k"], ["o"], pos="p")
+    assert skewed.count() == 30_000 and skewed.filter("k = -1").agg(F.max("p")).first()[0] == 10_000
+    skewed.collect()
+    plan = skewed._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("Initial Plan")]
+    assert "ReusedExchange" in final and "SortMergeJoin" not in final  # the pieces' last rows read the exchange of all rows
