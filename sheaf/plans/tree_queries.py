@@ -346,13 +346,16 @@ def _picks_files_only(spark, sf):
     return FX.picks(spark, sf).join(f, ["root_id", "rel_path"], "left_semi")
 
 
+def _checked_files(entries, picks):
+    """The files a selection checks: a file's state is its expanded flag, so no roll-up is needed."""
+    return S.expand(entries, picks).filter("checked AND NOT is_dir").select("root_id", "rel_path")
+
+
 @query("selection_diff")
 def q_selection_diff(spark, sf):
     """G1: files added/removed when directory picks are applied on top of file picks."""
-    pr = nodes(pruned_entries(spark, sf))
-    before = S.selected_flat(S.selection_states(pr, _picks_files_only(spark, sf)))
-    after = S.selected_flat(S.selection_states(pr, FX.picks(spark, sf)))
-    return S.diff(before, after)
+    pr = pruned_entries(spark, sf)
+    return S.diff(_checked_files(pr, _picks_files_only(spark, sf)), _checked_files(pr, FX.picks(spark, sf)))
 
 
 @query("deselect_all")
@@ -382,13 +385,12 @@ def q_selection_union(spark, sf):
 @query("merge_change_batches")
 def q_merge_change_batches(spark, sf):
     """Several change lists concatenated, paths deduplicated, errors kept."""
-    ch = FX.changes(spark, sf)
-    parts = [ch.filter(F.col("kind") == k).select("root_id", F.col("path").alias("item"), F.lit(False).alias("is_error"))
-             for k in ("modify", "create", "remove")]
-    errs = ch.filter(F.col("kind") == "error").select("root_id", F.col("message").alias("item"),
-                                                      F.lit(True).alias("is_error"))
-    u = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    return u.distinct().unionAll(errs)
+    is_error = F.col("kind") == "error"
+    ch = FX.changes(spark, sf).filter(F.col("kind").isin("modify", "create", "remove", "error"))
+    # one read: paths meet by themselves, each error by its own event
+    own = F.when(is_error, F.col("event_id"))
+    return ch.groupBy("root_id", F.when(is_error, F.col("message")).otherwise(F.col("path")).alias("item"), is_error.alias("is_error"),
+                      own.alias("_event")).agg(F.count(F.lit(1)).alias("_n")).drop("_event", "_n")
 
 
 @query("capture_snapshot")
@@ -416,7 +418,7 @@ def q_search_visible(spark, sf):
 def q_reload_with_patterns(spark, sf):
     """H7: re-prune with the 'minimal' preset; surviving picks re-expanded."""
     pr = prune(corpus_entries(spark, sf), patterns=PRESETS["minimal"])
-    return S.selected_flat(S.selection_states(nodes(pr), FX.picks(spark, sf))).select("root_id", "rel_path")
+    return _checked_files(pr, FX.picks(spark, sf))
 
 
 @query("hierarchy_rollup")
