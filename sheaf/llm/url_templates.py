@@ -4,8 +4,10 @@ Level by level, every node of a host's tree keeps as literals the segments that
 share ``min_share`` of the node's urls have (so at most ``1 / min_share`` children each); all other segments are
 generalised into the wildcards ``{num}`` (digits, with the extension if any) and ``{any}``.  Templates of a host that
 differ in literals only are branches side by side: put in order of labelled rate, neighbours whose rates a two-
-proportion test cannot tell apart are merged.  A merged template is rejected when labels cover enough of its urls and
-its smoothed purity, ``(bad + s * prior) / (labelled + s)`` with the corpus rate as prior, is high.
+proportion test cannot tell apart are merged.  A merged template is rejected when its smoothed purity,
+``(bad + s * prior) / (labelled + s)``, is high.  Its prior is the purity of what it belongs to, smoothed in the same
+way step by step: the corpus, the registered domain, the host, and the same template on all hosts.  A template with
+few labels or none so falls back on similar ones, however small the labelled share of its own urls is.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ class Settings(NamedTuple):
     max_z: float = 1.96  # branches closer than this are merged
     smoothing: float = 4.0
     min_purity: float = 0.8
-    min_coverage: float = 0.5  # labelled share of a template's urls
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -62,6 +63,12 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
     return text, action
 
 
+def domain_of(host: Column) -> Column:
+    """The registered domain: the last two names of a host, or all of a shorter one."""
+    found = F.regexp_extract(host, r"[^.]+[.][^.]+$", 0)
+    return F.when(found == "", host).otherwise(found)
+
+
 def wildcard(segment: Column) -> Column:
     return F.when(segment.rlike(r"^[0-9]+(\.[A-Za-z]+)?$"),
                   F.concat(F.lit("{num}"), F.regexp_extract(segment, r"(\.[A-Za-z]+)?$", 0))).otherwise("{any}")
@@ -96,6 +103,10 @@ def merged(found: DataFrame, s: Settings) -> DataFrame:
     leaf = stored(leaf, "templates")
     whole = leaf.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
     prior = (whole["bad"] or 0) / whole["labelled"] if whole["labelled"] else 0.0
+    leaf = leaf.withColumn("domain", domain_of(F.col("__host"))).withColumn("prior", F.lit(prior))
+    for of in ("domain", "__host", "__node"):  # one row a domain, a host, a template: sums are added before they are sent
+        known = leaf.groupBy(of).agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l"))
+        leaf = leaf.join(known, of).withColumn("prior", (F.col("b") + s.smoothing * F.col("prior")) / (F.col("l") + s.smoothing)).drop("b", "l")
     rate = (F.col("bad") + 1.0) / (F.col("labelled") + 2.0)
     leaf = leaf.withColumn("rate", rate).withColumn("some", F.col("labelled") > 0)
     order = Window.partitionBy(*keys, "some").orderBy("rate", "__node")  # at most the literals of one host's shape
@@ -105,10 +116,10 @@ def merged(found: DataFrame, s: Settings) -> DataFrame:
     new = F.when(before.isNull() | ~F.col("some") | apart, 1).otherwise(0)
     leaf = leaf.withColumn("new", new).withColumn("group", F.sum("new").over(order))
     group = Window.partitionBy(*keys, "some", "group")
-    n, labelled, bad = (F.sum(c).over(group) for c in ("n", "labelled", "bad"))
-    purity = (bad + s.smoothing * prior) / (labelled + s.smoothing)
+    labelled, bad = (F.sum(c).over(group) for c in ("labelled", "bad"))
+    purity = (bad + s.smoothing * F.min("prior").over(group)) / (labelled + s.smoothing)
     return leaf.select("__host", "__node", F.min("__node").over(group).alias("template_group"), purity.alias("purity"),
-                       ((labelled >= s.min_coverage * n) & (labelled > 0) & (purity >= s.min_purity)).alias("rejected"))
+                       (purity >= s.min_purity).alias("rejected"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], settings: Settings = Settings(), page_id: str = "page_id",
@@ -160,15 +171,19 @@ l{k} AS (SELECT page_id, s.host, path, rule, action, label, segs,
       FROM (SELECT *, CASE WHEN len(segs) > {s.max_depth} THEN '/**' ELSE '' END AS deep FROM l{s.max_depth})),
 t AS (SELECT host, shape, node, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS bad FROM f GROUP BY ALL),
 w AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0) AS prior FROM t),
-r AS (SELECT *, (bad + 1.0::DOUBLE) / (labelled + 2.0::DOUBLE) AS rate, labelled > 0 AS known FROM t),
+m AS (SELECT t.*, CASE WHEN regexp_matches(host, '[^.]+[.][^.]+$') THEN regexp_extract(host, '[^.]+[.][^.]+$') ELSE host END AS domain FROM t),
+m1 AS (SELECT m.*, (sum(bad) OVER (PARTITION BY domain) + {s.smoothing}::DOUBLE * prior) / (sum(labelled) OVER (PARTITION BY domain) + {s.smoothing}::DOUBLE) AS p1 FROM m, w),
+m2 AS (SELECT *, (sum(bad) OVER (PARTITION BY host) + {s.smoothing}::DOUBLE * p1) / (sum(labelled) OVER (PARTITION BY host) + {s.smoothing}::DOUBLE) AS p2 FROM m1),
+m3 AS (SELECT *, (sum(bad) OVER (PARTITION BY node) + {s.smoothing}::DOUBLE * p2) / (sum(labelled) OVER (PARTITION BY node) + {s.smoothing}::DOUBLE) AS p3 FROM m2),
+r AS (SELECT *, (bad + 1.0::DOUBLE) / (labelled + 2.0::DOUBLE) AS rate, labelled > 0 AS known FROM m3),
 b AS (SELECT *, lag(rate) OVER o AS r0, lag(labelled) OVER o AS l0 FROM r WINDOW o AS (PARTITION BY host, shape, known ORDER BY rate, node)),
 n AS (SELECT *, CASE WHEN r0 IS NULL OR NOT known OR abs(rate - r0) >= {s.max_z}::DOUBLE *
              sqrt((rate + r0) / 2 * (1 - (rate + r0) / 2) * (1.0::DOUBLE / labelled + 1.0::DOUBLE / l0)) THEN 1 ELSE 0 END AS new FROM b),
 g AS (SELECT *, sum(new) OVER (PARTITION BY host, shape, known ORDER BY rate, node) AS grp FROM n),
-v AS (SELECT host, node, min(node) OVER e AS template_group, sum(n) OVER e AS n, sum(labelled) OVER e AS labelled,
-             (sum(bad) OVER e + {s.smoothing}::DOUBLE * prior) / (sum(labelled) OVER e + {s.smoothing}::DOUBLE) AS purity
-      FROM g, w WINDOW e AS (PARTITION BY host, shape, known, grp))
-SELECT page_id, f.host, path, rule, coalesce(action, CASE WHEN v.labelled >= {s.min_coverage} * v.n AND v.labelled > 0
-       AND purity >= {s.min_purity} THEN 'block' ELSE 'allow' END) AS verdict, f.node AS template, template_group, purity
+v AS (SELECT host, node, min(node) OVER e AS template_group,
+             (sum(bad) OVER e + {s.smoothing}::DOUBLE * min(p3) OVER e) / (sum(labelled) OVER e + {s.smoothing}::DOUBLE) AS purity
+      FROM g WINDOW e AS (PARTITION BY host, shape, known, grp))
+SELECT page_id, f.host, path, rule, coalesce(action, CASE WHEN purity >= {s.min_purity} THEN 'block' ELSE 'allow' END) AS verdict,
+       f.node AS template, template_group, purity
 FROM f JOIN v ON f.host = v.host AND f.node = v.node""")
     return ",\n".join(out)

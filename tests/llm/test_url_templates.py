@@ -57,3 +57,19 @@ def test_against_sql(spark):
     got = ut.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), URL_RULES)
     got = got.selectExpr("* EXCEPT (purity)", "round(purity, 9)").orderBy("page_id").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_templates_without_labels_fall_back_on_others(spark):
+    """Labels of half of the hosts are hidden: the method's verdicts on them against the rules, and some unruled urls go."""
+    from pyspark.sql import functions as F
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    ruled = ut.judge(pages, URL_RULES)
+    assert ruled.filter("rule IS NULL AND verdict = 'block'").count() > 100
+    truth = ruled.filter("rule IS NOT NULL").select("page_id", "verdict", (F.crc32("host") % 2 == 0).alias("hidden"))
+    label = F.when(~F.col("hidden"), (F.col("verdict") == "block").cast("int")).alias("bad")
+    held = truth.filter("hidden").select("page_id", F.col("verdict").alias("want"))
+    got = ut.judge(pages.join(truth.select("page_id", label), "page_id", "left"), [], label="bad").join(held, "page_id")
+    n = {(r.verdict, r.want): r.n for r in got.groupBy("verdict", "want").agg(F.count("*").alias("n")).collect()}
+    blocked = n.get(("block", "block"), 0) + n.get(("block", "allow"), 0)
+    assert n.get(("block", "block"), 0) >= .9 * blocked > 0
+    assert n["allow", "allow"] >= .8 * (n["allow", "allow"] + n.get(("block", "allow"), 0))
