@@ -1,9 +1,15 @@
-"""Hashed maximum-entropy language model over word classes.
+"""Hashed maximum-entropy language model with class-factored softmax.
 
-``P(token | history) = P(class | history) * P(token | class)``.  The class softmax has hashed n-gram and skip features
-of the two tokens before (their classes): the last, the one before it, and both.  Frequent words are classes of their
-own, other words share classes by their ending.  Inside a class a token has its add-one share of the class's training
-tokens, one share being left for unknown words; so all tokens and one unknown word a class sum to one.
+``P(token | history) = P(class | history) * P(token | class, last token)``.  The class softmax has hashed n-gram and
+skip features of the two tokens before (their classes): the last, the one before it, and both.  Frequent words are
+classes of their own, other words share classes by their ending.  Inside a class the softmax has a feature for every
+pair of words that follow each other in training, beside the word's add-one share of the class's training tokens (one
+share being left for unknown words); so all tokens and one unknown word a class sum to one, whatever comes before.
+
+The pair features grow with the corpus: their table is a partitioned DataFrame, dealt by a hash of last token and
+class.  What normalises together (all pairs of one last token and class) lies in one bucket, so the regularised
+updates of a bucket's weights need nothing from others, and buckets are as many as the corpus needs.  A block of
+documents sends each distinct pair once, and gets its log-factor back.
 
 All training tokens count.  Word counts meet by hash: a block of documents sends each distinct word once, and gets
 its corpus count back.  Class contexts are summed over blocks into sufficient statistics, spread over chunks; every
@@ -34,6 +40,7 @@ CHUNKS = 16
 STEPS, RATE = 30, 0.7
 END = np.uint64(0)  # stands for the end token among word hashes
 BLOCK_BYTES = 16 << 20
+PAIR_STEPS, VARIANCE = 20, 7.0  # updates of pair weights, and the variance of their prior
 
 
 class Block(NamedTuple):
@@ -250,6 +257,122 @@ def train(statistics: DataFrame, tokens: int, steps: int = STEPS, rate: float =
     return weights
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Counts as one byte each, those of 255 and more in full after them."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype(np.uint32).tobytes()
+
+
+def _counts(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[n:], np.uint32)
+    return out
+
+
+class Pairs(NamedTuple):
+    """The distinct pairs of a block whose second token is in a tail class, by bucket and group."""
+
+    of: np.ndarray  # for each token the number of its pair, -1 if its class has one word
+    bucket: np.ndarray
+    group: np.ndarray  # 32-bit hash of last token and class, within the bucket
+    kind: np.ndarray  # class of the second token
+    word: np.ndarray  # 32-bit hash of the second token
+    known: np.ndarray  # its corpus count
+    seen: np.ndarray  # occurrences in training
+
+
+def pairs(hashes: np.ndarray, kind: np.ndarray, known: np.ndarray, token: np.ndarray, counts: np.ndarray, learn: np.ndarray, buckets: int) -> Pairs:
+    """The pairs of a block; the token before a text's first is the end token."""
+    before = np.append(0, token[:-1]).astype(np.int64)
+    before[np.cumsum(counts) - counts] = 0
+    tail = np.flatnonzero(kind[token] >= HEAD)
+    key, where = np.unique(before[tail] * len(hashes) + token[tail], return_inverse=True)
+    last, word = key // len(hashes), key % len(hashes)
+    h = (hashes[last] ^ (kind[word].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    bucket, group = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    order = np.lexsort((word, group, bucket))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key))
+    of = np.full(len(token), -1, np.int64)
+    of[tail] = rank[where]
+    seen = np.bincount(of[tail], weights=learn[tail], minlength=len(key)).astype(np.int64)
+    word = word[order]
+    return Pairs(of, bucket[order], group[order], kind[word], (hashes[word] & np.uint64(0xFFFFFFFF)).astype(np.uint32), known[word], seen)
+
+
+def pair_factors(group: np.ndarray, word: np.ndarray, share: np.ndarray, seen: np.ndarray, steps: int = PAIR_STEPS,
+                 variance: float = VARIANCE) -> np.ndarray:
+    """What the softmax inside of classes adds to the log of each entry's share: its pair's weight less the group's
+    normaliser.
+
+    Entries with equal ``group`` and ``word`` are one pair; ``seen`` adds up, ``share`` is the word's part of its class.
+    Weights of pairs never seen stay zero.  Updates are damped Newton steps on the penalised likelihood, all groups at once.
+    """
+    key = group.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+    key, first, where = np.unique(key, return_index=True, return_inverse=True)
+    n = np.bincount(where, weights=seen, minlength=len(key))
+    own = (key >> np.uint64(32)).astype(np.int64)
+    of = np.cumsum(np.append(0, np.diff(own) != 0)) if len(own) else own
+    total, part, weight = np.bincount(of, weights=n), share[first], np.zeros(len(key))
+    some = n > 0
+    for _ in range(steps):
+        norm = 1 + np.bincount(of, weights=part * np.expm1(weight))
+        p = part * np.exp(weight) / norm[of]
+        expected = total[of] * p
+        step = (n - expected - weight / variance) / (expected * (1 - p) + 1 / variance + expected / 2)
+        weight = np.where(some, np.clip(weight + step, -10, 15), 0.0)
+    norm = 1 + np.bincount(of, weights=part * np.expm1(weight)) if len(key) else np.zeros(0)
+    return (weight - np.log(norm[of]))[where]
+
+
+def _factors(joined: DataFrame, corpus: Corpus, buckets: int) -> DataFrame:
+    """Rows ``block, bucket, factors``: the log-factor of each pair of a block that falls into a bucket, in order."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names if name != "ids"}
+                found = _pairs_of(row, corpus, buckets)[0]
+                edges = run_edges(found.bucket)
+                rows = []
+                for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    runs = run_edges(found.group[lo:hi])
+                    rows.append((row["block"], int(found.bucket[lo]), found.group[lo:hi][runs[:-1]].tobytes(), found.kind[lo:hi][runs[:-1]].astype(np.uint8).tobytes(),
+                                 _small(np.diff(runs)), found.word[lo:hi].tobytes(), _small(found.known[lo:hi]), _small(found.seen[lo:hi])))
+                columns = list(zip(*rows, strict=True)) or [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 6, strict=True)],
+                                                 ["block", "bucket", "groups", "kinds", "runs", "words", "known", "seen"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        sizes = []
+        for groups, kinds, runs, words, known, seen in zip(*(table.column(c).to_pylist() for c in ("groups", "kinds", "runs", "words", "known", "seen")), strict=True):
+            word, group = np.frombuffer(words, np.uint32), np.frombuffer(groups, np.uint32)
+            run = _counts(runs, len(group))
+            inside = corpus.inside[np.repeat(np.frombuffer(kinds, np.uint8), run) - HEAD]
+            share = (_counts(known, len(word)) + 1.0) / 10 ** inside
+            for into, x in zip(parts, (np.repeat(group, run), word, share, _counts(seen, len(word))), strict=True):
+                into.append(x)
+            sizes.append(len(word))
+        found = pair_factors(*(np.concatenate(x) for x in parts)).astype(np.float32)
+        cut = np.split(found, np.cumsum(sizes)[:-1])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "factors": pa.array([c.tobytes() for c in cut], pa.binary())})
+
+    sent = joined.mapInArrow(send, "block long, bucket long, groups binary, kinds binary, runs binary, words binary, known binary, seen binary")
+    return stored(sent.groupBy("bucket").applyInArrow(meet, "block long, bucket long, factors binary"), "factors")
+
+
+def _pairs_of(row: dict, corpus: Corpus, buckets: int) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its pairs, its distinct tokens' corpus counts and classes, its tokens, and the count of each document."""
+    h, n = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+    order = _bucket(h, buckets)[1]
+    known = np.zeros(len(h), np.int64)
+    known[order] = np.frombuffer(b"".join(r["counts"] for r in sorted(row["replies"], key=lambda r: r["bucket"])), np.int64)
+    kind = classify(h, np.frombuffer(row["tail"], np.uint8), corpus.head)
+    token = np.frombuffer(row["codes"], np.uint32).astype(np.int64)
+    learn = np.repeat(~np.array(row["held"], bool), n)
+    return pairs(h, kind, known, token, n, learn, buckets), known, kind, token, n
+
+
 def held_out(doc_id: str, folds: int = 7, fold: int = 2) -> Column:
     """Whether a document is kept from training: crc32 of its id as text, modulo ``folds`` (a null id counts as '')."""
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds) == fold
@@ -273,26 +396,27 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     id_type = docs.schema[doc_id].dataType.simpleString()
     schema = (f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     per_block = replies.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("replies"))
-    joined = blocks.join(per_block, "block").select("ids", "held", "sizes", "codes", "hashes", "tail", "replies")
+    joined = blocks.join(per_block, "block").select("block", "ids", "held", "sizes", "codes", "hashes", "tail", "replies")
+    factors = _factors(joined, corpus, buckets)
+    per_block = factors.groupBy("block").agg(F.collect_list(F.struct("bucket", "factors")).alias("factors"))
+    joined = joined.join(per_block, "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held, sizes, codes, hashes, tail, got = (c[i].as_py() for c in batch.columns)
-                h, n = np.frombuffer(hashes, np.uint64), np.frombuffer(sizes, np.uint32).astype(np.int64)
-                order = _bucket(h, buckets)[1]
-                count = np.zeros(len(h), np.int64)
-                count[order] = np.frombuffer(b"".join(r["counts"] for r in sorted(got, key=lambda r: r["bucket"])), np.int64)
-                kind = classify(h, np.frombuffer(tail, np.uint8), corpus.head)
-                inside = np.where(kind < HEAD, 0.0, np.log10(count + 1.0) - corpus.inside[np.maximum(kind - HEAD, 0)])
-                base = np.log10(count + 1.0) - np.log10(corpus.tokens + corpus.words + 1.0)
-                token = np.frombuffer(codes, np.uint32)
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                found, known, kind, token, n = _pairs_of(row, corpus, buckets)
+                factor = b"".join(r["factors"] for r in sorted(row["factors"] or [], key=lambda r: r["bucket"]))
+                factor = np.append(np.frombuffer(factor, np.float32).astype(np.float64) / np.log(10), 0.0)  # the last: no pair
+                inside = np.where(kind < HEAD, 0.0, np.log10(known + 1.0) - corpus.inside[np.maximum(kind - HEAD, 0)])
+                base = np.log10(known + 1.0) - np.log10(corpus.tokens + corpus.words + 1.0)
                 classes = kind[token]
-                model = table[contexts(classes, n), classes].astype(np.float64) + inside[token]
+                model = table[contexts(classes, n), classes].astype(np.float64) + inside[token] + factor[found.of]
                 starts = np.cumsum(n) - n
-                sums = [np.add.reduceat(x, starts) for x in ((count > 0)[token].astype(np.int64), base[token], model)]
+                sums = [np.add.reduceat(x, starts) for x in ((known > 0)[token].astype(np.int64), base[token], model)]
+                ids = batch.column("ids")[i].values
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, batch.schema.field(0).type.value_type), pa.array(held, pa.bool_()), pa.array(n), pa.array(sums[0]),
+                    [ids, pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(sums[0]),
                      pa.array(np.full(len(n), corpus.tokens)), pa.array(sums[1]), pa.array(sums[2])],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

@@ -57,6 +57,41 @@ def test_probabilities_sum_to_one():
         assert abs(((count[kind == k] + 1) / (n + v + 1)).sum() + 1 / (n + v + 1) - 1) < 1e-12
 
 
+def test_pair_softmax_sums_to_one_and_is_where_the_gradient_vanishes():
+    r = np.random.default_rng(3)
+    words, shares = np.arange(12, dtype=np.uint32), r.dirichlet(np.ones(13))[:12]  # a share is left for unknown words
+    group = np.repeat(np.arange(5, dtype=np.uint32), 12)
+    word, share, seen = np.tile(words, 5), np.tile(shares, 5), r.integers(0, 9, 60) * (r.random(60) < .5)
+    # entries of several blocks: the counts of a pair add up
+    got = lm.pair_factors(np.append(group, group), np.append(word, word), np.append(share, share), np.append(seen, np.zeros(60, int)), steps=600)
+    assert np.allclose(got[:60], got[60:])
+    p = share * np.exp(got[:60])
+    left = 1 - shares.sum()
+    norm = np.array([-got[g * 12:(g + 1) * 12][seen[g * 12:(g + 1) * 12] == 0][0] for g in range(5)])  # of an unseen pair: minus the normaliser
+    for g in range(5):
+        own = slice(12 * g, 12 * g + 12)
+        assert abs(p[own].sum() + left * np.exp(-norm[g]) - 1) < 1e-9
+        weight = got[own] + norm[g]
+        gradient = seen[own] - seen[own].sum() * p[own] - weight / lm.VARIANCE
+        assert np.abs(gradient[seen[own] > 0]).max() < 1e-6
+    assert len(lm.pair_factors(*[np.zeros(0, np.uint32)] * 2, np.zeros(0), np.zeros(0, int))) == 0
+
+
+def test_pairs_of_a_block():
+    b = lm.encode(pa.array(["the cat sat", "the cat ran the cat", None]))
+    kind = np.where(np.arange(len(b.hashes)) < 2, np.arange(len(b.hashes)), lm.HEAD + b.tail)  # "the" is a class of its own
+    known = np.arange(len(b.hashes)) * 100
+    token, learn = b.codes.astype(np.int64), np.repeat([True, True, False], b.counts)
+    got = lm.pairs(b.hashes, kind, known, token, b.counts, learn, 7)
+    names = ["END", "the", "cat", "sat", "ran"]
+    want = Counter((names[x], names[y]) for x, y in [(1, 2), (2, 3), (1, 2), (2, 4), (1, 2)])
+    assert sorted(got.seen.tolist()) == sorted(want.values()) and (got.of[kind[token] < lm.HEAD] == -1).all()
+    assert (got.known[got.of[got.of >= 0]] == known[token[got.of >= 0]]).all() and (got.kind[got.of[got.of >= 0]] == kind[token[got.of >= 0]]).all()
+    assert (np.diff(got.bucket) >= 0).all()
+    values = np.array([0, 1, 254, 255, 256, 70_000])
+    assert lm._counts(lm._small(values), 6).tolist() == values.tolist()
+
+
 def test_contexts():
     got = lm.contexts(np.array([5, 6, 7, 8, 9]), np.array([3, 1, 1]))
     s, w = lm.START, lm.CLASSES + 1
@@ -79,4 +114,5 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     r = got.filter("held_out").agg(F.sum("score") / F.sum("base_score")).first()[0]
     assert r == pytest.approx(r) and r < 0.99
+    assert got.filter("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0] > -3.7  # log10 a token; the base has -4.07
     assert got.filter("score > 0 OR base_score > 0").count() == 0
