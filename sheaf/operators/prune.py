@@ -4,7 +4,7 @@ An entry disappears when it or any ancestor has a name matching any pattern of
 its root's profile.  A profile is folded to ONE regex over
 ``'/' || rel_path || '/'`` (see ``component_regex``), so pruning is a single
 RLIKE per row: no explode, no recursion, and never a join on RLIKE (which would
-plan as a nested-loop join).
+plan as a nested-loop join).  Very many profiles go through a name dictionary.
 
 Profiles: ``profiles(root_id, ord, pattern)``; ``root_id`` NULL is the global
 profile; a root with any rows of its own uses only those (a NULL pattern row
@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.patterns import component_regex
-from sheaf.session import ensure_checkpoint_dir
+from sheaf.session import ensure_checkpoint_dir, pinned_table
+
+LITERALS = 64  # different profiles that become literals of a plan
+
 
 def match_any_component(rel_path: Column, patterns: list[str], root_name: Column | None = None) -> Column:
     """True when any component (optionally the root's own name too) matches a glob."""
@@ -73,16 +76,43 @@ def prune(entries: DataFrame, profiles: DataFrame | None = None, patterns: list[
           include_root: bool = False) -> DataFrame:
     """Subtree-prune ``entries`` by a global list or per-root ``profiles``.
 
-    Any number of profiles: an equi-join gives each root its regex, which is one more column of the RLIKE; roots
+    Any number of profiles, and no regex is compiled for an entry: up to ``LITERALS`` different ones are literals of one
+    CASE; beyond that a name dictionary is tested once for each profile and name, and blocked names are joined.  Roots
     without a profile are tested against the global literal.
     """
     if profiles is None:
         return prune_with_patterns(entries, patterns or [], include_root)
     own, default = resolve_profiles(profiles)
     target = component_target(F.col("rel_path"), F.col("root_id") if include_root else None)
-    hit = F.when(F.col("_own"), F.coalesce(F.rlike(target, F.col("_rx")), F.lit(False))).otherwise(
-        target.rlike(default) if default else F.lit(False))
-    return entries.join(own, "root_id", "left").filter(~hit).drop("_own", "_rx")
+    globally = target.rlike(default) if default else F.lit(False)
+    few = [r["_rx"] for r in own.select("_rx").distinct().limit(LITERALS + 1).collect()]
+    marked = entries.join(own, "root_id", "left")
+    if len(few) <= LITERALS:
+        hit = F.lit(False)
+        for rx in few:
+            hit = F.when(F.col("_rx") == rx, target.rlike(rx)).otherwise(hit) if rx is not None else hit
+        return marked.filter(~F.when(F.col("_own"), hit).otherwise(globally)).drop("_own", "_rx")
+    blocked = _blocked_by_name(marked.filter("_rx IS NOT NULL").select("root_id", "rel_path", "parent", "is_dir", "_rx"), target)
+    return marked.filter(F.col("_own").isNotNull() | ~globally).drop("_own", "_rx").join(blocked, ["root_id", "rel_path"], "left_anti")
+
+
+def _blocked_by_name(marked: DataFrame, target: Column) -> DataFrame:
+    """``root_id, rel_path`` of entries of roots with their own profile that a component's name blocks.
+
+    A name dictionary: each distinct (profile, component name) is tested once, whatever number of entries has it.  Only
+    directories are taken apart into components; anything else meets its own name and its parent directory.
+    """
+    profile = F.xxhash64("_rx").alias("_p")
+    names = F.filter(F.split(target, "/"), lambda x: x != "")
+    parts = marked.filter("is_dir OR parent IS NULL").select("root_id", "rel_path", "_rx", profile, F.explode(F.array_distinct(names)).alias("_name"))
+    last = F.substring_index("rel_path", "/", -1)
+    files = marked.filter("NOT is_dir").select("root_id", "rel_path", "parent", "_rx", profile, last.alias("_name"))
+    known = parts.select("_rx", "_p", "_name").unionByName(files.select("_rx", "_p", "_name")).distinct()
+    bad = pinned_table(known.filter(F.rlike(F.concat(F.lit("/"), F.col("_name"), F.lit("/")), F.col("_rx"))).select("_p", "_name"), "blocked_names")
+    dirs = pinned_table(parts.join(bad, ["_p", "_name"], "left_semi").select("root_id", "rel_path").distinct(), "blocked_directories")
+    own = files.join(bad, ["_p", "_name"], "left_semi").select("root_id", "rel_path")
+    inside = files.join(dirs.withColumnRenamed("rel_path", "parent"), ["root_id", "parent"], "left_semi").select("root_id", "rel_path")
+    return dirs.unionByName(own).unionByName(inside).distinct()
 
 
 def rejected_patterns(patterns: list[str]) -> list[str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,13 +60,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+_scopes: list[list[str]] = []  # paths pinned inside of each open `pinned_scope`
+
+
 def pinned_table(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder and read back.
 
     Like a checkpoint it is one execution and safe from lost executors; besides, Catalyst knows its true size and so
-    picks a broadcast join by its own threshold.
+    picks a broadcast join by its own threshold.  The table goes at the end of the innermost :func:`pinned_scope`; outside
+    of any it stays until the cluster clears the folder.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pinned/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def pinned_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables pinned inside of this block at its end, in whatever file system they are.
+
+    Frames built inside must have been written or collected by then.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -125,3 +125,47 @@ def test_project_types_by_marker_then_extension(spark):
         "m": "rust", "deep": "python", "none": "default", "tie": "rust", "setup": "python"}
     got = [r["pattern"] for r in project_profiles(e).filter("root_id = 'none'").orderBy("ord").collect()]
     assert got == DEFAULT_PATTERNS
+
+
+def test_command_line_packs_a_tree_and_removes_its_tables(spark, tmp_path, capsys):
+    import sheaf.__main__ as command
+    from sheaf import session
+    root = tmp_path / "proj"
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.py").write_text("print(1)\n")
+    (root / "b.log").write_text("no")
+    pinned = f"{session.ensure_checkpoint_dir(spark)}/pinned".replace("file:", "")
+    before = set(os.listdir(pinned)) if os.path.isdir(pinned) else set()
+    command.main([str(root), "--out", str(tmp_path / "out"), "--ignore", "*.log", "--progress"])
+    told = capsys.readouterr()
+    assert told.out.startswith("proj: ") and [x.split()[1] for x in told.err.splitlines() if x.startswith("proj: ")][0] == "scanning"
+    assert list(dict.fromkeys(x.split()[1] for x in told.err.splitlines() if x.startswith("proj: "))) == ["scanning", "reading", "building"]
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out" / "root_id=proj").iterdir()) if not p.name.startswith("."))
+    assert "### src/a.py" in text and "b.log" not in text
+    assert set(os.listdir(pinned)) == before and not session._scopes
+
+
+def test_name_dictionary_equals_literal_profiles(spark, monkeypatch):
+    from sheaf.operators import prune as PR
+    from sheaf.plans import queries as Q
+    entries = Q.corpus_entries(spark, SF_SMALL)
+    profiles = FX.profiles(spark)
+    for include_root in (False, True):
+        want = {tuple(r) for r in prune(entries, profiles=profiles, include_root=include_root).select("root_id", "rel_path").collect()}
+        with monkeypatch.context() as m:
+            m.setattr(PR, "LITERALS", 0)
+            got = prune(entries, profiles=profiles, include_root=include_root)
+            assert got.columns == entries.columns
+            assert {tuple(r) for r in got.select("root_id", "rel_path").collect()} == want
+    assert 0 < len(want) < entries.count()
+
+
+def test_thousands_of_profiles_compile_no_regex_for_an_entry(spark):
+    n = 3000
+    files = spark.range(n).select(F.concat(F.lit("r"), "id").alias("root_id"), F.explode(F.array(
+        F.concat(F.lit("a/skip"), "id", F.lit("/x.md")), F.lit("a/b/keep.md"), F.concat(F.lit("a/b/skip"), "id"))).alias("rel_path"), F.lit("x").alias("content"))
+    profiles = spark.range(n).select(F.concat(F.lit("r"), "id").alias("root_id"), F.lit(0).alias("ord"), F.concat(F.lit("skip"), "id").alias("pattern"))
+    left = prune(EN.derive_entries(files), profiles=profiles)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan  # the dictionary's tests are done: only names are joined
+    assert sorted({r.rel_path for r in left.collect()}) == ["", "a", "a/b", "a/b/keep.md"] and left.count() == 4 * n
