@@ -20,7 +20,7 @@ Results equal ``row_number()``, ``sum() ROWS UNBOUNDED PRECEDING`` and
 ``lag(1)`` over ``partitionBy(keys).orderBy(order)`` when the order is total.
 
 :func:`pinned_order` lays rows out in ranges for the operators that walk them
-(chains, history, islands, rolling statistics): ``repartitionByRange`` spreads a
+(chains, history, rolling statistics): ``repartitionByRange`` spreads a
 hot key in order, ``spark_partition_id`` and ``monotonically_increasing_id``
 tell the place of a row, and a reliable ``checkpoint()`` into the session's
 ``spark.checkpoint.dir`` pins one execution, so a lost executor loses nothing.
@@ -32,6 +32,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sheaf.session import ensure_checkpoint_dir, pinned_table
 
@@ -70,28 +71,6 @@ def pinned_order(df: DataFrame, keys: list[str], order: list, num_partitions: in
     return ranged.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")).checkpoint(eager=True)
 
 
-def islands(df: DataFrame, keys: list[str], order: list, value: str, gap: int, name: str) -> DataFrame:
-    """Add ``name``: the island of each row per ``keys`` in ``order``, from 1; a step of ``gap`` or more in ``value``
-    starts a new one.
-
-    One ordered scan: steps inside a ``(key, partition)`` run are counted there, the step over each border comes from
-    the runs' first and last values in the small summary.  ``value`` is non-null and does not decrease in ``order``.
-    """
-    scanned = pinned_order(df, keys, order)
-    local = Window.partitionBy(*keys, "_pid").orderBy("_mid")
-    step = F.coalesce((F.col(value) - F.lag(value).over(local) >= gap).cast("bigint"), F.lit(0))
-    run = scanned.withColumn("_new", step).withColumn(
-        "_run", F.sum("_new").over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    summary = run.groupBy(*keys, "_pid").agg(F.max("_run").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    w = Window.partitionBy(*keys).orderBy("_pid")
-    border = F.coalesce((F.col("_lo") - F.lag("_hi").over(w) >= gap).cast("bigint"), F.lit(1))
-    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = (summary.select(*keys, "_pid", border.alias("_border"), before.alias("_before"))
-               .withColumn("_off", F.sum("_border").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")))
-    out = run.join(offsets.select(*keys, "_pid", "_off"), [*keys, "_pid"])
-    return out.select(*[F.col(c) for c in df.columns], (F.col("_off") + F.col("_run")).alias(name))
-
-
 def _hot_keys(df: DataFrame, keys: list[str], n: int) -> tuple[DataFrame | None, int]:
     """``keys`` and ``_n`` of the keys with more than a partition's share of rows (None: there are none), and that share."""
     cell = F.pmod(F.xxhash64(*keys), F.lit(CELLS * n))
@@ -129,6 +108,19 @@ def _before(bound: Column, order: list) -> Column:
     return out
 
 
+def _pieces(df: DataFrame, keys: list[str], order: list, num_partitions: int | None = None) -> tuple[DataFrame, WindowSpec, bool]:
+    """``df``, the window of a key or of a hot key's piece (``_piece``, -1 for other keys), and whether there are hot keys."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorts = [_sorted(o) for o in order]
+    hot, share = _hot_keys(df, keys, n)
+    if hot is None:
+        return df, Window.partitionBy(*keys).orderBy(*sorts), False
+    bounds = _bounds(df, keys, order, hot, share)
+    piece = F.when(F.col("_bounds").isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: _before(b, order))))
+    cut = df.join(F.broadcast(bounds), keys, "left").select(*df.columns, piece.alias("_piece"))  # at most two entries a partition
+    return cut, Window.partitionBy(*keys, "_piece").orderBy(*sorts), True
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None = None,
                  cumsum: dict[str, str] | None = None, lag: dict[str, str] | None = None,
                  num_partitions: int | None = None) -> DataFrame:
@@ -141,20 +133,12 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None
     cumsum, lag = cumsum or {}, lag or {}
     if any(" NULLS FIRST" in str(o) or " NULLS LAST" in str(o) for o in order if isinstance(o, Column)):
         raise ValueError("give descending items of an order as Desc(column)")
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot, share = _hot_keys(df, keys, n)
-    sorts, names = [_sorted(o) for o in order], df.columns
-    w = Window.partitionBy(*keys).orderBy(*sorts)
-    if hot is not None:
-        bounds = _bounds(df, keys, order, hot, share)
-        df = df.join(F.broadcast(bounds), keys, "left")  # at most two entries a partition
-        piece = F.when(F.col("_bounds").isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: _before(b, order))))
-        df = df.select(*names, piece.alias("_piece"))
-        w = Window.partitionBy(*keys, "_piece").orderBy(*sorts)
+    names = df.columns
+    df, w, hot = _pieces(df, keys, order, num_partitions)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     at = F.row_number().over(w).cast("bigint")
     made = {name: F.sum(c).over(upto) for name, c in cumsum.items()} | {name: F.lag(c).over(w) for name, c in lag.items()}
-    if hot is None:
+    if not hot:
         return df.select(*names, *([at.alias(pos)] if pos else []), *[c.alias(name) for name, c in made.items()])
     scanned = df.select(*names, "_piece", at.alias("_at"), *[c.alias(f"_made_{name}") for name, c in made.items()],
                         F.lead(F.lit(1)).over(w).isNull().alias("_end"))
@@ -176,6 +160,32 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None
     return out.select(*cols)
 
 
+def islands(df: DataFrame, keys: list[str], order: list, value: str, gap: int, name: str) -> DataFrame:
+    """Add ``name``: the island of each row per ``keys`` in ``order``, from 1; a step of ``gap`` or more in ``value``
+    starts a new one.
+
+    One exchange: steps are counted inside of keys, or of a hot key's pieces; the step over each border comes from the
+    pieces' first and last values.  ``value`` is non-null and does not decrease in ``order``.
+    """
+    names = df.columns
+    df, w, hot = _pieces(df, keys, order)
+    step = F.coalesce((F.col(value) - F.lag(value).over(w) >= gap).cast("bigint"), F.lit(0))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = df.select(*df.columns, step.alias("_new"), *([F.row_number().over(w).alias("_at"), F.lead(F.lit(1)).over(w).isNull().alias("_end")] if hot else []))
+    run = run.withColumn("_run", F.sum("_new").over(upto))
+    if not hot:
+        return run.select(*names, (F.col("_run") + 1).alias(name))
+    ends = run.filter((F.col("_piece") >= 0) & (F.col("_end") | (F.col("_at") == 1))).groupBy(*keys, "_piece").agg(
+        F.max("_run").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    of_key = Window.partitionBy(*keys).orderBy("_piece")
+    border = F.coalesce((F.col("_lo") - F.lag("_hi").over(of_key) >= gap).cast("bigint"), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(of_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ends.select(*keys, "_piece", border.alias("_border"), before.alias("_before")).withColumn(
+        "_off", F.sum("_border").over(of_key.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before"))
+    out = run.join(F.broadcast(offsets.select(*keys, "_piece", "_off")), [*keys, "_piece"], "left")  # two rows a partition
+    return out.select(*names, (F.coalesce("_off", F.lit(0)) + F.col("_run") + 1).alias(name))
+
+
 def exact_long(col: Column | str) -> Column:
     """Running sums as BIGINT (they keep the input type; DOUBLE inputs are rounded)."""
     c = F.col(col) if isinstance(col, str) else col

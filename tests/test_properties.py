@@ -140,3 +140,16 @@ def test_ordered_scan_shuffles_rows_once(spark):
     plan = skewed._jdf.queryExecution().executedPlan().toString()
     final = plan[:plan.index("Initial Plan")]
     assert "ReusedExchange" in final and "SortMergeJoin" not in final  # the pieces' last rows read the exchange of all rows
+
+
+def test_islands_with_hot_keys(spark):
+    from sheaf.plans.ordered import islands
+    rnd = random.Random(13)
+    rows = [("hot" if i % 2 else f"k{rnd.randrange(300)}", t, i) for i, t in enumerate(sorted(rnd.randrange(200_000) for _ in range(8000)))]
+    df = spark.createDataFrame(rows, "k string, t long, i long").repartition(5)
+    got = {r["i"]: r["n"] for r in islands(df, ["k"], ["t", "i"], "t", 60, "n").collect()}
+    last, island, want = {}, {}, {}
+    for k, t, i in sorted(rows, key=lambda r: r[1:]):
+        island[k] = island.get(k, 0) + (k not in last or t - last[k] >= 60)
+        last[k], want[i] = t, island[k]
+    assert got == want and max(want.values()) > 50
