@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.shared import binary_values, bucket_count, run_edges, slices, stored, word_codes
+from sheaf.llm.shared import binary_values, bucket_count, run_edges, slices, stored, stored_by, word_codes
 
 HEAD, TAIL = 32, 32  # classes: the end token and the HEAD - 1 most frequent words, and TAIL classes of other words
 CLASSES = HEAD + TAIL
@@ -39,7 +39,7 @@ ROWS = 1 << 12  # rows of the hashed weight table
 CHUNKS = 16
 STEPS, RATE = 30, 0.7
 END = np.uint64(0)  # stands for the end token among word hashes
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 PAIR_STEPS, VARIANCE = 20, 7.0  # updates of pair weights, and the variance of their prior
 
 
@@ -127,7 +127,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                                                  ["block", "ids", "held", "sizes", "codes", "hashes", "tail", "trained"])
                 number += 1
 
-    return stored(docs.mapInArrow(run, schema), "blocks")
+    return stored_by(docs.mapInArrow(run, schema), "block", "blocks")
 
 
 def _corpus_counts(blocks: DataFrame, buckets: int) -> DataFrame:

@@ -53,6 +53,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Like ``stored``, in as many buckets of ``key`` as the session has shuffle partitions: joins by ``key`` leave the rows
+    where they are."""
+    spark = df.sparkSession
+    path, name = new_path(spark, label), f"llm_{uuid.uuid4().hex}"
+    if _temporary:
+        _temporary[-1].append(path)
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(shuffle_partitions(spark), key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are in the shared folder, and the frame knows their buckets
+    return table
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, in whatever file system it is."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
