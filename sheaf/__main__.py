@@ -19,6 +19,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from sheaf import api
 from sheaf.functions.patterns import DEFAULT_PATTERNS, join_patterns, parse_pattern_string
 
 
@@ -26,8 +27,7 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="sheaf")
     ap.add_argument("roots", nargs="+")
     ap.add_argument("--out", required=True)
-    from sheaf.operators import render as R
-    ap.add_argument("--format", choices=R.format_names(), default="markdown")
+    ap.add_argument("--format", choices=api.format_names(), default="markdown")
     ap.add_argument("--no-tree", action="store_true")
     ap.add_argument("--safe", action="store_true", help="escape paths, split ']]>', lengthen fences")
     ap.add_argument("--ignore", default=join_patterns(DEFAULT_PATTERNS))
@@ -35,35 +35,30 @@ def main(argv=None) -> None:
     ap.add_argument("--select", default="", help="comma list of rel paths to check (default: the whole root)")
     a = ap.parse_args(argv)
 
-    from sheaf.operators import entries as EN
-    from sheaf.operators import select as S
-    from sheaf.operators.prune import prune
     from sheaf.session import ensure_checkpoint_dir, local_session, pinned_scope, pinned_table
-    from sheaf.sources.tree_listing import read_tree
-    from sheaf.sources.tree_source import read_files, root_ids
-    from sheaf.streaming.monitor import LiveProgress
+    from sheaf.sources.stores import root_ids
 
     spark = SparkSession.getActiveSession() or local_session()
     ensure_checkpoint_dir(spark)
     with pinned_scope(spark):
         patterns = parse_pattern_string(a.ignore)
-        live = LiveProgress(spark, ",".join(root_ids(a.roots)), report=lambda row: print("%s: %s %d/%d" % row[:4], file=sys.stderr) if a.progress else None)
+        live = api.LiveProgress(spark, ",".join(root_ids(a.roots)), report=lambda row: print("%s: %s %d/%d" % row[:4], file=sys.stderr) if a.progress else None)
         with live.stage("scanning"):
-            entries = read_tree(spark, a.roots)  # names and sizes; only selected files are opened below
-        pruned = prune(entries, patterns=patterns)
+            entries = api.read_tree(spark, a.roots)  # names and sizes; only selected files are opened below
+        pruned = api.prune(entries, patterns=patterns)
         roots = entries.select("root_id").distinct()
         picks = (roots.select("root_id", F.explode(F.array(*map(F.lit, a.select.split(",")))).alias("rel_path"))
                  if a.select else roots.select("root_id", F.lit("").alias("rel_path")))
-        sel = S.expand(pruned, picks).filter(~F.col("is_dir") & F.col("checked"))
+        sel = api.expand(pruned, picks).filter(~F.col("is_dir") & F.col("checked"))
         with live.stage("reading"):
-            contents = pinned_table(EN.decoded(read_files(sel, root_ids(a.roots))), "contents")  # read once, used three times
+            contents = pinned_table(api.decoded(api.read_files(sel, root_ids(a.roots))), "contents")  # read once, used three times
         with live.stage("building"):
-            tree = None if a.no_tree else R.tree_lines(entries, patterns=patterns)
-            frags = R.fragments(sel, contents, a.format, tree=tree, safe=a.safe)
-            R.export(frags, a.out)
-        for r in R.document_stats(frags).orderBy("root_id").toLocalIterator():
+            tree = None if a.no_tree else api.tree_lines(entries, patterns=patterns)
+            frags = api.fragments(sel, contents, a.format, tree=tree, safe=a.safe)
+            api.export(frags, a.out)
+        for r in api.document_stats(frags).orderBy("root_id").toLocalIterator():
             print(f"{r['root_id']}: {r['n_fragments']} fragments, {r['n_chars']} chars, {r['n_bytes']} bytes, {r['output_tokens']} tokens")
-        for r in R.failed_summary(sel, contents).orderBy("root_id", "seq").toLocalIterator():
+        for r in api.failed_summary(sel, contents).orderBy("root_id", "seq").toLocalIterator():
             print(f"{r['root_id']}: {r['item']}")
 
 
