@@ -39,7 +39,7 @@ ROWS = 1 << 12  # rows of the hashed weight table
 CHUNKS = 16
 STEPS, RATE = 30, 0.7
 END = np.uint64(0)  # stands for the end token among word hashes
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 PAIR_STEPS, VARIANCE = 20, 7.0  # updates of pair weights, and the variance of their prior
 
 
