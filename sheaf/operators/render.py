@@ -96,7 +96,7 @@ def preorder(entries: DataFrame, ci: bool = True, pos: str = "pos", skip_root: b
     """Dense DFS preorder position per root (skew-safe ordered scan)."""
     e = entries.filter(F.col("rel_path") != "") if skip_root else entries
     e = e.withColumn("_sk", sort_key("rel_path", "is_dir", ci))
-    return ordered_scan(e, ["root_id"], ["_sk"], pos=pos).drop("_sk")
+    return ordered_scan(pinned_table(e, "order"), ["root_id"], ["_sk"], pos=pos).drop("_sk")
 
 
 def tree_lines(entries: DataFrame, patterns: list[str] | None = None, profiles: DataFrame | None = None,
@@ -136,7 +136,8 @@ def tree_lines(entries: DataFrame, patterns: list[str] | None = None, profiles:
     line = F.concat(F.coalesce("_pre", F.lit("")), last, icon, F.lit(" "), F.col("name"), F.lit("\n"))
     lines = vis.join(inside, ["root_id", "parent"], "left").select("root_id", "rel_path", "is_dir", line.alias("line"))
     lines = lines.select("root_id", "line", sort_key("rel_path", "is_dir", ci).alias("_sk"))
-    return ordered_scan(lines, ["root_id"], ["_sk"], pos="pos").select("root_id", "pos", "line")
+    # the scan reads its input more than once; the lines are worth a table
+    return ordered_scan(pinned_table(lines, "lines"), ["root_id"], ["_sk"], pos="pos").select("root_id", "pos", "line")
 
 
 def _ensure_newline(content: Column) -> Column:

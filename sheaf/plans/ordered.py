@@ -36,7 +36,7 @@ from pyspark.sql.window import WindowSpec
 
 from sheaf.session import ensure_checkpoint_dir, pinned_table
 
-HOT_ROWS = 1000  # no key with fewer rows is cut
+HOT_ROWS = 10_000  # no key with fewer rows is cut: that many narrow rows are no burden for a task
 CELLS = 64  # for each partition
 SAMPLES = 40  # for each piece
 
@@ -71,11 +71,11 @@ def pinned_order(df: DataFrame, keys: list[str], order: list, num_partitions: in
     return ranged.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")).checkpoint(eager=True)
 
 
-def _hot_keys(df: DataFrame, keys: list[str], n: int) -> tuple[DataFrame | None, int]:
+def _hot_keys(df: DataFrame, keys: list[str], n: int, least: int) -> tuple[DataFrame | None, int]:
     """``keys`` and ``_n`` of the keys with more than a partition's share of rows (None: there are none), and that share."""
     cell = F.pmod(F.xxhash64(*keys), F.lit(CELLS * n))
     cells = df.groupBy(cell.alias("_cell")).count().collect()  # at most CELLS a partition
-    share = max(HOT_ROWS, sum(c["count"] for c in cells) // n)
+    share = max(least, sum(c["count"] for c in cells) // n)
     full = [c["_cell"] for c in cells if c["count"] > share]  # fewer than n
     if not full:
         return None, share
@@ -112,7 +112,7 @@ def _pieces(df: DataFrame, keys: list[str], order: list, num_partitions: int | N
     """``df``, the window of a key or of a hot key's piece (``_piece``, -1 for other keys), and whether there are hot keys."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorts = [_sorted(o) for o in order]
-    hot, share = _hot_keys(df, keys, n)
+    hot, share = _hot_keys(df, keys, n, 1 if num_partitions else HOT_ROWS)
     if hot is None:
         return df, Window.partitionBy(*keys).orderBy(*sorts), False
     bounds = _bounds(df, keys, order, hot, share)
@@ -129,6 +129,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list, *, pos: str | None
     ``order`` items are column names, ascending Columns or :class:`Desc` and must
     give a total order within a key; keys must be non-null.  ``cumsum``/``lag``
     map output column -> input column.  Pass a narrow frame (paths, not texts).
+    With ``num_partitions`` keys are cut to shares of so many partitions, however
+    small; else to the session's, and none of ``HOT_ROWS`` rows or fewer.
     """
     cumsum, lag = cumsum or {}, lag or {}
     if any(" NULLS FIRST" in str(o) or " NULLS LAST" in str(o) for o in order if isinstance(o, Column)):

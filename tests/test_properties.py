@@ -115,7 +115,8 @@ def test_document_tokens_come_from_fragment_lengths(spark):
     assert st["n_bytes"] == len(doc.encode("utf-8"))
 
 
-def test_ordered_scan_with_hot_keys_descending_orders_and_nulls(spark):
+def test_ordered_scan_with_hot_keys_descending_orders_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr("sheaf.plans.ordered.HOT_ROWS", 500)
     from sheaf.plans.ordered import Desc
     rnd = random.Random(11)
     rows = [(rnd.choice(["hot", "hot", "warm", f"k{rnd.randrange(400)}"]), rnd.choice([None, *range(50)]), f"t{i:05d}", rnd.choice([None, 1, 5, -2]))
@@ -130,7 +131,8 @@ def test_ordered_scan_with_hot_keys_descending_orders_and_nulls(spark):
         assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
-def test_ordered_scan_shuffles_rows_once(spark):
+def test_ordered_scan_shuffles_rows_once(spark, monkeypatch):
+    monkeypatch.setattr("sheaf.plans.ordered.HOT_ROWS", 500)
     df = spark.range(30_000).select((F.col("id") % 3000).alias("k"), F.col("id").alias("o"))
     plain = ordered_scan(df, ["k"], ["o"], pos="p")
     assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
@@ -142,7 +144,8 @@ def test_ordered_scan_shuffles_rows_once(spark):
     assert "ReusedExchange" in final and "SortMergeJoin" not in final  # the pieces' last rows read the exchange of all rows
 
 
-def test_islands_with_hot_keys(spark):
+def test_islands_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr("sheaf.plans.ordered.HOT_ROWS", 500)
     from sheaf.plans.ordered import islands
     rnd = random.Random(13)
     rows = [("hot" if i % 2 else f"k{rnd.randrange(300)}", t, i) for i, t in enumerate(sorted(rnd.randrange(200_000) for _ in range(8000)))]
