@@ -51,11 +51,8 @@ def extension(name) -> Column:
 def ancestors(rel) -> Column:
     """Proper ancestors, root first: ``'a/b/c'`` -> ``['', 'a', 'a/b']``; root -> ``[]``."""
     rel = _c(rel)
-    parts = F.split(rel, "/")
-    n = F.size(parts)
     return F.when(rel == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), n - 1),
-                    lambda i: F.when(i == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, i), "/"))))
+        F.transform(F.sequence(F.lit(0), depth(rel) - 1), lambda i: F.call_function("substring_index", rel, F.lit("/"), i)))
 
 
 def ancestors_or_self(rel) -> Column:

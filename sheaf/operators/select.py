@@ -28,7 +28,7 @@ def ancestor_pairs(entries: DataFrame, include_self: bool = False) -> DataFrame:
     return entries.select("root_id", "rel_path", F.posexplode(arr).alias("anc_depth", "ancestor"))
 
 
-def expand(entries: DataFrame, picks: DataFrame) -> DataFrame:
+def expand(entries: DataFrame, picks: DataFrame, stored: bool = False) -> DataFrame:
     """H1: ``entries`` + ``checked``: the node or any ancestor was picked.
 
     Picked directories are propagated over directories only: their ancestors
@@ -39,21 +39,33 @@ def expand(entries: DataFrame, picks: DataFrame) -> DataFrame:
 
     Picks and checked directories are stored first: their true size lets
     Catalyst broadcast them under its threshold, and the entries then stay
-    where they are.
+    where they are.  With ``stored`` the rows come from a stored table: entries
+    meet the picks once, before anything else is read from them, and no
+    directory is exploded where none was picked.
     """
     p = pinned_table(picks.select("root_id", "rel_path").distinct(), "picks")
-    up = (entries.filter("is_dir").select("root_id", "rel_path", F.explode(P.ancestors_or_self("rel_path")).alias("ancestor"))
-          .join(p.withColumnRenamed("rel_path", "ancestor"), ["root_id", "ancestor"], "left_semi")
+    own = p.withColumn("_hit", F.lit(True))
+    dirs, known = entries.filter("is_dir"), p.withColumnRenamed("rel_path", "ancestor")
+    if stored:
+        entries = pinned_table(entries.join(own, ["root_id", "rel_path"], "left"), "marked")
+        dirs = entries.filter("is_dir")
+        known = pinned_table(dirs.filter("_hit").select("root_id", F.col("rel_path").alias("ancestor")).distinct(), "picked")
+        if known.isEmpty():
+            return entries.withColumn("checked", F.coalesce(F.col("_hit") & ~F.col("is_dir"), F.lit(False))).drop("_hit")
+    up = (dirs.select("root_id", "rel_path", F.explode(P.ancestors_or_self("rel_path")).alias("ancestor"))
+          .join(known, ["root_id", "ancestor"], "left_semi")
           .select("root_id", F.col("rel_path").alias("_dir")).distinct())
     up = pinned_table(up, "checked").withColumn("_up", F.lit(True))
-    own = p.withColumn("_hit", F.lit(True))
-    return (entries.withColumn("_dir", F.when(F.col("is_dir"), F.col("rel_path")).otherwise(F.col("parent")))
-            .join(own, ["root_id", "rel_path"], "left").join(up, ["root_id", "_dir"], "left")
-            .withColumn("checked", F.coalesce(F.col("_up"), F.col("_hit") & ~F.col("is_dir"), F.lit(False)))
-            .drop("_dir", "_hit", "_up"))
+    marked = entries.withColumn("_dir", F.when(F.col("is_dir"), F.col("rel_path")).otherwise(F.col("parent")))
+    if not stored:
+        marked = marked.join(own, ["root_id", "rel_path"], "left")
+    states = (marked.join(up, ["root_id", "_dir"], "left")
+              .withColumn("checked", F.coalesce(F.col("_up"), F.col("_hit") & ~F.col("is_dir"), F.lit(False)))
+              .drop("_dir", "_hit", "_up"))
+    return pinned_table(states.select(*entries.drop("_hit").columns, "checked"), "states") if stored else states
 
 
-def rollup(states: DataFrame) -> DataFrame:
+def rollup(states: DataFrame, stored: bool = False) -> DataFrame:
     """``state`` for every entry from leaf ``checked`` flags.
 
     A directory with children is checked iff all its descendant leaves are,
@@ -64,8 +76,11 @@ def rollup(states: DataFrame) -> DataFrame:
     directories are exploded over their ancestors; a childless directory counts
     as one leaf of its own.  A file's state is its own flag, so files take part
     in one partial aggregation and no join but the last, by their unique path.
+    States are read five times, by column, so they are stored first unless they
+    come from a stored table already (``stored``).
     """
-    states = pinned_table(states, "states")  # read five times below, by column
+    if not stored:
+        states = pinned_table(states, "states")
     directory = F.col("is_dir")
     files = states.filter(~directory).groupBy("root_id", F.col("parent").alias("_dir")).agg(
         F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("checked"), 1)).alias("_c"))
@@ -102,7 +117,7 @@ def selected_flat(states: DataFrame) -> DataFrame:
 
 def selection_states(entries: DataFrame, picks: DataFrame) -> DataFrame:
     """H1 then D2: the usual chain."""
-    return rollup(expand(entries, picks))
+    return rollup(expand(entries, picks, stored=True), stored=True)
 
 
 def selection_summary(selected: DataFrame) -> DataFrame:

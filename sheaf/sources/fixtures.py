@@ -109,13 +109,13 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-         .join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey))
-    rel = F.concat_ws("/", F.col("n_name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")),
-                      F.concat(F.lit("o"), F.col("o_orderkey").cast("string")),
-                      F.concat(F.lit("l"), F.col("l_linenumber").cast("string")))
-    return j.select(F.col("r_name").alias("root_id"), rel.alias("rel_path"),
-                    (F.col("l_returnflag") == "R").alias("picked"))
+    # the path down to an order is made once an order; lines, the largest table, are joined and moved once
+    owner = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey))
+    owner = owner.select("o_orderkey", "r_name", F.concat_ws("/", F.col("n_name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")),
+                                                            F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).alias("_order"))
+    rel = F.concat_ws("/", F.col("_order"), F.concat(F.lit("l"), F.col("l_linenumber").cast("string")))
+    return li.join(owner, li.l_orderkey == owner.o_orderkey).select(
+        F.col("r_name").alias("root_id"), rel.alias("rel_path"), (F.col("l_returnflag") == "R").alias("picked"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
