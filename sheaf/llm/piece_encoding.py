@@ -40,6 +40,7 @@ _CACHE_PAIRS = 250_000
 _CLOSING = ".,;:!?"
 _JOINED_WORDS = 20_000
 _SLICE_BYTES = 4 << 20
+_SLICE_IDS = 1 << 20  # ids that are decoded at a time; a batch of Spark's has 10,000 rows, however long they are
 _models: dict[str, Pieces] = {}
 
 
@@ -352,13 +353,18 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "decoded", model: s
         raise ValueError(f"the table has a column {into} already")
     path = model or public_tokenizers.path(MODEL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(path)
-        for batch in batches:
-            texts = own.decode_all(batch.column(batch.schema.get_field_index(ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, into])
+    return encoded.mapInArrow(lambda batches: _decoded(batches, pieces(path), ids, into), StructType([*encoded.schema.fields, StructField(into, StringType())]))
+
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(into, StringType())]))
+def _decoded(batches: Iterator[pa.RecordBatch], own: Pieces, ids: str, into: str) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts, in parts of about ``_SLICE_IDS`` ids: decoding takes many times the bytes of its ids."""
+    for whole in batches:
+        at = whole.schema.get_field_index(ids)
+        offsets = whole.column(at).offsets.to_numpy()
+        cuts = np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // _SLICE_IDS)) + 1 if whole.num_rows else np.zeros(0, np.int64)
+        for lo, hi in itertools.pairwise([0, *cuts.tolist(), whole.num_rows]):
+            batch = whole.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*batch.columns, own.decode_all(batch.column(at))], [*batch.schema.names, into])
 
 
 def digests(docs: DataFrame) -> DataFrame:

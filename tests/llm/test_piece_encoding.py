@@ -85,3 +85,22 @@ def test_query_equals_the_library_on_the_whole_table(spark, library):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
     assert sorted(map(tuple, QUERIES["op12_piece_encoding"](spark, sf).collect()), key=repr) == expected(library, rows)
+
+
+def test_decoding_takes_a_bounded_count_of_ids_at_a_time(own, monkeypatch):
+    """Spark hands over 10,000 rows at once, however long; decoding takes many times the bytes of its ids."""
+    r, sizes = random.Random(9), []
+    rows = [None, [], *([r.randrange(300, 900) for _ in range(r.randint(0, 60))] for _ in range(200))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    want = own.decode_all(batch.column(1)).to_pylist()
+    monkeypatch.setattr(piece_encoding, "_SLICE_IDS", 100)
+
+    class Recorder:
+        def decode_all(self, ids):
+            sizes.append(len(ids.flatten()))
+            return own.decode_all(ids)
+
+    out = list(piece_encoding._decoded(iter([batch, batch.slice(0, 0), batch.slice(50, 100)]), Recorder(), "ids", "decoded"))
+    assert max(sizes) < 100 + 60
+    assert pa.Table.from_batches(out).column("decoded").to_pylist() == want + want[50:150]
+    assert pa.Table.from_batches(out).column("doc_id").to_pylist() == [*range(len(rows)), *range(50, 150)]
