@@ -257,6 +257,18 @@ def train(statistics: DataFrame, tokens: int, steps: int = STEPS, rate: float =
     return weights
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """32-bit values, the lowest bytes of all first, compressed: small ones take little."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 4).T
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueeze(data: bytes, dtype: type = np.uint32) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    raw = np.frombuffer(pa.decompress(data[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view(dtype).ravel()
+
+
 def _small(values: np.ndarray) -> bytes:
     """Counts as one byte each, those of 255 and more in full after them."""
     return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype(np.uint32).tobytes()
@@ -336,8 +348,9 @@ def _factors(joined: DataFrame, corpus: Corpus, buckets: int) -> DataFrame:
                 rows = []
                 for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     runs = run_edges(found.group[lo:hi])
-                    rows.append((row["block"], int(found.bucket[lo]), found.group[lo:hi][runs[:-1]].tobytes(), found.kind[lo:hi][runs[:-1]].astype(np.uint8).tobytes(),
-                                 _small(np.diff(runs)), found.word[lo:hi].tobytes(), _small(found.known[lo:hi]), _small(found.seen[lo:hi])))
+                    groups, kinds = found.group[lo:hi][runs[:-1]], found.kind[lo:hi][runs[:-1]].astype(np.uint8)
+                    rows.append((row["block"], int(found.bucket[lo]), _squeeze(np.diff(groups, prepend=np.uint32(0))), kinds.tobytes(), _small(np.diff(runs)),
+                                 found.word[lo:hi].tobytes(), _squeeze(found.known[lo:hi].astype(np.uint32)), _small(found.seen[lo:hi])))
                 columns = list(zip(*rows, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 6, strict=True)],
                                                  ["block", "bucket", "groups", "kinds", "runs", "words", "known", "seen"])
@@ -346,19 +359,19 @@ def _factors(joined: DataFrame, corpus: Corpus, buckets: int) -> DataFrame:
         parts: list[list[np.ndarray]] = [[], [], [], []]
         sizes = []
         for groups, kinds, runs, words, known, seen in zip(*(table.column(c).to_pylist() for c in ("groups", "kinds", "runs", "words", "known", "seen")), strict=True):
-            word, group = np.frombuffer(words, np.uint32), np.frombuffer(groups, np.uint32)
+            word, group = np.frombuffer(words, np.uint32), np.cumsum(_unsqueeze(groups), dtype=np.uint32)
             run = _counts(runs, len(group))
             inside = corpus.inside[np.repeat(np.frombuffer(kinds, np.uint8), run) - HEAD]
-            share = (_counts(known, len(word)) + 1.0) / 10 ** inside
+            share = (_unsqueeze(known) + 1.0) / 10 ** inside
             for into, x in zip(parts, (np.repeat(group, run), word, share, _counts(seen, len(word))), strict=True):
                 into.append(x)
             sizes.append(len(word))
         found = pair_factors(*(np.concatenate(x) for x in parts)).astype(np.float32)
         cut = np.split(found, np.cumsum(sizes)[:-1])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "factors": pa.array([c.tobytes() for c in cut], pa.binary())})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "factors": pa.array([_squeeze(c) for c in cut], pa.binary())})
 
     sent = joined.mapInArrow(send, "block long, bucket long, groups binary, kinds binary, runs binary, words binary, known binary, seen binary")
-    return stored(sent.groupBy("bucket").applyInArrow(meet, "block long, bucket long, factors binary"), "factors")
+    return sent.groupBy("bucket").applyInArrow(meet, "block long, bucket long, factors binary")  # read once: stored, it would lie on disk twice
 
 
 def _pairs_of(row: dict, corpus: Corpus, buckets: int) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -406,8 +419,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 found, known, kind, token, n = _pairs_of(row, corpus, buckets)
-                factor = b"".join(r["factors"] for r in sorted(row["factors"] or [], key=lambda r: r["bucket"]))
-                factor = np.append(np.frombuffer(factor, np.float32).astype(np.float64) / np.log(10), 0.0)  # the last: no pair
+                factor = [_unsqueeze(r["factors"], np.float32) for r in sorted(row["factors"] or [], key=lambda r: r["bucket"])]
+                factor = np.concatenate([*(f.astype(np.float64) / np.log(10) for f in factor), [0.0]])  # the last: no pair
                 inside = np.where(kind < HEAD, 0.0, np.log10(known + 1.0) - corpus.inside[np.maximum(kind - HEAD, 0)])
                 base = np.log10(known + 1.0) - np.log10(corpus.tokens + corpus.words + 1.0)
                 classes = kind[token]

@@ -116,3 +116,13 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert r == pytest.approx(r) and r < 0.99
     assert got.filter("held_out").agg(F.sum("score") / F.sum("n_tokens")).first()[0] > -3.7  # log10 a token; the base has -4.07
     assert got.filter("score > 0 OR base_score > 0").count() == 0
+
+
+def test_counts_of_pairs_travel_in_few_bytes():
+    """Corpus counts over 255 took five bytes each: the larger the corpus, the more of them."""
+    r = np.random.default_rng(5)
+    known = (10 ** r.uniform(0, 4.5, 20_000)).astype(np.uint32)
+    assert len(lm._squeeze(known)) < 2.2 * len(known)
+    factors = r.normal(size=1000).astype(np.float32)
+    for values in (known, np.array([2 ** 32 - 1, 0], np.uint32), factors, factors[:0]):
+        assert (lm._unsqueeze(lm._squeeze(values), values.dtype.type) == values).all()
