@@ -12,7 +12,10 @@
 4. *Chains.*  A pair of documents goes on if two of its anchors, ``SPREAD`` words apart or more, lie near each other and
    near one diagonal: a common turn of phrase is one short run.  Its anchors are merged along diagonals and chained in order by a Fenwick
    tree over the places in the earlier text, with a cost for every word in a gap.
-5. *Alignment.*  A chain is aligned word by word: along its diagonals, by longest common subsequence in the gaps, and
+5. *The rest.*  Seeds of which some pair of occurrences is not linked meet again two by two, where no passage covers one
+   of them: see ``rest``.  Two texts that share two seeds near each other are linked, or each with the representative
+   of a class of equal neighbourhoods, and these with each other.
+6. *Alignment.*  A chain is aligned word by word: along its diagonals, by longest common subsequence in the gaps, and
    outwards over edits of a few words.  Chains are cut at gaps over ``MAX_GAP``, and under ``MIN_SIMILARITY`` at their
    widest gap.  What covers ``MIN_WORDS`` words is a passage.
 """
@@ -35,6 +38,7 @@ SPREAD = 5  # words between two anchors that are no common phrase
 MERGE = 13  # places between two anchors of a fragment
 NEAR, ALONG = 8, 64  # words that two anchors of a pair may lie off one diagonal, and apart
 RICH = 4  # occurrences of a seed from which on some pair of them is not linked
+CROWD = 64  # places of two or three seeds from which on they are not paired one by one, but by classes
 MIN_WORDS, MIN_SIMILARITY = 50, 0.8
 SLICE_BYTES = 4 << 20  # texts that a task turns into arrays at a time
 GAP_COST, MAX_GAP = 0.25, 32  # score lost for a word in a gap; words of either text that a passage's gap may have
@@ -126,15 +130,23 @@ def _links(key: np.ndarray, ref: np.ndarray, pos: np.ndarray, least: int) -> tup
     return [ref[one], ref[two], pos[one], pos[two]], stays, leads
 
 
-def _rich(key: np.ndarray, ref: np.ndarray, pos: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and place of seeds that occur ``RICH`` times, or of which an entry stands for several."""
+def _code(key: np.ndarray, rich: np.ndarray) -> np.ndarray:
+    """A seed as it is sent for the rest, below -3: 29 bits of it, and whether some pair of its occurrences is not linked."""
+    return -4 - 2 * (key >> np.uint64(35)).astype(np.int64) - ~rich
+
+
+def _shared(key: np.ndarray, ref: np.ndarray, pos: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, place and code of seeds that occur twice, or of which an entry stands for several; rich ones are those
+    that occur ``RICH`` times or have such an entry."""
     order = np.argsort(key, kind="stable")
     edges = run_edges(key[order])
     if not len(key):
-        return ref, pos
-    rich = (np.diff(edges) >= RICH) | np.maximum.reduceat(several[order], edges[:-1])
-    some = order[np.repeat(rich, np.diff(edges))]
-    return ref[some], pos[some]
+        return ref, pos, pos
+    size = np.diff(edges)
+    rich = (size >= RICH) | np.maximum.reduceat(several[order], edges[:-1])
+    twice = np.repeat(rich | (size > 1), size)
+    some = order[twice]
+    return ref[some], pos[some], _code(key[some], np.repeat(rich, size)[twice])
 
 
 def references(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -169,13 +181,14 @@ def _values(data: bytes, dtype: type) -> np.ndarray:
 def _packed(key: np.ndarray, ref: np.ndarray, pos: np.ndarray, least: int, buckets: int, number: int,
             rich: tuple[np.ndarray, np.ndarray] | None, more: dict[int, tuple] | None = None) -> pa.RecordBatch:
     """Entries of a slice of documents as one row a bucket (kind 0); what occurs ``least`` times is linked here (kind 1)
-    and only the first goes on, marked.  Its later places, and those of ``rich``, are kind 2 (unless ``rich`` is None).
+    and only the first goes on, marked.  Its later places with their codes, and those of ``rich`` with -1, are kind 2 (unless
+    ``rich`` is None).
     ``more`` has columns of further kinds."""
     def pack(bucket, kind, *arrays):
         return (bucket, kind, *(_bytes(a) for a in arrays))
 
     local, stays, leads = _links(key, ref, pos, least)
-    gone = ref[~stays], pos[~stays]
+    gone = ref[~stays], pos[~stays], _code(key[~stays], np.ones((~stays).sum(), bool))
     key, ref, mark = key[stays], ref[stays], pos[stays].astype(np.uint32) | leads[stays] * _SEVERAL
     bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -188,9 +201,9 @@ def _packed(key: np.ndarray, ref: np.ndarray, pos: np.ndarray, least: int, bucke
     if len(local[0]):
         rows.append(pack(number % buckets, 1, *local))
     if rich is not None:
-        marks = np.append(gone[0], rich[0]), np.append(gone[1], rich[1])
+        marks = [np.append(x, y) for x, y in zip(gone, (*rich, np.full(len(rich[0]), -1)), strict=True)]
         if len(marks[0]):
-            rows.append(pack(number % buckets, 2, *marks, *[np.zeros(0)] * 2))
+            rows.append(pack(number % buckets, 2, *marks, np.zeros(0)))
     for kind, arrays in (more or {}).items():
         rows.append(pack(number % buckets, kind, *(np.asarray(x).astype(np.int64) for x in arrays), np.zeros(0)))
     columns = list(zip(*rows, strict=True)) or [[]] * 6
@@ -199,15 +212,16 @@ def _packed(key: np.ndarray, ref: np.ndarray, pos: np.ndarray, least: int, bucke
 
 
 def _linked(packed: DataFrame, rich: bool) -> DataFrame:
-    """Rows ``ref, cref, pos, cpos`` of packed entries; if ``rich``, also places of rich seeds, with -1 for ``cpos``."""
+    """Rows ``ref, cref, pos, cpos`` of packed entries; if ``rich``, also places of marks, with -1 for ``cpos``, and of seeds
+    that occur twice or more, with their code."""
     def link(table: pa.Table) -> pa.Table:
         key, ref, pos, out = [], [], [], []
         for kind, a, b, c, d in zip(*(table.column(i).to_pylist() for i in range(1, 6)), strict=True):
             if kind == 1:
                 out.append([_values(x, np.int64) for x in (a, b, c, d)])
             elif kind == 2:
-                a, b = _values(a, np.int64), _values(b, np.int64)
-                out.append([a, a, b, np.full(len(a), -1)])
+                a, b, c = (_values(x, np.int64) for x in (a, b, c))
+                out.append([a, a, b, c])
             elif kind > 2:
                 a, b, c = (_values(x, np.int64) for x in (a, b, c))
                 out.append([a, b, c, np.full(len(a), 1 - kind)])
@@ -220,8 +234,8 @@ def _linked(packed: DataFrame, rich: bool) -> DataFrame:
             several, pos = pos >= _SEVERAL, (pos & ~_SEVERAL).astype(np.int64)
             out.append(_links(key, ref, pos, 2)[0])
             if rich:
-                a, b = _rich(key, ref, pos, several)
-                out.append([a, a, b, np.full(len(a), -1)])
+                a, b, c = _shared(key, ref, pos, several)
+                out.append([a, a, b, c])
         ref, cref, pos, cpos = (np.concatenate([o[i] for o in out]) for i in range(4))
         return pa.table({"ref": ref, "cref": cref, "pos": pos.astype(np.int32), "cpos": cpos.astype(np.int32)})
 
@@ -235,8 +249,9 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame, buckets: int, size: int = MIN_WORDS) -> DataFrame:
-    """Steps 1 and 2: rows ``ref, cref, pos, cpos`` of ``docs`` (``__ref, __text``), and (``cpos`` -1) places of rich seeds
-    and, twice each, the first place of a text where a window of ``size`` words has hardly a seed.
+    """Steps 1 and 2: rows ``ref, cref, pos, cpos`` of ``docs`` (``__ref, __text``), places of seeds that occur twice or more
+    with their code as ``cpos`` (see ``_code``), and (``cpos`` -1) twice each, the first place of a text where a window of
+    ``size`` words has hardly a seed.
 
     Two more rows for each text: its digest as ``cref`` and its words as ``pos`` (``cpos`` -2), its ``doc_id`` as ``cref`` and
     whether that is null as ``pos`` (``cpos`` -3)."""
@@ -282,6 +297,125 @@ def exact(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     return _linked(docs.select("__ref", "doc_id", "__text", "rich").mapInArrow(run, _PACKED), False)
 
 
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``ref, pos, code, open`` of the seeds (``seen``) of texts; open is one that passages (``spans``) do not cover wholly."""
+    for batch in batches:
+        refs, seen, spans = batch.columns
+        at, ends = (np.diff(x.offsets.to_numpy()) for x in (seen, spans))
+        seen, spans = seen.flatten(), spans.flatten()
+        pos, code = (seen.field(i).to_numpy().astype(np.int64) for i in range(2))
+        start, end = (spans.field(i).to_numpy().astype(np.int64) for i in range(2))
+        text, of = np.repeat(np.arange(len(at)), at), np.repeat(np.arange(len(ends)), ends)
+        size = np.full(len(at), K + 1, np.int64)
+        np.maximum.at(size, text, pos + K + 1)
+        np.maximum.at(size, of, end + 1)
+        zero = np.cumsum(size) - size
+        mark = np.zeros(int(size.sum()) + 1, np.int64)
+        np.add.at(mark, zero[of] + start, 1)
+        np.add.at(mark, zero[of] + end, -1)
+        covered = np.append(0, np.cumsum(np.cumsum(mark) > 0))
+        free = covered[zero[text] + pos + K] - covered[zero[text] + pos] < K
+        yield pa.RecordBatch.from_arrays([refs.take(pa.array(text)), pa.array(pos), pa.array(code), pa.array(free)], ["ref", "pos", "code", "open"])
+
+
+def _twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, ref, pos, gap, open``: two seeds of a text, ``SPREAD`` to ``ALONG`` words apart, one of them rich; a text
+    has its seeds in one row.  Their codes are the key; they are open if either is."""
+    for batch in batches:
+        refs, seen = batch.columns
+        text = np.repeat(np.arange(len(refs)), np.diff(seen.offsets.to_numpy()))
+        seen = seen.flatten()
+        pos, code, free = (seen.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        order = np.lexsort((code, pos, text))
+        pos, code, free, text = pos[order], code[order], free[order], text[order]
+        step = 1
+        while step < len(pos):
+            gap = pos[step:] - pos[:-step]
+            near = (text[step:] == text[:-step]) & (gap <= ALONG)
+            if not near.any():
+                break
+            i = np.flatnonzero(near & (gap >= SPREAD) & ((code[step:] % 2 == 0) | (code[:-step] % 2 == 0)))
+            j = i + step
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(code[i] << 30 | code[j]), refs.take(pa.array(text[i])), pa.array(pos[i]), pa.array(gap[i]),
+                                                  pa.array(free[i] | free[j])], ["key", "ref", "pos", "gap", "open"])
+            step += 1
+
+
+def _threes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, ref, pos, gap, open, third``: crowded two seeds of a text with each other seed of it that lies at most
+    ``ALONG`` words before or after the first, and with -1."""
+    for batch in batches:
+        out = []
+        for ref, twos, seen in zip(*batch.columns, strict=True):
+            key, pos, gap, free = (twos.values.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            place, code = (seen.values.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            order = np.argsort(place, kind="stable")
+            place, code = place[order], code[order]
+            lo, hi = np.searchsorted(place, pos - ALONG), np.searchsorted(place, pos + ALONG, side="right")
+            two = np.repeat(np.arange(len(key)), hi - lo)
+            at = np.arange(len(two)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[two]
+            other = (place[at] != pos[two]) & (place[at] != (pos + gap)[two])
+            two, third = np.append(two[other], np.arange(len(key))), np.append(code[at][other], np.full(len(key), -1))
+            out.append((key[two], np.full(len(two), ref.as_py()), pos[two], gap[two], free[two], third))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "ref", "pos", "gap", "open", "third"])
+
+
+def _meet(later: DataFrame, early: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows ``ref, cref, pos, cpos, gap, cgap``: two seeds of ``later`` and of ``early`` that may lie near one diagonal."""
+    early = early.select(*keys, F.col("ref").alias("cref"), F.col("pos").alias("cpos"), F.col("gap").alias("cgap"))
+    both = later.select(*keys, "ref", "pos", "gap").join(early, keys)
+    return both.filter(f"(cref < ref OR cref = ref AND cpos < pos) AND abs(gap - cgap) <= {NEAR}").select("ref", "cref", "pos", "cpos", "gap", "cgap")
+
+
+def rest(pairs: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Step 5: rows ``ref, cref, at`` (anchors ``pos, cpos``) of documents that share two seeds near each other where links
+    of single seeds are not whole; None if there are none.
+
+    Seeds of a text are taken two by two.  Those that no passage of ``found`` covers meet all earlier places of the same
+    two, if there are at most ``CROWD`` of these.  More crowded ones meet so with each third seed nearby.  If that is
+    crowded too, places with equal crowded neighbours are a class.  It is represented by the first place that has all of
+    its neighbours: each place is linked with its class's, and these with each other.  So no pair is left out but those
+    whose links these are, and what many documents share is linear in them.
+    """
+    spans = found.groupBy(F.col("__ref").alias("ref")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    texts = pairs.filter(F.size("seen") >= 2).select("ref", "seen").join(spans, "ref", "left")
+    texts = texts.select("ref", "seen", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
+    seeds_ = stored(texts.mapInArrow(_open, "ref long, pos long, code long, open boolean"), "seeds")
+    asked = seeds_.join(seeds_.filter("open").select("code").distinct(), "code", "left_semi")
+    asked = stored(asked.groupBy("ref").agg(F.collect_list(F.struct("pos", "code", "open")).alias("seen")).filter(F.size("seen") >= 2), "asked")
+    twos = stored(asked.mapInArrow(_twos, "key long, ref long, pos long, gap long, open boolean"), "twos")
+    count = stored(twos.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("o")).filter("n > 1 AND o").select("key", "n"), "counts")
+    few = twos.join(count.filter(F.col("n") <= CROWD), "key", "left_semi")
+    links = _meet(few.filter("open"), few, ["key"])
+    crowded = count.filter(F.col("n") > CROWD)
+    if not crowded.isEmpty():
+        many = twos.join(crowded, "key", "left_semi").groupBy("ref").agg(F.collect_list(F.struct("key", "pos", "gap", "open")).alias("twos"))
+        threes = many.join(asked, "ref").select("ref", "twos", "seen").mapInArrow(
+            _threes, "key long, ref long, pos long, gap long, open boolean, third long")
+        threes = stored(threes.distinct(), "threes")
+        count = stored(threes.groupBy("key", "third").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+        few = threes.join(count.filter(F.col("n") <= CROWD), ["key", "third"], "left_semi")
+        links = links.unionByName(_meet(few.filter("open"), few, ["key", "third"]))
+        places = threes.join(count.filter(F.col("n") > CROWD), ["key", "third"], "left_semi").groupBy("key", "ref", "pos", "gap").agg(
+            F.max("open").alias("open"), F.array_sort(F.collect_set("third")).alias("near"))
+        places = stored(places, "places")
+        kinds = places.groupBy("key", "gap", "near").agg(F.min(F.struct("ref", "pos", "gap")).alias("first"))
+        wider = kinds.select("key", F.col("gap").alias("cgap"), F.col("near").alias("cnear"), F.col("first").alias("by"))
+        heads = kinds.join(wider, "key").filter((F.abs(F.col("gap") - F.col("cgap")) <= NEAR) & (F.size(F.array_except("near", "cnear")) == 0))
+        heads = stored(heads.groupBy("key", "gap", "near").agg(F.min("by").alias("by")), "heads")
+        own = places.filter("open").join(heads, ["key", "gap", "near"]).select("ref", F.col("by.ref").alias("cref"), "pos", F.col("by.pos").alias("cpos"),
+                                                                               "gap", F.col("by.gap").alias("cgap"))
+        heads = heads.select("key", "by.*").distinct()
+        links = links.unionByName(own.filter("cref < ref OR cref = ref AND cpos < pos")).unionByName(_meet(heads, heads, ["key"]))
+    elif count.isEmpty():
+        return None
+    ends = F.array(F.struct("pos", "cpos"), F.struct((F.col("pos") + F.col("gap")).alias("pos"), (F.col("cpos") + F.col("cgap")).alias("cpos")))
+    links = links.select("ref", "cref", F.explode(ends).alias("at")).withColumn("at", F.col("at").cast("struct<pos: int, cpos: int>"))
+    return links.groupBy("ref", "cref").agg(F.collect_set("at").alias("at"))
+
+
 class Fenwick:
     """Prefix maxima of ``(value, index)``."""
 
@@ -510,9 +644,12 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
         rows.filter("__again").select("__ref", "doc_id", "__text").dropDuplicates(["__ref"]))
     linked, found = F.col("cpos") >= 0, anchors(once, buckets, min_words).repartition(n, "ref")
     place = F.when(linked, F.struct((F.col("pos") - F.col("cpos")).alias("shift"), "pos"))
-    kind = F.least("cpos", F.lit(-1)).alias("kind")  # links and rich seeds, digests, ids
-    pairs = found.groupBy("ref", "cref", kind).agg(F.array_sort(F.collect_list(place)).alias("at"), F.max("pos").alias("pos"),
-                                                   F.collect_list(F.when(F.col("cpos") == -1, F.col("pos"))).alias("rich"))
+    kind = F.when(F.col("cpos").isin(-2, -3), F.col("cpos")).otherwise(-1).alias("kind")  # links and seeds, digests, ids
+    code = F.when(F.col("cpos") < -3, -4 - F.col("cpos"))
+    pairs = found.groupBy("ref", "cref", kind).agg(
+        F.array_sort(F.collect_list(place)).alias("at"), F.max("pos").alias("pos"),
+        F.collect_list(F.when((F.col("cpos") == -1) | (code % 2 == 0), F.col("pos"))).alias("rich"),
+        F.collect_list(F.when(code.isNotNull(), F.struct("pos", code.alias("code")))).alias("seen"))
 
     def apart(step: int) -> Column:  # two anchors so many steps from each other; of one diagonal, SPREAD steps are as many words
         rest = F.greatest(F.size("at") - step, F.lit(0))
@@ -523,9 +660,9 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     for step in range(2, SPREAD + 1):
         near = near | apart(step)
     pairs = pairs.select("ref", "cref", "kind", "pos", near.alias("near"), F.transform("at", lambda x: x["pos"]).alias("p"),
-                         F.transform("at", lambda x: x["pos"] - x["shift"]).alias("c"), "rich")
+                         F.transform("at", lambda x: x["pos"] - x["shift"]).alias("c"), "rich", "seen")
     # an open window has two rich seeds, or it is marked as often
-    pairs = stored(pairs.filter(F.col("near") | (F.size("rich") >= 2) | (F.col("kind") < -1)), "pairs")
+    pairs = stored(pairs.filter(F.col("near") | (F.size("rich") >= 2) | (F.size("seen") >= 2) | (F.col("kind") < -1)), "pairs")
     # a copy of an earlier text is one passage: nothing of it is hashed, aligned or sent again
     def of(x: str) -> DataFrame:
         return pairs.filter("kind = -2").select(F.col("ref").alias(x), F.col("cref").alias(f"h_{x}"), F.col("pos").cast("long").alias(f"n_{x}"))
@@ -537,8 +674,31 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     rich = rich.join(copies.select(F.col("ref").alias("__ref")).distinct(), "__ref", "left_anti")
     again = exact(once.join(rich, "__ref"), buckets, min_words)
     again = again.repartition(n, "ref").groupBy("ref", "cref").agg(F.collect_list("pos").alias("p"), F.collect_list("cpos").alias("c"))
-    pairs = pairs.filter("near").select("ref", "cref", "p", "c").unionByName(again)
-    pairs = pairs.groupBy("ref", "cref").agg(*[F.flatten(F.collect_list(x)).alias(x) for x in ("p", "c")]).join(copies.select("ref", "cref"), ["ref", "cref"], "left_anti")
+    linked = pairs.filter("near").select("ref", "cref", "p", "c")
+    both = linked.unionByName(again).groupBy("ref", "cref").agg(*[F.flatten(F.collect_list(x)).alias(x) for x in ("p", "c")])
+    found = _aligned(both.join(copies.select("ref", "cref"), ["ref", "cref"], "left_anti"), once, min_words, min_similarity)
+    whole = copies.filter(F.col("n") >= min_words).join(ids, "ref").join(ids.select(F.col("ref").alias("cref"), F.col("doc_id").alias("ref_doc_id")), "cref")
+    whole = whole.select(F.col("ref").alias("__ref"), "doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), "ref_doc_id",
+                         F.lit(0).cast("long").alias("ref_start"), F.col("n").alias("ref_end"), F.lit(1.0).alias("similarity"))
+    found = stored(found.unionByName(whole).distinct(), "found")
+    more = rest(pairs.join(copies.select("ref").distinct(), "ref", "left_anti"), found)
+    if more is None:
+        return found
+    more = stored(more, "links")
+    # of what is linked already, only a pair with new anchors is aligned again, with all of them
+    known = linked.join(more.select("ref", "cref"), ["ref", "cref"], "left_semi")
+    known = known.select("ref", "cref", F.zip_with("p", "c", lambda x, y: F.struct(x.alias("pos"), y.alias("cpos"))).alias("known"))
+    more = more.join(known, ["ref", "cref"], "left").withColumn("known", F.coalesce("known", F.array().cast(more.schema["at"].dataType)))
+    more = more.filter(F.size(F.array_except("at", "known")) > 0).withColumn("at", F.array_union("at", "known"))
+    more = stored(more.select("ref", "cref", F.col("at.pos").alias("p"), F.col("at.cpos").alias("c")), "more")
+    if more.isEmpty():
+        return found
+    some = more.select(F.col("ref").alias("__ref")).union(more.select("cref")).distinct()
+    return found.unionByName(_aligned(more, once.join(some, "__ref", "left_semi"), min_words, min_similarity)).distinct()
+
+
+def _aligned(pairs: DataFrame, once: DataFrame, min_words: int, min_similarity: float) -> DataFrame:
+    """Passages of pairs of documents (``ref, cref``, and the places of their anchors ``p, c``), from the texts in ``once``."""
     later = once.select(F.col("__ref").alias("ref"), F.col("doc_id"), F.col("__text").alias("text"))
     early = once.select(F.col("__ref").alias("cref"), F.col("doc_id").alias("ref_doc_id"), F.col("__text").alias("ctext"))
     both = pairs.join(later, "ref").join(early, "cref").select("ref", "doc_id", "text", "ref_doc_id", "ctext", "p", "c")
@@ -557,12 +717,8 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
                 columns = list(zip(*out, strict=True)) or [[]] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if i == 7 else pa.int64()) for i, x in enumerate(columns)], names)
 
-    found = both.mapInArrow(run, "__ref long, doc_id long, start_word long, end_word long, ref_doc_id long, ref_start long, "
-                                 "ref_end long, similarity double")
-    whole = copies.filter(F.col("n") >= min_words).join(ids, "ref").join(ids.select(F.col("ref").alias("cref"), F.col("doc_id").alias("ref_doc_id")), "cref")
-    whole = whole.select(F.col("ref").alias("__ref"), "doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), "ref_doc_id",
-                         F.lit(0).cast("long").alias("ref_start"), F.col("n").alias("ref_end"), F.lit(1.0).alias("similarity"))
-    return found.unionByName(whole).distinct()
+    return both.mapInArrow(run, "__ref long, doc_id long, start_word long, end_word long, ref_doc_id long, ref_start long, "
+                                "ref_end long, similarity double")
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:

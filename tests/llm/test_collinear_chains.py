@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sheaf.llm import collinear_chains as cc
@@ -33,11 +34,15 @@ def test_exact_repeats_against_brute_force(docs):
             if (key := tuple(w[p:p + 50])) in seen:
                 want.setdefault(i, set()).update(range(p, p + 50))
             seen.add(key)
-    got = {}
+    got, split = {}, {i: np.array(text.lower().split()) for i, text in rows}
     found = cc.passages(docs(rows).repartition(4)).collect()
     for x in found:
-        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
         assert x.ref_doc_id < x.doc_id or (x.ref_doc_id == x.doc_id and x.ref_start < x.start_word)
+        if x.similarity < 1:  # passages with edits between frequent parts: right, but none of the windows above
+            a, b = split[x.doc_id][x.start_word:x.end_word], split[x.ref_doc_id][x.ref_start:x.ref_end]
+            assert len(a) >= 50 and 2 * cc.common(a, b) / (len(a) + len(b)) >= .8
+            continue
+        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
     assert {k: sorted(v ^ got.get(k, set())) for k, v in want.items() if v != got.get(k)} == {} and set(got) == set(want)
     assert sum(x.doc_id >= 100 for x in found) < 400
 
@@ -210,3 +215,30 @@ def test_recall_of_fuzzy_passages_against_brute_force(docs):
     assert all(b == a - 1 and like >= .8 and e - s >= 50 for (a, b), x in found.items() for s, e, like in x)
     clean = [(i, " ".join(r.choices(vocabulary, k=400))) for i in range(100)]
     assert cc.passages(docs(clean)).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [64, 2, 1])
+def test_a_fuzzy_passage_of_which_every_seed_is_frequent_elsewhere(docs, monkeypatch, crowd):
+    """Each 4-word part of the passage is first, and last before the later document, in texts that hold 12 words of it."""
+    monkeypatch.setattr(cc, "CROWD", crowd)
+    r = random.Random(11)
+    passages, rows = [words(r, 60) for _ in range(4)], []
+    for g, p in enumerate(passages):
+        for i in range(0, 60, 8):
+            rows += [(at + 10 * g + i // 8, " ".join(words(r, 20) + p[i:i + 12] + words(r, 20))) for at in (100, 200, 700, 800)]
+        late = [w if i % 12 != 11 else words(r, 1)[0] for i, w in enumerate(p)]
+        rows += [(500 + g, " ".join(words(r, 30) + p + words(r, 30))), (900 + g, " ".join(words(r, 30) + late + words(r, 30)))]
+    found = cc.passages(docs(rows)).collect()
+    assert {(x.doc_id, x.ref_doc_id) for x in found} == {(900 + g, 500 + g) for g in range(4)}
+    assert all(x.end_word - x.start_word >= 50 and x.similarity >= .8 for x in found)
+
+
+def test_a_line_of_very_many_texts_links_each_with_few(docs, monkeypatch):
+    """A line that all texts hold is a class: its links grow with the texts, not with their pairs."""
+    monkeypatch.setattr(cc, "CROWD", 5)
+    r, links, rest = random.Random(12), [], cc.rest
+    line = words(r, 40)
+    monkeypatch.setattr(cc, "rest", lambda *args: links.append(rest(*args)) or links[-1])
+    rows = [(i, " ".join(words(r, 60) + line + words(r, 60))) for i in range(80)]
+    assert cc.passages(docs(rows)).count() == 0
+    assert links[0].count() <= 3 * len(rows)
