@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.shared import binary_values, bucket_count, free_name, row_key, run_edges, shuffle_partitions, slices, stored, word_codes
+from sheaf.llm.shared import binary_values, bucket_count, free_name, free_shuffles, row_key, run_edges, shuffle_partitions, slices, stored, word_codes
 
 K, SAMPLE, HOT = 4, 4, 16
 SPREAD = 5  # words between two anchors that are no common phrase
@@ -41,6 +41,8 @@ RICH = 4  # occurrences of a seed from which on some pair of them is not linked
 CROWD = 8  # places of two seeds above which they are not paired one by one, but by classes
 MIN_WORDS, MIN_SIMILARITY = 50, 0.8
 SLICE_BYTES = 4 << 20  # texts that a task turns into arrays at a time
+SLICE_SEEDS = 1 << 16  # seeds that a task takes two by two at a time
+TWO_BUCKETS = 4  # buckets of seeds two by two for one of single seeds: a seed has up to 15 others near it
 GAP_COST, MAX_GAP = 0.25, 32  # score lost for a word in a gap; words of either text that a passage's gap may have
 MAX_PARTS = 200  # parts of a chain of which all rows are tried
 AHEAD = 24  # words that alignment looks ahead along a diagonal
@@ -297,89 +299,193 @@ def exact(docs: DataFrame, buckets: int, size: int) -> DataFrame:
     return _linked(docs.select("__ref", "doc_id", "__text", "rich").mapInArrow(run, _PACKED), False)
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``ref, pos, code, open`` of the seeds (``seen``) of texts; open is one that passages (``spans``) do not cover wholly."""
-    for batch in batches:
-        refs, seen, spans = batch.columns
-        at, ends = (np.diff(x.offsets.to_numpy()) for x in (seen, spans))
-        seen, spans = seen.flatten(), spans.flatten()
-        pos, code = (seen.field(i).to_numpy().astype(np.int64) for i in range(2))
-        start, end = (spans.field(i).to_numpy().astype(np.int64) for i in range(2))
-        text, of = np.repeat(np.arange(len(at)), at), np.repeat(np.arange(len(ends)), ends)
-        size = np.full(len(at), K + 1, np.int64)
-        np.maximum.at(size, text, pos + K + 1)
-        np.maximum.at(size, of, end + 1)
-        zero = np.cumsum(size) - size
-        mark = np.zeros(int(size.sum()) + 1, np.int64)
-        np.add.at(mark, zero[of] + start, 1)
-        np.add.at(mark, zero[of] + end, -1)
-        covered = np.append(0, np.cumsum(np.cumsum(mark) > 0))
-        free = covered[zero[text] + pos + K] - covered[zero[text] + pos] < K
-        yield pa.RecordBatch.from_arrays([refs.take(pa.array(text)), pa.array(pos), pa.array(code), pa.array(free)], ["ref", "pos", "code", "open"])
-
-
-def _twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, ref, pos, gap, open``: two seeds of a text, ``SPREAD`` to ``ALONG`` words apart, one of them rich; a text
-    has its seeds in one row.  Their codes are the key; they are open if either is."""
-    for batch in batches:
-        refs, seen = batch.columns
-        text = np.repeat(np.arange(len(refs)), np.diff(seen.offsets.to_numpy()))
-        seen = seen.flatten()
-        pos, code, free = (seen.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        order = np.lexsort((code, pos, text))
-        pos, code, free, text = pos[order], code[order], free[order], text[order]
-        step = 1
-        while step < len(pos):
-            gap = pos[step:] - pos[:-step]
-            near = (text[step:] == text[:-step]) & (gap <= ALONG)
-            if not near.any():
-                break
-            i = np.flatnonzero(near & (gap >= SPREAD) & ((code[step:] % 2 == 0) | (code[:-step] % 2 == 0)))
-            j = i + step
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(code[i] << 30 | code[j]), refs.take(pa.array(text[i])), pa.array(pos[i]), pa.array(gap[i]),
-                                                  pa.array(free[i] | free[j])], ["key", "ref", "pos", "gap", "open"])
-            step += 1
-
-
-def _meet(later: DataFrame, early: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows ``ref, cref, pos, cpos, gap, cgap``: two seeds of ``later`` and of ``early`` that may lie near one diagonal."""
-    early = early.select(*keys, F.col("ref").alias("cref"), F.col("pos").alias("cpos"), F.col("gap").alias("cgap"))
-    both = later.select(*keys, "ref", "pos", "gap").join(early, keys)
-    return both.filter(f"(cref < ref OR cref = ref AND cpos < pos) AND abs(gap - cgap) <= {NEAR}").select("ref", "cref", "pos", "cpos", "gap", "cgap")
-
-
-def rest(pairs: DataFrame, found: DataFrame) -> DataFrame | None:
+def _open(seen: pa.ListArray, spans: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Text number, place, code of the seeds (``seen``) of texts in order of place, and which passages (``spans``) do not cover wholly."""
+    at, ends = (np.diff(x.offsets.to_numpy()) for x in (seen, spans))
+    seen, spans = seen.flatten(), spans.flatten()
+    pos, code = (seen.field(i).to_numpy().astype(np.int64) for i in range(2))
+    start, end = (spans.field(i).to_numpy().astype(np.int64) for i in range(2))
+    text, of = np.repeat(np.arange(len(at)), at), np.repeat(np.arange(len(ends)), ends)
+    size = np.full(len(at), K + 1, np.int64)
+    np.maximum.at(size, text, pos + K + 1)
+    np.maximum.at(size, of, end + 1)
+    zero = np.cumsum(size) - size
+    mark = np.zeros(int(size.sum()) + 1, np.int32)
+    np.add.at(mark, zero[of] + start, 1)
+    np.add.at(mark, zero[of] + end, -1)
+    covered = np.append(0, np.cumsum(np.cumsum(mark) > 0))
+    free = covered[zero[text] + pos + K] - covered[zero[text] + pos] < K
+    order = np.lexsort((code, pos, text))
+    return text[order], pos[order], code[order], free[order]
+
+
+def _twos(text: np.ndarray, pos: np.ndarray, code: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two seeds of a text, ``SPREAD`` to ``ALONG`` words apart, one of them rich: key (a hash of their codes), number of the
+    first seed, gap, and whether either is open."""
+    out, step = [], 1
+    while step < len(pos):
+        gap = pos[step:] - pos[:-step]
+        near = (text[step:] == text[:-step]) & (gap <= ALONG)
+        if not near.any():
+            break
+        i = np.flatnonzero(near & (gap >= SPREAD) & ((code[step:] % 2 == 0) | (code[:-step] % 2 == 0)))
+        out.append((code[i] << 30 | code[i + step], i, gap[i], free[i] | free[i + step]))
+        step += 1
+    if not out:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, np.zeros(0, bool)
+    key, first, gap, either = (np.concatenate(x) for x in zip(*out, strict=True))
+    key = key.astype(np.uint64) * _FACTORS[0]
+    key = (key ^ key >> np.uint64(32)) * _FACTORS[1]
+    return key ^ key >> np.uint64(29), first, gap, either
+
+
+_KEY_BYTES = 5  # of a key, beside its bucket
+_OPEN, _MANY = 128, 64  # marks beside a gap: it is open; it stands for several
+
+
+def _keyed(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each key, and what is left of the key."""
+    low = np.uint64(8 * _KEY_BYTES)
+    return (key >> low).astype(np.int64) % buckets, key & ((np.uint64(1) << low) - np.uint64(1))
+
+
+def _sent(batch: pa.RecordBatch, buckets: int, number: int, hot: int) -> pa.RecordBatch:
+    """The twos of a slice of texts (``ref, seen, spans``), one row a bucket (kind 0).  Of a key that the slice has more than
+    ``hot`` times only the first place for each gap goes there, marked; its open places are kind 1."""
+    refs = batch.column(0).to_numpy()
+    text, pos, code, free = _open(batch.column(1), batch.column(2))
+    key, first, gap, free = _twos(text, pos, code, free)
+    ref, pos = refs[text[first]], pos[first]
+    bucket, key = _keyed(key, buckets)
+    full = bucket << 8 * _KEY_BYTES | key.astype(np.int64)
+    order = np.argsort(full, kind="stable")
+    edges = run_edges(full[order])
+    some = order[np.repeat(np.diff(edges) > hot, np.diff(edges))] if len(key) else order
+    stays, mark, rows = np.ones(len(key), bool), (gap - SPREAD) | free * _OPEN, []
+    if len(some):
+        some = some[np.lexsort((pos[some], ref[some], gap[some], full[some]))]
+        edges = run_edges(full[some], gap[some])
+        lead, stays[some] = some[edges[:-1]], False
+        stays[lead] = True
+        mark[lead] = (gap[lead] - SPREAD) | _MANY | np.logical_or.reduceat(free[some], edges[:-1]) * _OPEN
+        some = some[free[some]]
+        rows.append((number % buckets, 1, *(_bytes(x[some]) for x in (full, ref, pos, gap))))
+    order = np.flatnonzero(stays)
+    order = order[np.lexsort((first[order], bucket[order]))]
+    edges = run_edges(bucket[order])
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=False):
+        at = order[lo:hi]
+        runs = run_edges(ref[at])
+        small = pa.compress(_bytes(pos[at].astype(np.uint32)) + mark[at].astype(np.uint8).tobytes(), "zstd", asbytes=True)
+        rows.append((int(bucket[at[0]]), 0, _bytes(key[at])[:_KEY_BYTES * len(at)], _bytes(ref[at][runs[:-1]]), _bytes(np.diff(runs).astype(np.uint32)), small))
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "a", "b", "c", "d"])
+
+
+def _received(a: bytes, b: bytes, c: bytes, d: bytes) -> tuple[np.ndarray, ...]:
+    """Key, ref, place, mark of a row of kind 0 of ``_sent``."""
+    n = len(a) // _KEY_BYTES
+    small = pa.decompress(d, 5 * n, "zstd", asbytes=True)
+    return _values(a + bytes((8 - _KEY_BYTES) * n), np.int64), np.repeat(_values(b, np.int64), _values(c, np.uint32)), \
+        _values(small[:4 * n], np.uint32).astype(np.int32), np.frombuffer(small[4 * n:], np.uint8)
+
+
+def _meet(key: np.ndarray, ref: np.ndarray, pos: np.ndarray, mark: np.ndarray, crowd: int) -> tuple[list[tuple], np.ndarray, tuple]:
+    """Links of the twos of one bucket, as index arrays of later and earlier ones; the first ones of classes of which slices
+    sent one place for several; and the arrays ``key, ref, pos, gap`` that these are indices of."""
+    def before(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (ref[i] < ref[j]) | (ref[i] == ref[j]) & (pos[i] < pos[j])
+
+    order = np.argsort(key, kind="stable")
+    edges = run_edges(key[order])
+    if not len(order):
+        return [], order, (key, ref, pos, mark)
+    size = np.diff(edges)
+    used = np.bitwise_or.reduceat(mark[order], edges[:-1])
+    order = order[np.repeat((used >= _OPEN) & ((size > 1) | (used & _MANY > 0)), size)]
+    order = order[np.lexsort((pos[order], ref[order], key[order]))]
+    key, ref, pos, mark = (x[order] for x in (key, ref, pos, mark))
+    free, several, gap = mark >= _OPEN, mark & _MANY > 0, (mark & _MANY - 1).astype(np.int32) + SPREAD
+    edges = run_edges(key)
+    if not len(key):
+        return [], order, (key, ref, pos, gap)
+    size = np.diff(edges)
+    many = np.logical_or.reduceat(several, edges[:-1])
+    crowded, many = np.repeat(many | (size > crowd), size), np.repeat(many, size)
+    links, few = [], np.flatnonzero(~crowded)
+    for step in range(1, crowd):
+        i, j = few[:-step], few[step:]
+        fits = (key[i] == key[j]) & free[j] & (np.abs(gap[i] - gap[j]) <= NEAR) & before(i, j)
+        links.append((j[fits], i[fits]))
+    at = np.flatnonzero(crowded)
+    at = at[np.lexsort((pos[at], ref[at], gap[at], key[at]))]
+    edges = run_edges(key[at], gap[at])
+    heads = at[edges[:-1]]
+    by = np.repeat(heads, np.diff(edges))
+    own = free[at] & ~several[at] & before(by, at)
+    links.append((at[own], by[own]))
+    for step in range(1, NEAR + 1):  # a gap has one first place
+        i, j = heads[:-step], heads[step:]
+        fits = (key[i] == key[j]) & (np.abs(gap[i] - gap[j]) <= NEAR)
+        i, j = i[fits], j[fits]
+        up, down = before(i, j), before(j, i)
+        links += [(j[up], i[up]), (i[down], j[down])]
+    return links, heads[many[heads]], (key, ref, pos, gap)
+
+
+def rest(pairs: DataFrame, found: DataFrame, buckets: int) -> DataFrame | None:
     """Step 5: rows ``ref, cref, at`` (anchors ``pos, cpos``) of documents that share two seeds near each other where links
     of single seeds are not whole; None if there are none.
 
-    Seeds of a text are taken two by two.  Those that passages of ``found`` do not cover meet all earlier places of the
-    same two, if these have at most ``CROWD`` places.  If they have more, the places where they lie equally far apart are a
-    class: each is linked with the first of its class, and the first ones of all classes of the two with each other.  So
-    the links grow with the texts, whatever many of them share.
+    Seeds of a text are taken two by two, and dealt once, packed.  Those that passages of ``found`` do not cover meet all
+    earlier places of the same two, if these have at most ``CROWD`` places.  If they have more, the places where they lie
+    equally far apart are a class: each is linked with the first of its class, and the first ones of all classes of the two
+    with each other.  So the links grow with the texts, whatever many of them share; what a slice of documents has ``HOT``
+    times sends one place for each class, and its open places are joined with the first of their class.
     """
     spans = found.groupBy(F.col("__ref").alias("ref")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     texts = pairs.filter(F.size("seen") >= 2).select("ref", "seen").join(spans, "ref", "left")
     texts = texts.select("ref", "seen", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
-    seeds_ = stored(texts.mapInArrow(_open, "ref long, pos long, code long, open boolean"), "seeds")
-    asked = seeds_.join(seeds_.filter("open").select("code").distinct(), "code", "left_semi")
-    asked = stored(asked.groupBy("ref").agg(F.collect_list(F.struct("pos", "code", "open")).alias("seen")).filter(F.size("seen") >= 2), "asked")
-    twos = stored(asked.mapInArrow(_twos, "key long, ref long, pos long, gap long, open boolean"), "twos")
-    count = stored(twos.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("o")).filter("n > 1 AND o").select("key", "n"), "counts")
-    few = twos.join(count.filter(F.col("n") <= CROWD), "key", "left_semi")
-    links = _meet(few.filter("open"), few, ["key"])
-    crowded = count.filter(F.col("n") > CROWD)
-    if not crowded.isEmpty():
-        many = twos.join(crowded, "key", "left_semi")
-        heads = stored(many.groupBy("key", "gap").agg(F.min(F.struct("ref", "pos")).alias("by")), "heads")
-        own = many.filter("open").join(heads, ["key", "gap"]).select("ref", F.col("by.ref").alias("cref"), "pos", F.col("by.pos").alias("cpos"),
-                                                                     "gap", F.col("gap").alias("cgap"))
-        heads = heads.select("key", "gap", "by.*")
-        links = links.unionByName(own.filter("cref < ref OR cref = ref AND cpos < pos")).unionByName(_meet(heads, heads, ["key"]))
-    elif count.isEmpty():
+    buckets, crowd = TWO_BUCKETS * buckets, CROWD
+    hot = max(HOT, crowd)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64)
+            edges = run_edges((np.cumsum(size) - size) // SLICE_SEEDS).tolist()
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                yield _sent(batch.slice(lo, hi - lo), buckets, abs(batch.column(0)[lo].as_py()) + number, hot)
+                number += 1
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts, out = [], []
+        for kind, *cells in zip(*(table.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            if kind:
+                full, ref, pos, gap = (_values(x, np.int64) for x in cells)
+                out.append((ref, full, pos, gap, gap, np.full(len(ref), -2)))
+            else:
+                parts.append(_received(*cells))
+        if parts:
+            links, heads, (key, ref, pos, gap) = _meet(*(np.concatenate(x) for x in zip(*parts, strict=True)), crowd)
+            out += [(ref[i], ref[j], pos[i], pos[j], gap[i], gap[j]) for i, j in links]
+            out.append((ref[heads], table.column(0)[0].as_py() << 8 * _KEY_BYTES | key[heads], pos[heads], gap[heads], gap[heads], np.full(len(heads), -1)))
+        names = ["ref", "cref", "pos", "cpos", "gap", "cgap"]
+        return pa.table({x: np.concatenate([o[i] for o in out]).astype(np.int64 if i < 2 else np.int32) for i, x in enumerate(names)})
+
+    met = texts.mapInArrow(send, _PACKED).groupBy("bucket").applyInArrow(meet, "ref long, cref long, pos int, cpos int, gap int, cgap int")
+    met = stored(met, "met")
+    if met.isEmpty():
         return None
+    # cgap -1: the first place of a class, with its key as cref; -2: an open place that is joined with it
+    heads = met.filter("cgap = -1").select(F.col("cref").alias("key"), "gap", F.col("ref").alias("by"), F.col("pos").alias("bpos"))
+    own = met.filter("cgap = -2").select(F.col("cref").alias("key"), "gap", "ref", "pos").join(heads, ["key", "gap"])
+    own = own.filter("by < ref OR by = ref AND bpos < pos")
+    own = own.select("ref", F.col("by").alias("cref"), "pos", F.col("bpos").alias("cpos"), "gap", F.col("gap").alias("cgap"))
+    links = met.filter("cgap >= 0").unionByName(own)
     ends = F.array(F.struct("pos", "cpos"), F.struct((F.col("pos") + F.col("gap")).alias("pos"), (F.col("cpos") + F.col("cgap")).alias("cpos")))
-    links = links.select("ref", "cref", F.explode(ends).alias("at")).withColumn("at", F.col("at").cast("struct<pos: int, cpos: int>"))
+    links = links.select("ref", "cref", F.explode(ends).alias("at"))
     return links.groupBy("ref", "cref").agg(F.collect_set("at").alias("at"))
 
 
@@ -630,6 +736,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
                          F.transform("at", lambda x: x["pos"] - x["shift"]).alias("c"), "rich", "seen")
     # an open window has two rich seeds, or it is marked as often
     pairs = stored(pairs.filter(F.col("near") | (F.size("rich") >= 2) | (F.size("seen") >= 2) | (F.col("kind") < -1)), "pairs")
+    free_shuffles(docs.sparkSession)
     # a copy of an earlier text is one passage: nothing of it is hashed, aligned or sent again
     def of(x: str) -> DataFrame:
         return pairs.filter("kind = -2").select(F.col("ref").alias(x), F.col("cref").alias(f"h_{x}"), F.col("pos").cast("long").alias(f"n_{x}"))
@@ -648,10 +755,12 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     whole = whole.select(F.col("ref").alias("__ref"), "doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), "ref_doc_id",
                          F.lit(0).cast("long").alias("ref_start"), F.col("n").alias("ref_end"), F.lit(1.0).alias("similarity"))
     found = stored(found.unionByName(whole).distinct(), "found")
-    more = rest(pairs.join(copies.select("ref").distinct(), "ref", "left_anti"), found)
+    free_shuffles(docs.sparkSession)
+    more = rest(pairs.join(copies.select("ref").distinct(), "ref", "left_anti"), found, buckets)
     if more is None:
         return found
     more = stored(more, "links")
+    free_shuffles(docs.sparkSession)
     # of what is linked already, only a pair with new anchors is aligned again, with all of them
     known = linked.join(more.select("ref", "cref"), ["ref", "cref"], "left_semi")
     known = known.select("ref", "cref", F.zip_with("p", "c", lambda x, y: F.struct(x.alias("pos"), y.alias("cpos"))).alias("known"))
@@ -672,17 +781,16 @@ def _aligned(pairs: DataFrame, once: DataFrame, min_words: int, min_similarity:
     names = ["__ref", "doc_id", "start_word", "end_word", "ref_doc_id", "ref_start", "ref_end", "similarity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "ctext", SLICE_BYTES):
-                codes, _, counts = word_codes(pa.concat_arrays([batch.column(2), batch.column(4)]))
-                texts = np.split(codes, np.cumsum(counts)[:-1])
-                out = []
-                cells = [batch.column(i).to_pylist() for i in (0, 1, 3)] + [texts[:batch.num_rows], texts[batch.num_rows:], batch.column(5), batch.column(6)]
-                for ref, doc, other, a, b, p, c in zip(*cells, strict=True):
-                    found = _pair(a, b, p, c, min_words, min_similarity, doc != other)
-                    out += [(ref, doc, s, e, other, cs, ce, like) for s, e, cs, ce, like in found]
-                columns = list(zip(*out, strict=True)) or [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if i == 7 else pa.int64()) for i, x in enumerate(columns)], names)
+        for batch in (b for whole in batches for part in slices(whole, "ctext", SLICE_BYTES) for b in slices(part, "text", SLICE_BYTES)):
+            codes, _, counts = word_codes(pa.concat_arrays([batch.column(2), batch.column(4)]))
+            texts = np.split(codes, np.cumsum(counts)[:-1])
+            out = []
+            cells = [batch.column(i).to_pylist() for i in (0, 1, 3)] + [texts[:batch.num_rows], texts[batch.num_rows:], batch.column(5), batch.column(6)]
+            for ref, doc, other, a, b, p, c in zip(*cells, strict=True):
+                found = _pair(a, b, p, c, min_words, min_similarity, doc != other)
+                out += [(ref, doc, s, e, other, cs, ce, like) for s, e, cs, ce, like in found]
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if i == 7 else pa.int64()) for i, x in enumerate(columns)], names)
 
     return both.mapInArrow(run, "__ref long, doc_id long, start_word long, end_word long, ref_doc_id long, ref_start long, "
                                 "ref_end long, similarity double")

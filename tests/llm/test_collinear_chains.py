@@ -242,3 +242,67 @@ def test_a_line_of_very_many_texts_links_each_with_few(docs, monkeypatch):
     rows = [(i, " ".join(words(r, 60) + line + words(r, 60))) for i in range(80)]
     assert cc.passages(docs(rows)).count() == 0
     assert links[0].count() <= 3 * len(rows)
+
+
+def linked_by_definition(texts, spans):
+    """Links of ``rest``: rows (ref, cref, pos, cpos), from ``{ref: [(pos, code)]}`` and ``{ref: [(start, end)]}``."""
+    by_key = {}
+    for ref, seen in texts.items():
+        covered = {w for lo, hi in spans.get(ref, []) for w in range(lo, hi)}
+        free = {pos: any(pos + k not in covered for k in range(cc.K)) for pos, _ in seen}
+        for p, c in seen:
+            for q, d in seen:
+                if cc.SPREAD <= q - p <= cc.ALONG and (c % 2 == 0 or d % 2 == 0):
+                    by_key.setdefault((c, d), []).append((ref, p, q - p, free[p] or free[q]))
+    out = set()
+
+    def link(late, early):
+        if early[:2] < late[:2] and abs(early[2] - late[2]) <= cc.NEAR:
+            out.update({(late[0], early[0], late[1], early[1]), (late[0], early[0], late[1] + late[2], early[1] + early[2])})
+
+    for places in by_key.values():
+        if len(places) < 2 or not any(x[3] for x in places):
+            continue
+        if len(places) <= cc.CROWD:
+            [link(x, y) for x in places if x[3] for y in places]
+            continue
+        first = {gap: min(x for x in places if x[2] == gap) for gap in {x[2] for x in places}}
+        [link(x, first[x[2]]) for x in places if x[3]]
+        [link(x, y) for x in first.values() for y in first.values()]
+    return out
+
+
+def rest_of(spark, texts, spans):
+    pairs = spark.createDataFrame(list(texts.items()), "ref long, seen array<struct<pos: int, code: int>>")
+    found = [(ref, *x) for ref, some in spans.items() for x in some]
+    found = cc.rest(pairs.repartition(3), spark.createDataFrame(found, "__ref long, start_word long, end_word long"), 2)
+    return set() if found is None else {(x.ref, x.cref, a.pos, a.cpos) for x in found.collect() for a in x["at"]}
+
+
+@pytest.mark.parametrize(("hot", "crowd"), [(16, 8), (4, 3)])
+def test_the_rest_against_its_definition(spark, monkeypatch, hot, crowd):
+    """Also where a slice holds one key very often and sends one place for all of an equal distance."""
+    monkeypatch.setattr(cc, "HOT", hot)
+    monkeypatch.setattr(cc, "CROWD", crowd)
+    r, texts, spans = random.Random(21), {}, {}
+    for ref in range(-20, 120):
+        texts[ref] = [(pos, r.choice([2, 3, 4, 5, 5, 6] if ref % 3 else range(7, 90))) for pos in sorted(r.sample(range(150), r.randint(2, 12)))]
+        if ref % 2:
+            spans[ref] = [(lo, lo + 60) for lo in r.sample(range(120), 2)]
+    assert rest_of(spark, texts, spans) == linked_by_definition(texts, spans)
+    assert rest_of(spark, {1: [(0, 2), (9, 4)], 2: [(0, 6), (9, 8)]}, spans) == set()
+
+
+def test_a_seed_that_is_covered_everywhere_still_counts_beside_an_open_one(spark):
+    """Passages cover the first seed of both texts; the second lies open and needs the first beside it."""
+    texts, spans = {1: [(0, 2), (10, 4)], 2: [(0, 2), (10, 4)]}, {1: [(0, 6)], 2: [(0, 6)]}
+    assert rest_of(spark, texts, spans) == {(2, 1, 0, 0), (2, 1, 10, 10)}
+
+
+def test_what_is_stored_grows_with_the_documents_not_with_their_seeds_two_by_two(docs, monkeypatch):
+    r, stored, rows = random.Random(13), cc.stored, []
+    monkeypatch.setattr(cc, "stored", lambda df, label: (lambda table: rows.append((label, table.count())) or table)(stored(df, label)))
+    lines = [words(r, 30) for _ in range(6)]
+    texts = [(i, " ".join(sum((line + words(r, 10) for line in r.sample(lines, 3)), []))) for i in range(60)]
+    cc.passages(docs(texts)).count()
+    assert max(n for _, n in rows) <= 30 * len(texts), rows
