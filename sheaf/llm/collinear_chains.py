@@ -483,7 +483,7 @@ def rest(pairs: DataFrame, found: DataFrame, buckets: int) -> DataFrame | None:
     own = met.filter("cgap = -2").select(F.col("cref").alias("key"), "gap", "ref", "pos").join(heads, ["key", "gap"])
     own = own.filter("by < ref OR by = ref AND bpos < pos")
     own = own.select("ref", F.col("by").alias("cref"), "pos", F.col("bpos").alias("cpos"), "gap", F.col("gap").alias("cgap"))
-    links = met.filter("cgap >= 0").unionByName(own)
+    links = met.filter("cgap >= 0").unionByName(own).filter("cref < ref OR pos + gap > cpos + cgap")  # no seed is its own anchor
     ends = F.array(F.struct("pos", "cpos"), F.struct((F.col("pos") + F.col("gap")).alias("pos"), (F.col("cpos") + F.col("cgap")).alias("cpos")))
     links = links.select("ref", "cref", F.explode(ends).alias("at"))
     return links.groupBy("ref", "cref").agg(F.collect_set("at").alias("at"))
